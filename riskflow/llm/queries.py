@@ -4,13 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat
 from .bpe import bpe_digests
 from .common import read_table
+from .packing import pack_documents
+from .secrets import secret_scan
+from .token_files import token_round_trip
+
+
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(read_table(spark, sf_dir, "documents"))
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate_perspectives(read_table(spark, sf_dir, "conversations"))
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_bpe_round_trip": op3_bpe_round_trip}
-ORACLES: dict[str, str] = {}
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_round_trip(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_chat_formatting, op3_bpe_round_trip, op5_packing, op9_token_files)}
+ORACLES: dict[str, str] = {"op2_chat_formatting": chat.ORACLE}
