@@ -10,6 +10,7 @@ from .common import read_table
 from .packing import pack_documents
 from .secrets import secret_scan
 from .token_files import token_round_trip
+from .toxicity import toxicity
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,5 +45,9 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_chat_formatting, op3_bpe_round_trip, op4_exact_topk, op5_packing, op6_embedding_near_dedup, op8_ngram_jaccard, op9_token_files)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_chat_formatting, op3_bpe_round_trip, op4_exact_topk, op5_packing, op6_embedding_near_dedup, op8_ngram_jaccard, op9_token_files, op10_toxicity)}
 ORACLES: dict[str, str] = {"op2_chat_formatting": chat.ORACLE, "op4_exact_topk": topk.ORACLE, "op6_embedding_near_dedup": vector_join.ORACLE, "op8_ngram_jaccard": jaccard.ORACLE}
