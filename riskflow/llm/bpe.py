@@ -18,20 +18,13 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import column, map_arrow, text_columns, texts_of
-from .subwords import RUNS, RunCache, tokenizer_path
+from .subwords import BYTE_NAMES, RUNS, RunCache, tokenizer_path
 
 NEVER = 1 << 60
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 SCHEMA = "doc_id long, ids array<int>, decoded string"
 
 
-def printable_bytes() -> dict[int, str]:
-    """The usual one-character names of bytes: printable Latin-1 bytes name themselves, others follow from U+0100."""
-    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    other = [b for b in range(256) if b not in set(own)]
-    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(other)}
-
-
 class PrefixBpe:
     """A vocabulary with ranked merges, whose words end in a marked last symbol."""
 
@@ -52,7 +45,7 @@ class PrefixBpe:
                 raise ValueError("two merges make one token: the last token of a prefix isn't unique")
             self.merges[a << 20 | b] = self.rank[whole] = k
             self.left[whole], self.right[whole] = a, b
-        names = printable_bytes()
+        names = BYTE_NAMES
         self.inner = [vocab[names[b]] for b in range(256)]
         self.final = [vocab[names[b] + self.suffix] for b in range(256)]
         self._build_automaton()

@@ -21,6 +21,8 @@ SEQUENCE_TOKENS = 2048
 ATTENTION_SCALE = 4096.0
 #: Tokens that a task holds before it packs them. A window pads less than one sequence.
 WINDOW_TOKENS = 4_000_000
+#: Runs that a worker knows in each generation; packing needs little memory besides.
+KNOWN_RUNS = 600_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_tokens long"
 
@@ -74,7 +76,7 @@ def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", spaced
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = run_encoder(tokenizer, spaced).encode
+        encode = run_encoder(tokenizer, spaced, KNOWN_RUNS).encode
         sequence = TaskContext.get().partitionId() << 32
         keys: list = []
         held: list[bytes] = []
