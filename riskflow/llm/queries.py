@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import chat, jaccard, topk, vector_join
 from .bpe import bpe_digests
 from .common import read_table
+from .lm import score_texts
 from .packing import pack_documents
 from .secrets import secret_scan
 from .token_files import token_round_trip
@@ -37,6 +38,10 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_join.embedding_links(read_table(spark, sf_dir, "embeddings"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(read_table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read_table(spark, sf_dir, "documents"))
 
@@ -49,5 +54,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_chat_formatting, op3_bpe_round_trip, op4_exact_topk, op5_packing, op6_embedding_near_dedup, op8_ngram_jaccard, op9_token_files, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_chat_formatting, op3_bpe_round_trip, op4_exact_topk, op5_packing, op6_embedding_near_dedup, op7_lm_scoring, op8_ngram_jaccard, op9_token_files, op10_toxicity)}
 ORACLES: dict[str, str] = {"op2_chat_formatting": chat.ORACLE, "op4_exact_topk": topk.ORACLE, "op6_embedding_near_dedup": vector_join.ORACLE, "op8_ngram_jaccard": jaccard.ORACLE}
