@@ -64,3 +64,10 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 def text_columns(df: DataFrame) -> DataFrame:
     """Only the two columns that text operators read; further columns may have any name."""
     return df.select(F.col("doc_id"), F.col("text"))
+
+
+def few(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at most ``rows``, for steps that make much of a row."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
