@@ -48,6 +48,8 @@ SPELLED = re.compile(r"(?<!\S)[^\W\d_](?:[ \t]+[^\W\d_](?!\S)){2,}")
 #: Runs kept by one worker in each of two generations; it bounds memory only.
 GENERATION = 300_000
 TOGETHER = 2_000_000
+#: Words compared with the landmarks at once.
+TOGETHER_WORDS = 1000
 
 
 def letters(run: str) -> str:
@@ -96,33 +98,35 @@ class WordKernel:
         for at, keys, w in triples(codes):
             for k, key in zip(number[at].tolist(), keys.tolist(), strict=True):
                 weights[k][key] += w
+        # Each triple's landmarks and its weights there, one after the other; row 0 is a triple that no landmark has.
         rows = {key: r for r, key in enumerate(sorted(set().union(*weights)), 1)}
         self.row = np.zeros(CODES**3, np.int32)
-        self.weight = np.zeros((len(rows) + 1, len(landmarks)), np.float32)
-        for k, own in enumerate(weights):
-            for key, w in own.items():
-                self.row[key] = rows[key]
-                self.weight[rows[key], k] = w
+        held = sorted((rows[key], k, w) for k, own in enumerate(weights) for key, w in own.items())
+        for key, r in rows.items():
+            self.row[key] = r
+        self.at = np.array([h[1] for h in held], np.int64)
+        self.weight = np.array([h[2] for h in held])
+        self.many = np.bincount([h[0] for h in held], minlength=len(rows) + 1) if held else np.zeros(1, np.int64)
+        self.first = np.cumsum(self.many) - self.many
         self.own = own_kernel(np.array([len(w) for w in landmarks]))
-        self.young: dict[str, np.ndarray | None] = {}
-        self.old: dict[str, np.ndarray | None] = {}
+        self.young: dict[str, tuple[np.ndarray, np.ndarray] | None] = {}
+        self.old: dict[str, tuple[np.ndarray, np.ndarray] | None] = {}
 
     def similarity(self, words: list[str]) -> np.ndarray:
         """Normalised kernels, a row for each word."""
-        out = np.zeros((len(words), len(self.landmarks)), np.float32)
+        m = len(self.landmarks)
+        out = np.zeros((len(words), m))
         codes, number = encode(words)
         found = []
         for at, keys, w in triples(codes):
             row = self.row[keys]
             hit = np.flatnonzero(row)
-            found.append((number[at[hit]], row[hit], np.full(len(hit), w, np.float32)))
+            found.append((number[at[hit]], row[hit], np.full(len(hit), w)))
         if found:
             who, row, w = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.argsort(who, kind="stable")
-            who, row, w = who[order], row[order], w[order]
-            if len(who):
-                first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
-                out[who[first]] = np.add.reduceat(self.weight[row] * w[:, None], first, axis=0)
+            many = self.many[row]
+            place = np.repeat(self.first[row] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            out = np.bincount(np.repeat(who * m, many) + self.at[place], np.repeat(w, many) * self.weight[place], len(words) * m).reshape(-1, m)
         size = own_kernel(np.array([len(w) for w in words]))
         return out / np.sqrt(np.maximum(size, 1e-9)[:, None] * self.own)
 
@@ -140,12 +144,21 @@ class WordKernel:
                 words.append(part)
                 owner.append(k)
         self.young.update(dict.fromkeys(runs))
-        for lo in range(0, len(words), 20_000):
-            found = self.matches(words[lo : lo + 20_000])
-            for k in np.flatnonzero(found.any(axis=1)):
-                run = runs[owner[lo + k]]
-                before = self.young[run]
-                self.young[run] = found[k] if before is None else np.maximum(before, found[k])
+        for lo in range(0, len(words), TOGETHER_WORDS):
+            found = self.matches(words[lo : lo + TOGETHER_WORDS])
+            row, at = np.nonzero(found)
+            value, at = found[row, at], at.astype(np.int16)
+            rows, first = np.unique(row, return_index=True)
+            last = np.append(first[1:], len(row))[: len(first)]
+            for k, a, b in zip(rows.tolist(), first.tolist(), last.tolist(), strict=True):
+                run, own, much = runs[owner[lo + k]], at[a:b], value[a:b]
+                if (before := self.young[run]) is not None:  # windows of one long word
+                    whole = np.zeros(len(self.landmarks), np.float32)
+                    whole[before[0]] = before[1]
+                    whole[own] = np.maximum(whole[own], much)
+                    own = np.flatnonzero(whole).astype(np.int16)
+                    much = whole[own]
+                self.young[run] = own, much
 
     def pooled(self, texts: list[str]) -> np.ndarray:
         """For each text and landmark whether a word matches, and the logarithms of the matches and of those in a hundred words."""
@@ -170,7 +183,7 @@ class WordKernel:
             for k, own in enumerate(runs):
                 found = [v for v in map(self.young.__getitem__, own) if v is not None]
                 if found:
-                    total = np.sum(found, axis=0)
+                    total = np.bincount(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), len(self.landmarks))
                     out[lo + k] = np.concatenate([np.minimum(total, 1), np.log1p(total), np.log1p(100 * total / len(own))])
             if len(self.young) > GENERATION:
                 self.young, self.old = {}, self.young
