@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import narration as n
+from ..functions.similarity import assign_category, merge_variants
 from ..sources.adapters import SQL_TXN, transactions
 
 QUERIES, ORACLES = {}, {}
@@ -78,3 +79,5 @@ on_transactions("P8_amount_direction", lambda t: t.select("row_id", n.amount_of(
 on_transactions("P15_redact_pii", lambda t: t.select("row_id", n.redact_pii(F.col("narration")).alias("text")), r"SELECT row_id, regexp_replace(narration, '\b[A-Z]{4}0[A-Z0-9]{6}\b', '[IFSC]', 'g') AS text FROM txn")
 on_transactions("P19_channel_to_format", lambda t: t.select("row_id", n.channel_to_format(n.infer_channel(F.col("narration")), F.col("narration")).alias("format")),
                 f"SELECT row_id, CASE WHEN contains(b, 'rtgs') THEN 'rtgs' WHEN contains(b, 'neft') THEN 'neft' WHEN contains(b, 'imps') THEN 'imps' WHEN contains(b, 'upi') THEN 'upi' WHEN contains(b, 'cash') OR contains(b, 'atm') THEN 'cash' WHEN contains(b, 'cheque') OR contains(b, 'chq') THEN 'cheque' WHEN contains(b, 'pos') OR contains(b, 'card') THEN 'card' ELSE lower(c) END AS format FROM (SELECT row_id, {CHANNEL} AS c, lower({CHANNEL} || ' ' || narration) AS b FROM txn)")
+on_transactions("E2_assign_category", lambda t: assign_category(t.select("row_id", "narration", direction.alias("direction"))).select("row_id", "category"))
+on_transactions("E7_merge_variants", lambda t: merge_variants(t.select("statement_id", n.normalize_counterparty(who).alias("name"))))
