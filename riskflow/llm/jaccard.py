@@ -2,9 +2,11 @@
 
 Equal sets are one class. The n-grams of a class are ordered from rare to frequent, by counts over all documents, and
 only its prefix is joined: two sets as similar as asked share an n-gram of their prefixes. Candidates pass a length
-filter, a positional filter and, before their sets are compared, a suffix filter; each pair is verified once. Links
-matter for components alone, so a list of classes that share an n-gram first offers each of them to one centre of its
-size, and only classes which that leaves in different components are then paired with each other.
+filter, a positional filter, a count of what their prefixes share and, before their sets are compared, a suffix
+filter; each pair is verified once. Links matter for components alone, so a list of classes that share an n-gram first
+offers each of them to one centre of its size. Components that are still apart do so again, each with its best offer,
+while that links any; only classes which that leaves in different components are then paired with each other. Sets are
+made for the classes of candidates alone.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow, materialise, text_columns, texts_of
+from .common import column, few, map_arrow, materialise, text_columns, texts_of
 from .components import connected_components
 
 WORDS = 5
@@ -30,7 +32,13 @@ SEGMENTS = 64
 #: A list of classes that may be longer than this, and than HOT_MEANS mean slots, is cut by hash.
 HOT_LIST, HOT_MEANS = 1000, 8
 #: Words whose hashes a worker keeps; it bounds memory only.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
+#: Rounds of offers to centres, at most; what they leave apart is paired in full.
+ROUNDS = 3
+#: Bits of the filter that finds the documents of candidates before they are joined.
+BLOOM_BITS = 24
+#: Texts that a task works on at once.
+TOGETHER = 500
 #: Parts in which the suffix filter compares two sets.
 PARTS = 64
 
@@ -81,10 +89,9 @@ def described(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SLOT_BITS, np.int64)
         names = ["doc_id", "n", "class", "segment", "task", "counts"]
-        for batch in batches:
+        for batch in few(batches, TOGETHER):
             sets = [ngram_set(t, words) for t in texts_of(batch)]
-            for s in sets:
-                np.add.at(total, slots(s), 1)
+            total += np.bincount(slots(np.concatenate(sets)), minlength=len(total))
             n, none = len(sets), pa.nulls
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id").cast("int64"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), none(n, pa.int32()), none(n, pa.int32()), none(n, pa.binary())], names)
         if total.any():
@@ -115,11 +122,10 @@ def prefixes(docs: DataFrame, counts: np.ndarray, words: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # 2 ** SLOT_BITS numbers
     hot = max(HOT_LIST, HOT_MEANS * int(counts.mean()))
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            count = shared.value
+        count = shared.value
+        for batch in few(batches, TOGETHER):
             out: list[tuple[np.ndarray, ...]] = []
             for text in texts_of(batch):
                 grams = ngram_set(text, words)
@@ -133,11 +139,9 @@ def prefixes(docs: DataFrame, counts: np.ndarray, words: int) -> DataFrame:
                 salt = np.where(lists > 1, 1 + (name & 0x7FFFFFFF) % np.maximum(lists, 1), 0)
                 out.append((grams[order].astype(np.int64), salt, np.full(len(order), name), np.full(len(order), n), np.arange(len(order))))
             gram, salt, name, n, pos = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 5
-            return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(salt.astype(np.int32)), pa.array(name), pa.array(n.astype(np.int32)), pa.array(pos.astype(np.int32))], ["gram", "salt", "class", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(salt.astype(np.int32)), pa.array(name), pa.array(n.astype(np.int32)), pa.array(pos.astype(np.int32))], ["gram", "salt", "class", "n", "pos"])
 
-        return each
-
-    return map_arrow(text_columns(docs), make, "gram long, salt int, class long, n int, pos int")
+    return text_columns(docs).mapInArrow(run, "gram long, salt int, class long, n int, pos int")
 
 
 def shared_grams(rows: DataFrame) -> DataFrame:
@@ -212,17 +216,42 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_arrow(both, make, "a long, b long")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """class and grams of the documents ``wanted`` (doc_id)."""
+def enough_shared(k: Column, n: Column, m: Column) -> Column:
+    """Of all that two sets share, what isn't in both prefixes lies behind the prefix that ends first."""
+    behind = lambda x: F.ceil(PERCENT * x / 100) - 1
+    return k + F.greatest(behind(n), behind(m)) >= least_overlap(n, m)
 
-    def make():
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [ngram_set(t, words) for t in texts_of(batch)]
-            return pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["class", "grams"])
 
-        return each
+def maybe_among(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id's hash has its bit set by one of ``wanted``: a filter of 2 ** BLOOM_BITS bits."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BLOOM_BITS))
+    bits = np.zeros(1 << BLOOM_BITS, bool)
+    # Spark's bitmaps number buckets and values from 1.
+    maps = wanted.select((place + 1).alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("map"))
+    for r in maps.collect():  # at most 2 ** (BLOOM_BITS - 15) rows
+        at = (r["bucket"] - 1) << 15
+        bits[at : at + (1 << 15)] |= np.unpackbits(np.frombuffer(bytes(r["map"]), np.uint8), bitorder="little").astype(bool)
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
-    return map_arrow(text_columns(docs).join(wanted, "doc_id", "left_semi"), make, "class long, grams binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(own[column(batch, "h").to_numpy()])).select(["doc_id", "text"])
+
+    return text_columns(docs).where("doc_id is not null").withColumn("h", place).mapInArrow(run, docs.select("doc_id", "text").schema)
+
+
+def sets_of(docs: DataFrame, pairs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """class and grams of the classes in ``pairs``, each from the document that names it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few(batches, TOGETHER):
+            sets = [ngram_set(t, words) for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["class", "grams"])
+
+    asked = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    wanted = materialise(asked.join(classes, "class").select(F.col("first").alias("doc_id")), "wanted")
+    return maybe_among(docs, wanted).join(wanted, "doc_id", "left_semi").mapInArrow(run, "class long, grams binary")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -243,26 +272,38 @@ def jaccard_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     classes = materialise(each.where("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("first")), "classes")
     rows = materialise(shared_grams(prefixes(docs.where("doc_id is not null"), counts, words)), "prefixes")
 
-    wanted = rows.select("class").distinct().join(classes, "class").select(F.col("first").alias("doc_id"))
-    sets = materialise(sets_of(docs, wanted, words).dropDuplicates(["class"]), "sets")
-
-    # Each class with the centre of its gram and size.
     sized = F.floor(F.log("n") / F.log(F.lit(1.2)))
-    centres = materialise(rows.groupBy("gram", sized.alias("size")).agg(F.min(F.struct("n", "class", "pos")).alias("c"), F.count("*").alias("many")).where("many > 1").select("gram", "size", "c.*"), "centres")
-    centre = centres.select("gram", "size", *(F.col(c).alias(f"c_{c}") for c in ("n", "class", "pos")))
-    near = rows.withColumn("size", sized).join(centre, ["gram", "size"]).where((F.col("class") != F.col("c_class")) & possible(F.col("n"), F.col("pos"), F.col("c_n"), F.col("c_pos")))
-    first_pairs = materialise(near.select(*ordered_pair(F.col("class"), F.col("c_class"))).distinct(), "pairs")
-    first_links = materialise(verified(first_pairs, sets), "links")
-    parts = materialise(connected_components(first_links), "parts").select(F.col("id").alias("class"), F.col("component_id").alias("part"))
+    placed = rows.withColumns({"part": F.col("class"), "size": sized})
+    links, tried = None, None
+    for turn in range(ROUNDS):
+        # Each component with the centre, of a gram and a size, with which a class of it shares most.
+        # The centre is of the component that the list has most of, so that the largest grows.
+        by_part = placed.groupBy("gram", "size", "part").agg(F.count("*").alias("many"), F.min(F.struct("n", "class", "pos")).alias("c"))
+        most = by_part.groupBy("gram", "size").agg(F.max(F.struct("many", "part", "c")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
+        centres = materialise(most.select("gram", "size", F.col("m.part").alias("c_part"), *(F.col(f"m.c.{c}").alias(f"c_{c}") for c in ("n", "class", "pos"))), "centres")
+        near = placed.join(centres, ["gram", "size"]).where((F.col("part") != F.col("c_part")) & possible(F.col("n"), F.col("pos"), F.col("c_n"), F.col("c_pos")))
+        offers = near.groupBy("part", "class", "c_class").agg(F.count("*").alias("k"), F.min("n").alias("n"), F.min("c_n").alias("c_n"))
+        if not turn:  # the clear cases first; a pair may share more than the lists that have the one as the other's centre
+            offers = offers.where(enough_shared(F.col("k"), F.col("n"), F.col("c_n")))
+        offers = offers.select("part", "k", *ordered_pair(F.col("class"), F.col("c_class")))
+        if tried is not None:
+            offers = offers.join(tried, ["a", "b"], "left_anti")
+        pairs = materialise(offers.groupBy("part").agg(F.max(F.struct("k", "a", "b")).alias("best")).select("best.a", "best.b").distinct(), "pairs")
+        new = materialise(verified(pairs, materialise(sets_of(docs, pairs, classes, words), "sets")), "links")
+        links, tried = (new, pairs) if links is None else (links.unionByName(new), tried.unionByName(pairs))
+        parts = materialise(connected_components(links), "parts").select(F.col("id").alias("class"), F.col("component_id").alias("part"))
+        placed = materialise(rows.join(parts, "class", "left").withColumns({"part": F.coalesce("part", "class"), "size": sized}), "placed")
+        if new.isEmpty():
+            break
 
     # Classes that share a gram and are still apart.
-    placed = materialise(rows.join(parts, "class", "left").withColumn("part", F.coalesce("part", "class")), "placed")
     apart = materialise(placed.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("gram"), "apart")
-    left = placed.join(apart, "gram", "left_semi")
+    left = materialise(placed.join(apart, "gram", "left_semi"), "left")
     right = left.select("gram", *(F.col(c).alias(f"o_{c}") for c in ("class", "n", "pos", "part")))
     cross = left.join(right, "gram").where((F.col("class") < F.col("o_class")) & (F.col("part") != F.col("o_part")) & possible(F.col("n"), F.col("pos"), F.col("o_n"), F.col("o_pos")))
-    more_pairs = cross.select(*ordered_pair(F.col("class"), F.col("o_class"))).distinct().join(first_pairs, ["a", "b"], "left_anti")
-    links = first_links.unionByName(verified(materialise(more_pairs, "pairs"), sets))
+    counted = cross.groupBy(F.col("class").alias("a"), F.col("o_class").alias("b")).agg(F.count("*").alias("k"), F.min("n").alias("n"), F.min("o_n").alias("m"))
+    more_pairs = materialise(counted.where(enough_shared(F.col("k"), F.col("n"), F.col("m"))).select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(verified(more_pairs, materialise(sets_of(docs, more_pairs, classes, words), "sets")))
 
     # Rows that share a doc_id link their classes.
     reused = each.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.count("*").alias("k")).where("a < b")
