@@ -22,7 +22,7 @@ ATTENTION_SCALE = 4096.0
 #: Tokens that a task holds before it packs them. A window pads less than one sequence.
 WINDOW_TOKENS = 4_000_000
 #: Runs that a worker knows in each generation; packing needs little memory besides.
-KNOWN_RUNS = 600_000
+KNOWN_RUNS = 250_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_tokens long"
 

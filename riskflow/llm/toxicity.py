@@ -39,6 +39,8 @@ REJECT = 0.7
 FOLDS, HELD_OUT = 3, 1
 
 CODES = 64
+#: A word's matches as they are kept: landmark and extent.
+MATCHES = np.dtype([("at", "<i2"), ("much", "<f4")])
 #: Characters that stand for letters within a word (fixed values).
 LOOKALIKE = str.maketrans("013457@$!", "oieastasi")
 BETWEEN_LETTERS = re.compile(r"(?<=[^\W\d_])[013457@$!](?=[^\W\d_])")
@@ -109,8 +111,8 @@ class WordKernel:
         self.many = np.bincount([h[0] for h in held], minlength=len(rows) + 1) if held else np.zeros(1, np.int64)
         self.first = np.cumsum(self.many) - self.many
         self.own = own_kernel(np.array([len(w) for w in landmarks]))
-        self.young: dict[str, tuple[np.ndarray, np.ndarray] | None] = {}
-        self.old: dict[str, tuple[np.ndarray, np.ndarray] | None] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def similarity(self, words: list[str]) -> np.ndarray:
         """Normalised kernels, a row for each word."""
@@ -136,29 +138,31 @@ class WordKernel:
         return np.where(soft < 0.01, 0, soft).astype(np.float32)
 
     def learn(self, runs: list[str]) -> None:
-        """Add runs to the young generation: None for one that is like no landmark."""
+        """Add runs to the young generation, each with its matches packed: none for one that is like no landmark."""
         words, owner = [], []
         for k, run in enumerate(runs):
             word = letters(run)
             for part in windows(word) if len(word) >= 3 else ():
                 words.append(part)
                 owner.append(k)
-        self.young.update(dict.fromkeys(runs))
+        self.young.update(dict.fromkeys(runs, b""))
         for lo in range(0, len(words), TOGETHER_WORDS):
             found = self.matches(words[lo : lo + TOGETHER_WORDS])
             row, at = np.nonzero(found)
-            value, at = found[row, at], at.astype(np.int16)
+            packed = np.empty(len(row), MATCHES)
+            packed["at"], packed["much"] = at, found[row, at]
             rows, first = np.unique(row, return_index=True)
             last = np.append(first[1:], len(row))[: len(first)]
             for k, a, b in zip(rows.tolist(), first.tolist(), last.tolist(), strict=True):
-                run, own, much = runs[owner[lo + k]], at[a:b], value[a:b]
-                if (before := self.young[run]) is not None:  # windows of one long word
+                run, own = runs[owner[lo + k]], packed[a:b]
+                if before := self.young[run]:  # windows of one long word
                     whole = np.zeros(len(self.landmarks), np.float32)
-                    whole[before[0]] = before[1]
-                    whole[own] = np.maximum(whole[own], much)
-                    own = np.flatnonzero(whole).astype(np.int16)
-                    much = whole[own]
-                self.young[run] = own, much
+                    for m in (np.frombuffer(before, MATCHES), own):
+                        whole[m["at"]] = np.maximum(whole[m["at"]], m["much"])
+                    own = np.empty(np.count_nonzero(whole), MATCHES)
+                    own["at"] = np.flatnonzero(whole)
+                    own["much"] = whole[own["at"]]
+                self.young[run] = own.tobytes()
 
     def pooled(self, texts: list[str]) -> np.ndarray:
         """For each text and landmark whether a word matches, and the logarithms of the matches and of those in a hundred words."""
@@ -181,9 +185,9 @@ class WordKernel:
                     missing.append(run)
             self.learn(missing)
             for k, own in enumerate(runs):
-                found = [v for v in map(self.young.__getitem__, own) if v is not None]
-                if found:
-                    total = np.bincount(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), len(self.landmarks))
+                found = np.frombuffer(b"".join(map(self.young.__getitem__, own)), MATCHES)
+                if len(found):
+                    total = np.bincount(found["at"], found["much"], len(self.landmarks))
                     out[lo + k] = np.concatenate([np.minimum(total, 1), np.log1p(total), np.log1p(100 * total / len(own))])
             if len(self.young) > GENERATION:
                 self.young, self.old = {}, self.young

@@ -23,7 +23,20 @@ def quoted(text: str) -> str:
 
 
 WAY = "CASE WHEN coalesce(debit, 0) >= coalesce(credit, 0) AND coalesce(debit, 0) > 0 THEN 'debit' ELSE 'credit' END"
-direction = n.direction_of(F.col("debit"), F.col("credit"))
+
+
+def direction():
+    return n.direction_of(F.col("debit"), F.col("credit"))
+
+
+def who():
+    return n.extract_counterparty(F.col("narration"))
+
+
+def bank():
+    return n.resolve_bank(F.col("narration"))
+
+
 CHANNEL = "CASE " + " ".join(f"WHEN regexp_matches(narration, {quoted('(?i)' + '|'.join(p))}) THEN '{c}'" for c, p in config.CHANNELS.items()) + " ELSE 'UNKNOWN' END"
 
 
@@ -52,19 +65,17 @@ CODES = rf"""SELECT row_id, [c FOR c IN regexp_extract_all(upper(narration), '\b
   {ALIASES}[nullif(regexp_extract(lower(narration), '(?:^|[^a-z])({ALIAS})(?:$|[^a-z])', 1), '')] AS e FROM txn"""
 
 on_transactions("E1_infer_channel", lambda t: t.select("row_id", n.infer_channel(F.col("narration")).alias("channel")), f"SELECT row_id, {CHANNEL} AS channel FROM txn")
-on_transactions("E2_category_by_keyword", lambda t: t.select("row_id", n.category_by_keyword(F.col("narration"), direction).alias("category")), f"SELECT row_id, {category_sql()} AS category FROM txn")
-who = n.extract_counterparty(F.col("narration"))
-on_transactions("E3_extract_counterparty", lambda t: t.select("row_id", who.alias("who")), f"SELECT row_id, {WHO} AS who FROM txn")
-on_transactions("E4_clean_merchant", lambda t: t.select("row_id", n.clean_merchant(F.concat(who, F.lit("com/"))).alias("merchant")),
+on_transactions("E2_category_by_keyword", lambda t: t.select("row_id", n.category_by_keyword(F.col("narration"), direction()).alias("category")), f"SELECT row_id, {category_sql()} AS category FROM txn")
+on_transactions("E3_extract_counterparty", lambda t: t.select("row_id", who().alias("who")), f"SELECT row_id, {WHO} AS who FROM txn")
+on_transactions("E4_clean_merchant", lambda t: t.select("row_id", n.clean_merchant(F.concat(who(), F.lit("com/"))).alias("merchant")),
                 f"SELECT row_id, CASE WHEN length(m) > 6 AND regexp_matches(m, '(?i)COM$') THEN regexp_replace(m, '(?i)COM$', '') ELSE m END AS merchant FROM (SELECT row_id, CASE WHEN length(m) > 5 AND regexp_matches(m, '(?i)IN$') THEN regexp_replace(m, '(?i)IN$', '') ELSE m END AS m FROM (SELECT row_id, regexp_replace(regexp_replace(trim({WHO} || 'com/'), '/+$', ''), '(?i)^www\\.?', '') AS m FROM txn))")
 on_transactions("E5_is_self_transfer", lambda t: t.select("row_id", n.is_self_transfer(F.col("narration"), F.concat(F.lit("payee"), F.col("statement_id"))).alias("own")),
                 "SELECT row_id, contains(upper(narration), 'PAYEE' || statement_id) AS own FROM txn")
-on_transactions("E6_normalize_counterparty", lambda t: t.select("row_id", n.normalize_counterparty(who).alias("name")), f"SELECT row_id, {NORMAL} AS name FROM (SELECT row_id, {WHO} AS who FROM txn)")
-on_transactions("E8_counterparty_dim", lambda t: t.select("statement_id", "row_index", n.normalize_counterparty(who).alias("name"), who.alias("raw"), n.is_self_transfer(F.col("narration"), F.concat(F.lit("payee"), F.col("statement_id"))).alias("own"))
+on_transactions("E6_normalize_counterparty", lambda t: t.select("row_id", n.normalize_counterparty(who()).alias("name")), f"SELECT row_id, {NORMAL} AS name FROM (SELECT row_id, {WHO} AS who FROM txn)")
+on_transactions("E8_counterparty_dim", lambda t: t.select("statement_id", "row_index", n.normalize_counterparty(who()).alias("name"), who().alias("raw"), n.is_self_transfer(F.col("narration"), F.concat(F.lit("payee"), F.col("statement_id"))).alias("own"))
                 .groupBy("statement_id", "name").agg(F.min_by("raw", "row_index").alias("variant"), F.bool_or("own").alias("own"), F.count("*").alias("n")),
                 f"SELECT statement_id, {NORMAL} AS name, min_by(who, row_index) AS variant, bool_or(own) AS own, count(*) AS n FROM (SELECT statement_id, row_index, {WHO} AS who, contains(upper(narration), 'PAYEE' || statement_id) AS own FROM txn) GROUP BY 1, 2")
-bank = n.resolve_bank(F.col("narration"))
-on_transactions("E9_resolve_bank", lambda t: t.select("row_id", bank.alias("b")).select("row_id", "b.code", "b.signal"),
+on_transactions("E9_resolve_bank", lambda t: t.select("row_id", bank().alias("b")).select("row_id", "b.code", "b.signal"),
                 f"SELECT row_id, coalesce(a, b, c, d, e) AS code, CASE WHEN a IS NOT NULL THEN 'ifsc' WHEN b IS NOT NULL THEN 'ifsc_loose' WHEN c IS NOT NULL THEN 'code_prefix' WHEN d IS NOT NULL THEN 'upi_handle' WHEN e IS NOT NULL THEN 'name' END AS signal FROM ({CODES})")
 on_transactions("E10_resolve_subject_bank", lambda t: t.groupBy("statement_id").agg(F.min_by("narration", "row_index").alias("p")).select("statement_id", n.resolve_subject_bank(F.col("p"), F.lit("none"), F.concat(F.lit("hdfc_"), F.col("statement_id"), F.lit(".csv"))).alias("b")).select("statement_id", "b.code", "b.signal"),
                 f"SELECT f.statement_id, coalesce(a, b, c, d, e, 'HDFC') AS code, CASE WHEN coalesce(a, b, c, d, e) IS NULL THEN 'filename' ELSE 'preamble' END AS signal FROM (SELECT statement_id, min_by(row_id, row_index) AS row_id FROM txn GROUP BY 1) f JOIN ({CODES}) USING (row_id)")
@@ -74,10 +85,10 @@ on_transactions("P1_parse_date", lambda t: t.select("row_id", n.parse_date(F.whe
                 "SELECT row_id, CAST(txn_date AS VARCHAR) AS day FROM txn")
 on_transactions("P2_parse_amount", lambda t: t.select("row_id", n.parse_amount(F.when(F.col("debit").isNotNull(), F.concat(F.lit("("), F.format_number("debit", 2), F.lit(")"))).when(F.col("credit").isNotNull(), F.concat(F.lit("INR "), F.format_number("credit", 2))).otherwise(F.lit("-"))).cast("double").alias("amount")),
                 "SELECT row_id, CASE WHEN debit IS NOT NULL THEN -(debit / 100.0) ELSE credit / 100.0 END AS amount FROM txn")
-on_transactions("P8_amount_direction", lambda t: t.select("row_id", n.amount_of(F.col("debit"), F.col("credit")).cast("double").alias("amount"), direction.alias("direction"), n.case_direction(F.col("debit")).alias("case_direction")),
+on_transactions("P8_amount_direction", lambda t: t.select("row_id", n.amount_of(F.col("debit"), F.col("credit")).cast("double").alias("amount"), direction().alias("direction"), n.case_direction(F.col("debit")).alias("case_direction")),
                 f"SELECT row_id, greatest(coalesce(debit, 0), coalesce(credit, 0)) / 100.0 AS amount, {WAY} AS direction, CASE WHEN coalesce(debit, 0) > 0 THEN 'debit' ELSE 'credit' END AS case_direction FROM txn")
 on_transactions("P15_redact_pii", lambda t: t.select("row_id", n.redact_pii(F.col("narration")).alias("text")), r"SELECT row_id, regexp_replace(narration, '\b[A-Z]{4}0[A-Z0-9]{6}\b', '[IFSC]', 'g') AS text FROM txn")
 on_transactions("P19_channel_to_format", lambda t: t.select("row_id", n.channel_to_format(n.infer_channel(F.col("narration")), F.col("narration")).alias("format")),
                 f"SELECT row_id, CASE WHEN contains(b, 'rtgs') THEN 'rtgs' WHEN contains(b, 'neft') THEN 'neft' WHEN contains(b, 'imps') THEN 'imps' WHEN contains(b, 'upi') THEN 'upi' WHEN contains(b, 'cash') OR contains(b, 'atm') THEN 'cash' WHEN contains(b, 'cheque') OR contains(b, 'chq') THEN 'cheque' WHEN contains(b, 'pos') OR contains(b, 'card') THEN 'card' ELSE lower(c) END AS format FROM (SELECT row_id, {CHANNEL} AS c, lower({CHANNEL} || ' ' || narration) AS b FROM txn)")
-on_transactions("E2_assign_category", lambda t: assign_category(t.select("row_id", "narration", direction.alias("direction"))).select("row_id", "category"))
-on_transactions("E7_merge_variants", lambda t: merge_variants(t.select("statement_id", n.normalize_counterparty(who).alias("name"))))
+on_transactions("E2_assign_category", lambda t: assign_category(t.select("row_id", "narration", direction().alias("direction"))).select("row_id", "category"))
+on_transactions("E7_merge_variants", lambda t: merge_variants(t.select("statement_id", n.normalize_counterparty(who()).alias("name"))))
