@@ -17,4 +17,4 @@ def test_queries_are_listed_without_a_session():
 def test_nothing_else_imports_the_training_data_subpackage():
     for folder, _, names in os.walk(f"{ROOT}/riskflow"):
         if not folder.endswith("llm"):
-            assert not any("llm" in open(f"{folder}/{n}").read() for n in names if n.endswith(".py")), folder
+            assert not any(".llm" in open(f"{folder}/{n}").read() for n in names if n.endswith(".py")), folder
