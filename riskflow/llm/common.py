@@ -71,3 +71,19 @@ def few(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             yield batch.slice(lo, rows)
+
+
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(name: str, holder: dict) -> dict:
+    """A cache that lives as long as a worker process, under the name of its use."""
+    _caches[name] = holder
+    return holder
+
+
+def keep_only(name: str) -> None:
+    """Empty the worker's caches of other uses: workers go on from stage to stage, and their memory is one."""
+    for use, holder in _caches.items():
+        if use != name:
+            holder.clear()

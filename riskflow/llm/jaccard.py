@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, few, map_arrow, materialise, text_columns, texts_of
+from .common import column, few, keep_only, map_arrow, materialise, text_columns, texts_of, worker_cache
 from .components import connected_components
 
 WORDS = 5
@@ -51,7 +51,7 @@ class WordHashes(dict):
         return h
 
 
-_words = WordHashes()
+_words = worker_cache("words", WordHashes())
 
 
 def ngram_set(text: str, words: int = WORDS) -> np.ndarray:
@@ -87,6 +87,7 @@ def described(docs: DataFrame, words: int) -> DataFrame:
     """For each document doc_id, n and class; for each task and segment of slots its counts of n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("words")
         total = np.zeros(1 << SLOT_BITS, np.int64)
         names = ["doc_id", "n", "class", "segment", "task", "counts"]
         for batch in few(batches, TOGETHER):

@@ -14,6 +14,8 @@ import re
 import unicodedata
 from array import array
 
+from .common import keep_only, worker_cache
+
 #: White space as Unicode defines it (fixed values); Python's own ``\s`` also takes U+001C to U+001F.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 RUNS = re.compile(f"[^{SPACE}]+")
@@ -144,11 +146,12 @@ class RunEncoder:
         return b"".join(map(self.runs.__getitem__, self.find(text)))
 
 
-_encoders: dict[tuple, RunEncoder] = {}
+_encoders: dict[tuple, RunEncoder] = worker_cache("encoders", {})
 
 
 def run_encoder(name: str, spaced: bool, generation: int = GENERATION) -> RunEncoder:
     """One encoder per worker process, vocabulary and size."""
+    keep_only("encoders")
     key = (name, spaced, generation)
     if key not in _encoders:
         _encoders[key] = RunEncoder(name if os.sep in name else tokenizer_path(name), spaced, generation)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow, materialise, text_columns, texts_of
+from .common import column, keep_only, map_arrow, materialise, text_columns, texts_of
 
 #: Labelled texts that the machine is fitted to, at most; those whose ids have the smallest hashes.
 TRAINING_TEXTS = 20_000
@@ -253,6 +253,7 @@ def word_ties(sample: DataFrame) -> DataFrame:
     """word, plus and minus: texts of each label that have the word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("toxicity")
         count: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(texts_of(batch), column(batch, "toxic").to_pylist(), strict=True):
@@ -308,6 +309,7 @@ def pooled_sample(sample: DataFrame, words: list[str]) -> tuple[np.ndarray, np.n
     """Features and labels (-1 or 1) of the sample: a bounded matrix."""
 
     def make():
+        keep_only("toxicity")
         kernel = WordKernel(words)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -329,6 +331,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def make():
+        keep_only("toxicity")
         kernel = WordKernel(model.landmarks)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -351,6 +354,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model, names = fit_toxicity(docs, labels), docs.columns
 
     def make():
+        keep_only("toxicity")
         kernel = WordKernel(model.landmarks)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
