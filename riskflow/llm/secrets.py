@@ -7,7 +7,7 @@ came from, so that a find in a nested layer is reported as a span of the origina
 
 from __future__ import annotations
 
-import base64
+import binascii
 import bz2
 import hashlib
 import lzma
@@ -29,9 +29,18 @@ ASSIGNED_LENGTH = 6
 
 URL_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 TEXT_ESCAPES = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-#: A compressed layer may unfold to this many bytes; a longer one is scanned up to there. It bounds a task's memory.
-LAYER_BYTES = 64 << 20
+#: Digits of one run, which may go on over whole further lines; line ends may be escaped, as in JSON.
+DIGITS, LINE_END = r"[A-Za-z0-9+/_-]", r"[\x20\t]*(?:\r\n?|\n|\\r\\n|\\n)[\x20\t]*"
+BREAK = re.compile(LINE_END)
+BASE64 = re.compile(rf"(?<!{DIGITS})(?:{DIGITS}{{16,}}+|{DIGITS}++(?={LINE_END}{DIGITS}{{16}}))(?:{LINE_END}{DIGITS}++(?=={{0,2}}[\x20\t]*(?:[\r\n\"']|\\[rn]|\Z)))*={{0,2}}")
+#: The first digits of gzip, zlib, bzip2, xz and zstandard data.
+PACKED = re.compile(r"H4sI|eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]|Qlpo|/Td6WFo|KLUv/")
+#: Every pattern here needs one of these in a layer: an escape, or as many plain characters as the shortest secret.
+PLAUSIBLE = re.compile(rb"%[0-9A-Fa-f]{2}|\\[ux]|&#[0-9xX]|[\x20-\x7e]{12}")
+#: Compressed data is unfolded in pieces and scanned in overlapping chunks, which bounds a task's memory. An open run of
+#: base64 goes on into the next chunk whole, unless it is longer than LAYER_BYTES.
+PIECE_BYTES, CHUNK_BYTES, LAYER_BYTES, OVERLAP_BYTES = 1 << 20, 8 << 20, 64 << 20, 1 << 16
+RUN_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-\r\n\\"
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 Span = tuple[int, int, int]
@@ -90,61 +99,124 @@ def text_edits(text: str) -> Iterator[tuple[int, int, str]]:
             yield m.start(), m.end(), chr(code)
 
 
-def unfold(data: bytes) -> bytes | None:
-    """What compressed data holds, if it is that."""
-    try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0:
-            return zlib.decompressobj(47).decompress(data, LAYER_BYTES)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, LAYER_BYTES)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, LAYER_BYTES)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            return zstandard.ZstdDecompressor().decompressobj().decompress(data)[:LAYER_BYTES]
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None
-    except Exception as e:  # zstandard's error isn't importable without it
-        if type(e).__name__ == "ZstdError":
-            return None
-        raise
+def decompressor(head: bytes):
+    """A decompressor for data that begins with ``head``, if it is compressed."""
+    if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" and len(head) > 2 and (head[0] << 8 | head[1]) % 31 == 0:
+        return zlib.decompressobj(47)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompressobj()
     return None
 
 
-def readable(data: bytes) -> str | None:
-    """The text that ``data`` is, if it is UTF-8 without control characters."""
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
+def unfolded(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """What compressed data holds, member after member, in pieces; it ends where the data does or is damaged."""
+    rest = b""
+    while True:
+        while len(rest := rest.lstrip(b"\0")) < 6 and (more := next(pieces, b"")):
+            rest += more
+        if (d := decompressor(rest[:6])) is None:
+            return
+        bounded = not hasattr(d, "flush") or hasattr(d, "unconsumed_tail")  # zstandard's takes no limit
+        try:
+            while not d.eof:
+                out = d.decompress(rest, PIECE_BYTES) if bounded else d.decompress(rest)
+                rest = getattr(d, "unconsumed_tail", b"")
+                if out:
+                    yield out
+                if not d.eof and not rest and len(out) < PIECE_BYTES and getattr(d, "needs_input", True) and not (rest := next(pieces, b"")):
+                    return
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+            return
+        except Exception as e:  # zstandard's error isn't importable without it
+            if type(e).__name__ == "ZstdError":
+                return
+            raise
+        rest = d.unused_data
+
+
+def chunks(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The pieces in overlapping chunks of bounded size."""
+    data = bytearray()
+    for piece in pieces:
+        data += piece
+        if len(data) >= CHUNK_BYTES:
+            open_ = len(data) - len(data.rstrip(RUN_BYTES))
+            if (whole := open_ < len(data) // 2) or len(data) >= LAYER_BYTES:
+                yield bytes(data)
+                del data[: -max(OVERLAP_BYTES, open_ if whole else 0)]
+    if data:
+        yield bytes(data)
+
+
+def decoded(digits: str, at: int) -> Iterator[bytes]:
+    """The bytes of base64 digits from a place on, in small pieces, so that what isn't compressed ends early."""
+    stop = len(digits) - ((len(digits) - at) % 4 == 1)
+    for k in range(at, stop, 1 << 16):
+        part = digits[k : min(k + (1 << 16), stop)]
+        yield binascii.a2b_base64(part + "=" * (-len(part) % 4))
+
+
+def unfolded_chunks(digits: str, at: int) -> Iterator[bytes]:
+    """Chunks of what compressed data holds, at each depth of compression; data met before, as in a cycle, ends it."""
+    depth, seen = 0, set()
+
+    def stream() -> Iterator[bytes]:
+        pieces = decoded(digits, at)
+        for _ in range(depth):
+            pieces = unfolded(pieces)
+        return pieces
+
+    while True:
+        depth += 1
+        first = next(stream(), b"")
+        if not first or first in seen:
+            return
+        seen.add(first)
+        yield from chunks(stream())
 
 
 def base64_layers(layer: Layer) -> Iterator[Layer]:
-    """The readable layers, plain or compressed any number of times, that runs of base64 hold."""
+    """The layers, plain at all four alignments or compressed any number of times, that runs of base64 hold.
+
+    Each byte is a character (Latin-1): all patterns are ASCII, so they find the same in it as in UTF-8 or damaged text.
+    """
     for m in BASE64.finditer(layer.text):
-        digits = m[0].rstrip("=")
-        if len(digits) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(digits.translate({45: 43, 95: 47}) + "=" * (-len(digits) % 4), validate=True)
-        except ValueError:
-            continue
-        packed = False
-        while (inner := unfold(data)) is not None:
-            data, packed = inner, True
-        if (text := readable(data)) is None:
-            continue
-        if packed:
-            a, b = layer.origin(m.start(), m.end())
-            yield Layer(text, np.full(len(text), a), np.full(len(text), b))
-        else:  # byte k comes from the digits that hold its bits
-            first = np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])]) if not text.isascii() else np.arange(len(text) + 1)
-            a, b = m.start() + first[:-1] * 4 // 3, m.start() + np.minimum((first[1:] * 4 + 2) // 3, len(digits)) - 1
+        ends_at = m.end() - len(m[0]) + len(m[0].rstrip("="))
+        breaks = [(m.start(), m.start()), *(b.span() for b in BREAK.finditer(layer.text, m.start(), ends_at)), (ends_at, ends_at)]
+        lines = [(b, c) for (_, b), (c, _) in zip(breaks, breaks[1:], strict=False)]
+        digits = "".join(layer.text[b:c] for b, c in lines).translate({45: 43, 95: 47})
+        place = np.concatenate([np.arange(b, c) for b, c in lines])
+        for off in range(4):
+            data = b"".join(decoded(digits, off))
+            if not PLAUSIBLE.search(data):
+                continue
+            k = np.arange(len(data))  # byte k comes from the digits that hold its bits
+            a, b = place[off + k * 4 // 3], place[off + ((k + 1) * 4 + 2) // 3 - 1]
             ends = layer.ends[b]
-            ends[-1] = layer.ends[m.end() - 1]  # with the padding
-            yield Layer(text, layer.starts[a], ends)
+            if off + (len(data) * 4 + 2) // 3 == len(digits):
+                ends[-1] = layer.ends[m.end() - 1]  # with the padding
+            yield Layer(data.decode("latin-1"), layer.starts[a], ends)
+        for p in PACKED.finditer(digits):
+            for data in unfolded_chunks(digits, p.start()):
+                a, b = layer.origin(place[p.start()], m.end())
+                yield Layer(data.decode("latin-1"), np.broadcast_to(np.int64(a), len(data)), np.broadcast_to(np.int64(b), len(data)))
+
+
+def inner_layers(layer: Layer) -> Iterator[Layer]:
+    yield from base64_layers(layer)
+    for edits in (url_edits, text_edits):
+        if made := list(edits(layer.text)):
+            yield layer.replaced(made)
+
+
+def digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def scan(text: str) -> tuple[list[Span], list[Span]]:
@@ -154,21 +226,16 @@ def scan(text: str) -> tuple[list[Span], list[Span]]:
     escaped = "%" in text and URL_ESCAPES.search(text) or ("\\" in text or "&#" in text) and TEXT_ESCAPES.search(text)
     if not escaped and not BASE64.search(text):
         return base, base
-    top = Layer(text)
-    work, seen = [top], {text}
+    work, seen = [inner_layers(Layer(text))], {(digest(text), 0, len(text))}
     while work:
-        layer = work.pop()
-        if layer is not top:
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        key = (digest(layer.text), int(layer.starts[0]), int(layer.ends[-1]))
+        if key not in seen:  # a layer met before, as in a cycle, isn't unwrapped again
+            seen.add(key)
             spans |= {(a, kind, b) for s, kind, e in find_secrets(layer.text) for a, b in [layer.origin(s, e)]}
-        inner = list(base64_layers(layer))
-        for edits in (url_edits, text_edits):
-            if made := list(edits(layer.text)):
-                inner.append(layer.replaced(made))
-        for new in inner:  # a layer met before, as in a cycle, isn't unwrapped again
-            key = new.text if new.starts[0] == 0 and new.ends[-1] == len(text) else (new.text, int(new.starts[0]))
-            if key not in seen:
-                seen.add(key)
-                work.append(new)
+            work.append(inner_layers(layer))
     return base, sorted(spans)
 
 

@@ -63,6 +63,38 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert out.where("doc_id = 6").first()["text"] == docs.where("doc_id = 6").first()["text"]
 
 
+@pytest.mark.parametrize("mark", ["\u00a0", "\u3000", "\u200d", "\ufeff", "\u00ad", "\f", "\x1b[0m", "\0"])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress])
+def test_layers_need_not_be_printable(mark, pack):
+    inner = base64.b64encode(pack(f"clé{mark}: {SECRET} fin".encode())).decode()
+    assert inner not in redacted(f"a {inner} z") and scan(f"a {inner} z")[1]
+
+
+def test_wrapped_and_glued_base64():
+    body = prose(4, 60).encode()
+    for lead in range(0, 60, 7):
+        plain = base64.encodebytes(b"." * lead + SECRET.encode() + b" " + body).decode()
+        assert any(text[a:b].count("\n") <= 2 for text in [f"see\n{plain}"] for a, _, b in scan(text)[1]), lead
+    noise = bytes(range(256)) * 2 + SECRET.encode()
+    packed = base64.encodebytes(gzip.compress(noise)).decode()
+    assert scan(f"x\n{packed}\ny")[1] and scan(packed.replace("\n", "\\n"))[1] and scan(packed.replace("\n", "\r\n  "))[1]
+    for data in (SECRET.encode(), gzip.compress(noise)):
+        for prefix in ("https://host.io/a/", "https://host.io/ab/", "x-", "key_", "a+", "abc/de-"):
+            text = prefix + base64.b64encode(data).decode()
+            assert scan(text)[1] and redacted(text) != text, prefix
+
+
+def test_all_members_and_all_chunks_are_scanned(monkeypatch):
+    two = base64.b64encode(gzip.compress(b"nothing here") + gzip.compress(SECRET.encode())).decode()
+    assert scan(two)[1] == [(0, 0, len(two))]
+    late = base64.b64encode(zlib.compress(b". " * (33 << 20) + SECRET.encode() + b" .")).decode()
+    assert scan(late)[1] == [(0, 0, len(late))]
+    from riskflow.llm import secrets
+
+    monkeypatch.setattr(secrets, "unfolded", lambda pieces: iter(pieces))  # data that unfolds to itself
+    assert scan("a " + base64.b64encode(gzip.compress(b"x" * 99)).decode())[1] == []
+
+
 TURNS = "conv_id long, turn long, role string, text string, block string, perspective string"
 
 
