@@ -82,13 +82,21 @@ def cycle_summary(cycles: DataFrame) -> DataFrame:
 
 
 def components(derived: DataFrame, cycles: DataFrame | None = None, centrality: DataFrame | None = None) -> DataFrame:
-    """The seven risk components of every bank; what isn't given is 0."""
+    """The seven risk components of every bank; what isn't given is 0.
+
+    A bank's network centrality is its share of the largest betweenness; among fewer than four banks there is none.
+    """
     legs = bank_legs(derived)
     base = legs.groupBy("bank").agg(F.avg(F.col("near_threshold").cast("int")).alias("structuring_share"), F.avg(F.col("cross_currency").cast("int")).alias("cross_currency_share"))
     for part in (format_shares(legs).drop("wire_share"), account_hhi(legs), burst(legs).select("bank", "burst_velocity")):
         base = base.join(part, "bank", "left")
     base = base.join(cycle_exposure(legs, cycles), "bank", "left") if cycles is not None else base.withColumn("cycle_exposure", F.lit(0.0))
-    base = base.join(centrality.select(F.col("node").alias("bank"), F.col("betweenness").alias("network_centrality")), "bank", "left") if centrality is not None else base.withColumn("network_centrality", F.lit(0.0))
+    if centrality is None:
+        base = base.withColumn("network_centrality", F.lit(0.0))
+    else:
+        top = centrality.agg(F.max("betweenness").alias("_top")).crossJoin(F.broadcast(legs.agg(F.count_distinct("bank").alias("_banks"))))
+        share = F.when((F.col("_banks") >= 4) & (F.col("_top") > 0), F.col("betweenness") / F.col("_top"))
+        base = base.join(centrality.crossJoin(F.broadcast(top)).select(F.col("node").alias("bank"), share.alias("network_centrality")), "bank", "left")  # one row
     return base.select("bank", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in config.BANK_WEIGHTS))
 
 

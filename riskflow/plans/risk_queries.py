@@ -112,8 +112,26 @@ sp AS (SELECT component, 1.4826 * median(d) AS mad, avg(d) AS dev FROM nr GROUP
 rc AS (SELECT bank, component, value, weight, greatest(least(value / reference, 1), CASE WHEN banks >= 3 AND width > 0 THEN greatest(0, least((value - m) / width, 3.5)) / 3.5 ELSE 0 END) AS severity FROM wd),
 rk AS (SELECT bank, least(sum(100 * weight * severity), 100) AS risk_score FROM rc GROUP BY bank)"""
 TIER = "CASE WHEN risk_score >= 45 THEN 'HIGH' WHEN risk_score >= 25 THEN 'MEDIUM' ELSE 'LOW' END"
-risk = lambda t: b.bank_risk(b.risk_components(written(b.components(b.derive(t)), "components")))
-register("B14_risk_components", transfers, lambda t: b.risk_components(b.components(b.derive(t))).select("bank", "component", F.round("value", 9).alias("value"), F.round("severity", 6).alias("severity"), F.round("points", 6).alias("points")), SQL_TRF, COMPONENTS + " SELECT bank, component, round(value, 9) AS value, round(severity, 6) AS severity, round(100 * weight * severity, 6) AS points FROM rc")
+
+
+def cycles(t):
+    return written(g.conserved_cycles(t, checkpoint=lambda df: written(df, "paths")), "cycles")
+
+
+def bank_centrality(t):
+    return g.betweenness(b.bank_edges(t).select(F.col("from_bank").alias("src"), F.col("to_bank").alias("dst")), checkpoint=lambda df: written(df, "levels"))
+
+
+def risk_parts(t):
+    """The seven components; the SQL of the queries below still has 0 for cycles and centrality, which it can't express."""
+    return b.risk_components(written(b.components(b.derive(t), cycles(t), written(bank_centrality(t), "centrality")), "components"))
+
+
+def risk(t):
+    return b.bank_risk(risk_parts(t))
+
+
+register("B14_risk_components", transfers, lambda t: risk_parts(t).select("bank", "component", F.round("value", 9).alias("value"), F.round("severity", 6).alias("severity"), F.round("points", 6).alias("points")), SQL_TRF, COMPONENTS + " SELECT bank, component, round(value, 9) AS value, round(severity, 6) AS severity, round(100 * weight * severity, 6) AS points FROM rc")
 register("B15_risk_tier", transfers, lambda t: risk(t).select("bank", F.round("risk_score", 6).alias("risk_score"), "tier"), SQL_TRF, COMPONENTS + f" SELECT bank, round(risk_score, 6) AS risk_score, {TIER} AS tier FROM rk")
 register("B16_top_profiles", transfers, lambda t: b.top_profiles(risk(t), 5).select("bank"), SQL_TRF, COMPONENTS + " SELECT bank FROM rk ORDER BY risk_score DESC, bank LIMIT 5")
 register("B18_label_evaluation", transfers, lambda t: b.label_evaluation(t, risk(t)), SQL_TRF, COMPONENTS + f", h AS (SELECT bank FROM rk WHERE risk_score >= 45), y AS (SELECT DISTINCT bank FROM l WHERE labelled) SELECT 'caught' AS what, count(*) AS n FROM (SELECT * FROM h INTERSECT SELECT * FROM y) UNION ALL SELECT 'missed', count(*) FROM (SELECT * FROM y EXCEPT SELECT * FROM h) UNION ALL SELECT 'unlabelled', count(*) FROM (SELECT * FROM h EXCEPT SELECT * FROM y)")
@@ -133,12 +151,6 @@ register("B1_statement_ledger", transactions, lambda t: ledger(t).select("row_id
 register("B2_dedup_mirrored", transactions, lambda t: b.dedup_mirrored(ledger(t)).select("row_id"))
 register("B3_coverage", transactions, lambda t: b.coverage(ledger(t)))
 register("B4_corpus_fingerprint", transactions, lambda t: b.corpus_fingerprint(t.groupBy("statement_id").agg(F.count("*").alias("n")).withColumns({"status": F.lit("analyzed"), "bank": F.lit("SBIN")})))
-
-
-def cycles(t):
-    return written(g.conserved_cycles(t, checkpoint=lambda df: written(df, "paths")), "cycles")
-
-
 register("G6_conserved_cycles", transfers, lambda t: cycles(t).select("ring", "hops", F.round("conservation", 6).alias("conservation"), F.round("risk", 6).alias("risk")))
 register("G7_bank_cycle_index", transfers, lambda t: b.bank_cycle_index(t, cycles(t)))
 register("G7_cycle_summary", transfers, lambda t: b.cycle_summary(cycles(t)))
@@ -146,4 +158,4 @@ register("B13_cycle_exposure", transfers, lambda t: b.cycle_exposure(b.bank_legs
 register("G5_pagerank", transfers, lambda t: g.pagerank(b.bank_edges(t).select(F.col("from_bank").alias("src"), F.col("to_bank").alias("dst"), F.col("n").alias("weight")), rounds=10, checkpoint=lambda df: written(df, "rank")))
 register("G5_degrees", transfers, lambda t: g.degrees(b.bank_edges(t).select(F.col("from_bank").alias("src"), F.col("to_bank").alias("dst"), "amount")).select("node", "out_degree", "in_degree", F.round("out_flow", 2).alias("out_flow"), F.round("in_flow", 2).alias("in_flow")), SQL_TRF,
          ", o AS (SELECT from_bank AS node, count(DISTINCT to_bank) AS out_degree, sum(amount) / 100.0 AS out_flow FROM trf GROUP BY 1), i AS (SELECT to_bank AS node, count(DISTINCT from_bank) AS in_degree, sum(amount) / 100.0 AS in_flow FROM trf GROUP BY 1) SELECT node, coalesce(out_degree, 0) AS out_degree, coalesce(in_degree, 0) AS in_degree, round(coalesce(out_flow, 0), 2) AS out_flow, round(coalesce(in_flow, 0), 2) AS in_flow FROM o FULL JOIN i USING (node)")
-register("G8_bank_centrality", bulk_transfers, lambda t: g.betweenness(b.bank_edges(t).select(F.col("from_bank").alias("src"), F.col("to_bank").alias("dst")), checkpoint=lambda df: written(df, "levels")))
+register("G8_bank_centrality", bulk_transfers, bank_centrality)

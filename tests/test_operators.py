@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from riskflow import config
 from riskflow.functions import narration as n
+from riskflow.plans import risk_queries
 from riskflow.sources.shared import written
 from riskflow.operators import cases, features, graph, models, patterns, quality, scoring, views
 
@@ -218,3 +219,39 @@ def test_same_with_other_partitions(spark):
     rows = [("A", "B", 0, 100), ("B", "C", 1, 105), ("C", "A", 2, 100), ("A", "C", 3, 99)]
     t = transfers(spark, rows)
     assert sorted(map(tuple, graph.conserved_cycles(t, checkpoint=keep).select("ring", "risk").collect())) == sorted(map(tuple, graph.conserved_cycles(t.repartition(5), checkpoint=keep).select("ring", "risk").collect()))
+
+
+def brute_betweenness(edges):
+    """Over all pairs of nodes, the share of shortest paths through each, by listing the paths."""
+    nodes = sorted({x for e in edges for x in e})
+    total = dict.fromkeys(nodes, 0.0)
+    for s in nodes:
+        level, done = [[s]], {s}
+        while level:
+            longer = [[*p, b] for p in level for a, b in edges if a == p[-1] and b not in done]
+            for t in {p[-1] for p in longer}:
+                paths = [p for p in longer if p[-1] == t]
+                for p in paths:
+                    for x in p[1:-1]:
+                        total[x] += 1 / len(paths)
+            done |= {p[-1] for p in longer}
+            level = longer
+    return total
+
+
+def test_bank_risk_has_cycles_and_centrality(spark):
+    rows = [("A", "B", 0, 100), ("B", "C", 1, 105), ("C", "A", 2, 100), ("C", "D", 3, 90), ("D", "E", 4, 7)]
+    t = transfers(spark, rows).select("*", F.col("from_account").alias("from_bank"), F.col("to_account").alias("to_bank"), F.lit("INR").alias("payment_currency"), F.lit("INR").alias("receiving_currency"), F.lit("wire").alias("format"), F.lit(False).alias("labelled"))
+    parts = {(r["bank"], r["component"]): r for r in risk_queries.risk_parts(t).collect()}
+    between = brute_betweenness({(a, b) for a, b, _, _ in rows})
+    for bank in "ABCDE":
+        legs = [k for k, (a, b, _, _) in enumerate(rows) for x in (a, b) if x == bank]
+        assert parts[bank, "cycle_exposure"]["value"] == pytest.approx(sum(k < 3 for k in legs) / len(legs))
+        assert parts[bank, "network_centrality"]["value"] == pytest.approx(between[bank] / max(between.values()))
+    assert parts["A", "cycle_exposure"]["points"] == pytest.approx(24) and parts["C", "network_centrality"]["points"] == pytest.approx(16)
+    scores = {r["bank"]: (r["risk_score"], r["tier"]) for r in risk_queries.risk(t).collect()}
+    for bank, (score, tier) in scores.items():
+        assert score == pytest.approx(min(100, sum(r["points"] for (who, _), r in parts.items() if who == bank)))
+    assert scores["C"][1] == "HIGH" and scores["C"][0] > 60
+    few = {(r["bank"], r["component"]): r["value"] for r in risk_queries.risk_parts(t.where("row_idx < 2")).collect()}
+    assert few["B", "network_centrality"] == 0  # three banks
