@@ -10,6 +10,7 @@ from ..operators import banks as b
 from ..operators import cases as c
 from ..operators import features as f
 from ..operators import graph as g
+from ..operators import models as m
 from ..operators import quality as q
 from ..operators import scoring as s
 from ..sources.adapters import SQL_BULK, SQL_CASE, SQL_TRF, SQL_TXN, bulk_transfers, mirrored_case, transactions, transfers
@@ -47,7 +48,7 @@ register("F19_max_cycle_risk", transactions, lambda t: g.max_cycle_risk(t, g.sta
 def scored(t):
     """Features, rule score, anomaly, fused score and tier of every account."""
     features = written(f.all_features(t).join(g.max_cycle_risk(t, g.star_cycles(t)), "statement_id", "left"), "features")
-    anomaly = s.anomaly_score(s.mad_flags(f.feature_long(features)))
+    anomaly = s.anomaly_score(s.mad_flags(f.feature_long(features)), m.isolation_forest(features, "statement_id", list(s.NAMES)))
     both = s.evaluate_rules(features).join(anomaly, "statement_id").join(q.extraction_tiers(t), "statement_id")
     fused = both.withColumn("score", s.fuse(F.col("rule_score"), F.col("anomaly_score")))
     return fused.select("statement_id", "rule_score", "fired", "anomaly_score", "score", s.decide_tier(F.col("score"), F.col("fired"), F.col("anomaly_score"), F.col("tier")).alias("tier"))

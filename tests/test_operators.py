@@ -255,3 +255,18 @@ def test_bank_risk_has_cycles_and_centrality(spark):
     assert scores["C"][1] == "HIGH" and scores["C"][0] > 60
     few = {(r["bank"], r["component"]): r["value"] for r in risk_queries.risk_parts(t.where("row_idx < 2")).collect()}
     assert few["B", "network_centrality"] == 0  # three banks
+
+
+def test_scores_take_the_isolation_forest(spark):
+    r = random.Random(6)
+    usual = [(f"2024-01-{1 + d:02d} {9 + k % 8:02d}:00", *((r.randint(90, 110), None) if k % 2 else (None, r.randint(90, 110))), f"p{k % 5}", 1000) for k in range(6) for d in (2 * k,)]
+    odd = [(f"2024-03-{1 + k // 20:02d} {k % 20:02d}:{k % 60:02d}", *((50_000 * (1 + k % 7), None) if k % 2 else (None, 49_000 * (1 + k % 5))), f"q{k}", 7 * k) for k in range(120)]
+    t = txns(spark, odd).withColumn("statement_id", F.lit(99).cast("long"))
+    t = t.unionByName(txns(spark, usual).withColumn("statement_id", F.explode(F.expr("sequence(1L, 20L)"))))
+    t = keep(t.withColumn("row_id", F.concat_ws("-", "statement_id", "row_index")))
+    table = risk_queries.features_of(t)
+    flags = {x["statement_id"]: x["n_flags"] for x in scoring.mad_flags(features.feature_long(table)).collect()}
+    apart = {x["statement_id"]: x["isolation"] for x in models.isolation_forest(table, "statement_id", list(scoring.NAMES)).collect()}
+    got = {x["statement_id"]: x["anomaly_score"] for x in risk_queries.scored(t).select("statement_id", "anomaly_score").collect()}
+    assert got == pytest.approx({k: (n / len(scoring.NAMES) + apart[k]) / 2 for k, n in flags.items()})
+    assert apart[99] == 1 and got[99] >= 0.5 and len(got) == 21
