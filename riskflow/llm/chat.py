@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 BLOCK_TURNS = 64
+RANGE_CHARS = 256
 SYSTEM = ("system",)
 NOBODY = "unknown"
 
@@ -50,7 +51,8 @@ def rotate_perspectives(turns: DataFrame, system: tuple[str, ...] = SYSTEM, bloc
         .withColumn("_chars", F.length("_head") + F.length("_body"))
     )
     order = [F.col("conv_id").asc_nulls_first(), F.col("perspective"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
-    ranged = materialise(seen.repartitionByRange(*order[:3], F.xxhash64("text")).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "turns")
+    # Ranges must follow the order of the rows. The driver samples what ranges go by, so of texts only the head, which sorts alike.
+    ranged = materialise(seen.repartitionByRange(*order[:4], F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "turns")
     part = F.shiftright(F.col("_at"), 33)
     keys = ["conv_id", "perspective"]
     local = Window.partitionBy("_part", *keys).orderBy("turn", "role", "text", "_at").rowsBetween(Window.unboundedPreceding, -1)

@@ -122,6 +122,25 @@ def test_chat_against_sql(spark):
     assert chat.rotate_perspectives(turns.limit(0)).count() == 0
 
 
+def test_equal_turns_keep_their_order_over_ranges(spark):
+    rows = [(1, turn, "abc"[k % 3], f"{'same ' * (60 * (k % 2))}{k * 7919 % 331:03d}") for turn in (None, 5) for k in range(300)] * 2
+    turns = spark.createDataFrame([(*r, "x", "y") for r in rows], TURNS)
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    want = con.execute(chat.ORACLE).df()
+    names = sorted(want.columns)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for parts in (1, 23):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = chat.rotate_perspectives(turns).toPandas()
+            assert Counter(got[names].itertuples(index=False, name=None)) == Counter(want[names].itertuples(index=False, name=None)), parts
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def brute_components(rows):
     def grams(t):
         w = (t or "").encode().lower().split()
