@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +19,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in local tests, a
-    temporary folder takes its place for the life of the session.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and the master is local, as in
+    tests, a temporary folder takes its place for the life of the session.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -73,6 +76,17 @@ def few(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch
             yield batch.slice(lo, rows)
 
 
+def summed(parts: DataFrame) -> dict[int, np.ndarray]:
+    """Arrays summed by segment, in two steps so that no task gets one row of every task: a row for each segment comes back."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(v, "<f8") for v in table["v"].to_pylist())
+        return pa.table({"segment": table["segment"][:1], "v": pa.array([total.tobytes()], pa.binary())})
+
+    both = parts.groupBy("segment", F.pmod("task", F.lit(64))).applyInArrow(add, "segment int, v binary").groupBy("segment").applyInArrow(add, "segment int, v binary")
+    return {r["segment"]: np.frombuffer(r["v"], "<f8") for r in both.collect()}
+
+
 _caches: dict[str, dict] = {}
 
 

@@ -15,10 +15,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, keep_only, map_arrow, materialise, text_columns, texts_of
+from .common import column, few, keep_only, map_arrow, materialise, summed, text_columns, texts_of
+from .vectors import packed, unpacked
 
 #: Labelled texts that the machine is fitted to, at most; those whose ids have the smallest hashes.
 TRAINING_TEXTS = 20_000
@@ -50,8 +52,10 @@ SPELLED = re.compile(r"(?<!\S)[^\W\d_](?:[ \t]+[^\W\d_](?!\S)){2,}")
 #: Runs kept by one worker in each of two generations; it bounds memory only.
 GENERATION = 300_000
 TOGETHER = 2_000_000
-#: Words compared with the landmarks at once.
-TOGETHER_WORDS = 1000
+#: Words compared with the landmarks at once, and texts summed up at once.
+TOGETHER_WORDS, TOGETHER_TEXTS = 1000, 1000
+#: Parts in which the tasks' sums are added up.
+SEGMENTS = 16
 
 
 def letters(run: str) -> str:
@@ -85,9 +89,15 @@ def triples(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]
                 yield at, (a[at] * CODES + b[at]) * CODES + c[at], DECAY ** (last - 2)
 
 
-def own_kernel(length: np.ndarray) -> np.ndarray:
-    """The kernel of a word of so many letters with itself, its triples taken as distinct."""
-    return sum((last - 1) * DECAY ** (2 * (last - 2)) * np.maximum(0, length - last) for last in range(2, SPAN))
+def own_kernel(words: list[str]) -> np.ndarray:
+    """The kernel of each word with itself: the squares of its triples' summed weights."""
+    codes, number = encode(words)
+    found = [(number[at] * CODES**3 + keys, np.full(len(at), w)) for at, keys, w in triples(codes)]
+    if not found:
+        return np.zeros(len(words))
+    keys, w = (np.concatenate(x) for x in zip(*found, strict=True))
+    distinct, place = np.unique(keys, return_inverse=True)
+    return np.bincount(distinct // CODES**3, np.bincount(place, w, len(distinct)) ** 2, len(words))
 
 
 class WordKernel:
@@ -110,7 +120,7 @@ class WordKernel:
         self.weight = np.array([h[2] for h in held])
         self.many = np.bincount([h[0] for h in held], minlength=len(rows) + 1) if held else np.zeros(1, np.int64)
         self.first = np.cumsum(self.many) - self.many
-        self.own = own_kernel(np.array([len(w) for w in landmarks]))
+        self.own = own_kernel(landmarks)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -118,6 +128,8 @@ class WordKernel:
         """Normalised kernels, a row for each word."""
         m = len(self.landmarks)
         out = np.zeros((len(words), m))
+        if not m:
+            return out
         codes, number = encode(words)
         found = []
         for at, keys, w in triples(codes):
@@ -128,9 +140,8 @@ class WordKernel:
             who, row, w = (np.concatenate(x) for x in zip(*found, strict=True))
             many = self.many[row]
             place = np.repeat(self.first[row] - np.cumsum(many) + many, many) + np.arange(many.sum())
-            out = np.bincount(np.repeat(who * m, many) + self.at[place], np.repeat(w, many) * self.weight[place], len(words) * m).reshape(-1, m)
-        size = own_kernel(np.array([len(w) for w in words]))
-        return out / np.sqrt(np.maximum(size, 1e-9)[:, None] * self.own)
+            out = np.bincount(np.repeat(who * m, many) + self.at[place], np.repeat(w, many) * self.weight[place], len(words) * m).reshape(len(words), m)
+        return out / np.sqrt(np.maximum(own_kernel(words)[:, None] * self.own, 1e-9))
 
     def matches(self, words: list[str]) -> np.ndarray:
         """How far each word counts as each landmark, 0 to 1."""
@@ -167,6 +178,8 @@ class WordKernel:
     def pooled(self, texts: list[str]) -> np.ndarray:
         """For each text and landmark whether a word matches, and the logarithms of the matches and of those in a hundred words."""
         out = np.zeros((len(texts), POOLS * len(self.landmarks)), np.float32)
+        if not self.landmarks:
+            return out
         lo = 0
         while lo < len(texts):
             hi, chars = lo, 0
@@ -215,20 +228,39 @@ def features(pooled: np.ndarray, whiten: np.ndarray) -> np.ndarray:
     return np.concatenate([pooled[:, k * n : (k + 1) * n] @ whiten for k in range(POOLS)], axis=1)
 
 
-def fit_machine(x: np.ndarray, y: np.ndarray, strength: float = STRENGTH) -> tuple[np.ndarray, float]:
-    """Weights and bias of the linear machine with squared hinge loss, by Newton's method; y is -1 or 1."""
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    w = np.zeros(x.shape[1])
-    keep = np.eye(len(w))
+def newton_sums(sample: DataFrame, width: int, w: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Over the texts within the margin of ``w``: sums of products of features, of features and label, and how many texts crossed it since ``before``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squares, right, crossed, some = np.zeros((width, width)), np.zeros(width), 0, False
+        for batch in few(batches, TOGETHER_TEXTS):
+            x = np.frombuffer(b"".join(column(batch, "x").to_pylist()), "<f4").reshape(-1, width).astype(np.float64)
+            y = 2.0 * column(batch, "toxic").to_numpy() - 1
+            active = y * (x @ w) < 1
+            crossed += len(x) if before is None else int((active != (y * (x @ before) < 1)).sum())
+            squares += x[active].T @ x[active]
+            right += x[active].T @ y[active]
+            some = True
+        if some:
+            parts = [v.tobytes() for v in np.array_split(np.concatenate([squares.ravel(), right, [float(crossed)]]), SEGMENTS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array([TaskContext.get().partitionId()] * SEGMENTS, pa.int32()), pa.array(parts, pa.binary())], ["segment", "task", "v"])
+
+    found = summed(sample.mapInArrow(run, "segment int, task int, v binary"))
+    total = np.concatenate([found[k] for k in range(SEGMENTS)])
+    return total[: width * width].reshape(width, width), total[width * width : -1], int(total[-1])
+
+
+def fit_machine(sample: DataFrame, width: int, strength: float = STRENGTH) -> np.ndarray:
+    """Weights of the linear machine with squared hinge loss, the bias last, by Newton's method over sums that the tasks make."""
+    w, before = np.zeros(width), None
+    keep = np.eye(width)
     keep[-1, -1] = 1e-6
-    before = None
     for _ in range(50):
-        active = y * (x @ w) < 1
-        if before is not None and (active == before).all():
+        squares, right, crossed = newton_sums(sample, width, w, before)
+        if not crossed:
             break
-        before, xa = active, x[active]
-        w = np.linalg.solve(keep + 2 * strength * xa.T @ xa, 2 * strength * xa.T @ y[active])
-    return w[:-1], float(w[-1])
+        w, before = np.linalg.solve(keep + 2 * strength * squares, 2 * strength * right), w
+    return w
 
 
 def fit_curve(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -268,12 +300,15 @@ def word_ties(sample: DataFrame) -> DataFrame:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, texts: int = TRAINING_TEXTS, landmarks: int = LANDMARKS) -> Model:
     """Fit the machine to at most ``texts`` labelled texts whose fold isn't held out.
 
-    Rows of ``labels`` with a null doc_id or label, or one other than 0 and 1, aren't used. With one label alone, or
-    none, the model gives every text that label's share.
+    Rows of ``labels`` with a null doc_id or label, or one other than 0 and 1, aren't used; an id that is labelled both
+    ways counts as toxic. Null and empty texts are texts without words, and very long ones are read whole. Of rows of
+    ``docs`` that share a doc_id one is used, that of the smallest text. With one label alone, no label, no document or
+    no word that enough texts share, the model gives every text that label's share (0 without labels).
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != HELD_OUT))
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(texts)
-    sample = materialise(text_columns(docs).join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "labelled")  # at most ``texts`` rows
+    labelled = text_columns(docs).join(F.broadcast(chosen), "doc_id")  # at most ``texts`` rows
+    sample = materialise(labelled.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "labelled")
     size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     plus, minus = size.get(1, 0), size.get(0, 0)
     share = (plus / (plus + minus)) if plus + minus else 0.0
@@ -285,41 +320,60 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, texts: int = TRAINING_TEXTS
     words = unlike([r["word"] for r in word_ties(sample).where(F.col("plus") + F.col("minus") >= LEAST_TEXTS).orderBy(F.desc(tie), "word").limit(CANDIDATES).collect()], landmarks)
     if not words:
         return none
-    pooled, y = pooled_sample(sample, words)
     among = WordKernel(words).matches(words)
     values, vectors = np.linalg.eigh((among + among.T) / 2 + 1e-3 * np.eye(len(words)))
     whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
-    x = features(pooled, whiten).astype(np.float64)
-    weights, bias = fit_machine(x, y)
-    slope, offset = fit_curve(x @ weights + bias, y)
-    return Model(words, whiten, weights, bias, slope, offset)
+    points = materialise(whitened(sample, words, whiten), "features")
+    weights = fit_machine(points, POOLS * len(words) + 1)
+    slope, offset = fit_curve(*margins(points, weights))
+    return Model(words, whiten, weights[:-1], float(weights[-1]), slope, offset)
 
 
 def unlike(words: list[str], n: int) -> list[str]:
     """The first n words of which none is too like an earlier one."""
-    alike = WordKernel(words).similarity(words)
-    chosen: list[int] = []
-    for k in range(len(words)):
-        if len(chosen) < n and not (alike[k, chosen] >= ALIKE).any():
-            chosen.append(k)
-    return [words[k] for k in chosen]
+    chosen: list[str] = []
+    for lo in range(0, len(words), n):
+        if len(chosen) >= n:
+            break
+        new = words[lo : lo + n]
+        old, among = WordKernel(chosen).similarity(new), WordKernel(new).similarity(new)
+        taken: list[int] = []
+        for k in range(len(new)):
+            if len(chosen) + len(taken) < n and not (old[k] >= ALIKE).any() and not (among[k, taken] >= ALIKE).any():
+                taken.append(k)
+        chosen += [new[k] for k in taken]
+    return chosen
 
 
-def pooled_sample(sample: DataFrame, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels (-1 or 1) of the sample: a bounded matrix."""
+def whitened(sample: DataFrame, words: list[str], whiten: np.ndarray) -> DataFrame:
+    """toxic and x, the packed features of each text with a one for the bias."""
 
     def make():
         keep_only("toxicity")
         kernel = WordKernel(words)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x = kernel.pooled(texts_of(batch)).astype("<f4")
-            return pa.RecordBatch.from_arrays([column(batch, "toxic"), pa.array([r.tobytes() for r in x], pa.binary())], ["toxic", "x"])
+            x = features(kernel.pooled(texts_of(batch)), whiten)
+            x = np.concatenate([x, np.ones((len(x), 1))], axis=1).astype("<f4")
+            return pa.RecordBatch.from_arrays([column(batch, "toxic"), packed(x)], ["toxic", "x"])
+
+        return each
+
+    return map_arrow(sample, make, "toxic int, x binary")
+
+
+def margins(points: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Margin and label (-1 or 1) of each text of the bounded sample: two numbers a text."""
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            margin = unpacked(column(batch, "x"), "<f4", len(weights)) @ weights
+            return pa.RecordBatch.from_arrays([column(batch, "toxic"), pa.array(margin)], ["toxic", "margin"])
 
         return each
 
-    rows = map_arrow(sample, make, "toxic int, x binary").collect()
-    return np.frombuffer(b"".join(bytes(r["x"]) for r in rows), "<f4").reshape(len(rows), -1), np.array([2.0 * r["toxic"] - 1 for r in rows])
+    found = map_arrow(points, make, "toxic int, margin double").toPandas()
+    return found["margin"].to_numpy(), 2.0 * found["toxic"].to_numpy() - 1
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
@@ -345,12 +399,16 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Fit to the labelled texts and score all."""
+    """Fit to the labelled texts and score all; the cases are those of ``fit_toxicity`` and ``score_toxicity``."""
     return score_toxicity(docs, fit_toxicity(docs, labels))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows, all columns as they are, whose texts score under REJECT."""
+    """The rows, all columns as they are, whose texts score under REJECT.
+
+    Null and empty texts score as texts without matches, whole long texts are read, repeated rows go or stay together,
+    rows with a null doc_id are scored like others, and an empty table gives an empty one. Any further columns stay.
+    """
     model, names = fit_toxicity(docs, labels), docs.columns
 
     def make():

@@ -238,6 +238,22 @@ def test_toxicity_tolerates_inserted_characters(spark):
     assert kept.columns == table(spark).columns and kept.where("doc_id % 4 = 1").count() == 100
 
 
+def test_toxicity_without_landmarks_gives_the_share(spark):
+    rows = [(0, "quick brown fox"), (7, None), (5, ""), (8, "stupid words here"), (None, "no id"), (8, "stupid words here")]
+    schema = "doc_id long, quality int, toxic int"
+    cases = [([], 0.0), ([(0, 1, 1), (8, 1, 1)], 1.0), ([(0, 1, 0), (7, 1, 0)], 0.0), ([(0, 1, None), (None, 1, 1), (8, 1, 5)], 0.0), ([(0, 1, 1), (7, 1, 0)], 0.5), ([(77, 1, 1), (78, 1, 0)], 0.0)]
+    for labels, share in cases:
+        lab = spark.createDataFrame(labels, schema)
+        assert [r["score"] for r in toxicity.toxicity(table(spark, rows), lab).collect()] == [share] * len(rows), labels
+        assert toxicity.drop_toxic(table(spark, rows), lab).count() == (0 if share >= toxicity.REJECT else len(rows))
+
+
+def test_own_kernel_is_one():
+    words = ["idiot", "banana", "hahaha", "aaaaaaa", "éàü", "abc"]
+    got = toxicity.WordKernel(words).similarity(words)
+    assert abs(got.diagonal() - 1).max() < 1e-9 and (got < 1 + 1e-9).all()
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
