@@ -76,6 +76,24 @@ def few(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch
             yield batch.slice(lo, rows)
 
 
+def runs_of(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Rows sorted by an integer column, as its value and the pieces of batches that have it: a task sees one value's rows at a time."""
+    held: list[pa.RecordBatch] = []
+    value = None
+    for batch in batches:
+        keys = column(batch, name).to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if lo < hi:
+                if held and keys[lo] != value:
+                    yield value, held
+                    held = []
+                value = int(keys[lo])
+                held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield value, held
+
+
 def summed(parts: DataFrame) -> dict[int, np.ndarray]:
     """Arrays summed by segment, in two steps so that no task gets one row of every task: a row for each segment comes back."""
 
