@@ -34,7 +34,7 @@ PERCENT = 80
 #: Bits of an n-gram's key, by which it is counted. Keys that clash make counts too high, which costs time, not links.
 KEY_BITS = 48
 #: N-grams of a block of classes, and of a shard of keys, on average.
-BLOCK_GRAMS = 2_000_000
+BLOCK_GRAMS = 1_000_000
 #: A list of classes that may be longer than this is cut by hash.
 HOT_LIST = 1000
 #: Rounds of offers to centres, at most; what they leave apart is paired in full.
@@ -126,6 +126,12 @@ def gram_sets(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndar
     return out[new], distinct[at + grams] - distinct[at]
 
 
+def gram_sets_of_many(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """``gram_sets``, few texts at a time."""
+    parts = [gram_sets(texts[lo : lo + TOGETHER], words) for lo in range(0, len(texts), TOGETHER)]
+    return (np.concatenate([g for g, _ in parts]), np.concatenate([n for _, n in parts])) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
 def sets_of_texts(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     grams, size = gram_sets(texts, words)
     return np.split(grams, np.cumsum(size)[:-1]) if len(size) else []
@@ -210,7 +216,7 @@ def gram_counts(rows: DataFrame, shards: int, words: int) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only("words")
         for block, held in runs_of(first_of_class(batches), "block"):
-            keys, many = np.unique(keys_of(gram_sets(distinct_texts(held)[1], words)[0]), return_counts=True)
+            keys, many = np.unique(keys_of(gram_sets_of_many(distinct_texts(held)[1], words)[0]), return_counts=True)
             cut = np.concatenate([[0], np.searchsorted(keys, shard_edges(shards)), [len(keys)]])
             full = np.flatnonzero(np.diff(cut))
             blobs = [(planes(np.diff(keys[cut[k] : cut[k + 1]], prepend=np.uint64(0))), planes(many[cut[k] : cut[k + 1]].astype("<u4"))) for k in full]
@@ -240,7 +246,7 @@ def prefixes(rows: DataFrame, counts: DataFrame, words: int) -> DataFrame:
             names, texts = distinct_texts(held)
             counted = sorted((s, c) for batch in held for s, c in zip(column(batch, "shard").to_pylist(), column(batch, "counts").to_pylist(), strict=True) if s is not None)
             count = np.concatenate([unplaned(c, "<u4") for _, c in counted])
-            grams, size = gram_sets(texts, words)
+            grams, size = gram_sets_of_many(texts, words)
             count = count[np.unique(keys_of(grams), return_inverse=True)[1]]
             out: list[tuple[np.ndarray, ...]] = []
             for name, n, end in zip(names, size.tolist(), np.cumsum(size).tolist(), strict=True):
