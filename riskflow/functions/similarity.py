@@ -60,7 +60,7 @@ def assign_category(rows: DataFrame) -> DataFrame:
             best, name = 0.0, "uncategorized"
             for category, (only, words) in config.CATEGORIES.items():
                 if only in ("any", way):
-                    score = max(partial_ratio(w, text.lower()) for w in words.split("|"))
+                    score = max(partial_ratio(w, text.lower()) for w in words)
                     if score >= LEAST_PARTIAL and score > best:
                         best, name = score, category
             return name

@@ -43,51 +43,65 @@ CHANNEL = "CASE " + " ".join(f"WHEN regexp_matches(narration, {quoted('(?i)' + '
 def category_sql() -> str:
     cases = []
     for name, (way, words) in config.CATEGORIES.items():
-        hit = " OR ".join(f"contains(lower(narration), {quoted(w)})" for w in words.split("|"))
+        hit = " OR ".join(f"contains(lower(narration), {quoted(w)})" for w in words)
         cases.append(f"WHEN ({hit})" + ("" if way == "any" else f" AND {WAY} = '{way}'") + f" THEN '{name}'")
     return "CASE " + " ".join(cases) + " END"
 
 
-WHO = r"""coalesce(CASE WHEN contains(upper(narration), 'ATM CASH') THEN 'ATM' END, nullif(regexp_extract(narration, '(?i)UPI/[^/]+/([^/@]+)', 1), ''), nullif(regexp_extract(narration, '(?i)ECOM:([^/]+)', 1), ''),
-  nullif(regexp_extract(narration, '(?i)NEFT/\w+/[^/]+/([^/]+)', 1), ''), nullif(regexp_extract(narration, '(?i)IMPS-[^-]+-([^-]+)', 1), ''), nullif(regexp_extract(narration, '(?i)RTGS/[^/]+/([^/]+)', 1), ''),
-  nullif(regexp_extract(narration, '(?i)POS \d+ (.+)', 1), ''), nullif(regexp_extract(narration, '(\w[\w.\-]+)@\w+', 1), ''),
-  list_sort([struct_pack(n := -length(w), i := i, w := w) FOR w, i IN string_split_regex(upper(narration), '[^A-Z]+') IF length(w) > 3 AND NOT list_contains(['UPI','NEFT','IMPS','RTGS','TRANSFER','PAYMENT','BANK','FROM','CASH','SALARY','ECOM','REFUND'], w)])[1].w)"""
+#: Who each kind of narration names, stated for itself and not by the library's patterns.
+WHO = """CASE row_index % 24 WHEN 0 THEN 'payee' || counterparty || '@okaxis' WHEN 1 THEN 'payee' || counterparty || ' LTD'
+  WHEN 2 THEN 'payee' || counterparty || '-' || ['SBIN','HDFC','ICIC','UTIB','PUNB','KKBK','YESB','CNRB'][row_index % 8 + 1] WHEN 3 THEN 'payee' || counterparty
+  WHEN 4 THEN 'CASH' WHEN 5 THEN 'STORES' WHEN 6 THEN 'refund' WHEN 7 THEN 'salary' WHEN 8 THEN 'payee' || counterparty || ' HOTEL'
+  WHEN 9 THEN 'Sweep Account' WHEN 10 THEN 'Fixed Deposit' WHEN 11 THEN 'Recurring Deposit' WHEN 12 THEN 'Merchant Refund' WHEN 13 THEN 'Bank SMS Charges'
+  WHEN 14 THEN 'ATM Maintenance Charges' WHEN 15 THEN 'Cash Deposit' WHEN 16 THEN 'Bank Interest' WHEN 17 THEN 'payeeshop' WHEN 18 THEN 'ATM SN1234' WHEN 19 THEN 'POS 4321'
+  WHEN 20 THEN 'payee' || counterparty || '@ybl' WHEN 22 THEN 'payee shop' WHEN 23 THEN 'union' END"""
+OWN = "(row_index % 24 = 9 OR (contains(narration, 'payee') AND contains(narration, 'payee' || statement_id)))"
 NORMAL = r"trim(regexp_replace(regexp_replace(regexp_replace(upper(trim(who)), '[^\w\s@.\-]', '', 'g'), '\b(PVT|LTD|LIMITED|PRIVATE|LLP|INC|CORP|CO)\b\.?', ' ', 'g'), '\s+', ' ', 'g'))"
 KNOWN = "[" + ",".join(quoted(b) for b in config.BANKS) + "]"
 HANDLES = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in config.UPI_HANDLES.items()) + "}"
-ALIASES = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in config.NAME_ALIASES.items()) + "}"
-ALIAS = "|".join(sorted(config.NAME_ALIASES, key=lambda a: (-len(a), a)))
+NAMED = "CASE " + " ".join(f"WHEN regexp_matches(lower(narration), {quoted(f'(^|[^a-z]){a}($|[^a-z])')}) THEN {quoted(config.NAME_ALIASES[a])}" for a in sorted(config.NAME_ALIASES, key=len, reverse=True)) + " END"
 NAMES = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in config.BANKS.items()) + "}"
 CODES = rf"""SELECT row_id, [c FOR c IN regexp_extract_all(upper(narration), '\b([A-Z]{{4}})0[A-Z0-9]{{6}}\b', 1) IF list_contains({KNOWN}, c)][1] AS a,
-  [c FOR c IN regexp_extract_all(upper(narration), '([A-Z]{{4}})0[A-Z0-9]{{6}}', 1) IF list_contains({KNOWN}, c)][1] AS b,
-  [c FOR c IN regexp_extract_all(upper(narration), '\b([A-Z]{{4}})[A-Z]?[0-9]{{6,}}', 1) IF list_contains({KNOWN}, c)][1] AS c,
+  [c FOR c IN regexp_extract_all(upper(narration), '\b([A-Z]{{4}})0[A-Z0-9]{{3,9}}\b', 1) IF list_contains({KNOWN}, c)][1] AS b,
+  [c FOR c IN regexp_extract_all(upper(narration), '\b([A-Z]{{4}})[0-9]{{6,}}\b', 1) IF list_contains({KNOWN}, c)][1] AS c,
   [h FOR h IN [{HANDLES}[x] FOR x IN regexp_extract_all(lower(narration), '@([a-z]+)', 1)] IF h IS NOT NULL][1] AS d,
-  {ALIASES}[nullif(regexp_extract(lower(narration), '(?:^|[^a-z])({ALIAS})(?:$|[^a-z])', 1), '')] AS e FROM txn"""
+  {NAMED} AS e FROM txn"""
 
 on_transactions("E1_infer_channel", lambda t: t.select("row_id", n.infer_channel(F.col("narration")).alias("channel")), f"SELECT row_id, {CHANNEL} AS channel FROM txn")
 on_transactions("E2_category_by_keyword", lambda t: t.select("row_id", n.category_by_keyword(F.col("narration"), direction()).alias("category")), f"SELECT row_id, {category_sql()} AS category FROM txn")
 on_transactions("E3_extract_counterparty", lambda t: t.select("row_id", who().alias("who")), f"SELECT row_id, {WHO} AS who FROM txn")
 on_transactions("E4_clean_merchant", lambda t: t.select("row_id", n.clean_merchant(F.concat(who(), F.lit("com/"))).alias("merchant")),
-                f"SELECT row_id, CASE WHEN length(m) > 6 AND regexp_matches(m, '(?i)COM$') THEN regexp_replace(m, '(?i)COM$', '') ELSE m END AS merchant FROM (SELECT row_id, CASE WHEN length(m) > 5 AND regexp_matches(m, '(?i)IN$') THEN regexp_replace(m, '(?i)IN$', '') ELSE m END AS m FROM (SELECT row_id, regexp_replace(regexp_replace(trim({WHO} || 'com/'), '/+$', ''), '(?i)^www\\.?', '') AS m FROM txn))")
+                f"SELECT row_id, trim(CASE WHEN length(m) > 6 AND regexp_matches(m, '(?i)COM$') THEN regexp_replace(m, '(?i)COM$', '') ELSE m END) AS merchant FROM (SELECT row_id, CASE WHEN length(m) > 5 AND regexp_matches(m, '(?i)IN$') THEN regexp_replace(m, '(?i)IN$', '') ELSE m END AS m FROM (SELECT row_id, regexp_replace(regexp_replace(trim({WHO} || 'com/'), '/+$', ''), '(?i)^www', '') AS m FROM txn))")
 on_transactions("E5_is_self_transfer", lambda t: t.select("row_id", n.is_self_transfer(F.col("narration"), F.concat(F.lit("payee"), F.col("statement_id"))).alias("own")),
-                "SELECT row_id, contains(upper(narration), 'PAYEE' || statement_id) AS own FROM txn")
+                f"SELECT row_id, {OWN} AS own FROM txn")
 on_transactions("E6_normalize_counterparty", lambda t: t.select("row_id", n.normalize_counterparty(who()).alias("name")), f"SELECT row_id, {NORMAL} AS name FROM (SELECT row_id, {WHO} AS who FROM txn)")
 on_transactions("E8_counterparty_dim", lambda t: t.select("statement_id", "row_index", n.normalize_counterparty(who()).alias("name"), who().alias("raw"), n.is_self_transfer(F.col("narration"), F.concat(F.lit("payee"), F.col("statement_id"))).alias("own"))
                 .groupBy("statement_id", "name").agg(F.min_by("raw", "row_index").alias("variant"), F.bool_or("own").alias("own"), F.count("*").alias("n")),
-                f"SELECT statement_id, {NORMAL} AS name, min_by(who, row_index) AS variant, bool_or(own) AS own, count(*) AS n FROM (SELECT statement_id, row_index, {WHO} AS who, contains(upper(narration), 'PAYEE' || statement_id) AS own FROM txn) GROUP BY 1, 2")
+                f"SELECT statement_id, {NORMAL} AS name, min_by(who, row_index) AS variant, bool_or(own) AS own, count(*) AS n FROM (SELECT statement_id, row_index, {WHO} AS who, {OWN} AS own FROM txn) GROUP BY 1, 2")
 on_transactions("E9_resolve_bank", lambda t: t.select("row_id", bank().alias("b")).select("row_id", "b.code", "b.signal"),
-                f"SELECT row_id, coalesce(a, b, c, d, e) AS code, CASE WHEN a IS NOT NULL THEN 'ifsc' WHEN b IS NOT NULL THEN 'ifsc_loose' WHEN c IS NOT NULL THEN 'code_prefix' WHEN d IS NOT NULL THEN 'upi_handle' WHEN e IS NOT NULL THEN 'name' END AS signal FROM ({CODES})")
+                f"SELECT row_id, coalesce(a, b, c, d, e) AS code, CASE WHEN a IS NOT NULL THEN 'ifsc' WHEN b IS NOT NULL THEN 'ifsc_partial' WHEN c IS NOT NULL THEN 'reference_prefix' WHEN d IS NOT NULL THEN 'upi_handle' WHEN e IS NOT NULL THEN 'name' END AS signal FROM ({CODES})")
 on_transactions("E10_resolve_subject_bank", lambda t: t.groupBy("statement_id").agg(F.min_by("narration", "row_index").alias("p")).select("statement_id", n.resolve_subject_bank(F.col("p"), F.lit("none"), F.concat(F.lit("hdfc_"), F.col("statement_id"), F.lit(".csv"))).alias("b")).select("statement_id", "b.code", "b.signal"),
                 f"SELECT f.statement_id, coalesce(a, b, c, d, e, 'HDFC') AS code, CASE WHEN coalesce(a, b, c, d, e) IS NULL THEN 'filename' ELSE 'preamble' END AS signal FROM (SELECT statement_id, min_by(row_id, row_index) AS row_id FROM txn GROUP BY 1) f JOIN ({CODES}) USING (row_id)")
 on_transactions("E11_resolve_counterparty_bank", lambda t: t.select("row_id", n.resolve_counterparty_bank(F.col("narration")).alias("bank")), f"SELECT row_id, coalesce(a, b, c, d, e, 'UNATTRIBUTED') AS bank FROM ({CODES})")
 on_transactions("E13_bank_name", lambda t: t.select("row_id", n.bank_name(n.resolve_counterparty_bank(F.col("narration"))).alias("bank")), f"SELECT row_id, coalesce({NAMES}[coalesce(a, b, c, d, e)], 'Unattributed') AS bank FROM ({CODES})")
-on_transactions("P1_parse_date", lambda t: t.select("row_id", n.parse_date(F.when(F.col("row_index") % 3 == 0, F.date_format("txn_date", "d/M/yyyy")).when(F.col("row_index") % 3 == 1, F.date_format("txn_date", "yyyy-MM-dd")).otherwise(F.date_format("txn_date", "d-MMM-yyyy"))).cast("string").alias("day")),
-                "SELECT row_id, CAST(txn_date AS VARCHAR) AS day FROM txn")
+LAYOUTS = ("d MMM yyyy", "d-MMM-yyyy", "d MMMM yyyy", "d-MMMM-yyyy", "MMM d, yyyy", "MMM d yyyy", "d/M/yyyy", "d/M/yy", "yyyy-MM-dd", "d-M-yyyy", "yyyyMMdd", "d.M.yyyy", "yyyy/M/d", "d MMM yy")
+
+
+def written_date():
+    """The day in one layout after the other, months in upper case in every second row."""
+    out = F.lit(None).cast("string")
+    for k, layout in enumerate(LAYOUTS):
+        out = F.when(F.col("row_index") % len(LAYOUTS) == k, F.date_format("txn_date", layout)).otherwise(out)
+    return F.when(F.col("row_index") % 2 == 0, F.upper(out)).otherwise(out)
+
+
+on_transactions("P1_parse_date", lambda t: t.select("row_id", n.parse_date(written_date()).cast("string").alias("day")), "SELECT row_id, CAST(txn_date AS VARCHAR) AS day FROM txn")
 on_transactions("P2_parse_amount", lambda t: t.select("row_id", n.parse_amount(F.when(F.col("debit").isNotNull(), F.concat(F.lit("("), F.format_number("debit", 2), F.lit(")"))).when(F.col("credit").isNotNull(), F.concat(F.lit("INR "), F.format_number("credit", 2))).otherwise(F.lit("-"))).cast("double").alias("amount")),
                 "SELECT row_id, CASE WHEN debit IS NOT NULL THEN -(debit / 100.0) ELSE credit / 100.0 END AS amount FROM txn")
 on_transactions("P8_amount_direction", lambda t: t.select("row_id", n.amount_of(F.col("debit"), F.col("credit")).cast("double").alias("amount"), direction().alias("direction"), n.case_direction(F.col("debit")).alias("case_direction")),
                 f"SELECT row_id, greatest(coalesce(debit, 0), coalesce(credit, 0)) / 100.0 AS amount, {WAY} AS direction, CASE WHEN coalesce(debit, 0) > 0 THEN 'debit' ELSE 'credit' END AS case_direction FROM txn")
-on_transactions("P15_redact_pii", lambda t: t.select("row_id", n.redact_pii(F.col("narration")).alias("text")), r"SELECT row_id, regexp_replace(narration, '\b[A-Z]{4}0[A-Z0-9]{6}\b', '[IFSC]', 'g') AS text FROM txn")
+on_transactions("P15_redact_pii", lambda t: t.select("row_id", n.redact_pii(F.col("narration")).alias("text")),
+                r"SELECT row_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(narration, '\b\d{16}\b', '[CARD]', 'g'), '\b[A-Z]{4}0[A-Z0-9]{6}\b', '[IFSC]', 'g'), '\b\d{12}\b', '[AADHAAR]', 'g'), '\b[A-Z]{5}\d{4}[A-Z]\b', '[PAN]', 'g'), '\b\d{10}\b', '[PHONE]', 'g') AS text FROM txn")
 on_transactions("P19_channel_to_format", lambda t: t.select("row_id", n.channel_to_format(n.infer_channel(F.col("narration")), F.col("narration")).alias("format")),
                 f"SELECT row_id, CASE WHEN contains(b, 'rtgs') THEN 'rtgs' WHEN contains(b, 'neft') THEN 'neft' WHEN contains(b, 'imps') THEN 'imps' WHEN contains(b, 'upi') THEN 'upi' WHEN contains(b, 'cash') OR contains(b, 'atm') THEN 'cash' WHEN contains(b, 'cheque') OR contains(b, 'chq') THEN 'cheque' WHEN contains(b, 'pos') OR contains(b, 'card') THEN 'card' ELSE lower(c) END AS format FROM (SELECT row_id, {CHANNEL} AS c, lower({CHANNEL} || ' ' || narration) AS b FROM txn)")
 on_transactions("E2_assign_category", lambda t: assign_category(t.select("row_id", "narration", direction().alias("direction"))).select("row_id", "category"))

@@ -21,19 +21,36 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k")
     code = F.element_at(F.array(*map(F.lit, CODES)), (F.col("row_index") % 8 + 1).cast("int"))
     tail = F.concat(F.lit("payee"), F.col("counterparty"))
+    L = F.lit
     texts = [
-        F.concat(F.lit("UPI/"), F.col("row_id"), F.lit("/"), tail, F.lit("@okaxis")),
-        F.concat(F.lit("NEFT/DR/REF"), F.col("row_id"), F.lit("/"), tail, F.lit(" LTD/"), code, F.lit("0001234")),
-        F.concat(F.lit("IMPS-"), F.col("row_id"), F.lit("-"), tail, F.lit("-"), code),
-        F.concat(F.lit("RTGS/"), code, F.lit("R52024/"), tail),
-        F.lit("ATM CASH WDL 1234"),
-        F.concat(F.lit("POS 4321 "), tail, F.lit(" STORES")),
-        F.concat(F.lit("ECOM:"), tail, F.lit("/refund")),
-        F.concat(F.lit("salary from hdfc "), tail),
+        F.concat(L("UPI/"), F.col("row_id"), L("/"), tail, L("@okaxis")),
+        F.concat(L("NEFT/DR/REF"), F.col("row_id"), L("/"), tail, L(" LTD/"), code, L("0001234")),
+        F.concat(L("IMPS-"), F.col("row_id"), L("-"), tail, L("-"), code),
+        F.concat(L("RTGS/"), code, L("R52024/"), tail),
+        L("ATM CASH WDL 1234"),
+        F.concat(L("POS 4321 "), tail, L(" STORES")),
+        F.concat(L("ECOM:"), tail, L("/refund")),
+        F.concat(L("salary from hdfc "), tail),
+        F.concat(L("UPI/DR/4107718"), F.col("row_id"), L("/"), tail, L(" HOTEL/UTIB/x")),
+        L("SWEEP TRANSFER TO 1234"),
+        F.concat(L("FD PREMAT 1234 "), tail),
+        F.concat(L("INSTALLMENT AMOUNT FOR RD "), tail),
+        F.concat(L("POS REFUND "), tail),
+        L("SMS CHARGES JAN 123412341234 card 1234123412341234"),
+        L("ATM CARD ANNUAL FEE"),
+        F.concat(L("CASH DEPOSIT "), tail, L(" ABCDE1234F 9876543210")),
+        L("INT.PD:01-01 TO 31-03"),
+        L("PCD/1234/WWWpayeeshopCOM"),
+        F.concat(L("ATM/SN1234/"), tail),
+        F.concat(L("POS-4321/"), tail),
+        F.concat(L("pay to "), tail, L("@ybl")),
+        L("12/34"),
+        L("ECOM:12:payee shop Gurgaon HRIN"),
+        F.concat(L("CHQ 123456 HDFC0012 SBIN20240201 union bank of india "), tail),
     ]
     narration = F.lit(None).cast("string")
     for i, text in enumerate(texts):
-        narration = F.when(F.col("row_index") % 8 == i, text).otherwise(narration)
+        narration = F.when(F.col("row_index") % len(texts) == i, text).otherwise(narration)
     order = Window.partitionBy("statement_id").orderBy("ts", "row_index").rowsBetween(Window.unboundedPreceding, 0)
     flow = F.coalesce("credit", F.lit(0).cast(MONEY)) - F.coalesce("debit", F.lit(0).cast(MONEY))
     return (
@@ -113,7 +130,7 @@ txn0 AS (
   FROM events
 ), txn AS (
   SELECT *,
-    CASE row_index % 8
+    CASE row_index % 24
       WHEN 0 THEN 'UPI/' || row_id || '/payee' || counterparty || '@okaxis'
       WHEN 1 THEN 'NEFT/DR/REF' || row_id || '/payee' || counterparty || ' LTD/' || ['SBIN','HDFC','ICIC','UTIB','PUNB','KKBK','YESB','CNRB'][row_index % 8 + 1] || '0001234'
       WHEN 2 THEN 'IMPS-' || row_id || '-payee' || counterparty || '-' || ['SBIN','HDFC','ICIC','UTIB','PUNB','KKBK','YESB','CNRB'][row_index % 8 + 1]
@@ -121,7 +138,23 @@ txn0 AS (
       WHEN 4 THEN 'ATM CASH WDL 1234'
       WHEN 5 THEN 'POS 4321 payee' || counterparty || ' STORES'
       WHEN 6 THEN 'ECOM:payee' || counterparty || '/refund'
-      ELSE 'salary from hdfc payee' || counterparty END AS narration,
+      WHEN 7 THEN 'salary from hdfc payee' || counterparty
+      WHEN 8 THEN 'UPI/DR/4107718' || row_id || '/payee' || counterparty || ' HOTEL/UTIB/x'
+      WHEN 9 THEN 'SWEEP TRANSFER TO 1234'
+      WHEN 10 THEN 'FD PREMAT 1234 payee' || counterparty
+      WHEN 11 THEN 'INSTALLMENT AMOUNT FOR RD payee' || counterparty
+      WHEN 12 THEN 'POS REFUND payee' || counterparty
+      WHEN 13 THEN 'SMS CHARGES JAN 123412341234 card 1234123412341234'
+      WHEN 14 THEN 'ATM CARD ANNUAL FEE'
+      WHEN 15 THEN 'CASH DEPOSIT payee' || counterparty || ' ABCDE1234F 9876543210'
+      WHEN 16 THEN 'INT.PD:01-01 TO 31-03'
+      WHEN 17 THEN 'PCD/1234/WWWpayeeshopCOM'
+      WHEN 18 THEN 'ATM/SN1234/payee' || counterparty
+      WHEN 19 THEN 'POS-4321/payee' || counterparty
+      WHEN 20 THEN 'pay to payee' || counterparty || '@ybl'
+      WHEN 21 THEN '12/34'
+      WHEN 22 THEN 'ECOM:12:payee shop Gurgaon HRIN'
+      ELSE 'CHQ 123456 HDFC0012 SBIN20240201 union bank of india payee' || counterparty END AS narration,
     'REF' || lpad(row_id, 8, '0') AS reference_no,
     100000000 + CAST(sum(coalesce(credit, 0) - coalesce(debit, 0)) OVER (PARTITION BY statement_id ORDER BY ts, row_index ROWS UNBOUNDED PRECEDING) AS BIGINT)
       + CASE WHEN row_index % 97 = 0 THEN 100 ELSE 0 END AS balance
