@@ -364,10 +364,21 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_arrow(both, make, "a long, b long")
 
 
-def enough_shared(k: Column, n: Column, m: Column) -> Column:
-    """Of all that two sets share, what isn't in both prefixes lies behind the prefix that ends first."""
-    behind = lambda x: F.ceil(PERCENT * x / 100) - 1
-    return k + F.greatest(behind(n), behind(m)) >= least_overlap(n, m)
+def behind(n: Column) -> Column:
+    """N-grams of a set behind its prefix."""
+    return F.ceil(PERCENT * n / 100) - 1
+
+
+def shared_in_prefixes(n: Column, m: Column) -> Column:
+    """How many n-grams both prefixes have at least: of all that two sets share, the others lie behind the prefix that ends first."""
+    return least_overlap(n, m) - F.greatest(behind(n), behind(m))
+
+
+def early(other: str) -> Column:
+    """Whether a gram can be the first that both prefixes have, as others must follow it there: so a pair is met at few of its grams."""
+    n, m = F.col("n"), F.col(f"{other}n")
+    more = F.greatest(shared_in_prefixes(n, m), F.lit(1))
+    return (F.col("pos") + more <= F.col("shared") - behind(n)) & (F.col(f"{other}pos") + more <= F.col(f"{other}shared") - behind(m))
 
 
 def maybe_among(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -440,7 +451,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
         near = placed.join(centres, ["gram", "size"]).where((F.col("part") != F.col("c_part")) & possible("c_"))
         offers = near.groupBy("part", "class", "c_class").agg(F.count("*").alias("k"), F.min("n").alias("n"), F.min("c_n").alias("c_n"))
         if not turn:  # the clear cases first; a pair may share more than the lists that have the one as the other's centre
-            offers = offers.where(enough_shared(F.col("k"), F.col("n"), F.col("c_n")))
+            offers = offers.where(F.col("k") >= shared_in_prefixes(F.col("n"), F.col("c_n")))
         offers = offers.select("part", "k", *ordered_pair(F.col("class"), F.col("c_class")))
         if tried is not None:
             offers = offers.join(tried, ["a", "b"], "left_anti")
@@ -458,9 +469,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     sets = materialise(sets_of(texts, left.select("class").distinct(), classes, words), "sets")
     left = materialise(left.join(signatures(sets), "class"), "signed")
     right = left.select("gram", *(F.col(c).alias(f"o_{c}") for c in (*ROW, "part", *SIGNATURE)))
-    cross = left.join(right, "gram").where((F.col("class") < F.col("o_class")) & (F.col("part") != F.col("o_part")) & possible("o_") & few_unlike("o_"))
-    counted = cross.groupBy(F.col("class").alias("a"), F.col("o_class").alias("b")).agg(F.count("*").alias("k"), F.min("n").alias("n"), F.min("o_n").alias("m"))
-    more_pairs = materialise(counted.where(enough_shared(F.col("k"), F.col("n"), F.col("m"))).select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
+    cross = left.join(right, "gram").where((F.col("class") < F.col("o_class")) & (F.col("part") != F.col("o_part")) & early("o_") & possible("o_") & few_unlike("o_"))
+    more_pairs = materialise(cross.select(F.col("class").alias("a"), F.col("o_class").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(verified(more_pairs, sets))
 
     # Rows that share a doc_id link their classes.

@@ -116,7 +116,7 @@ def exact_topk(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFra
         """One copy of the group's queries for each block of each cell that may hold one of their k best."""
         q = unpacked(table["v"], dtype, size.dim).astype(np.float64)
         to_pivots = q @ pivots.T
-        if len(pivots) > k:  # one of the pivots may be the query itself
+        if len(pivots) > k:  # pivots are of different ids, so that one of them at most is left out for the query's id
             reached = np.partition(to_pivots, len(pivots) - k - 1, axis=1)[:, len(pivots) - k - 1]
         else:
             reached = np.full(len(q), -np.inf)

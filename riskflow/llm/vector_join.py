@@ -119,14 +119,14 @@ def embedding_links(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     Cosines are in double precision. Vectors that are null, zero or hold null or non-finite components link with
     nothing, nor do rows with a null vec_id (whose component is null, and which are kept). Vectors of unequal lengths
-    count as filled up with zeros. Repeated rows are rows of their own and link with each other; an empty table gives
-    an empty one.
+    count as filled up with zeros. Repeated rows, and rows that share a vec_id, are rows of their own, which link with
+    each other as their vectors do; an empty table gives an empty one.
     """
     limit = math.sqrt(2 - 2 * cosine)
     source = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"))
     good = F.col("vec_id").isNotNull() & usable(F.col("vector")) & F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False))
     rows = source.withColumn("vector", F.when(good, F.col("vector")))
-    classes = materialise(rows.where(F.col("vector").isNotNull()).groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "classes")
+    classes = materialise(rows.where(F.col("vector").isNotNull()).groupBy("vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()), "classes")
     size = sizes(classes)
     rest = {"n_links": F.lit(0).cast("long"), "component_id": F.col("vec_id"), "kept": F.lit(True)}
     if not size.rows:
@@ -167,9 +167,11 @@ def embedding_links(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     found = materialise(home.unionByName(local).unionByName(foreign).groupBy("cell", "block", "side").applyInArrow(join, "id long, links long, low long"), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    parts = connected_components(found.select(F.col("id").alias("a"), F.col("low").alias("b")))
+    parts = materialise(connected_components(found.select(F.col("id").alias("a"), F.col("low").alias("b"))), "parts").join(classes.select("id", "first"), "id")
+    smallest = parts.groupBy("component_id").agg(F.min("first").alias("least"))
+    reached = parts.join(smallest, "component_id").select("id", "least")
     result = materialise(
-        classes.join(links, "id", "left").join(parts, "id", "left").select("vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")),
+        classes.join(links, "id", "left").join(reached, "id", "left").select("vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("least", "first").alias("component_id")),
         "classes",
     )
     linked = rows.where(F.col("vector").isNotNull()).join(result, "vector").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))

@@ -40,8 +40,9 @@ def sizes(vectors: DataFrame) -> Sizes:
 
 
 def pivot_rows(vectors: DataFrame, n: int) -> list:
-    """The ``n`` rows whose ids have the smallest hashes: a bounded sample of places, not of results."""
-    return vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).collect()
+    """Rows of the ``n`` ids with the smallest hashes, one of each id: a bounded sample of places, not of results."""
+    ids = vectors.select("vec_id").distinct().orderBy(F.xxhash64("vec_id"), "vec_id").limit(n)
+    return vectors.join(F.broadcast(ids), "vec_id").groupBy("vec_id").agg(F.min("vector").alias("vector")).orderBy("vec_id").collect()
 
 
 def matrix(vectors: pa.Array, dim: int) -> np.ndarray:

@@ -49,6 +49,26 @@ def test_topk(spark):
     assert exact_topk(table(spark, [(0, [1.0]), (1, [2.0])])).count() == 1
 
 
+def test_topk_bound_with_repeated_queries(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(6000, 8)).astype(np.float32)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(100, x[100].tolist())] * 14
+    ids = np.array([i for i, _ in rows])
+    q = np.floor(1024 * np.array([v for _, v in rows], np.float32).astype(float)).astype(np.int64)
+    want = set()
+    for query in range(0, 6000, 100):
+        score = q @ q[query]
+        best = sorted((-int(s), int(i)) for s, i in zip(score, ids, strict=True) if i != query)[:10]
+        want |= {(query, k + 1, i, -s) for k, (s, i) in enumerate(best)}
+    assert {tuple(row) for row in exact_topk(table(spark, rows)).collect()} == want
+
+
+def test_links_of_rows_that_share_an_id(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (7, [2.0, 0.01]), (9, [0.0, 3.0]), (9, [0.0, 3.0])]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_links(table(spark, rows)).collect())
+    assert got == [(5, 1, 5), (5, 2, 5), (7, 1, 5), (9, 2, 5), (9, 2, 5)]
+
+
 def test_links(spark):
     rows = vectors()
     good = [k for k, (i, v) in enumerate(rows) if i is not None and usable(v) and any(v)]
