@@ -22,7 +22,7 @@ QUERIES, ORACLES = {}, {}
 def register(name, source, make, cte=None, sql=None):
     QUERIES[name] = lambda spark, d: make(source(spark, d))
     if sql:
-        ORACLES[name] = f"WITH {cte} {sql}"
+        ORACLES[name] = f"WITH RECURSIVE {cte} {sql}"
 
 
 STAR = """, cyc AS (
@@ -104,10 +104,33 @@ for tag, source, cte in (("", transfers, SQL_TRF), ("_bulk", bulk_transfers, SQL
     register("B11_account_hhi" + tag, source, lambda t: b.account_hhi(b.bank_legs(b.derive(t))).withColumn("account_concentration", F.round("account_concentration", 9)), cte, DERIVED + ", x AS (SELECT bank, account, sum(amount) / 100.0 AS s FROM l GROUP BY ALL) SELECT bank, round(sum(s * s) / (sum(s) * sum(s)), 9) AS account_concentration FROM x GROUP BY bank")
     register("B12_burst" + tag, source, lambda t: b.burst(b.bank_legs(b.derive(t))), cte, DERIVED + ", x AS (SELECT bank, day, count(*) AS k FROM l GROUP BY ALL) SELECT bank, count(day) AS active_days, CAST(max_by(day, struct_pack(k := k, d := -date_diff('day', DATE '1970-01-01', day))) AS VARCHAR) AS busiest_day, max(k) / sum(k) AS burst_velocity FROM x GROUP BY bank")
     register("B17_ledger_summary" + tag, source, lambda t: b.ledger_summary(b.derive(t)).drop("first_ts", "last_ts"), cte, DERIVED + " SELECT (SELECT count(DISTINCT bank) FROM l) AS banks, (SELECT count(DISTINCT account) FROM l) AS accounts, count(*) AS transfers, sum(amount) / 100.0 AS value, count(DISTINCT from_bank || '|' || to_bank) AS edges, string_agg(DISTINCT payment_currency, ',' ORDER BY payment_currency) AS currencies, count(DISTINCT fmt) AS formats, avg(CASE WHEN cross_currency THEN 1.0::DOUBLE ELSE 0 END) AS cross_currency_share FROM d")
-COMPONENTS = DERIVED + """, hh AS (SELECT bank, sum(s * s) / (sum(s) * sum(s)) AS account_concentration FROM (SELECT bank, account, sum(amount) / 100.0 AS s FROM l GROUP BY ALL) GROUP BY bank),
+#: Conserved cycles: all closed paths, then the earliest one of each ring.
+FLOWS = """, ft AS (SELECT row_idx AS idx, epoch_us(ts) AS us, from_account, to_account, amount / 100.0 AS amount FROM trf WHERE from_account <> to_account AND amount > 0),
+ff AS (SELECT list_sort(list(amount))[CAST(floor(0.6 * count(*)) AS BIGINT) + 1] AS least FROM ft),
+fp AS (
+  SELECT from_account AS origin, to_account AS here, us AS t0, us AS latest, amount AS lead, [from_account, to_account] AS accounts, [idx] AS idxs, [amount] AS amounts FROM ft, ff WHERE amount >= least
+  UNION ALL
+  SELECT origin, n.to_account, t0, n.us, lead, CASE WHEN n.to_account = origin THEN accounts ELSE list_append(accounts, n.to_account) END, list_append(idxs, n.idx), list_append(amounts, n.amount)
+  FROM fp p JOIN ft n ON p.here = n.from_account AND n.us >= p.latest AND n.us <= p.t0 + 864000000000 AND abs(n.amount - p.lead) <= 0.25 * p.lead
+  WHERE p.here <> p.origin AND len(p.idxs) < 6 AND (n.to_account = p.origin OR NOT list_contains(accounts, n.to_account)) AND NOT list_contains(idxs, n.idx)
+), fr AS (
+  SELECT *, list_sort([array_to_string(list_concat(accounts[i:], accounts[:i - 1]), '>') FOR i IN range(1, len(accounts) + 1)])[1] AS ring, len(idxs) AS hops FROM fp WHERE here = origin AND len(idxs) >= 3
+), fo AS (
+  SELECT ring, hops, idxs, list_avg(amounts) AS mean_amount, greatest(0, 1 - list_stddev_samp(amounts) / list_avg(amounts)) AS conservation, greatest((latest - t0) / 86400000000.0, 0.01) AS span
+  FROM fr QUALIFY row_number() OVER (PARTITION BY ring ORDER BY t0, idxs[1], idxs) = 1
+), cyc AS (SELECT * FROM (SELECT *, 0.35 * conservation + 0.30 * least(hops / span / 10, 1) + 0.20 / 3 + 0.15 / hops AS risk FROM fo) WHERE risk >= 0.5)"""
+LEVELS = 6
+#: Betweenness of banks by counts of shortest paths, of at most LEVELS hops, between all pairs.
+BETWEEN = """, be AS (SELECT DISTINCT from_bank AS src, to_bank AS dst FROM trf WHERE from_bank <> to_bank), bn AS (SELECT DISTINCT unnest([src, dst]) AS node FROM be), q0 AS (SELECT node AS s, node AS t, 0 AS d, 1.0::DOUBLE AS g FROM bn)""" + "".join(
+    f", q{k} AS (SELECT * FROM q{k - 1} UNION ALL SELECT s, dst, {k}, sum(g) FROM q{k - 1} q JOIN be ON q.t = be.src WHERE d = {k - 1} AND NOT EXISTS (SELECT 1 FROM q{k - 1} x WHERE x.s = q.s AND x.t = be.dst) GROUP BY s, dst)" for k in range(1, LEVELS + 1)
+) + f""", bw AS (SELECT node, coalesce(b, 0) / ((count(*) OVER () - 1) * (count(*) OVER () - 2)) AS betweenness FROM bn LEFT JOIN (
+  SELECT a.t AS node, sum(a.g * z.g / c.g) AS b FROM q{LEVELS} a JOIN q{LEVELS} z ON a.t = z.s JOIN q{LEVELS} c ON c.s = a.s AND c.t = z.t AND c.d = a.d + z.d WHERE a.s <> a.t AND z.s <> z.t AND a.s <> z.t GROUP BY 1) USING (node))"""
+EXPOSED = ", ce AS (SELECT bank, avg(CASE WHEN x.row_idx IS NULL THEN 0.0::DOUBLE ELSE 1 END) AS cycle_exposure FROM l LEFT JOIN (SELECT DISTINCT unnest(idxs) AS row_idx FROM cyc) x ON x.row_idx = l.row_idx GROUP BY bank)"
+CENTRAL = ", ct AS (SELECT bank, coalesce(CASE WHEN (SELECT count(DISTINCT bank) FROM l) >= 4 AND (SELECT max(betweenness) FROM bw) > 0 THEN betweenness / (SELECT max(betweenness) FROM bw) END, 0) AS network_centrality FROM (SELECT DISTINCT bank FROM l) LEFT JOIN bw ON bw.node = bank)"
+COMPONENTS = DERIVED + FLOWS + BETWEEN + EXPOSED + CENTRAL + """, hh AS (SELECT bank, sum(s * s) / (sum(s) * sum(s)) AS account_concentration FROM (SELECT bank, account, sum(amount) / 100.0 AS s FROM l GROUP BY ALL) GROUP BY bank),
 bu AS (SELECT bank, max(k) / sum(k) AS burst_velocity FROM (SELECT bank, day, count(*) AS k FROM l GROUP BY ALL) GROUP BY bank),
 v AS (SELECT bank, avg(CASE WHEN near_threshold THEN 1.0::DOUBLE ELSE 0 END) AS structuring_share, avg(CASE WHEN cross_currency THEN 1.0::DOUBLE ELSE 0 END) AS cross_currency_share, avg(CASE WHEN fmt IN ('wire', 'rtgs', 'cash', 'crypto', 'bitcoin', 'reinvestment') THEN 1.0::DOUBLE ELSE 0 END) AS high_risk_format_share FROM l GROUP BY bank),
-lg AS (""" + " UNION ALL ".join(f"SELECT bank, '{k}' AS component, {k}::DOUBLE AS value, {w} AS weight, {config.BANK_REFERENCES[k]} AS reference FROM {'v' if k in ('structuring_share', 'cross_currency_share', 'high_risk_format_share') else 'hh' if k == 'account_concentration' else 'bu' if k == 'burst_velocity' else '(SELECT bank, 0 AS ' + k + ' FROM v)'}" for k, w in config.BANK_WEIGHTS.items()) + """),
+lg AS (""" + " UNION ALL ".join(f"SELECT bank, '{k}' AS component, {k}::DOUBLE AS value, {w} AS weight, {config.BANK_REFERENCES[k]} AS reference FROM {'v' if k in ('structuring_share', 'cross_currency_share', 'high_risk_format_share') else 'hh' if k == 'account_concentration' else 'bu' if k == 'burst_velocity' else 'ce' if k == 'cycle_exposure' else 'ct'}" for k, w in config.BANK_WEIGHTS.items()) + """),
 md AS (SELECT component, median(value) AS m, count(*) AS banks FROM lg GROUP BY 1), nr AS (SELECT lg.*, m, banks, abs(value - m) AS d FROM lg JOIN md USING (component)),
 sp AS (SELECT component, 1.4826 * median(d) AS mad, avg(d) AS dev FROM nr GROUP BY 1), wd AS (SELECT nr.*, CASE WHEN mad > 0 THEN mad ELSE dev END AS width FROM nr JOIN sp USING (component)),
 rc AS (SELECT bank, component, value, weight, greatest(least(value / reference, 1), CASE WHEN banks >= 3 AND width > 0 THEN greatest(0, least((value - m) / width, 3.5)) / 3.5 ELSE 0 END) AS severity FROM wd),
@@ -124,7 +147,7 @@ def bank_centrality(t):
 
 
 def risk_parts(t):
-    """The seven components; the SQL of the queries below still has 0 for cycles and centrality, which it can't express."""
+    """The seven components."""
     return b.risk_components(written(b.components(b.derive(t), cycles(t), written(bank_centrality(t), "centrality")), "components"))
 
 
@@ -152,11 +175,11 @@ register("B1_statement_ledger", transactions, lambda t: ledger(t).select("row_id
 register("B2_dedup_mirrored", transactions, lambda t: b.dedup_mirrored(ledger(t)).select("row_id"))
 register("B3_coverage", transactions, lambda t: b.coverage(ledger(t)))
 register("B4_corpus_fingerprint", transactions, lambda t: b.corpus_fingerprint(t.groupBy("statement_id").agg(F.count("*").alias("n")).withColumns({"status": F.lit("analyzed"), "bank": F.lit("SBIN")})))
-register("G6_conserved_cycles", transfers, lambda t: cycles(t).select("ring", "hops", F.round("conservation", 6).alias("conservation"), F.round("risk", 6).alias("risk")))
-register("G7_bank_cycle_index", transfers, lambda t: b.bank_cycle_index(t, cycles(t)))
-register("G7_cycle_summary", transfers, lambda t: b.cycle_summary(cycles(t)))
-register("B13_cycle_exposure", transfers, lambda t: b.cycle_exposure(b.bank_legs(b.derive(t)), cycles(t)))
+register("G6_conserved_cycles", transfers, lambda t: cycles(t).select("ring", "hops", F.round("conservation", 6).alias("conservation"), F.round("risk", 6).alias("risk")), SQL_TRF, FLOWS + " SELECT ring, hops, round(conservation, 6) AS conservation, round(risk, 6) AS risk FROM cyc")
+register("G7_bank_cycle_index", transfers, lambda t: b.bank_cycle_index(t, cycles(t)).withColumn("top_risk", F.round("top_risk", 6)), SQL_TRF, FLOWS + "  , bx AS (SELECT DISTINCT ring, risk, unnest([from_bank, to_bank]) AS bank FROM (SELECT ring, risk, unnest(idxs) AS row_idx FROM cyc) JOIN trf USING (row_idx)) SELECT bank, count(*) AS n_cycles, round(max(risk), 6) AS top_risk FROM bx GROUP BY bank")
+register("G7_cycle_summary", transfers, lambda t: b.cycle_summary(cycles(t)).withColumns({"top_risk": F.round("top_risk", 6), "value": F.round("value", 2)}), SQL_TRF, FLOWS + " SELECT count(*) AS n, round(max(risk), 6) AS top_risk, round(sum(mean_amount * hops), 2) AS value FROM cyc")
+register("B13_cycle_exposure", transfers, lambda t: b.cycle_exposure(b.bank_legs(b.derive(t)), cycles(t)).withColumn("cycle_exposure", F.round("cycle_exposure", 9)), SQL_TRF, DERIVED + FLOWS + EXPOSED + " SELECT bank, round(cycle_exposure, 9) AS cycle_exposure FROM ce")
 register("G5_pagerank", transfers, lambda t: g.pagerank(b.bank_edges(t).select(F.col("from_bank").alias("src"), F.col("to_bank").alias("dst"), F.col("n").alias("weight")), rounds=10, checkpoint=lambda df: written(df, "rank")))
 register("G5_degrees", transfers, lambda t: g.degrees(b.bank_edges(t).select(F.col("from_bank").alias("src"), F.col("to_bank").alias("dst"), "amount")).select("node", "out_degree", "in_degree", F.round("out_flow", 2).alias("out_flow"), F.round("in_flow", 2).alias("in_flow")), SQL_TRF,
          ", o AS (SELECT from_bank AS node, count(DISTINCT to_bank) AS out_degree, sum(amount) / 100.0 AS out_flow FROM trf GROUP BY 1), i AS (SELECT to_bank AS node, count(DISTINCT from_bank) AS in_degree, sum(amount) / 100.0 AS in_flow FROM trf GROUP BY 1) SELECT node, coalesce(out_degree, 0) AS out_degree, coalesce(in_degree, 0) AS in_degree, round(coalesce(out_flow, 0), 2) AS out_flow, round(coalesce(in_flow, 0), 2) AS in_flow FROM o FULL JOIN i USING (node)")
-register("G8_bank_centrality", bulk_transfers, bank_centrality)
+register("G8_bank_centrality", bulk_transfers, lambda t: bank_centrality(t).withColumn("betweenness", F.round("betweenness", 9)), SQL_BULK, BETWEEN + " SELECT node, round(betweenness, 9) AS betweenness FROM bw")
