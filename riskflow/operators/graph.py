@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
+from ..sources.shared import written
 
 W_CONSERVE, W_VELOCITY, W_AGAIN, W_HOPS = config.CYCLE_WEIGHTS
 
@@ -123,6 +124,87 @@ def conserved_cycles(transfers: DataFrame, days: float = config.FLOW_DAYS, toler
     return scored.where(F.col("risk") >= least_risk)
 
 
+def strong_components(edges: DataFrame, checkpoint=None) -> DataFrame:
+    """node, component for the nodes of directed edges (src, dst) that lie on a cycle of two nodes or more.
+
+    Nodes without an edge in or out are trimmed; labels then spread forward, the largest winning, and what reaches a
+    label's own node back within it is one component; the rest goes on.
+    """
+    keep = checkpoint or (lambda df: written(df, "graph"))
+    left = keep(edges.where("src <> dst").select("src", "dst").distinct())
+    found = None
+    while True:
+        size = -1
+        while size != (size := left.count()):  # trim
+            left = keep(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        if not size:
+            break
+        color = keep(left.select(F.col("src").alias("node")).distinct().withColumn("color", F.col("node")))
+        while True:
+            pushed = left.join(color, left.src == color.node).select(F.col("dst").alias("node"), F.col("color").alias("pushed")).groupBy("node").agg(F.max("pushed").alias("pushed"))
+            new = keep(color.join(pushed, "node", "left").select("node", F.greatest("color", F.coalesce("pushed", "color")).alias("color")))
+            same = new.join(color, ["node", "color"], "left_anti").isEmpty()
+            color = new
+            if same:
+                break
+        within = left.join(color.select(F.col("node").alias("src"), "color"), "src").join(color.select(F.col("node").alias("dst"), F.col("color").alias("_c")), "dst").where("color = _c").select("src", "dst", "color")
+        within = keep(within)
+        part = keep(color.where("node = color"))
+        while True:
+            back = within.join(part.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "color").distinct().join(part, ["node", "color"], "left_anti")
+            back = keep(back)
+            if back.isEmpty():
+                break
+            part = keep(part.unionByName(back))
+        big = part.join(part.groupBy("color").agg(F.count("*").alias("_n")).where("_n > 1"), "color").select("node", F.col("color").alias("component"))
+        found = big if found is None else found.unionByName(big)
+        gone = part.select("node")
+        left = keep(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    return found if found is not None else edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+
+
+def graph_cycles(edges: DataFrame, least_risk: float = config.STAR_RISK, edge_cap: int = config.STAR_EDGE_CAP, max_hops: int = config.FLOW_MAX_HOPS, checkpoint=None) -> DataFrame:
+    """Simple cycles of at most ``max_hops`` nodes of a directed multigraph, scored.
+
+    Args:
+        edges: src, dst, amount and at (a date or time); parallel edges count, loops don't.
+    Returns:
+        nodes (from the smallest), hops, edges, conservation, span_days, risk, dense. A strong component with more than
+        ``edge_cap`` edges gives one dense record with a risk of 0 in place of its cycles.
+
+    The cycle starts at its smallest node, so that each is walked once; an edge's time is that of both its nodes.
+    """
+    keep = checkpoint or (lambda df: written(df, "graph"))
+    part = keep(strong_components(edges, checkpoint))
+    e = edges.where("src <> dst").select("src", "dst", F.col("amount").cast("double").alias("amount"), F.unix_micros(F.col("at").cast("timestamp")).alias("at"))
+    ends = e.select(F.explode(F.array("src", "dst")).alias("node"), "at").groupBy("node").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    inner = e.join(part.select(F.col("node").alias("src"), "component"), "src").join(part.select(F.col("node").alias("dst"), F.col("component").alias("_c")), "dst").where("component = _c")
+    pairs = inner.groupBy("component", "src", "dst").agg(F.count("*").alias("n"), F.sum("amount").alias("s1"), F.sum(F.col("amount") * F.col("amount")).alias("s2"))
+    pairs = keep(pairs.join(ends.withColumnRenamed("node", "src"), "src"))
+    sizes = pairs.groupBy("component").agg(F.sum("n").alias("all"))
+    hop = keep(pairs.join(sizes.where(F.col("all") <= edge_cap), "component"))
+    sums = lambda p: [F.col(f"{p}{c}") for c in ("n", "s1", "s2", "first", "last")]
+    open_ = hop.where("src < dst").select(F.array("src", "dst").alias("nodes"), F.col("src").alias("start"), F.col("dst").alias("here"), *sums(""))
+    step = hop.select(F.col("src").alias("here"), F.col("dst").alias("next"), *(F.col(c).alias(f"o_{c}") for c in ("n", "s1", "s2", "first", "last")))
+    closed = None
+    for hops in range(2, max_hops + 1):
+        grown = open_.join(step, "here").where((F.col("next") == F.col("start")) | ((F.col("next") > F.col("start")) & ~F.array_contains("nodes", F.col("next"))))
+        both = [(F.col(c) + F.col(f"o_{c}")).alias(c) for c in ("n", "s1", "s2")] + [F.least("first", "o_first").alias("first"), F.greatest("last", "o_last").alias("last")]
+        grown = keep(grown.select("nodes", "start", F.col("next").alias("here"), *both))
+        done = grown.where("here = start").select("nodes", F.lit(hops).cast("long").alias("hops"), *sums(""))
+        closed = done if closed is None else closed.unionByName(done)
+        open_ = grown.where("here <> start").withColumn("nodes", F.concat("nodes", F.array("here")))
+    n, mean = F.col("n"), F.col("s1") / F.col("n")
+    spread = F.sqrt(F.greatest(F.col("s2") - F.col("s1") * mean, F.lit(0.0)) / F.greatest(n - 1, F.lit(1)))
+    conserve = F.when(mean > 0, F.greatest(F.lit(0.0), 1 - spread / mean)).otherwise(1.0)
+    span = F.when(F.col("last") > F.col("first"), (F.col("last") - F.col("first")) / 8.64e10).otherwise(0.1)
+    risk = W_CONSERVE * conserve + W_VELOCITY * F.least(F.col("hops") / span / 10, F.lit(1.0)) + W_AGAIN * F.least(n / F.col("hops"), F.lit(1.0)) + W_HOPS / F.col("hops")
+    scored = closed.select("nodes", "hops", n.alias("edges"), conserve.alias("conservation"), span.alias("span_days"), risk.alias("risk"), F.lit(False).alias("dense")).where(F.col("risk") >= least_risk)
+    none = F.lit(0.0)
+    dense = sizes.where(F.col("all") > edge_cap).select(F.array("component").alias("nodes"), F.lit(0).cast("long").alias("hops"), F.col("all").alias("edges"), none.alias("conservation"), none.alias("span_days"), none.alias("risk"), F.lit(True).alias("dense"))
+    return scored.unionByName(dense)
+
+
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 30, checkpoint=None) -> DataFrame:
     """node, rank for weighted edges (src, dst, weight); what dangling nodes hold goes to all."""
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))

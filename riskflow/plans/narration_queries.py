@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import narration as n
 from ..functions.similarity import assign_category, merge_variants
 from ..sources.adapters import SQL_TXN, transactions
+from ..sources.columns import classify_columns
 
 QUERIES, ORACLES = {}, {}
 
@@ -106,3 +108,14 @@ on_transactions("P19_channel_to_format", lambda t: t.select("row_id", n.channel_
                 f"SELECT row_id, CASE WHEN contains(b, 'rtgs') THEN 'rtgs' WHEN contains(b, 'neft') THEN 'neft' WHEN contains(b, 'imps') THEN 'imps' WHEN contains(b, 'upi') THEN 'upi' WHEN contains(b, 'cash') OR contains(b, 'atm') THEN 'cash' WHEN contains(b, 'cheque') OR contains(b, 'chq') THEN 'cheque' WHEN contains(b, 'pos') OR contains(b, 'card') THEN 'card' ELSE lower(c) END AS format FROM (SELECT row_id, {CHANNEL} AS c, lower({CHANNEL} || ' ' || narration) AS b FROM txn)")
 on_transactions("E2_assign_category", lambda t: assign_category(t.select("row_id", "narration", direction().alias("direction"))).select("row_id", "category"))
 on_transactions("E7_merge_variants", lambda t: merge_variants(t.select("statement_id", n.normalize_counterparty(who()).alias("name"))))
+
+
+def raw_statement(t):
+    """Every statement as a raw file: odd headers, cells as text, one empty column."""
+    cells = (F.date_format("txn_date", "dd/MM/yyyy"), F.lit(""), F.col("narration"), F.col("reference_no"), F.coalesce(F.format_number("debit", 2), F.lit("")), F.coalesce(F.format_number("credit", 2), F.lit("")), F.format_number("balance", 2))
+    header = ("Txn Date", "Value Dt", "Transaction Particulars", "Chq/Ref No.", "Withdrawal Amt (INR)", "Deposit Amt (INR)", "Closing Balance")
+    return t.select(F.col("statement_id").alias("file"), F.row_number().over(Window.partitionBy("statement_id").orderBy("row_index")).alias("row"), F.array(*map(F.lit, header)).alias("header"), F.array(*cells).alias("cells"))
+
+
+on_transactions("P5_classify_columns", lambda t: classify_columns(raw_statement(t)).select("file", "col", "field"),
+                "SELECT DISTINCT statement_id AS file, CAST(i AS INTEGER) AS col, ['txn_date', 'value_date', 'narration', 'reference_no', 'debit_amount', 'credit_amount', 'balance_after'][i + 1] AS field FROM txn, range(7) AS r(i)")

@@ -75,10 +75,31 @@ m AS (SELECT a.case_id, a.row_id, count(*) AS n_mirrors, min(b.row_id) AS mirror
 p AS (SELECT o.*, coalesce(n_mirrors, 0) AS n_mirrors, mirror, max(CASE WHEN coalesce(n_mirrors, 0) <> 1 THEN 1 ELSE 0 END) OVER (PARTITION BY o.case_id, o.ref) = 1 AS ambiguous FROM o LEFT JOIN m ON o.case_id = m.case_id AND o.row_id = m.row_id)"""
 register("J2_mirrored_reference", mirrored_case, lambda t: c.mirrored_pairs(t).select("case_id", "ref", "row_id", "n_mirrors", "ambiguous"), SQL_CASE, PAIRS + " SELECT case_id, ref, row_id, n_mirrors, ambiguous FROM p")
 GEDGES = PAIRS + """, ce AS (
-  SELECT case_id, 'E' || left(sha256(case_id || '|' || ref || '|' || least(row_id, mirror) || '+' || greatest(row_id, mirror)), 20) AS edge_id, 'S' || max(CASE WHEN is_debit THEN statement_id END) AS src, 'S' || max(CASE WHEN NOT is_debit THEN statement_id END) AS dst, max(amount) / 100.0 AS amount, 'mirrored_reference' AS resolution
+  SELECT case_id, 'E' || left(sha256(case_id || '|' || ref || '|' || least(row_id, mirror) || '+' || greatest(row_id, mirror)), 20) AS edge_id, 'S' || max(CASE WHEN is_debit THEN statement_id END) AS src, 'S' || max(CASE WHEN NOT is_debit THEN statement_id END) AS dst, max(amount) / 100.0 AS amount, 'mirrored_reference' AS resolution, min(txn_date) AS day
   FROM p WHERE NOT ambiguous GROUP BY case_id, ref, least(row_id, mirror), greatest(row_id, mirror)
-  UNION ALL SELECT case_id, 'E' || left(sha256(case_id || '|' || row_id), 20), CASE WHEN is_debit THEN 'S' || statement_id ELSE 'S' || statement_id || ':' || counterparty END, CASE WHEN is_debit THEN 'S' || statement_id || ':' || counterparty ELSE 'S' || statement_id END, amount / 100.0, 'ambiguous_mirrored_reference' FROM p WHERE ambiguous)"""
-register("G9_case_edges", mirrored_case, lambda t: c.case_edges(t).select("case_id", "edge_id", "src", "dst", F.col("amount").cast("double"), "resolution"), SQL_CASE, GEDGES + " SELECT * FROM ce")
+  UNION ALL SELECT case_id, 'E' || left(sha256(case_id || '|' || row_id), 20), CASE WHEN is_debit THEN 'S' || statement_id ELSE 'S' || statement_id || ':' || counterparty END, CASE WHEN is_debit THEN 'S' || statement_id || ':' || counterparty ELSE 'S' || statement_id END, amount / 100.0, 'ambiguous_mirrored_reference', txn_date FROM p WHERE ambiguous)"""
+register("G9_case_edges", mirrored_case, lambda t: c.case_edges(t).select("case_id", "edge_id", "src", "dst", F.col("amount").cast("double"), "resolution"), SQL_CASE, GEDGES + " SELECT * EXCLUDE (day) FROM ce")
+
+
+def flows(source: str) -> str:
+    """Conserved cycles of ``source`` (sc, idx, us, from_account, to_account, amount): all closed paths, then the earliest one of each ring of a scope sc."""
+    return f""", ft AS ({source}),
+ff AS (SELECT sc, list_sort(list(amount))[CAST(floor(0.6 * count(*)) AS BIGINT) + 1] AS least FROM ft GROUP BY sc),
+fp AS (
+  SELECT sc, from_account AS origin, to_account AS here, us AS t0, us AS latest, amount AS lead, [from_account, to_account] AS accounts, [idx] AS idxs, [amount] AS amounts FROM ft JOIN ff USING (sc) WHERE amount >= least
+  UNION ALL
+  SELECT p.sc, origin, n.to_account, t0, n.us, lead, CASE WHEN n.to_account = origin THEN accounts ELSE list_append(accounts, n.to_account) END, list_append(idxs, n.idx), list_append(amounts, n.amount)
+  FROM fp p JOIN ft n ON p.sc = n.sc AND p.here = n.from_account AND n.us >= p.latest AND n.us <= p.t0 + 864000000000 AND abs(n.amount - p.lead) <= 0.25 * p.lead
+  WHERE p.here <> p.origin AND len(p.idxs) < 6 AND (n.to_account = p.origin OR NOT list_contains(accounts, n.to_account)) AND NOT list_contains(idxs, n.idx)
+), fr AS (
+  SELECT *, list_sort([array_to_string(list_concat(accounts[i:], accounts[:i - 1]), '>') FOR i IN range(1, len(accounts) + 1)])[1] AS ring, len(idxs) AS hops FROM fp WHERE here = origin AND len(idxs) >= 3
+), fo AS (
+  SELECT sc, ring, hops, idxs, accounts, list_avg(amounts) AS mean_amount, greatest(0, 1 - list_stddev_samp(amounts) / list_avg(amounts)) AS conservation, greatest((latest - t0) / 86400000000.0, 0.01) AS span
+  FROM fr QUALIFY row_number() OVER (PARTITION BY sc, ring ORDER BY t0, idxs[1], idxs) = 1
+), cyc AS (SELECT * FROM (SELECT *, 0.35 * conservation + 0.30 * least(hops / span / 10, 1) + 0.20 / 3 + 0.15 / hops AS risk FROM fo) WHERE risk >= 0.5)"""
+
+
+CASE_FLOWS = GEDGES + flows("SELECT case_id AS sc, edge_id AS idx, epoch_us(CAST(day AS TIMESTAMP)) AS us, src AS from_account, dst AS to_account, amount FROM ce WHERE resolution = 'mirrored_reference' AND src <> dst AND amount > 0")
 
 
 def findings(t):
@@ -86,8 +107,32 @@ def findings(t):
     return edges, written(c.case_findings(edges, checkpoint=lambda df: written(df, "paths")), "findings")
 
 
-register("G10_case_findings", mirrored_case, lambda t: findings(t)[1].select("case_id", "ring", "hops", F.round("risk", 6).alias("risk")))
-register("G11_case_graph_view", mirrored_case, lambda t: c.case_graph_view(*findings(t)))
+register("G10_case_findings", mirrored_case, lambda t: findings(t)[1].select("case_id", "ring", "hops", F.round("risk", 6).alias("risk")), SQL_CASE, CASE_FLOWS + " SELECT sc AS case_id, ring, hops, round(risk, 6) AS risk FROM cyc")
+register("G11_case_graph_view", mirrored_case, lambda t: c.case_graph_view(*findings(t)), SQL_CASE,
+         CASE_FLOWS + ", nd AS (SELECT case_id, node, count(*) AS n_edges FROM (SELECT case_id, unnest([src, dst]) AS node FROM ce) GROUP BY ALL), hi AS (SELECT DISTINCT sc, unnest(accounts) AS node FROM cyc) SELECT case_id, nd.node, n_edges, CASE WHEN hi.node IS NULL THEN 'low' ELSE 'high' END AS tier FROM nd LEFT JOIN hi ON hi.sc = nd.case_id AND hi.node = nd.node")
+
+
+def case_graph(t):
+    """The edges of all cases as one graph, nodes named by their case."""
+    name = lambda c: F.concat_ws("|", "case_id", c)
+    return written(c.case_edges(t).select(name("src").alias("src"), name("dst").alias("dst"), "amount", F.col("txn_date").alias("at")), "graph")
+
+
+CASE_GRAPH = GEDGES + """, ge AS (SELECT case_id || '|' || src AS src, case_id || '|' || dst AS dst, amount, CAST(day AS TIMESTAMP) AS at_ FROM ce WHERE src <> dst), gp AS (SELECT DISTINCT src, dst FROM ge),
+gr AS (SELECT src AS a, dst AS b FROM gp UNION SELECT a, dst FROM gr JOIN gp ON b = src), gc AS (SELECT x.a AS node, max(x.b) AS component FROM gr x JOIN gr y ON x.a = y.b AND x.b = y.a GROUP BY 1),
+gn AS (SELECT node, min(at_) AS f, max(at_) AS l FROM (SELECT unnest([src, dst]) AS node, at_ FROM ge) GROUP BY 1),
+gi AS (SELECT x.component, ge.src, ge.dst, amount FROM ge JOIN gc x ON x.node = ge.src JOIN gc y ON y.node = ge.dst AND y.component = x.component),
+gs AS (SELECT component, count(*) AS n FROM gi GROUP BY 1), gq AS (SELECT DISTINCT gi.component, src, dst FROM gi JOIN gs USING (component) WHERE n <= 1000),
+gw AS (SELECT [src, dst] AS nodes, src AS start, dst AS here FROM gq WHERE src < dst UNION ALL
+  SELECT CASE WHEN q.dst = start THEN nodes ELSE list_append(nodes, q.dst) END, start, q.dst FROM gw JOIN gq q ON q.src = here WHERE here <> start AND (q.dst = start OR (len(nodes) < 6 AND q.dst > start AND NOT list_contains(nodes, q.dst)))),
+gd AS (SELECT nodes, len(nodes) AS hops, array_to_string(nodes, '>') AS ring FROM gw WHERE here = start),
+gh AS (SELECT ring, hops, nodes[i] AS u, nodes[i % hops + 1] AS v FROM (SELECT *, unnest(range(1, hops + 1)) AS i FROM gd)),
+ga AS (SELECT ring, hops, count(*) AS edges, avg(amount) AS m, stddev_samp(amount) AS sd FROM gh JOIN ge ON ge.src = u AND ge.dst = v GROUP BY ALL),
+gt AS (SELECT ring, min(f) AS f, max(l) AS l FROM gh JOIN gn ON gn.node = u GROUP BY 1),
+gx AS (SELECT ring, hops, edges, greatest(0, 1 - coalesce(sd, 0) / m) AS conservation, CASE WHEN l > f THEN (epoch_us(l) - epoch_us(f)) / 86400000000.0 ELSE 0.1 END AS span FROM ga JOIN gt USING (ring)),
+gy AS (SELECT ring, hops, edges, conservation, 0.35 * conservation + 0.30 * least(hops / span / 10, 1) + 0.20 * least(edges / hops, 1) + 0.15 / hops AS risk, FALSE AS dense FROM gx)"""
+register("G3b_graph_cycles", mirrored_case, lambda t: g.graph_cycles(case_graph(t), 0.4, checkpoint=lambda df: written(df, "graph")).select(F.concat_ws(">", "nodes").alias("ring"), "hops", "edges", F.round("risk", 6).alias("risk"), "dense"), SQL_CASE,
+         CASE_GRAPH + " SELECT ring, hops, edges, round(risk, 6) AS risk, dense FROM gy WHERE risk >= 0.4 UNION ALL SELECT component, 0, n, 0, TRUE FROM gs WHERE n > 1000")
 register("J9_finding_edges", mirrored_case, lambda t: c.finding_edges(*findings(t)[::-1]))
 register("G12_draft_records", mirrored_case, lambda t: c.draft_records(*findings(t)[::-1]).withColumn("hops", F.to_json("hops")))
 
@@ -104,21 +149,7 @@ for tag, source, cte in (("", transfers, SQL_TRF), ("_bulk", bulk_transfers, SQL
     register("B11_account_hhi" + tag, source, lambda t: b.account_hhi(b.bank_legs(b.derive(t))).withColumn("account_concentration", F.round("account_concentration", 9)), cte, DERIVED + ", x AS (SELECT bank, account, sum(amount) / 100.0 AS s FROM l GROUP BY ALL) SELECT bank, round(sum(s * s) / (sum(s) * sum(s)), 9) AS account_concentration FROM x GROUP BY bank")
     register("B12_burst" + tag, source, lambda t: b.burst(b.bank_legs(b.derive(t))), cte, DERIVED + ", x AS (SELECT bank, day, count(*) AS k FROM l GROUP BY ALL) SELECT bank, count(day) AS active_days, CAST(max_by(day, struct_pack(k := k, d := -date_diff('day', DATE '1970-01-01', day))) AS VARCHAR) AS busiest_day, max(k) / sum(k) AS burst_velocity FROM x GROUP BY bank")
     register("B17_ledger_summary" + tag, source, lambda t: b.ledger_summary(b.derive(t)).drop("first_ts", "last_ts"), cte, DERIVED + " SELECT (SELECT count(DISTINCT bank) FROM l) AS banks, (SELECT count(DISTINCT account) FROM l) AS accounts, count(*) AS transfers, sum(amount) / 100.0 AS value, count(DISTINCT from_bank || '|' || to_bank) AS edges, string_agg(DISTINCT payment_currency, ',' ORDER BY payment_currency) AS currencies, count(DISTINCT fmt) AS formats, avg(CASE WHEN cross_currency THEN 1.0::DOUBLE ELSE 0 END) AS cross_currency_share FROM d")
-#: Conserved cycles: all closed paths, then the earliest one of each ring.
-FLOWS = """, ft AS (SELECT row_idx AS idx, epoch_us(ts) AS us, from_account, to_account, amount / 100.0 AS amount FROM trf WHERE from_account <> to_account AND amount > 0),
-ff AS (SELECT list_sort(list(amount))[CAST(floor(0.6 * count(*)) AS BIGINT) + 1] AS least FROM ft),
-fp AS (
-  SELECT from_account AS origin, to_account AS here, us AS t0, us AS latest, amount AS lead, [from_account, to_account] AS accounts, [idx] AS idxs, [amount] AS amounts FROM ft, ff WHERE amount >= least
-  UNION ALL
-  SELECT origin, n.to_account, t0, n.us, lead, CASE WHEN n.to_account = origin THEN accounts ELSE list_append(accounts, n.to_account) END, list_append(idxs, n.idx), list_append(amounts, n.amount)
-  FROM fp p JOIN ft n ON p.here = n.from_account AND n.us >= p.latest AND n.us <= p.t0 + 864000000000 AND abs(n.amount - p.lead) <= 0.25 * p.lead
-  WHERE p.here <> p.origin AND len(p.idxs) < 6 AND (n.to_account = p.origin OR NOT list_contains(accounts, n.to_account)) AND NOT list_contains(idxs, n.idx)
-), fr AS (
-  SELECT *, list_sort([array_to_string(list_concat(accounts[i:], accounts[:i - 1]), '>') FOR i IN range(1, len(accounts) + 1)])[1] AS ring, len(idxs) AS hops FROM fp WHERE here = origin AND len(idxs) >= 3
-), fo AS (
-  SELECT ring, hops, idxs, list_avg(amounts) AS mean_amount, greatest(0, 1 - list_stddev_samp(amounts) / list_avg(amounts)) AS conservation, greatest((latest - t0) / 86400000000.0, 0.01) AS span
-  FROM fr QUALIFY row_number() OVER (PARTITION BY ring ORDER BY t0, idxs[1], idxs) = 1
-), cyc AS (SELECT * FROM (SELECT *, 0.35 * conservation + 0.30 * least(hops / span / 10, 1) + 0.20 / 3 + 0.15 / hops AS risk FROM fo) WHERE risk >= 0.5)"""
+FLOWS = flows("SELECT 0 AS sc, row_idx AS idx, epoch_us(ts) AS us, from_account, to_account, amount / 100.0 AS amount FROM trf WHERE from_account <> to_account AND amount > 0")
 LEVELS = 6
 #: Betweenness of banks by counts of shortest paths, of at most LEVELS hops, between all pairs.
 BETWEEN = """, be AS (SELECT DISTINCT from_bank AS src, to_bank AS dst FROM trf WHERE from_bank <> to_bank), bn AS (SELECT DISTINCT unnest([src, dst]) AS node FROM be), q0 AS (SELECT node AS s, node AS t, 0 AS d, 1.0::DOUBLE AS g FROM bn)""" + "".join(

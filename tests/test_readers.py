@@ -40,3 +40,14 @@ def test_ledger_files(spark, tmp_path):
     with pytest.raises(ValueError, match="from_bank"):
         readers.detect_ledger_columns(["to bank", "x"])
     assert readers.scan_labelled_ledger(spark, str(tmp_path)).where("labelled").first()["from_account"] == "10.0_A1"
+
+
+def test_columns_are_classified(spark):
+    from riskflow.sources.columns import classify_columns
+
+    rows = [(f, k, ["Posting Date", "Remarks", "DR.", "Amount Credited", "Clear Balance", "UTR", "Branch"], [f"0{k}/01/2024", f"paid to shop {k}", "" if k % 2 else "10.00", "1,000" if k % 2 else "", "5", f"R{k}7", "x"]) for f in ("a", "b") for k in range(1, 6)]
+    got = classify_columns(spark.createDataFrame(rows, "file string, row long, header array<string>, cells array<string>"))
+    fields = {(r["file"], r["col"]): r["field"] for r in got.collect()}
+    want = ["txn_date", "narration", "debit_amount", "credit_amount", "balance_after", "reference_no"]
+    assert fields == {(f, k): name for f in "ab" for k, name in enumerate(want)}
+    assert classify_columns(spark.createDataFrame([], "file string, row long, header array<string>, cells array<string>")).count() == 0
