@@ -91,12 +91,12 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(starts)
 
 
-def gram_sets(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+def gram_sets(texts: list[str | bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's word n-grams, one text after the other, and how many each has.
 
     A text of fewer words than ``words`` is one n-gram; one without words has none.
     """
-    data = [t.encode("utf-8", "surrogatepass") for t in texts]
+    data = [t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") for t in texts]
     size = np.fromiter(map(len, data), np.int64, len(data)) + 1
     h, start = word_hashes(b"\n".join(data))
     first = np.searchsorted(start, np.concatenate([[0], np.cumsum(size)]))
@@ -126,13 +126,13 @@ def gram_sets(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndar
     return out[new], distinct[at + grams] - distinct[at]
 
 
-def gram_sets_of_many(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
+def gram_sets_of_many(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
     """``gram_sets``, few texts at a time."""
     parts = [gram_sets(texts[lo : lo + TOGETHER], words) for lo in range(0, len(texts), TOGETHER)]
     return (np.concatenate([g for g, _ in parts]), np.concatenate([n for _, n in parts])) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
-def sets_of_texts(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
+def sets_of_texts(texts: list[str | bytes], words: int = WORDS) -> list[np.ndarray]:
     grams, size = gram_sets(texts, words)
     return np.split(grams, np.cumsum(size)[:-1]) if len(size) else []
 
@@ -148,11 +148,12 @@ def least_overlap(n: Column, m: Column) -> Column:
 
 
 def described(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n and class of each document; row and text for the first one of a class that a task meets."""
+    """doc_id, n and class of each document; row and text, compressed, for the first one of a class that a task meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only("words")
         seen: set[int] = set()
+        pack = zstandard.ZstdCompressor(level=1).compress
         row = TaskContext.get().partitionId() << 40
         for batch in few(batches, TOGETHER):
             texts, ids = texts_of(batch), column(batch, "doc_id").cast("int64")
@@ -165,9 +166,9 @@ def described(docs: DataFrame, words: int) -> DataFrame:
                     seen.add(name)
             rows = [row + k if one else None for k, one in enumerate(new)]
             row += len(rows)
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array(rows, pa.int64()), pa.array([t if one else None for t, one in zip(texts, new, strict=True)], pa.string())], ["doc_id", "n", "class", "row", "text"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array(rows, pa.int64()), pa.array([pack(t.encode("utf-8", "surrogatepass")) if one else None for t, one in zip(texts, new, strict=True)], pa.binary())], ["doc_id", "n", "class", "row", "text"])
 
-    return text_columns(docs).mapInArrow(run, "doc_id long, n long, class long, row long, text string")
+    return text_columns(docs).mapInArrow(run, "doc_id long, n long, class long, row long, text binary")
 
 
 def keys_of(grams: np.ndarray) -> np.ndarray:
@@ -188,13 +189,14 @@ def unplaned(data: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(width, -1).T).view(dtype).ravel()
 
 
-def distinct_texts(batches: list[pa.RecordBatch]) -> tuple[list[int], list[str]]:
+def distinct_texts(batches: list[pa.RecordBatch]) -> tuple[list[int], list[bytes]]:
     """Classes and texts of a block's rows, one of each class."""
-    found: dict[int, str] = {}
+    found: dict[int, bytes] = {}
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         for name, text in zip(column(batch, "class").to_pylist(), column(batch, "text").to_pylist(), strict=True):
             if text is not None:
-                found.setdefault(name, text)
+                found[name] = unpack(text)
     return list(found), list(found.values())
 
 
@@ -397,7 +399,7 @@ def maybe_among(texts: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(own[column(batch, "h").to_numpy()])).select(["class", "row", "text"])
 
-    return texts.select("class", "row", "text").withColumn("h", place).mapInArrow(run, "class long, row long, text string")
+    return texts.select("class", "row", "text").withColumn("h", place).mapInArrow(run, "class long, row long, text binary")
 
 
 def either(pairs: DataFrame) -> DataFrame:
@@ -408,8 +410,9 @@ def sets_of(texts: DataFrame, asked: DataFrame, classes: DataFrame, words: int)
     """class and grams of the classes ``asked`` for, each from the text of the row that names it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in few(batches, TOGETHER):
-            sets = sets_of_texts(texts_of(batch), words)
+            sets = sets_of_texts([unpack(t) for t in column(batch, "text").to_pylist()], words)
             yield pa.RecordBatch.from_arrays([column(batch, "class"), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["class", "grams"])
 
     wanted = materialise(asked.join(classes, "class").select("class", "row"), "wanted")
