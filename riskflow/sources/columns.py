@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.narration import parse_date
 from ..functions.similarity import token_sort_ratio
@@ -52,7 +53,7 @@ def content_scores(values: DataFrame) -> DataFrame:
     return per.select("file", "col", F.explode(F.array(*each)).alias("x")).select("file", "col", "x.*")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def header_scores(headers: pd.Series) -> pd.Series:
     """The likeness of each header with each field's best hint."""
 
