@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -43,12 +44,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with per-task set-up: ``make()`` runs on the executor and returns the batch function."""
+def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, rows: int | None = None) -> DataFrame:
+    """mapInArrow with per-task set-up: ``make()`` runs on the executor and returns the function of batches, of at most ``rows``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
-        for batch in batches:
+        for batch in few(batches, rows) if rows else batches:
             if batch.num_rows:
                 yield each(batch)
 
@@ -119,3 +120,5 @@ def keep_only(name: str) -> None:
     for use, holder in _caches.items():
         if use != name:
             holder.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()

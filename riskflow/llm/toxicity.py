@@ -359,7 +359,7 @@ def whitened(sample: DataFrame, words: list[str], whiten: np.ndarray) -> DataFra
 
         return each
 
-    return map_arrow(sample, make, "toxic int, x binary")
+    return map_arrow(sample, make, "toxic int, x binary", TOGETHER_TEXTS)
 
 
 def margins(points: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -394,7 +394,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
         return each
 
-    scored = map_arrow(text_columns(docs), make, "doc_id long, score double, predicted int")
+    scored = map_arrow(text_columns(docs), make, "doc_id long, score double, predicted int", TOGETHER_TEXTS)
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
@@ -421,4 +421,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
         return each
 
-    return map_arrow(docs, make, docs.schema)
+    return map_arrow(docs, make, docs.schema, TOGETHER_TEXTS)
