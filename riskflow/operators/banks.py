@@ -181,11 +181,10 @@ def statement_ledger(txns: DataFrame, subject: Column, counterparty_bank: Column
 
 
 def dedup_mirrored(ledger: DataFrame) -> DataFrame:
-    """Without later rows equal in accounts, amount and day; rows lacking an account stay."""
-    key = ["from_account", "to_account", "amount", "txn_date"]
-    w = Window.partitionBy(*key).orderBy("statement_id", "row_index")
+    """Without later rows equal in accounts, amount and day; rows lacking an account stay, each in a group of its own."""
     known = F.col("from_account").isNotNull() & F.col("to_account").isNotNull()
-    return ledger.where(known).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r").unionByName(ledger.where(~known))
+    w = Window.partitionBy("from_account", "to_account", "amount", "txn_date", F.when(~known, F.col("row_id"))).orderBy("statement_id", "row_index")
+    return ledger.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
 def coverage(ledger: DataFrame) -> DataFrame:

@@ -18,11 +18,20 @@ def txn_page(txns: DataFrame, statement_id: int, channel: str | None = None, cat
     return rows.orderBy("txn_date", "row_index").offset(offset).limit(size)
 
 
-def node_txn_page(edges: DataFrame, txns: DataFrame, case_id: int, node: str, way: str | None = None, offset: int = 0, size: int = 50) -> DataFrame:
-    """The transactions behind a case's node."""
+def node_txn_page(
+    edges: DataFrame, txns: DataFrame, case_id: int, node: str, way: str | None = None, statement_id: int | None = None, days: tuple[str | None, str | None] = (None, None), amounts: tuple[float | None, float | None] = (None, None), finding: DataFrame | None = None, offset: int = 0, size: int = 50,
+) -> DataFrame:
+    """The transactions behind a case's node: of one way or statement, within days and amounts, on a finding's edges (``finding``: edge_id)."""
     touch = {"in": F.col("dst") == node, "out": F.col("src") == node}.get(way, (F.col("src") == node) | (F.col("dst") == node))
-    rows = edges.where((F.col("case_id") == case_id) & touch).select(F.explode("row_ids").alias("row_id")).distinct()
-    return txns.join(rows, "row_id", "left_semi").orderBy("txn_date", "row_id").offset(offset).limit(size)
+    near = edges.where((F.col("case_id") == case_id) & touch)
+    near = near.join(finding.select("edge_id"), "edge_id", "left_semi") if finding is not None else near
+    rows = txns.join(near.select(F.explode("row_ids").alias("row_id")).distinct(), "row_id", "left_semi")
+    rows = rows.where(F.col("statement_id") == statement_id) if statement_id is not None else rows
+    amount = F.when(F.coalesce("debit", F.lit(0)) > 0, F.col("debit")).otherwise(F.col("credit"))
+    for value, (low, high) in ((F.col("txn_date"), (F.lit(d).cast("date") if d is not None else None for d in days)), (amount, amounts)):
+        rows = rows.where(value >= low) if low is not None else rows
+        rows = rows.where(value <= high) if high is not None else rows
+    return rows.orderBy("txn_date", "row_id").offset(offset).limit(size)
 
 
 def txn_counterparty(txns: DataFrame, counterparties: DataFrame) -> DataFrame:

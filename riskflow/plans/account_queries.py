@@ -14,7 +14,7 @@ QUERIES, ORACLES = {}, {}
 def on_transactions(name, make, sql=None):
     QUERIES[name] = lambda spark, d: make(transactions(spark, d))
     if sql:
-        ORACLES[name] = f"WITH {SQL_TXN} {sql}"
+        ORACLES[name] = f"WITH RECURSIVE {SQL_TXN} {sql}"
 
 
 def with_id(feature: str, expression: str) -> str:
@@ -34,6 +34,26 @@ ADB = """, steps AS (
   SELECT statement_id, coalesce(sum(CASE WHEN days > 0 THEN (balance + nxt) * days END) / 100.0 / 2 / sum(CASE WHEN days > 0 THEN days END), min_by(balance, pos) / 100.0) AS average_daily_balance
   FROM steps GROUP BY statement_id
 )"""
+#: Credits in order, each with the first debit left within a day: the pointer over the debits only moves on.
+MATCHED = """, ct AS (SELECT statement_id, row_number() OVER (PARTITION BY statement_id ORDER BY ts, row_index) AS c, ts FROM txn WHERE credit > 0),
+dt AS (SELECT statement_id, row_number() OVER (PARTITION BY statement_id ORDER BY ts, row_index) AS k, ts, debit FROM txn WHERE debit > 0),
+cp AS (SELECT ct.statement_id, c, ct.ts, 1 + count(dt.k) AS p FROM ct LEFT JOIN dt ON dt.statement_id = ct.statement_id AND dt.ts <= ct.ts GROUP BY ALL),
+mm AS (SELECT DISTINCT statement_id, 0::BIGINT AS c, 1::BIGINT AS k, NULL::BIGINT AS hit FROM ct UNION ALL
+  SELECT m.statement_id, cp.c, coalesce(dt.k + 1, greatest(m.k, cp.p)), dt.k FROM mm m JOIN cp ON cp.statement_id = m.statement_id AND cp.c = m.c + 1
+  LEFT JOIN dt ON dt.statement_id = m.statement_id AND dt.k = greatest(m.k, cp.p) AND dt.ts <= cp.ts + INTERVAL '24' HOUR),
+md AS (SELECT mm.statement_id, dt.debit, (epoch_us(dt.ts) - epoch_us(cp.ts)) / 3.6e9::DOUBLE AS held FROM mm JOIN dt ON dt.statement_id = mm.statement_id AND dt.k = mm.hit JOIN cp ON cp.statement_id = mm.statement_id AND cp.c = mm.c)"""
+RETENTION = MATCHED + """, kept AS (SELECT statement_id, sum(debit) AS m, median(held) AS h FROM md GROUP BY 1), cs AS (SELECT statement_id, coalesce(sum(credit), 0) AS c FROM txn GROUP BY 1)
+  SELECT statement_id, round(CASE WHEN c = 0 THEN 1.0 ELSE greatest(0, 1 - coalesce(m, 0)::DOUBLE / c) END, 9) AS net_retention_ratio, h AS median_holding_time_hours FROM cs LEFT JOIN kept USING (statement_id)"""
+
+
+def dormancy_sql(gap: int, rows: int, days: int) -> str:
+    """Breaks by a scan over an account's distinct days that goes on behind each burst."""
+    return f""", dd AS (SELECT statement_id, list_sort(list(DISTINCT txn_date)) AS d FROM txn GROUP BY 1), br AS (SELECT statement_id, 2::BIGINT AS i, 0::BIGINT AS n FROM dd UNION ALL
+  SELECT statement_id, CASE WHEN silent > {gap} AND burst >= {rows} THEN i + burst + 1 ELSE i + 1 END, CASE WHEN silent > {gap} AND burst >= {rows} THEN n + 1 ELSE n END
+  FROM (SELECT statement_id, i, n, date_diff('day', d[i - 1], d[i]) AS silent, (SELECT count(*) FROM (SELECT unnest(d) AS x) WHERE x BETWEEN d[i] AND d[i] + {days}) AS burst FROM br JOIN dd USING (statement_id) WHERE i <= len(d)))
+  SELECT statement_id, max(n) AS dormancy_breaks FROM br GROUP BY 1"""
+
+
 NIGHT = "CASE WHEN dayofweek(txn_date) IN (0, 6) OR hour(ts) >= 22 OR hour(ts) < 6 THEN 1 ELSE 0 END"
 
 on_transactions("S4_scan_statement_tables", lambda t: t.select("statement_id", "row_id", F.col("txn_date").cast("string"), F.col("debit").cast("double"), F.col("credit").cast("double"), F.col("balance").cast("double"), "narration", "reference_no"),
@@ -43,11 +63,11 @@ on_transactions("Q2_row_confidence", q.row_confidence, RECONCILED + """ SELECT r
 on_transactions("Q3_extraction_tier", q.extraction_tiers, RECONCILED + """, r AS (SELECT statement_id, count_if(is_reconciled) / count(*) AS r FROM rec GROUP BY statement_id)
   SELECT statement_id, CASE WHEN r >= 0.98 THEN 'high' WHEN r >= 0.85 THEN 'medium' ELSE 'low' END AS tier FROM r""")
 on_transactions("F1_account_age", f.account_age, with_id("account_age_days_observed", "date_diff('day', min(txn_date), max(txn_date))"))
-on_transactions("F2_dormancy_breaks", lambda t: f.dormancy_breaks(t, gap=1, rows=2, days=3))
+on_transactions("F2_dormancy_breaks", lambda t: f.dormancy_breaks(t, gap=1, rows=2, days=3), dormancy_sql(1, 2, 3))
 on_transactions("F3_first_week_activity", f.first_week_activity, ", d AS (SELECT *, min(txn_date) OVER (PARTITION BY statement_id) AS first FROM txn) SELECT statement_id, CASE WHEN count(*) >= 2 THEN avg(CASE WHEN date_diff('day', first, txn_date) <= 7 THEN 1.0::DOUBLE ELSE 0 END) END AS first_week_activity_ratio FROM d GROUP BY statement_id")
 on_transactions("F4_days_since_last", lambda t: f.days_since_last(t, "2024-03-01"), with_id("days_since_last_activity", "greatest(0, date_diff('day', max(txn_date), DATE '2024-03-01'))"))
-on_transactions("F5_match_credit_debit_24h", f.matched_debits)
-on_transactions("F6_F7_retention", f.retention)
+on_transactions("F5_match_credit_debit_24h", f.matched_debits, MATCHED + " SELECT statement_id, debit / 100.0 AS matched, held AS held_hours FROM md")
+on_transactions("F6_F7_retention", lambda t: f.retention(t).withColumn("net_retention_ratio", F.round("net_retention_ratio", 9)), RETENTION)
 on_transactions("F8_average_daily_balance", f.average_daily_balance, ADB + " SELECT * FROM adb")
 on_transactions("F9_turnover_ratio", f.turnover, ADB + """, flow AS (SELECT statement_id, (coalesce(sum(debit), 0) + coalesce(sum(credit), 0)) / 100.0 AS flow FROM txn GROUP BY statement_id)
   SELECT statement_id, CASE WHEN flow = 0 THEN 0.0 WHEN average_daily_balance > 0 THEN flow / average_daily_balance END AS turnover_ratio FROM flow LEFT JOIN adb USING (statement_id)""")
@@ -69,7 +89,13 @@ on_transactions("F16_fan_out", f.fan_out, with_id("fan_out_score", "coalesce(cou
 on_transactions("F17_counterparty_hhi", lambda t: f.counterparty_hhi(t).withColumn("counterparty_concentration_hhi", F.round("counterparty_concentration_hhi", 9)), LEGS + """, s AS (SELECT statement_id, counterparty, sum(coalesce(debit, 0) + coalesce(credit, 0)) / 100.0 AS s FROM txn WHERE counterparty IS NOT NULL GROUP BY ALL),
   h AS (SELECT statement_id, CASE WHEN sum(s) > 0 THEN sum(s * s) / (sum(s) * sum(s)) END AS h FROM s GROUP BY statement_id)
   SELECT statement_id, round(h, 9) AS counterparty_concentration_hhi FROM ids LEFT JOIN h USING (statement_id)""")
-on_transactions("F20_feature_long", lambda t: f.feature_long(f.all_features(t)))
+on_transactions("F2_dormancy_default", f.dormancy_breaks, dormancy_sql(30, 3, 3))
+SOURCES = ("F1_account_age", "F2_dormancy_default", "F3_first_week_activity", "F6_F7_retention", "F8_average_daily_balance", "F9_turnover_ratio", "F10_velocity", "F11_weekend_ratio", "F12_near_threshold", "F13_round_numbers", "F14_benford", "F15_fan_in", "F16_fan_out", "F17_counterparty_hhi")
+#: All features of every account, from the SQL of each.
+FEATURES_SQL = "SELECT statement_id, " + ", ".join(f"{n}::DOUBLE AS {n}" for n in f.FEATURES) + " FROM (SELECT DISTINCT user_id AS statement_id FROM events) " + " ".join(f"LEFT JOIN ({ORACLES[s]}) USING (statement_id)" for s in SOURCES)
+LONG_SQL = "SELECT statement_id, u.name AS name, u.value AS value, u.family AS family FROM (SELECT statement_id, unnest([" + ", ".join(f"struct_pack(name := '{n}', value := {n}, family := '{k}')" for n, (k, _) in f.FEATURES.items()) + f"]) AS u FROM ({FEATURES_SQL}))"
+QUERIES["F20_feature_long"] = lambda spark, d: f.feature_long(f.all_features(transactions(spark, d))).withColumn("value", F.round("value", 6))
+ORACLES["F20_feature_long"] = f"SELECT statement_id, name, round(value, 6) AS value, family FROM ({LONG_SQL})"
 on_transactions("P22_features_by_family", lambda t: f.features_by_family(f.feature_long(f.all_features(t))), """, fam AS (SELECT * FROM (VALUES
   ('behavior', 4, 'average_daily_balance,median_holding_time_hours,net_retention_ratio,turnover_ratio'), ('identity', 1, 'counterparty_concentration_hhi'), ('lifecycle', 3, 'account_age_days_observed,dormancy_breaks,first_week_activity_ratio'),
   ('structuring', 5, 'benford_deviation_score,fan_in_score,fan_out_score,near_threshold_ratio,round_number_ratio'), ('velocity', 2, 'inflow_outflow_velocity,weekend_night_activity_ratio')) v(family, n, names))

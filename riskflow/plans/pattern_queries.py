@@ -13,9 +13,10 @@ from ..operators import patterns as p
 from ..operators import quality as q
 from ..operators import scoring as s
 from ..operators import views as v
-from ..sources.adapters import SQL_TRF, SQL_TXN, mirrored_case, transactions, transfers
+from ..sources.adapters import SQL_CASE, SQL_TRF, SQL_TXN, mirrored_case, transactions, transfers
 from ..sources.shared import written
-from .risk_queries import DERIVED, features_of, scored
+from .risk_queries import DERIVED, GEDGES, STAR, features_of, scored
+from .risk_queries import ORACLES as RISK_SQL
 
 QUERIES, ORACLES = {}, {}
 
@@ -23,7 +24,7 @@ QUERIES, ORACLES = {}, {}
 def register(name, source, make, cte=None, sql=None):
     QUERIES[name] = lambda spark, d: make(source(spark, d))
     if sql:
-        ORACLES[name] = f"WITH {cte} {sql}"
+        ORACLES[name] = f"WITH RECURSIVE {cte} {sql}"
 
 
 AMOUNTS = ", am AS (SELECT *, greatest(coalesce(debit, 0), coalesce(credit, 0)) AS amount, CASE WHEN greatest(coalesce(debit, 0), coalesce(credit, 0)) / 100.0 BETWEEN 45000 AND 50000 THEN 50000 WHEN greatest(coalesce(debit, 0), coalesce(credit, 0)) / 100.0 BETWEEN 180000 AND 200000 THEN 200000 END AS band FROM txn WHERE coalesce(debit, credit) > 0)"
@@ -31,6 +32,36 @@ STRUCTURED = AMOUNTS + ", st AS (SELECT statement_id, 'structuring:' || band AS
 SEVERITY = "CASE WHEN risk >= 0.85 THEN 'CRITICAL' WHEN risk >= 0.70 THEN 'HIGH' WHEN risk >= 0.50 THEN 'MEDIUM' ELSE 'LOW' END"
 
 
+#: The rows of case edges with the id of their edge.
+BEHIND = GEDGES + ", pe AS (SELECT *, 'E' || left(sha256(case_id || '|' || CASE WHEN ambiguous THEN row_id ELSE ref || '|' || least(row_id, mirror) || '+' || greatest(row_id, mirror) END), 20) AS edge_id FROM p)"
+
+
+def dormant(gap: int, rows: int, days: int = 3) -> str:
+    """Silences and the bursts behind them (da), by a scan over an account's rows that goes on behind each burst."""
+    return f""", rw AS (SELECT statement_id, row_id, row_number() OVER (PARTITION BY statement_id ORDER BY txn_date, row_index) AS k, txn_date, greatest(coalesce(debit, 0), coalesce(credit, 0)) AS amount FROM txn WHERE coalesce(debit, 0) > 0 OR coalesce(credit, 0) > 0),
+bs AS (SELECT a.statement_id, a.k, a.row_id, count(*) AS burst, sum(b.amount) AS total, string_agg(b.row_id, ',' ORDER BY b.k) AS row_ids FROM rw a JOIN rw b ON b.statement_id = a.statement_id AND b.k >= a.k AND b.txn_date <= a.txn_date + {days} GROUP BY ALL),
+sl AS (SELECT bs.*, date_diff('day', z.txn_date, y.txn_date) AS silent FROM bs JOIN rw y USING (statement_id, k) JOIN rw z ON z.statement_id = bs.statement_id AND z.k = bs.k - 1),
+sn AS (SELECT DISTINCT statement_id, 2::BIGINT AS k FROM rw UNION ALL SELECT statement_id, CASE WHEN silent > {gap} AND burst >= {rows} THEN k + burst + 1 ELSE k + 1 END FROM sn JOIN sl USING (statement_id, k)),
+da AS (SELECT statement_id, 'dormancy' AS kind, 'dormancy:' || row_id AS pattern_id, 0.5 * least(silent / 90, 1) + 0.5 * least(burst / 6, 1) AS risk, total / 100.0 AS total, 'R2_dormancy_then_burst' AS rule, row_ids FROM sl JOIN sn USING (statement_id, k) WHERE silent > {gap} AND burst >= {rows})"""
+
+
+#: Credits in order, each with the first debit of its day or the next that is near enough and unused; then the ten gravest.
+LAYERED = """, lc AS (SELECT statement_id, row_id, txn_date, credit, row_number() OVER (PARTITION BY statement_id ORDER BY txn_date, row_index) AS c FROM txn WHERE credit > 0),
+ld AS (SELECT statement_id, row_id, txn_date, debit, row_number() OVER (PARTITION BY statement_id ORDER BY txn_date, row_index) AS k FROM txn WHERE debit > 0),
+lk AS (SELECT statement_id, c, coalesce(list(k ORDER BY k) FILTER (k IS NOT NULL), []) AS fits FROM lc LEFT JOIN (SELECT lc.statement_id, c, k FROM lc JOIN ld ON lc.statement_id = ld.statement_id AND date_diff('day', lc.txn_date, ld.txn_date) BETWEEN 0 AND 1 AND least(credit, debit)::DOUBLE / greatest(credit, debit) >= 0.6) USING (statement_id, c) GROUP BY ALL),
+lm AS (SELECT DISTINCT statement_id, 0::BIGINT AS c, []::BIGINT[] AS used, NULL::BIGINT AS hit FROM lc UNION ALL
+  SELECT statement_id, c, CASE WHEN hit IS NULL THEN used ELSE list_append(used, hit) END, hit FROM (SELECT m.statement_id, m.c + 1 AS c, used, [x FOR x IN fits IF NOT list_contains(used, x)][1] AS hit FROM lm m JOIN lk ON lk.statement_id = m.statement_id AND lk.c = m.c + 1)),
+lp AS (SELECT statement_id, lc.row_id AS credit_row, ld.row_id AS debit_row, least(credit, debit)::DOUBLE / greatest(credit, debit) AS near, date_diff('day', lc.txn_date, ld.txn_date) AS held, greatest(credit, debit) / 100.0 AS largest, (credit + debit) / 100.0 AS total FROM lm JOIN lc USING (statement_id, c) JOIN ld USING (statement_id) WHERE ld.k = hit),
+la AS (SELECT statement_id, 'layering' AS kind, 'layering:' || credit_row AS pattern_id, (0.5 * near + 0.5 * (1 - held)) * (0.6 + 0.4 * least(largest / 200000, 1)) AS risk, total, 'R1_low_retention_high_turnover' AS rule, credit_row || ',' || debit_row AS row_ids FROM lp QUALIFY row_number() OVER (PARTITION BY statement_id ORDER BY risk DESC, total DESC, credit_row) <= 10)"""
+CYCLIC = STAR + """, ca AS (SELECT statement_id, 'cycle' AS kind, 'cycle:' || counterparty AS pattern_id, any_value(risk) AS risk, sum(greatest(coalesce(debit, 0), coalesce(credit, 0))) / 100.0 AS total, 'R5_circular_flow_detected' AS rule, string_agg(row_id, ',' ORDER BY row_id) AS row_ids
+  FROM star JOIN txn USING (statement_id, counterparty) WHERE risk >= 0.3 AND (coalesce(debit, 0) > 0 OR coalesce(credit, 0) > 0) GROUP BY statement_id, counterparty)"""
+BANDED = STRUCTURED + ", sa AS (SELECT statement_id, 'structuring' AS kind, pattern_id, risk, total, 'R3_structuring_near_threshold' AS rule, row_ids FROM st JOIN (SELECT statement_id, 'structuring:' || band AS pattern_id, string_agg(row_id, ',' ORDER BY row_id) AS row_ids FROM am WHERE band IS NOT NULL GROUP BY ALL) USING (statement_id, pattern_id))"
+BUILT = CYCLIC + LAYERED + BANDED + dormant(30, 3) + f""", pa AS (SELECT * FROM ca UNION ALL SELECT * FROM la UNION ALL SELECT * FROM sa UNION ALL SELECT * FROM da), fi AS ({RISK_SQL["R1_rule_eval"]}),
+pn AS (SELECT pa.*, {SEVERITY} AS severity FROM pa LEFT JOIN fi USING (statement_id) WHERE risk >= 0.5 OR list_contains(string_split(fired, ','), rule)),
+pt AS (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY list_position(['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], severity) DESC, risk DESC, total DESC, pattern_id) AS rank FROM pn QUALIFY rank <= 25),
+pr AS (SELECT pt.statement_id, pattern_id, risk, txn.row_id, ts, txn_date, debit, counterparty, greatest(coalesce(debit, 0), coalesce(credit, 0)) / 100.0 AS amount FROM (SELECT *, unnest(string_split(row_ids, ',')) AS row_id FROM pt) pt JOIN txn USING (row_id))"""
+
+
 def patterns(t):
     parts = [p.cycle_patterns(g.star_cycles(t, 0.3), t), p.layering_patterns(t), p.structuring_patterns(t), p.dormancy_patterns(t)]
     return written(p.build_patterns(parts, s.evaluate_rules(features_of(t))), "patterns")
@@ -53,14 +84,21 @@ def sure(t):
     return p.confidence(done.withColumn("n_rules", rules).join(n, "statement_id", "left").fillna(0, ["n_patterns"]).join(q.reconciliation_rate(t).withColumnRenamed("reconciliation_rate", "rate"), "statement_id").withColumn("ood", F.lit(1.0)))
 
 
+def shown(found):
+    return found.withColumns({"risk": F.round("risk", 6), "total": F.round("total", 2), "row_ids": F.array_join("row_ids", ",")})
+
+
 register("T2_severity", transactions, lambda t: p.structuring_patterns(t).select("statement_id", "pattern_id", p.severity(F.col("risk")).alias("severity")), SQL_TXN, STRUCTURED + f" SELECT statement_id, pattern_id, {SEVERITY} AS severity FROM st")
-register("T4_cycle_pattern", transactions, lambda t: p.cycle_patterns(g.star_cycles(t, 0.3), t).withColumn("row_ids", F.array_join("row_ids", ",")))
-register("T5_J4_layering", transactions, lambda t: p.layering_patterns(t).withColumn("row_ids", F.array_join("row_ids", ",")))
+register("T4_cycle_pattern", transactions, lambda t: shown(p.cycle_patterns(g.star_cycles(t, 0.3), t)), SQL_TXN, CYCLIC + " SELECT * REPLACE (round(risk, 6) AS risk, round(total, 2) AS total) FROM ca")
+register("T5_J4_layering", transactions, lambda t: shown(p.layering_patterns(t)), SQL_TXN, LAYERED + " SELECT * REPLACE (round(risk, 6) AS risk, round(total, 2) AS total) FROM la")
 register("T6_structuring", transactions, lambda t: p.structuring_patterns(t).select("statement_id", "pattern_id", F.round("risk", 6).alias("risk"), "total"), SQL_TXN, STRUCTURED + " SELECT statement_id, pattern_id, round(risk, 6) AS risk, total FROM st")
-register("T7_dormancy", transactions, lambda t: p.dormancy_patterns(t, gap=1, rows=2).withColumn("row_ids", F.array_join("row_ids", ",")))
-register("T8_build_patterns", transactions, lambda t: patterns(t).select("statement_id", "pattern_id", "kind", "severity", "rank"))
-register("T1_hops", transactions, lambda t: p.hops(patterns(t), t))
-register("T3_finalize", transactions, lambda t: p.finalize(patterns(t), t))
+register("T7_dormancy", transactions, lambda t: shown(p.dormancy_patterns(t, gap=1, rows=2)), SQL_TXN, dormant(1, 2) + " SELECT * REPLACE (round(risk, 6) AS risk, round(total, 2) AS total) FROM da")
+register("T8_build_patterns", transactions, lambda t: patterns(t).select("statement_id", "pattern_id", "kind", "severity", "rank"), SQL_TXN, BUILT + " SELECT statement_id, pattern_id, kind, severity, CAST(rank AS INTEGER) AS rank FROM pt")
+register("T1_hops", transactions, lambda t: p.hops(patterns(t), t).withColumns({"gap_hours": F.round("gap_hours", 6), "hop_risk": F.round("hop_risk", 6)}), SQL_TXN,
+         BUILT + """, hp AS (SELECT *, row_number() OVER w AS hop, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 3.6e9::DOUBLE AS gap, coalesce(debit, 0) > 0 AS out, amount BETWEEN 45000 AND 50000 OR amount BETWEEN 180000 AND 200000 AS banded FROM pr WINDOW w AS (PARTITION BY statement_id, pattern_id ORDER BY txn_date, row_id)),
+         hr AS (SELECT *, coalesce(gap <= 24, FALSE) AS rapid, 'ACCT_' || statement_id AS me, coalesce(counterparty, 'UNKNOWN') AS other FROM hp), hs AS (SELECT * REPLACE (least(1, risk + CASE WHEN banded THEN 0.10 ELSE 0 END + CASE WHEN rapid THEN 0.05 ELSE 0 END) AS risk) FROM hr)
+         SELECT statement_id, pattern_id, CAST(hop AS INTEGER) AS hop, row_id, CASE WHEN out THEN me ELSE other END AS from_node, CASE WHEN out THEN other ELSE me END AS to_node, amount, round(gap, 6) AS gap_hours, rapid, banded, round(risk, 6) AS hop_risk, """ + SEVERITY + " AS severity FROM hs")
+register("T3_finalize", transactions, lambda t: p.finalize(patterns(t), t).withColumn("total", F.round("total", 2)), SQL_TXN, BUILT + " SELECT statement_id, pattern_id, count(*) AS n, round(sum(amount), 2) AS total, date_diff('day', min(txn_date), max(txn_date))::DOUBLE AS span_days, CAST(min(txn_date) AS VARCHAR) AS start, CAST(max(txn_date) AS VARCHAR) AS \"end\" FROM pr GROUP BY 1, 2")
 register("W1_peak_velocity_rows", transactions, p.peak_velocity_rows, SQL_TXN, ", v AS (SELECT statement_id, row_id, ts, count(*) OVER (PARTITION BY statement_id ORDER BY ts RANGE BETWEEN INTERVAL '24' HOUR PRECEDING AND CURRENT ROW) AS n FROM txn), k AS (SELECT statement_id, min(ts) AS peak FROM v JOIN (SELECT statement_id, max(n) AS n FROM v GROUP BY 1) USING (statement_id, n) GROUP BY 1) SELECT statement_id, row_id FROM txn JOIN k USING (statement_id) WHERE ts BETWEEN peak - INTERVAL '24' HOUR AND peak")
 register("W2_W4_reasons", transactions, lambda t: ranked(t, patterns(t)))
 register("W5_confidence", transactions, sure)
@@ -69,11 +107,13 @@ register("C3_evidence_bundle", transactions, lambda t: bundle(t).withColumns({"p
 register("P16_redacted_projection", transactions, lambda t: p.redacted_projection(bundle(t)).withColumn("top_patterns", F.to_json("top_patterns")))
 register("P17_narrative", transactions, lambda t: p.narrative(scored(t)))
 register("P9_txn_page", transactions, lambda t: v.txn_page(t, 8, search="payee", low=100.0, size=20).select("row_id", F.col("txn_date").cast("string"), "narration"), SQL_TXN, "SELECT row_id, CAST(txn_date AS VARCHAR) AS txn_date, narration FROM txn WHERE statement_id = 8 AND narration ILIKE '%payee%' AND (debit >= 10000 OR credit >= 10000) ORDER BY txn.txn_date, row_index LIMIT 20")
-register("P10_node_txn_page", mirrored_case, lambda t: v.node_txn_page(c.case_edges(t), t, 1, "S3", size=30).select("row_id", "reference_no"))
+register("P10_node_txn_page", mirrored_case, lambda t: v.node_txn_page(c.case_edges(t), t, 1, "S3", size=30).select("row_id", "reference_no"), SQL_CASE, BEHIND + " SELECT row_id, reference_no FROM pe JOIN ce USING (case_id, edge_id) WHERE case_id = 1 AND 'S3' IN (src, dst) ORDER BY txn_date, row_id LIMIT 30")
+register("P10_node_txn_ranges", mirrored_case, lambda t: v.node_txn_page(c.case_edges(t), t, 1, "S3", "out", 3, ("1995-02-01", "1995-06-30"), (1020, 1070)).select("row_id", "reference_no"), SQL_CASE,
+         BEHIND + " SELECT row_id, reference_no FROM pe JOIN ce USING (case_id, edge_id) WHERE case_id = 1 AND src = 'S3' AND statement_id = 3 AND txn_date BETWEEN DATE '1995-02-01' AND DATE '1995-06-30' AND pe.amount BETWEEN 102000 AND 107000 ORDER BY txn_date, row_id LIMIT 50")
 register("J1_txn_counterparty", transactions, lambda t: v.txn_counterparty(t, t.where("counterparty is not null").groupBy("statement_id", "counterparty").agg(F.min("row_index").alias("first_row"))).select("row_id", "first_row"), SQL_TXN, ", f AS (SELECT statement_id, counterparty, min(row_index) AS first_row FROM txn WHERE counterparty IS NOT NULL GROUP BY ALL) SELECT row_id, first_row FROM txn LEFT JOIN f USING (statement_id, counterparty)")
 register("J6_reference_cohort", transactions, lambda t: v.reference_cohort(t.groupBy("statement_id").agg(F.count("*").cast("double").alias("value")).withColumn("name", F.lit("n"))), SQL_TXN, ", n AS (SELECT statement_id, count(*)::DOUBLE AS value FROM txn GROUP BY 1) SELECT statement_id, 'n' AS name, (SELECT sum(value) FROM n) - value AS others_sum, (SELECT count(*) FROM n) - 1 AS others FROM n")
 register("J7_bounds", transfers, lambda t: v.bounds(b.bank_legs(b.derive(t))), SQL_TRF, DERIVED + " SELECT bank, CAST(min(CASE WHEN way = 'out' THEN day END) AS VARCHAR) AS first_sent, CAST(max(CASE WHEN way = 'out' THEN day END) AS VARCHAR) AS last_sent, CAST(min(CASE WHEN way = 'in' THEN day END) AS VARCHAR) AS first_received, CAST(max(CASE WHEN way = 'in' THEN day END) AS VARCHAR) AS last_received FROM l GROUP BY bank")
-register("J8_case_membership", mirrored_case, lambda t: t.select("case_id", "statement_id").distinct().groupBy("case_id").agg(F.count("*").alias("n")))
+register("J8_case_membership", mirrored_case, lambda t: t.select("case_id", "statement_id").distinct(), SQL_CASE, "SELECT DISTINCT case_id, statement_id FROM legs")
 register("P14_statement_summary", transactions, lambda t: v.statement_summary(t.groupBy("statement_id").agg(F.count("*").alias("n")), t.select("statement_id", F.col("row_index").alias("created_ts"), F.lit("NEEDS_REVIEW").alias("tier"), F.col("row_index").cast("double").alias("score"))), SQL_TXN, "SELECT statement_id, count(*) AS n, 'NEEDS_REVIEW' AS tier, max(row_index)::DOUBLE AS score FROM txn GROUP BY 1")
 register("P20_statement_rollup", transactions, lambda t: v.statement_rollup(scored(t).join(t.groupBy("statement_id").agg(F.count("*").alias("n")), "statement_id")))
 NAMES = ["account_age_days_observed", "turnover_ratio", "inflow_outflow_velocity", "fan_in_score", "fan_out_score", "round_number_ratio"]

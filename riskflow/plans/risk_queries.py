@@ -15,6 +15,9 @@ from ..operators import quality as q
 from ..operators import scoring as s
 from ..sources.adapters import SQL_BULK, SQL_CASE, SQL_TRF, SQL_TXN, bulk_transfers, mirrored_case, transactions, transfers
 from ..sources.shared import written
+from .account_queries import FEATURES_SQL, LONG_SQL
+from .account_queries import ORACLES as ACCOUNT_SQL
+from .narration_queries import CODES
 
 QUERIES, ORACLES = {}, {}
 
@@ -58,9 +61,28 @@ def features_of(t):
     return written(f.all_features(t).join(g.max_cycle_risk(t, g.star_cycles(t)), "statement_id", "left"), "features")
 
 
-register("R1_rule_eval", transactions, lambda t: s.evaluate_rules(features_of(t)))
-register("R2_R3_rule_clauses", transactions, lambda t: s.rule_clauses(features_of(t)))
-register("A2_mad_flags", transactions, lambda t: s.mad_flags(f.feature_long(features_of(t))))
+def limit_sql(token: str) -> str:
+    """A threshold as s.threshold has it, over the columns of ft and its sorted list own."""
+    if token == "critical_value_95":
+        return str(config.BENFORD_CRITICAL)
+    if token[0] == "p" and token[1:].isdigit():
+        return f"own[least(len(own), CAST(floor(len(own) * {token[1:]} / 100) AS BIGINT) + 1)]"
+    return token
+
+
+def clauses_sql(text: str) -> list[tuple[str, str, str]]:
+    return [(field, op, limit_sql(token)) for field, op, token in (part.split() for part in text.replace(" OR ", " AND ").split(" AND "))]
+
+
+RULED = f", ft AS (SELECT *, list_sort([x FOR x IN [{', '.join(s.NAMES)}] IF x IS NOT NULL]) AS own FROM ({FEATURES_SQL}) LEFT JOIN ({ORACLES['F19_max_cycle_risk']}) USING (statement_id))"
+HELD = {name: "(" + " AND ".join(f"coalesce({field} {op} {limit}, FALSE)" for field, op, limit in clauses_sql(text)) + ")" for name, _, text in config.RULES}
+CLAUSES = ", ".join(f"struct_pack(rule := '{name}', clause := {k}, field := '{field}', op := '{op}', threshold := ({limit})::DOUBLE, actual := {field}, holds := coalesce({field} {op} {limit}, FALSE))" for name, _, text in config.RULES for k, (field, op, limit) in enumerate(clauses_sql(text)))
+register("R1_rule_eval", transactions, lambda t: s.evaluate_rules(features_of(t)), SQL_TXN,
+         RULED + " SELECT statement_id, CAST(least(100, " + " + ".join(f"CASE WHEN {HELD[name]} THEN {points} ELSE 0 END" for name, points, _ in config.RULES) + ") AS BIGINT) AS rule_score, coalesce(array_to_string([x FOR x IN [" + ", ".join(f"CASE WHEN {h} THEN '{name}' END" for name, h in HELD.items()) + "] IF x IS NOT NULL], ','), '') AS fired FROM ft")
+register("R2_R3_rule_clauses", transactions, lambda t: s.rule_clauses(features_of(t)).withColumns({c: F.round(c, 6) for c in ("threshold", "actual")}), SQL_TXN,
+         RULED + f" SELECT statement_id, u.rule AS rule, u.clause AS clause, u.field AS field, u.op AS op, round(u.threshold, 6) AS threshold, round(u.actual, 6) AS actual, u.holds AS holds FROM (SELECT statement_id, unnest([{CLAUSES}]) AS u FROM ft)")
+register("A2_mad_flags", transactions, lambda t: s.mad_flags(f.feature_long(features_of(t))), SQL_TXN,
+         f", fl AS (SELECT statement_id, name, coalesce(value, 0) AS value FROM ({LONG_SQL})), fm AS (SELECT name, median(value) AS m FROM fl GROUP BY 1), fd AS (SELECT fl.*, m, abs(value - m) AS d FROM fl JOIN fm USING (name)), fs AS (SELECT name, median(d) AS mad FROM fd GROUP BY 1), fz AS (SELECT statement_id, name, mad > 0 AND abs(0.6745 * (value - m) / mad) > {config.ROBUST_Z} AS far FROM fd JOIN fs USING (name)) SELECT statement_id, CAST(count_if(far) AS BIGINT) AS n_flags, coalesce(string_agg(CASE WHEN far THEN name END, ',' ORDER BY name), '') AS flagged FROM fz GROUP BY 1")
 register("C1_C2_account_risk", transactions, scored)
 register("W3_score_breakdown", transactions, lambda t: s.score_breakdown(scored(t)))
 register("A1_robust_z", transactions, lambda t: s.robust_z(t.groupBy("statement_id").agg(F.count("*").alias("n")), "n").select("statement_id", F.round("z", 9).alias("z")), SQL_TXN,
@@ -133,7 +155,8 @@ gx AS (SELECT ring, hops, edges, greatest(0, 1 - coalesce(sd, 0) / m) AS conserv
 gy AS (SELECT ring, hops, edges, conservation, 0.35 * conservation + 0.30 * least(hops / span / 10, 1) + 0.20 * least(edges / hops, 1) + 0.15 / hops AS risk, FALSE AS dense FROM gx)"""
 register("G3b_graph_cycles", mirrored_case, lambda t: g.graph_cycles(case_graph(t), 0.4, checkpoint=lambda df: written(df, "graph")).select(F.concat_ws(">", "nodes").alias("ring"), "hops", "edges", F.round("risk", 6).alias("risk"), "dense"), SQL_CASE,
          CASE_GRAPH + " SELECT ring, hops, edges, round(risk, 6) AS risk, dense FROM gy WHERE risk >= 0.4 UNION ALL SELECT component, 0, n, 0, TRUE FROM gs WHERE n > 1000")
-register("J9_finding_edges", mirrored_case, lambda t: c.finding_edges(*findings(t)[::-1]))
+register("J9_finding_edges", mirrored_case, lambda t: c.finding_edges(*findings(t)[::-1]).select("case_id", "ring", "hop", "edge_id", "src", "dst", F.col("amount").cast("double")), SQL_CASE,
+         CASE_FLOWS + " SELECT sc AS case_id, ring, CAST(i - 1 AS INTEGER) AS hop, edge_id, src, dst, ce.amount FROM (SELECT *, unnest(range(1, hops + 1)) AS i FROM cyc) JOIN ce ON ce.case_id = sc AND ce.edge_id = idxs[i]")
 register("G12_draft_records", mirrored_case, lambda t: c.draft_records(*findings(t)[::-1]).withColumn("hops", F.to_json("hops")))
 
 # Banks.
@@ -198,14 +221,29 @@ register("P12_bank_neighbourhood", bulk_transfers, lambda t: b.bank_neighbourhoo
 register("P13_bank_graph", bulk_transfers, lambda t: b.bank_graph(b.bank_edges(t)), SQL_BULK, BEDGES + ", top AS (SELECT bank FROM (SELECT unnest([from_bank, to_bank]) AS bank, amount FROM e) GROUP BY bank ORDER BY sum(amount) DESC, bank LIMIT 8) SELECT * FROM e WHERE from_bank IN (SELECT bank FROM top) AND to_bank IN (SELECT bank FROM top)")
 
 
+def subject_bank():
+    return F.element_at(F.array(*map(F.lit, ("SBIN", "HDFC", "ICIC", "UTIB"))), (F.col("statement_id") % 4 + 1).cast("int"))
+
+
 def ledger(t):
-    return b.statement_ledger(t, F.element_at(F.array(*map(F.lit, ("SBIN", "HDFC", "ICIC", "UTIB"))), (F.col("statement_id") % 4 + 1).cast("int")), n.resolve_counterparty_bank(F.col("narration")))
+    return b.statement_ledger(t, subject_bank(), n.resolve_counterparty_bank(F.col("narration")))
+
+
+LEDGER = f""", lg AS (SELECT * FROM (SELECT *, s || ':stmt' || statement_id AS me, CASE WHEN cb <> 'UNATTRIBUTED' THEN cb || ':cp' || counterparty END AS other, coalesce(debit, 0) > 0 AS out, CASE WHEN debit > 0 THEN debit ELSE credit END AS paid
+  FROM (SELECT *, ['SBIN', 'HDFC', 'ICIC', 'UTIB'][statement_id % 4 + 1] AS s FROM txn) JOIN (SELECT row_id, coalesce(a, b, c, d, e, 'UNATTRIBUTED') AS cb FROM ({CODES})) USING (row_id)) WHERE paid > 0),
+ld AS (SELECT statement_id, row_id, row_index, txn_date, CASE WHEN out THEN s ELSE cb END AS from_bank, CASE WHEN out THEN me ELSE other END AS from_account, CASE WHEN out THEN cb ELSE s END AS to_bank, CASE WHEN out THEN other ELSE me END AS to_account, paid FROM lg)"""
+register("B1_statement_ledger", transactions, lambda t: ledger(t).select("row_id", "from_bank", "from_account", "to_bank", "to_account", F.col("amount").cast("double")), SQL_TXN, LEDGER + " SELECT row_id, from_bank, from_account, to_bank, to_account, paid / 100.0 AS amount FROM ld")
+register("B2_dedup_mirrored", transactions, lambda t: b.dedup_mirrored(ledger(t)).select("row_id"), SQL_TXN, LEDGER + " SELECT row_id FROM ld QUALIFY from_account IS NULL OR to_account IS NULL OR row_number() OVER (PARTITION BY from_account, to_account, paid, txn_date ORDER BY statement_id, row_index) = 1")
+register("B3_coverage", transactions, lambda t: b.coverage(ledger(t)), SQL_TXN, LEDGER + " SELECT statement_id, count(*) AS n, avg(CASE WHEN from_bank <> 'UNATTRIBUTED' AND to_bank <> 'UNATTRIBUTED' THEN 1.0::DOUBLE ELSE 0 END) AS attribution_rate FROM ld GROUP BY 1")
+
+
+def statements_of(t):
+    """statement_id, its rows, its extraction tier as status and the bank it is from."""
+    return t.groupBy("statement_id").agg(F.count("*").alias("n")).join(q.extraction_tiers(t).withColumnRenamed("tier", "status"), "statement_id").withColumn("bank", subject_bank())
 
 
-register("B1_statement_ledger", transactions, lambda t: ledger(t).select("row_id", "from_bank", "from_account", "to_bank", "to_account", F.col("amount").cast("double")))
-register("B2_dedup_mirrored", transactions, lambda t: b.dedup_mirrored(ledger(t)).select("row_id"))
-register("B3_coverage", transactions, lambda t: b.coverage(ledger(t)))
-register("B4_corpus_fingerprint", transactions, lambda t: b.corpus_fingerprint(t.groupBy("statement_id").agg(F.count("*").alias("n")).withColumns({"status": F.lit("analyzed"), "bank": F.lit("SBIN")})))
+register("B4_corpus_fingerprint", transactions, lambda t: b.corpus_fingerprint(statements_of(t)), SQL_TXN,
+         f", st AS (SELECT statement_id, statement_id || ':' || tier || ':' || n || ':' || ['SBIN', 'HDFC', 'ICIC', 'UTIB'][statement_id % 4 + 1] AS line FROM (SELECT statement_id, count(*) AS n FROM txn GROUP BY 1) JOIN ({ACCOUNT_SQL['Q3_extraction_tier']}) USING (statement_id)), pt AS (SELECT statement_id // 1000 AS p, sha256(string_agg(line, '|' ORDER BY statement_id)) AS d FROM st GROUP BY 1) SELECT sha256(string_agg(d, '|' ORDER BY p)) AS fingerprint FROM pt")
 register("G6_conserved_cycles", transfers, lambda t: cycles(t).select("ring", "hops", F.round("conservation", 6).alias("conservation"), F.round("risk", 6).alias("risk")), SQL_TRF, FLOWS + " SELECT ring, hops, round(conservation, 6) AS conservation, round(risk, 6) AS risk FROM cyc")
 register("G7_bank_cycle_index", transfers, lambda t: b.bank_cycle_index(t, cycles(t)).withColumn("top_risk", F.round("top_risk", 6)), SQL_TRF, FLOWS + "  , bx AS (SELECT DISTINCT ring, risk, unnest([from_bank, to_bank]) AS bank FROM (SELECT ring, risk, unnest(idxs) AS row_idx FROM cyc) JOIN trf USING (row_idx)) SELECT bank, count(*) AS n_cycles, round(max(risk), 6) AS top_risk FROM bx GROUP BY bank")
 register("G7_cycle_summary", transfers, lambda t: b.cycle_summary(cycles(t)).withColumns({"top_risk": F.round("top_risk", 6), "value": F.round("value", 2)}), SQL_TRF, FLOWS + " SELECT count(*) AS n, round(max(risk), 6) AS top_risk, round(sum(mean_amount * hops), 2) AS value FROM cyc")
