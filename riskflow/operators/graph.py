@@ -205,8 +205,11 @@ def graph_cycles(edges: DataFrame, least_risk: float = config.STAR_RISK, edge_ca
     return scored.unionByName(dense)
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 30, checkpoint=None) -> DataFrame:
-    """node, rank for weighted edges (src, dst, weight); what dangling nodes hold goes to all."""
+def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, checkpoint=None) -> DataFrame:
+    """node, rank for weighted edges (src, dst, weight); what dangling nodes hold goes to all.
+
+    Rounds end, after at most ``rounds``, when all ranks together change by less than ``tolerance`` for each node.
+    """
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     share = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p"))
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(out.select(F.col("src").alias("node"), F.lit(True).alias("sends")), "node", "left")
@@ -217,9 +220,12 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 30, checkpoi
     for _ in range(rounds):
         loose = rank.agg(F.coalesce(F.sum(F.when(F.col("sends").isNull(), F.col("rank"))), F.lit(0.0)).alias("loose"))
         got = rank.join(share, F.col("node") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
-        rank = nodes.join(got, F.col("node") == F.col("dst"), "left").crossJoin(F.broadcast(loose)).select("node", "sends", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))  # one row
+        before, rank = rank, nodes.join(got, F.col("node") == F.col("dst"), "left").crossJoin(F.broadcast(loose)).select("node", "sends", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))  # one row
         if checkpoint:
             rank = checkpoint(rank)
+        moved = rank.join(before.select("node", F.col("rank").alias("_b")), "node").agg(F.sum(F.abs(F.col("rank") - F.col("_b")))).first()[0]
+        if moved is None or moved < n * tolerance:
+            break
     return rank.select("node", "rank")
 
 

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import narration as n
-from ..functions.similarity import assign_category, merge_variants
+from ..functions.similarity import assign_category, match_templates, merge_variants
+from ..operators.features import name_consistency
 from ..sources.adapters import SQL_TXN, transactions
 from ..sources.columns import classify_columns
+from ..sources.readers import extract_preamble, map_rows, scan_statement_csv
 
 QUERIES, ORACLES = {}, {}
 
@@ -119,3 +121,29 @@ def raw_statement(t):
 
 on_transactions("P5_classify_columns", lambda t: classify_columns(raw_statement(t)).select("file", "col", "field"),
                 "SELECT DISTINCT statement_id AS file, CAST(i AS INTEGER) AS col, ['txn_date', 'value_date', 'narration', 'reference_no', 'debit_amount', 'credit_amount', 'balance_after'][i + 1] AS field FROM txn, range(7) AS r(i)")
+HEADER = {"date": "Txn Date", "narration": "Transaction Particulars", "reference": "Chq/Ref No.", "debit": "Withdrawal Amt (INR)", "credit": "Deposit Amt (INR)", "balance": "Closing Balance"}
+on_transactions("P3_map_row", lambda t: map_rows(raw_statement(t), HEADER).select("file", "row_index", F.col("txn_date").cast("string"), "narration", "reference_no", *(F.col(c).cast("double") for c in ("debit", "credit", "balance"))),
+                "SELECT statement_id AS file, CAST(row_number() OVER (PARTITION BY statement_id ORDER BY row_index) AS INTEGER) AS row_index, CAST(txn_date AS VARCHAR) AS txn_date, narration, reference_no, nullif(debit, 0) / 100.0 AS debit, nullif(credit, 0) / 100.0 AS credit, balance / 100.0 AS balance FROM txn")
+
+
+def file_lines(t):
+    """The raw statements as lines of files: three lines ahead of the header, the rows, a blank line and a total."""
+    raw = raw_statement(t)
+    cells = raw.select("file", F.struct((F.col("row") + 3).alias("row"), "cells").alias("at"))
+    ahead = [F.array(F.concat(F.lit("Statement of S"), F.col("file"))), F.array(F.lit("")), F.array(F.lit("Branch 7"))]
+    one = raw.groupBy("file").agg(F.first("header").alias("header"), F.count("*").cast("int").alias("n"))
+    fixed = F.array(*(F.struct(F.lit(k).alias("row"), c.alias("cells")) for k, c in enumerate([*ahead, F.col("header")])), *(F.struct((F.col("n") + k).alias("row"), F.array(F.lit(text)).alias("cells")) for k, text in ((4, ""), (5, "Total 12"))))
+    return one.select("file", F.explode(fixed).alias("at")).unionByName(cells).select("file", "at.row", F.concat_ws(";", "at.cells").alias("line"), "at.cells", F.lit(3).alias("header_row"))
+
+
+on_transactions("S1_statement_rows", lambda t: scan_statement_csv(file_lines(t)).select("file", "row", F.element_at("header", 1).alias("first"), F.element_at("cells", 4).alias("reference_no")),
+                "SELECT statement_id AS file, CAST(3 + row_number() OVER (PARTITION BY statement_id ORDER BY row_index) AS INTEGER) AS row, 'Txn Date' AS first, reference_no FROM txn")
+on_transactions("E12_extract_preamble", lambda t: extract_preamble(file_lines(t)).select("file", F.array_join("preamble", "|").alias("preamble")), "SELECT DISTINCT statement_id AS file, 'Statement of S' || statement_id || '|Branch 7' AS preamble FROM txn")
+TEMPLATES = {"six_columns": list(HEADER.values()), "other": ["Posting Day", "Text", "Sum"]}
+on_transactions("P4_template_match", lambda t: match_templates(t.select("statement_id").distinct().select(F.col("statement_id").alias("file"), F.when(F.col("statement_id") % 3 == 0, F.array(*(F.lit(h.upper()) for h in HEADER.values()))).when(F.col("statement_id") % 3 == 1, F.array(*map(F.lit, ("Day, Posting", "Sum", "text")))).otherwise(F.array(F.lit("xyz"))).alias("header")), TEMPLATES).select("file", "template"),
+                "SELECT DISTINCT statement_id AS file, CASE statement_id % 3 WHEN 0 THEN 'six_columns' WHEN 1 THEN 'other' END AS template FROM txn")
+on_transactions("P18_fact_check", lambda t: t.select("row_id", n.fact_check(
+                    F.concat(F.lit("Row "), F.col("row_id"), F.when(F.col("row_index") % 3 == 0, " moved 987654321.5").otherwise(" moved"), F.when(F.col("row_index") % 5 == 0, ", proven").otherwise("")), F.concat(F.lit("id "), F.col("row_id"))).alias("holds")),
+                "SELECT row_id, row_index % 3 <> 0 AND row_index % 5 <> 0 AS holds FROM txn")
+on_transactions("F18_name_consistency", lambda t: name_consistency(t.select("statement_id", F.concat(F.lit("Holder "), F.col("statement_id")).alias("holder"), F.concat(F.lit(" HOLDER "), F.when((F.col("statement_id") % 2 == 0) | (F.col("row_index") % 7 > 0), F.col("statement_id")).otherwise(0), F.lit(" ")).alias("name"))),
+                "SELECT statement_id, CASE WHEN bool_and(statement_id % 2 = 0 OR row_index % 7 > 0 OR statement_id = 0) THEN 0.0::DOUBLE ELSE 1 END AS name_consistency_flag FROM txn GROUP BY 1")

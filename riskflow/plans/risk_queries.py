@@ -157,7 +157,16 @@ register("G3b_graph_cycles", mirrored_case, lambda t: g.graph_cycles(case_graph(
          CASE_GRAPH + " SELECT ring, hops, edges, round(risk, 6) AS risk, dense FROM gy WHERE risk >= 0.4 UNION ALL SELECT component, 0, n, 0, TRUE FROM gs WHERE n > 1000")
 register("J9_finding_edges", mirrored_case, lambda t: c.finding_edges(*findings(t)[::-1]).select("case_id", "ring", "hop", "edge_id", "src", "dst", F.col("amount").cast("double")), SQL_CASE,
          CASE_FLOWS + " SELECT sc AS case_id, ring, CAST(i - 1 AS INTEGER) AS hop, edge_id, src, dst, ce.amount FROM (SELECT *, unnest(range(1, hops + 1)) AS i FROM cyc) JOIN ce ON ce.case_id = sc AND ce.edge_id = idxs[i]")
-register("G12_draft_records", mirrored_case, lambda t: c.draft_records(*findings(t)[::-1]).withColumn("hops", F.to_json("hops")))
+def drafts(t):
+    """Draft records with their hops and subjects as text."""
+    hop = lambda h: F.concat_ws(":", h["hop"], h["src"], h["dst"], F.size(h["evidence"]))
+    return c.draft_records(*findings(t)[::-1]).select("case_id", "ring", F.array_join(F.transform("hops", hop), ",").alias("hops"), F.array_join("subjects", ",").alias("subjects"), F.col("total").cast("double"), F.col("first_date").cast("string"), F.col("last_date").cast("string"), "filing_status", "summary")
+
+
+register("G12_draft_records", mirrored_case, drafts, SQL_CASE, CASE_FLOWS + """, fh AS (SELECT sc AS case_id, ring, i, src, dst, ce.amount, day FROM (SELECT *, unnest(range(1, hops + 1)) AS i FROM cyc) JOIN ce ON ce.case_id = sc AND ce.edge_id = idxs[i]),
+  fs AS (SELECT case_id, ring, string_agg(node, ',' ORDER BY node) AS subjects, count(*) AS parties FROM (SELECT DISTINCT case_id, ring, unnest([src, dst]) AS node FROM fh) GROUP BY 1, 2)
+  SELECT case_id, ring, string_agg((i - 1) || ':' || src || ':' || dst || ':3', ',' ORDER BY i) AS hops, any_value(subjects) AS subjects, sum(amount) AS total, CAST(min(day) AS VARCHAR) AS first_date, CAST(max(day) AS VARCHAR) AS last_date, 'NOT_FILED' AS filing_status,
+    format('{} transfers moved {:.2f} between {} parties from {} to {} and back.', count(*), sum(amount), any_value(parties), CAST(min(day) AS VARCHAR), CAST(max(day) AS VARCHAR)) AS summary FROM fh JOIN fs USING (case_id, ring) GROUP BY case_id, ring""")
 
 # Banks.
 DERIVED = """, d AS (SELECT *, CAST(ts AS DATE) AS day, coalesce(payment_currency <> receiving_currency, FALSE) AS cross_currency, amount / 100.0 BETWEEN 9000 AND 10000 OR amount / 100.0 BETWEEN 45000 AND 50000 AS near_threshold, payment_currency || ' -> ' || receiving_currency AS corridor, lower(trim(format)) AS fmt FROM trf),
@@ -248,7 +257,13 @@ register("G6_conserved_cycles", transfers, lambda t: cycles(t).select("ring", "h
 register("G7_bank_cycle_index", transfers, lambda t: b.bank_cycle_index(t, cycles(t)).withColumn("top_risk", F.round("top_risk", 6)), SQL_TRF, FLOWS + "  , bx AS (SELECT DISTINCT ring, risk, unnest([from_bank, to_bank]) AS bank FROM (SELECT ring, risk, unnest(idxs) AS row_idx FROM cyc) JOIN trf USING (row_idx)) SELECT bank, count(*) AS n_cycles, round(max(risk), 6) AS top_risk FROM bx GROUP BY bank")
 register("G7_cycle_summary", transfers, lambda t: b.cycle_summary(cycles(t)).withColumns({"top_risk": F.round("top_risk", 6), "value": F.round("value", 2)}), SQL_TRF, FLOWS + " SELECT count(*) AS n, round(max(risk), 6) AS top_risk, round(sum(mean_amount * hops), 2) AS value FROM cyc")
 register("B13_cycle_exposure", transfers, lambda t: b.cycle_exposure(b.bank_legs(b.derive(t)), cycles(t)).withColumn("cycle_exposure", F.round("cycle_exposure", 9)), SQL_TRF, DERIVED + FLOWS + EXPOSED + " SELECT bank, round(cycle_exposure, 9) AS cycle_exposure FROM ce")
-register("G5_pagerank", transfers, lambda t: g.pagerank(b.bank_edges(t).select(F.col("from_bank").alias("src"), F.col("to_bank").alias("dst"), F.col("n").alias("weight")), rounds=10, checkpoint=lambda df: written(df, "rank")))
+#: Ranks after RANK_ROUNDS rounds, by when they no longer change in eight places.
+RANK_ROUNDS = 60
+RANKED = """, rw AS (SELECT from_bank AS src, to_bank AS dst, count(*) / sum(count(*)) OVER (PARTITION BY from_bank)::DOUBLE AS p FROM trf GROUP BY 1, 2), rn AS (SELECT DISTINCT unnest([src, dst]) AS node FROM rw), rm AS (SELECT count(*) AS n FROM rn),
+k0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE / n AS rank FROM rn, rm)""" + "".join(
+    f", k{i} AS MATERIALIZED (SELECT node, 0.15 / n + 0.85 * (coalesce(got, 0) + coalesce((SELECT sum(rank) FROM k{i - 1} WHERE node NOT IN (SELECT src FROM rw)), 0) / n) AS rank FROM rn CROSS JOIN rm LEFT JOIN (SELECT dst, sum(rank * p) AS got FROM k{i - 1} JOIN rw ON node = src GROUP BY 1) ON node = dst)" for i in range(1, RANK_ROUNDS + 1)
+)
+register("G5_pagerank", transfers, lambda t: g.pagerank(b.bank_edges(t).select(F.col("from_bank").alias("src"), F.col("to_bank").alias("dst"), F.col("n").alias("weight")), tolerance=1e-10, checkpoint=lambda df: written(df, "rank")).withColumn("rank", F.round("rank", 8)), SQL_TRF, RANKED + f" SELECT node, round(rank, 8) AS rank FROM k{RANK_ROUNDS}")
 register("G5_degrees", transfers, lambda t: g.degrees(b.bank_edges(t).select(F.col("from_bank").alias("src"), F.col("to_bank").alias("dst"), "amount")).select("node", "out_degree", "in_degree", F.round("out_flow", 2).alias("out_flow"), F.round("in_flow", 2).alias("in_flow")), SQL_TRF,
          ", o AS (SELECT from_bank AS node, count(DISTINCT to_bank) AS out_degree, sum(amount) / 100.0 AS out_flow FROM trf GROUP BY 1), i AS (SELECT to_bank AS node, count(DISTINCT from_bank) AS in_degree, sum(amount) / 100.0 AS in_flow FROM trf GROUP BY 1) SELECT node, coalesce(out_degree, 0) AS out_degree, coalesce(in_degree, 0) AS in_degree, round(coalesce(out_flow, 0), 2) AS out_flow, round(coalesce(in_flow, 0), 2) AS in_flow FROM o FULL JOIN i USING (node)")
 register("G8_bank_centrality", bulk_transfers, lambda t: bank_centrality(t).withColumn("betweenness", F.round("betweenness", 9)), SQL_BULK, BETWEEN + " SELECT node, round(betweenness, 9) AS betweenness FROM bw")
