@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions.narration import infer_channel
 from .features import ID
 
 PATTERN = ("statement_id", "kind", "pattern_id", "risk", "total", "rule", "row_ids")
@@ -125,24 +126,28 @@ def build_patterns(parts: list[DataFrame], fired: DataFrame, k: int = config.PAT
 
 
 def hops(patterns: DataFrame, txns: DataFrame) -> DataFrame:
-    """The rows of each pattern in order: from and to, hours since the hop before, rapid and band marks, hop risk and severity."""
-    at = patterns.select(ID, "pattern_id", "risk", F.explode("row_ids").alias("row_id")).join(amounts(txns).select("row_id", "ts", "txn_date", "debit", "counterparty", "amount"), "row_id")
+    """The rows of each pattern in order: reference, day, from and to, direction, amount, channel, narration, hours since the hop before, rapid and band marks, hop risk and severity."""
+    at = patterns.select(ID, "pattern_id", "risk", F.explode("row_ids").alias("row_id")).join(amounts(txns).select("row_id", "ts", "txn_date", "debit", "counterparty", "amount", "reference_no", "narration"), "row_id")
     w = Window.partitionBy(ID, "pattern_id").orderBy("txn_date", "row_id")
     gap = (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))) / 3.6e9
     me, other, out = F.concat(F.lit("ACCT_"), F.col(ID)), F.coalesce("counterparty", F.lit("UNKNOWN")), F.coalesce("debit", F.lit(0)) > 0
-    banded = first_band(F.col("amount")).isNotNull()
+    band = first_band(F.col("amount"))
+    banded = band.isNotNull()
     rapid = F.coalesce(F.col("gap_hours") <= config.RAPID_HOURS, F.lit(False))
     risk = F.least(F.lit(1.0), F.col("risk") + 0.10 * banded.cast("int") + 0.05 * F.col("rapid").cast("int"))
     return (
         at.withColumns({"hop": F.row_number().over(w), "gap_hours": gap}).withColumn("rapid", rapid)
-        .select(ID, "pattern_id", "hop", "row_id", F.when(out, me).otherwise(other).alias("from_node"), F.when(out, other).otherwise(me).alias("to_node"), F.col("amount").cast("double").alias("amount"), "gap_hours", "rapid", banded.alias("banded"), risk.alias("hop_risk"))
+        .select(ID, "pattern_id", "hop", "row_id", F.coalesce("reference_no", "row_id").alias("txn_id"), F.col("txn_date").cast("string").alias("day"), F.when(out, me).otherwise(other).alias("from_node"), F.when(out, other).otherwise(me).alias("to_node"), F.when(out, "debit").otherwise("credit").alias("direction"), F.col("amount").cast("double").alias("amount"), infer_channel(F.col("narration")).alias("channel"), F.coalesce("narration", F.lit("")).alias("narration"), "gap_hours", "rapid", banded.alias("banded"), band.alias("band"), risk.alias("hop_risk"))
         .withColumn("severity", severity(F.col("hop_risk")))
     )
 
 
 def finalize(patterns: DataFrame, txns: DataFrame) -> DataFrame:
-    at = patterns.select(ID, "pattern_id", F.explode("row_ids").alias("row_id")).join(amounts(txns).select("row_id", "txn_date", "amount"), "row_id")
-    return at.groupBy(ID, "pattern_id").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"), F.datediff(F.max("txn_date"), F.min("txn_date")).cast("double").alias("span_days"), F.min("txn_date").cast("string").alias("start"), F.max("txn_date").cast("string").alias("end"))
+    """Totals, span, row ids in order and sorted nodes of each pattern."""
+    at = patterns.select(ID, "pattern_id", F.explode("row_ids").alias("row_id")).join(amounts(txns).select("row_id", "txn_date", "amount", "counterparty"), "row_id")
+    nodes = F.array_sort(F.array_union(F.collect_set(F.coalesce("counterparty", F.lit("UNKNOWN"))), F.array(F.concat(F.lit("ACCT_"), F.first(ID)))))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("txn_date", "row_id"))), lambda x: x["row_id"])
+    return at.groupBy(ID, "pattern_id").agg(ordered.alias("row_ids"), nodes.alias("node_ids"), F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"), F.datediff(F.max("txn_date"), F.min("txn_date")).cast("double").alias("span_days"), F.min("txn_date").cast("string").alias("start"), F.max("txn_date").cast("string").alias("end"))
 
 
 def peak_velocity_rows(txns: DataFrame) -> DataFrame:

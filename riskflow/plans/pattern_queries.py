@@ -15,6 +15,7 @@ from ..operators import scoring as s
 from ..operators import views as v
 from ..sources.adapters import SQL_CASE, SQL_TRF, SQL_TXN, mirrored_case, transactions, transfers
 from ..sources.shared import written
+from .narration_queries import CHANNEL
 from .risk_queries import DERIVED, GEDGES, STAR, features_of, scored
 from .risk_queries import ORACLES as RISK_SQL
 
@@ -59,7 +60,7 @@ BANDED = STRUCTURED + ", sa AS (SELECT statement_id, 'structuring' AS kind, patt
 BUILT = CYCLIC + LAYERED + BANDED + dormant(30, 3) + f""", pa AS (SELECT * FROM ca UNION ALL SELECT * FROM la UNION ALL SELECT * FROM sa UNION ALL SELECT * FROM da), fi AS ({RISK_SQL["R1_rule_eval"]}),
 pn AS (SELECT pa.*, {SEVERITY} AS severity FROM pa LEFT JOIN fi USING (statement_id) WHERE risk >= 0.5 OR list_contains(string_split(fired, ','), rule)),
 pt AS (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY list_position(['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], severity) DESC, risk DESC, total DESC, pattern_id) AS rank FROM pn QUALIFY rank <= 25),
-pr AS (SELECT pt.statement_id, pattern_id, risk, txn.row_id, ts, txn_date, debit, counterparty, greatest(coalesce(debit, 0), coalesce(credit, 0)) / 100.0 AS amount FROM (SELECT *, unnest(string_split(row_ids, ',')) AS row_id FROM pt) pt JOIN txn USING (row_id))"""
+pr AS (SELECT pt.statement_id, pattern_id, risk, txn.row_id, ts, txn_date, debit, counterparty, narration, reference_no, greatest(coalesce(debit, 0), coalesce(credit, 0)) / 100.0 AS amount FROM (SELECT *, unnest(string_split(row_ids, ',')) AS row_id FROM pt) pt JOIN txn USING (row_id))"""
 
 
 def patterns(t):
@@ -94,11 +95,11 @@ register("T5_J4_layering", transactions, lambda t: shown(p.layering_patterns(t))
 register("T6_structuring", transactions, lambda t: p.structuring_patterns(t).select("statement_id", "pattern_id", F.round("risk", 6).alias("risk"), "total"), SQL_TXN, STRUCTURED + " SELECT statement_id, pattern_id, round(risk, 6) AS risk, total FROM st")
 register("T7_dormancy", transactions, lambda t: shown(p.dormancy_patterns(t, gap=1, rows=2)), SQL_TXN, dormant(1, 2) + " SELECT * REPLACE (round(risk, 6) AS risk, round(total, 2) AS total) FROM da")
 register("T8_build_patterns", transactions, lambda t: patterns(t).select("statement_id", "pattern_id", "kind", "severity", "rank"), SQL_TXN, BUILT + " SELECT statement_id, pattern_id, kind, severity, CAST(rank AS INTEGER) AS rank FROM pt")
-register("T1_hops", transactions, lambda t: p.hops(patterns(t), t).withColumns({"gap_hours": F.round("gap_hours", 6), "hop_risk": F.round("hop_risk", 6)}), SQL_TXN,
+register("T1_hops", transactions, lambda t: p.hops(patterns(t), t).withColumns({"gap_hours": F.round("gap_hours", 6), "hop_risk": F.round("hop_risk", 6), "band": F.col("band").cast("double")}), SQL_TXN,
          BUILT + """, hp AS (SELECT *, row_number() OVER w AS hop, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 3.6e9::DOUBLE AS gap, coalesce(debit, 0) > 0 AS out, amount BETWEEN 45000 AND 50000 OR amount BETWEEN 180000 AND 200000 AS banded FROM pr WINDOW w AS (PARTITION BY statement_id, pattern_id ORDER BY txn_date, row_id)),
          hr AS (SELECT *, coalesce(gap <= 24, FALSE) AS rapid, 'ACCT_' || statement_id AS me, coalesce(counterparty, 'UNKNOWN') AS other FROM hp), hs AS (SELECT * REPLACE (least(1, risk + CASE WHEN banded THEN 0.10 ELSE 0 END + CASE WHEN rapid THEN 0.05 ELSE 0 END) AS risk) FROM hr)
-         SELECT statement_id, pattern_id, CAST(hop AS INTEGER) AS hop, row_id, CASE WHEN out THEN me ELSE other END AS from_node, CASE WHEN out THEN other ELSE me END AS to_node, amount, round(gap, 6) AS gap_hours, rapid, banded, round(risk, 6) AS hop_risk, """ + SEVERITY + " AS severity FROM hs")
-register("T3_finalize", transactions, lambda t: p.finalize(patterns(t), t).withColumn("total", F.round("total", 2)), SQL_TXN, BUILT + " SELECT statement_id, pattern_id, count(*) AS n, round(sum(amount), 2) AS total, date_diff('day', min(txn_date), max(txn_date))::DOUBLE AS span_days, CAST(min(txn_date) AS VARCHAR) AS start, CAST(max(txn_date) AS VARCHAR) AS \"end\" FROM pr GROUP BY 1, 2")
+         SELECT statement_id, pattern_id, CAST(hop AS INTEGER) AS hop, row_id, reference_no AS txn_id, CAST(txn_date AS VARCHAR) AS day, CASE WHEN out THEN 'debit' ELSE 'credit' END AS direction, """ + CHANNEL + """ AS channel, narration, CASE WHEN amount BETWEEN 45000 AND 50000 THEN 50000 WHEN amount BETWEEN 180000 AND 200000 THEN 200000 END::DOUBLE AS band, CASE WHEN out THEN me ELSE other END AS from_node, CASE WHEN out THEN other ELSE me END AS to_node, amount, round(gap, 6) AS gap_hours, rapid, banded, round(risk, 6) AS hop_risk, """ + SEVERITY + " AS severity FROM hs")
+register("T3_finalize", transactions, lambda t: p.finalize(patterns(t), t).withColumns({"total": F.round("total", 2), "row_ids": F.array_join("row_ids", ","), "node_ids": F.array_join("node_ids", ",")}), SQL_TXN, BUILT + ", pn2 AS (SELECT statement_id, pattern_id, string_agg(node, ',' ORDER BY node) AS node_ids FROM (SELECT DISTINCT statement_id, pattern_id, unnest(['ACCT_' || statement_id, coalesce(counterparty, 'UNKNOWN')]) AS node FROM pr) GROUP BY 1, 2) SELECT statement_id, pattern_id, string_agg(row_id, ',' ORDER BY txn_date, row_id) AS row_ids, any_value(node_ids) AS node_ids, count(*) AS n, round(sum(amount), 2) AS total, date_diff('day', min(txn_date), max(txn_date))::DOUBLE AS span_days, CAST(min(txn_date) AS VARCHAR) AS start, CAST(max(txn_date) AS VARCHAR) AS \"end\" FROM pr JOIN pn2 USING (statement_id, pattern_id) GROUP BY 1, 2")
 register("W1_peak_velocity_rows", transactions, p.peak_velocity_rows, SQL_TXN, ", v AS (SELECT statement_id, row_id, ts, count(*) OVER (PARTITION BY statement_id ORDER BY ts RANGE BETWEEN INTERVAL '24' HOUR PRECEDING AND CURRENT ROW) AS n FROM txn), k AS (SELECT statement_id, min(ts) AS peak FROM v JOIN (SELECT statement_id, max(n) AS n FROM v GROUP BY 1) USING (statement_id, n) GROUP BY 1) SELECT statement_id, row_id FROM txn JOIN k USING (statement_id) WHERE ts BETWEEN peak - INTERVAL '24' HOUR AND peak")
 register("W2_W4_reasons", transactions, lambda t: ranked(t, patterns(t)))
 register("W5_confidence", transactions, sure)
