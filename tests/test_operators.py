@@ -13,7 +13,7 @@ from riskflow import config
 from riskflow.functions import narration as n
 from riskflow.plans import risk_queries
 from riskflow.sources.shared import written
-from riskflow.operators import cases, features, graph, models, patterns, quality, scoring, views
+from riskflow.operators import banks, cases, features, graph, models, patterns, quality, scoring, views
 
 TXN = "statement_id long, row_index long, row_id string, ts timestamp, txn_date date, debit decimal(18,2), credit decimal(18,2), counterparty string, narration string, reference_no string, balance decimal(18,2)"
 
@@ -295,3 +295,21 @@ def test_counterparty_cascade(spark):
     del cases["UPI/DR/12/CR/x"]
     rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", n.extract_counterparty(F.col("t")).alias("who"))
     assert {r["t"]: r["who"] for r in rows.collect()} == cases
+
+
+def test_equal_payments_and_rows_without_an_account(spark):
+    rows = [(1, "a", 1, "X:1", "Y:2", 5), (1, "b", 2, "X:1", "Y:2", 5), (1, "c", 3, "X:1", None, 5), (1, "d", 4, "X:1", None, 5), (2, "e", 1, None, None, 5), (2, "e2", 2, "X:1", "Y:2", 6)]
+    ledger = spark.createDataFrame(rows, "statement_id long, row_id string, row_index long, from_account string, to_account string, amount long").withColumn("txn_date", F.lit("2024-01-01").cast("date"))
+    assert sorted(r["row_id"] for r in banks.dedup_mirrored(ledger).collect()) == ["a", "c", "d", "e", "e2"]
+    assert banks.dedup_mirrored(ledger.limit(0)).count() == 0
+
+
+def test_node_page_by_ranges(spark):
+    edges = spark.createDataFrame([(1, "E1", "S1", "S2", ["a", "b"]), (1, "E2", "S2", "S1", ["c"]), (2, "E3", "S1", "S2", ["d"])], "case_id long, edge_id string, src string, dst string, row_ids array<string>")
+    rows = [("a", 1, 10, None, "2024-01-01"), ("b", 2, None, 10, "2024-01-02"), ("c", 2, 30, None, "2024-01-03"), ("d", 1, 40, None, "2024-01-04")]
+    t = spark.createDataFrame(rows, "row_id string, statement_id long, debit long, credit long, day string").withColumn("txn_date", F.to_date("day"))
+    page = lambda *a, **k: [r["row_id"] for r in views.node_txn_page(edges, t, 1, "S1", *a, **k).collect()]
+    assert page() == ["a", "b", "c"]
+    assert page("in") == ["c"] and page("out", 2) == ["b"]
+    assert page(days=("2024-01-02", None)) == ["b", "c"] and page(amounts=(None, 10)) == ["a", "b"]
+    assert page(finding=edges.where("edge_id = 'E2'")) == ["c"]
