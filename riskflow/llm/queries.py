@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, jaccard, topk, vector_join
+from .alignment import align_tokens
 from .bpe import bpe_digests
 from .common import read_table
 from .lm import score_texts
@@ -54,5 +55,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_chat_formatting, op3_bpe_round_trip, op4_exact_topk, op5_packing, op6_embedding_near_dedup, op7_lm_scoring, op8_ngram_jaccard, op9_token_files, op10_toxicity)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_chat_formatting, op3_bpe_round_trip, op4_exact_topk, op5_packing, op6_embedding_near_dedup, op7_lm_scoring, op8_ngram_jaccard, op9_token_files, op10_toxicity, op13_token_alignment)}
 ORACLES: dict[str, str] = {"op2_chat_formatting": chat.ORACLE, "op4_exact_topk": topk.ORACLE, "op6_embedding_near_dedup": vector_join.ORACLE, "op8_ngram_jaccard": jaccard.ORACLE}
