@@ -11,6 +11,7 @@ from .common import read_table
 from .lm import score_texts
 from .packing import pack_documents
 from .secrets import secret_scan
+from .simhash import document_fingerprints
 from .token_files import token_round_trip
 from .toxicity import toxicity
 
@@ -55,9 +56,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_chat_formatting, op3_bpe_round_trip, op4_exact_topk, op5_packing, op6_embedding_near_dedup, op7_lm_scoring, op8_ngram_jaccard, op9_token_files, op10_toxicity, op13_token_alignment)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_chat_formatting, op3_bpe_round_trip, op4_exact_topk, op5_packing, op6_embedding_near_dedup, op7_lm_scoring, op8_ngram_jaccard, op9_token_files, op10_toxicity, op11_document_fingerprints, op13_token_alignment)}
 ORACLES: dict[str, str] = {"op2_chat_formatting": chat.ORACLE, "op4_exact_topk": topk.ORACLE, "op6_embedding_near_dedup": vector_join.ORACLE, "op8_ngram_jaccard": jaccard.ORACLE}
