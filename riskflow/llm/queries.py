@@ -14,6 +14,7 @@ from .secrets import secret_scan
 from .simhash import document_fingerprints
 from .token_files import token_round_trip
 from .toxicity import toxicity
+from .whitening import whiten
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,9 +61,13 @@ def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_chat_formatting, op3_bpe_round_trip, op4_exact_topk, op5_packing, op6_embedding_near_dedup, op7_lm_scoring, op8_ngram_jaccard, op9_token_files, op10_toxicity, op11_document_fingerprints, op13_token_alignment)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_chat_formatting, op3_bpe_round_trip, op4_exact_topk, op5_packing, op6_embedding_near_dedup, op7_lm_scoring, op8_ngram_jaccard, op9_token_files, op10_toxicity, op11_document_fingerprints, op12_embedding_whitening, op13_token_alignment)}
 ORACLES: dict[str, str] = {"op2_chat_formatting": chat.ORACLE, "op4_exact_topk": topk.ORACLE, "op6_embedding_near_dedup": vector_join.ORACLE, "op8_ngram_jaccard": jaccard.ORACLE}
