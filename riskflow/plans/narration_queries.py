@@ -79,8 +79,17 @@ on_transactions("E4_clean_merchant", lambda t: t.select("row_id", n.clean_mercha
 on_transactions("E5_is_self_transfer", lambda t: t.select("row_id", n.is_self_transfer(F.col("narration"), F.concat(F.lit("payee"), F.col("statement_id"))).alias("own")),
                 f"SELECT row_id, {OWN} AS own FROM txn")
 on_transactions("E6_normalize_counterparty", lambda t: t.select("row_id", n.normalize_counterparty(who()).alias("name")), f"SELECT row_id, {NORMAL} AS name FROM (SELECT row_id, {WHO} AS who FROM txn)")
-on_transactions("E8_counterparty_dim", lambda t: t.select("statement_id", "row_index", n.normalize_counterparty(who()).alias("name"), who().alias("raw"), n.is_self_transfer(F.col("narration"), F.concat(F.lit("payee"), F.col("statement_id"))).alias("own"))
-                .groupBy("statement_id", "name").agg(F.min_by("raw", "row_index").alias("variant"), F.bool_or("own").alias("own"), F.count("*").alias("n")),
+
+
+def counterparties(t):
+    """Names of each statement: a narration's payee is worked out once a row, its normal form once for each payee."""
+    own = n.is_self_transfer(F.col("narration"), F.concat(F.lit("payee"), F.col("statement_id")))
+    raw = t.groupBy("statement_id", who().alias("raw")).agg(F.min("row_index").alias("first"), F.bool_or(own).alias("own"), F.count("*").alias("n"))
+    named = raw.withColumn("name", n.normalize_counterparty(F.col("raw")))
+    return named.groupBy("statement_id", "name").agg(F.min_by("raw", "first").alias("variant"), F.bool_or("own").alias("own"), F.sum("n").alias("n"))
+
+
+on_transactions("E8_counterparty_dim", counterparties,
                 f"SELECT statement_id, {NORMAL} AS name, min_by(who, row_index) AS variant, bool_or(own) AS own, count(*) AS n FROM (SELECT statement_id, row_index, {WHO} AS who, {OWN} AS own FROM txn) GROUP BY 1, 2")
 on_transactions("E9_resolve_bank", lambda t: t.select("row_id", bank().alias("b")).select("row_id", "b.code", "b.signal"),
                 f"SELECT row_id, coalesce(a, b, c, d, e) AS code, CASE WHEN a IS NOT NULL THEN 'ifsc' WHEN b IS NOT NULL THEN 'ifsc_partial' WHEN c IS NOT NULL THEN 'reference_prefix' WHEN d IS NOT NULL THEN 'upi_handle' WHEN e IS NOT NULL THEN 'name' END AS signal FROM ({CODES})")
