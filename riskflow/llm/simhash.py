@@ -26,7 +26,7 @@ WORDS = 5
 BITS = 128
 #: Bits that may differ between near fingerprints, about 0.99 in cosine.
 RADIUS = 6
-#: Members of a bucket that are compared at once; larger buckets are cut into pieces and their pieces compared.
+#: Members of a bucket that are compared with each other; larger buckets are cut into pieces and their pieces compared.
 PIECE = 2048
 #: Characters of the texts whose words are hashed at once.
 BATCH_CHARS = 1_000_000
@@ -215,7 +215,7 @@ def near_fingerprints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         fingerprint, n_near (rows within the radius, those that share it included) and near_id (the smallest id among them,
         null if all are null). Equal fingerprints are one class from the start. Pairs of classes are counted where they
         are found and in the first of their tables alone; they are never made into rows. A bucket of over PIECE classes is
-        cut into pieces by hash, and each two pieces meet in a group of their own: that is exact at any size. An empty
+        cut into pieces by hash, and each two pieces meet in a run of their own: that is exact at any size. An empty
         table gives an empty one.
     """
     classes = materialise(prints.where("fingerprint is not null").groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("id").alias("first")), "classes")
@@ -233,40 +233,82 @@ def near_fingerprints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
                 yield from full.to_batches()
 
     members = materialise(classes.mapInArrow(bucketed, "print binary, n long, first long, key long, t int"), "buckets")
-    sizes = members.groupBy("t", "key").agg(F.count("*").alias("size")).where("size > 1")
-    piece, pieces = F.pmod(F.xxhash64("print"), F.col("pieces")), F.ceil(F.col("size") / PIECE).cast("long")
-    met = members.join(sizes.select("t", "key", pieces.alias("pieces")), ["t", "key"]).withColumn("piece", piece)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))
-    met = met.select("*", other.alias("other")).select("t", "key", F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"), "piece", "print", "n", "first")
-
-    def compared(table: pa.Table) -> pa.Table:
-        t = table["t"][0].as_py()
-        piece, low, high = table["piece"].to_numpy(), table["low"][0].as_py(), table["high"][0].as_py()
-        names = table["print"].to_pylist()
-        bits = np.frombuffer(b"".join(names), np.uint64).reshape(-1, 2)
-        n, first = table["n"].to_numpy(), pc.fill_null(table["first"], NONE).to_numpy()
-        near, smallest = np.zeros(len(n), np.int64), np.full(len(n), NONE)
-        a, b = np.flatnonzero(piece == low), np.flatnonzero(piece == high)
-        sets, own = masks.view(np.uint64).reshape(-1, 2), sum(1 << k for k in tables[t])
-        below = (1 << (max(tables[t]) + 1)) - 1
-        for lo in range(0, len(a), 256):
-            rows = a[lo : lo + 256]
-            diff = bits[rows, None, :] ^ bits[None, b, :]
-            i, j = np.nonzero(np.bitwise_count(diff).sum(2, dtype=np.int32) <= radius)
-            i, j, found = rows[i], b[j], diff[i, j]
-            agree = sum(((found & s) == 0).all(1).astype(np.int64) << k for k, s in enumerate(sets))
-            kept = (agree & below) == own  # in no earlier table
-            kept &= (i < j) if low == high else True
-            for x, y in ((i[kept], j[kept]), (j[kept], i[kept])):
-                np.add.at(near, x, n[y])
-                np.minimum.at(smallest, x, first[y])
-        hit = np.flatnonzero(near)
-        return pa.table({"fingerprint": pa.array([names[k].hex() for k in hit], pa.string()), "n": near[hit], "first": smallest[hit]})
-
-    found = met.groupBy("t", "key", "low", "high").applyInArrow(compared, "fingerprint string, n long, first long").withColumn("first", F.nullif("first", F.lit(NONE)))
+    hot = members.groupBy("t", "key").agg(F.count("*").alias("_size")).where(F.col("_size") > PIECE).withColumnsRenamed({"t": "_t", "key": "_key"})
+    met = members.join(hot, (F.col("t") == F.col("_t")) & (F.col("key") == F.col("_key")), "left").withColumn("pieces", F.coalesce(F.ceil(F.col("_size") / PIECE).cast("long"), F.lit(1)))
+    met = met.withColumn("piece", F.pmod(F.xxhash64("print"), F.col("pieces"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    met = met.withColumns({"low": F.least("piece", "other"), "high": F.greatest("piece", "other")})
+    met = met.select(F.xxhash64("t", "key", "low", "high").alias("at"), "t", "low", "high", "piece", "print", "n", "first")
+    found = met.repartition("at").sortWithinPartitions("at", "t", "low", "high").mapInArrow(comparer(tables, masks, radius), "fingerprint string, n long, first long")
+    found = found.withColumn("first", F.nullif("first", F.lit(NONE)))
     return classes.unionByName(found).groupBy("fingerprint").agg(F.sum("n").alias("n_near"), F.min("first").alias("near_id"))
 
 
+#: Runs of up to so many rows are compared all at once, place by place.
+SHORT = 32
+
+
+def comparer(tables: list[tuple[int, ...]], masks: np.ndarray, radius: int):
+    """Near pairs within runs of equal ``at``, t, low and high: for each member that has any, the rows they stand for and their smallest id."""
+    sets = masks.view(np.uint64).reshape(-1, 2)
+    own = np.array([sum(1 << k for k in t) for t in tables])
+    below = np.array([(1 << (max(t) + 1)) - 1 for t in tables])
+
+    class Rows:
+        def __init__(self, table: pa.Table):
+            self.names = table["print"].to_pylist()
+            self.bits = np.frombuffer(b"".join(self.names), np.uint64).reshape(-1, 2)
+            self.t, self.piece, self.n = (table[c].to_numpy() for c in ("t", "piece", "n"))
+            self.first = pc.fill_null(table["first"], NONE).to_numpy()
+            keys = [table[c].to_numpy() for c in ("at", "t", "low", "high")]
+            self.across = keys[2] != keys[3]
+            self.run = np.cumsum(np.concatenate([[False], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+            self.near, self.smallest = np.zeros(len(self.t), np.int64), np.full(len(self.t), NONE)
+
+        def pairs(self, i: np.ndarray, j: np.ndarray) -> None:
+            """Enter those pairs that are near and meet in no earlier table."""
+            ok = (np.bitwise_count(self.bits[i] ^ self.bits[j]).sum(1, dtype=np.int32) <= radius) & (~self.across[i] | (self.piece[i] != self.piece[j]))
+            i, j = i[ok], j[ok]
+            diff, t = self.bits[i] ^ self.bits[j], self.t[i]
+            agree = sum(((diff & s) == 0).all(1).astype(np.int64) << k for k, s in enumerate(sets))
+            ok = (agree & below[t]) == own[t]
+            for x, y in ((i[ok], j[ok]), (j[ok], i[ok])):
+                np.add.at(self.near, x, self.n[y])
+                np.minimum.at(self.smallest, x, self.first[y])
+
+        def found(self) -> pa.RecordBatch:
+            starts = np.flatnonzero(np.diff(self.run, prepend=-1))
+            sizes = np.diff(np.append(starts, len(self.run)))
+            short = (sizes <= SHORT)[self.run]
+            for d in range(1, min(SHORT, int(sizes.max(initial=1)))):
+                i = np.flatnonzero((self.run[d:] == self.run[:-d]) & short[d:])
+                self.pairs(i, i + d)
+            for k in np.flatnonzero(sizes > SHORT).tolist():
+                rows = np.arange(starts[k], starts[k] + sizes[k])
+                for lo in range(0, len(rows), 64):
+                    a = rows[lo : lo + 64]
+                    close = np.bitwise_count(self.bits[a, None] ^ self.bits[None, rows]).sum(2, dtype=np.int32) <= radius
+                    i, j = np.nonzero(close)
+                    i, j = a[i], rows[j]
+                    self.pairs(i[i < j], j[i < j])
+            hit = np.flatnonzero(self.near)
+            return pa.RecordBatch.from_arrays([pa.array([self.names[k].hex() for k in hit], pa.string()), pa.array(self.near[hit]), pa.array(self.smallest[hit])], ["fingerprint", "n", "first"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            at = column(batch, "at").to_numpy()
+            last = int(np.searchsorted(at, at[-1])) if len(at) else 0  # the run at the end may go on
+            if held and last == 0 and column(held[-1], "at")[-1].as_py() == at[0] if len(at) else True:
+                held += [batch] if len(at) else []
+                continue
+            yield Rows(pa.Table.from_batches([*held, batch.slice(0, last)])).found()
+            held = [batch.slice(last)]
+        if held:
+            yield Rows(pa.Table.from_batches(held)).found()
+
+    return run
+
+
 def document_fingerprints(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Fingerprint every whole text and its edited text, and count the documents with near fingerprints.
 
