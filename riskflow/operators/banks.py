@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from .features import hhi
+from .ranks import medians, same
 
 
 def derive(transfers: DataFrame) -> DataFrame:
@@ -33,10 +34,12 @@ def bank_legs(derived: DataFrame) -> DataFrame:
 def bank_volume(legs: DataFrame) -> DataFrame:
     sent, got = F.col("way") == "out", F.col("way") == "in"
     money = lambda c: F.coalesce(F.sum(F.when(c, F.col("amount"))).cast("double"), F.lit(0.0))
-    return legs.groupBy("bank").agg(
-        money(sent).alias("sent"), money(got).alias("received"), F.count("*").alias("n"), F.count_if(sent).alias("n_sent"), F.avg(F.col("amount").cast("double")).alias("mean"), F.median(F.col("amount").cast("double")).alias("median"),
+    middle = medians(legs.select("bank", F.col("amount").cast("double").alias("amount")), "amount", ("bank",)).drop("n")
+    rest = legs.groupBy("bank").agg(
+        money(sent).alias("sent"), money(got).alias("received"), F.count("*").alias("n"), F.count_if(sent).alias("n_sent"), F.avg(F.col("amount").cast("double")).alias("mean"),
         F.max("amount").cast("double").alias("largest"), F.count_distinct(F.when(F.col("partner") != F.col("bank"), F.col("partner"))).alias("partners"),
     )
+    return same(rest, middle, ("bank",))
 
 
 def top_list(legs: DataFrame, part: str, k: int = 8) -> DataFrame:
@@ -103,9 +106,10 @@ def components(derived: DataFrame, cycles: DataFrame | None = None, centrality:
 def risk_components(values: DataFrame) -> DataFrame:
     """bank, component, value, severity, points: against fixed references and against the peers' spread (three banks or more)."""
     long = values.select("bank", F.explode(F.array(*(F.struct(F.lit(c).alias("component"), F.col(c).alias("value"), F.lit(w).alias("weight"), F.lit(config.BANK_REFERENCES[c]).alias("reference")) for c, w in config.BANK_WEIGHTS.items()))).alias("c")).select("bank", "c.*")
-    mid = long.groupBy("component").agg(F.median("value").alias("m"), F.count("*").alias("banks"))
+    mid = medians(long, "value", ("component",), "m").withColumnRenamed("n", "banks")
     near = long.join(F.broadcast(mid), "component").withColumn("d", F.abs(F.col("value") - F.col("m")))  # a row for each component
-    spread = near.groupBy("component").agg((1.4826 * F.median("d")).alias("mad"), F.avg("d").alias("dev"))
+    middle = medians(near, "d", ("component",), "_d").select("component", (1.4826 * F.col("_d")).alias("mad"))
+    spread = near.groupBy("component").agg(F.avg("d").alias("dev")).join(middle, "component")
     width = F.when(F.col("mad") > 0, F.col("mad")).otherwise(F.col("dev"))
     z = F.when((F.col("banks") >= 3) & (width > 0), F.greatest(F.lit(0.0), F.least((F.col("value") - F.col("m")) / width, F.lit(config.ROBUST_Z))) / config.ROBUST_Z).otherwise(0.0)
     severity = F.greatest(F.least(F.col("value") / F.col("reference"), F.lit(1.0)), z)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..sources.shared import written
+from .ranks import order_statistics, same
 
 W_CONSERVE, W_VELOCITY, W_AGAIN, W_HOPS = config.CYCLE_WEIGHTS
 
@@ -77,12 +78,8 @@ def flow_paths(transfers: DataFrame, days: float, tolerance: float, percentile:
     """
     keys = [scope] if scope else []
     t = transfers.where("from_account <> to_account and amount > 0").select(*keys, F.col("row_idx").alias("idx"), F.unix_micros("ts").alias("at"), "from_account", "to_account", F.col("amount").cast("double").alias("amount"))
-    # The element at floor(percentile * n) of the sorted amounts, from counts per amount.
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    amounts = t.groupBy(*keys, "amount").count()
-    ranked = amounts.withColumns({"_up": F.sum("count").over(w.orderBy("amount")), "_n": F.sum("count").over(w)})
-    floor = ranked.where(F.col("_up") > F.floor(percentile * F.col("_n"))).groupBy(*keys).agg(F.min("amount").alias("_floor"))
-    seeds = (t.join(floor, keys) if keys else t.crossJoin(F.broadcast(floor))).where(F.col("amount") >= F.col("_floor"))  # one row
+    floor = order_statistics(t, "amount", {"_floor": lambda n: F.floor(percentile * n)}, tuple(keys)).drop("n")
+    seeds = same(t, floor, tuple(keys)).where(F.col("amount") >= F.col("_floor"))
     open_ = seeds.select(*keys, F.col("from_account").alias("origin"), F.col("to_account").alias("here"), F.col("at").alias("t0"), F.col("at").alias("last"), F.col("amount").alias("first"), F.array("from_account", "to_account").alias("accounts"), F.array("idx").alias("idxs"), F.array("amount").alias("amounts"))
     window = int(days * 86_400_000_000)
     closed = None
@@ -237,30 +234,120 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both.withColumns({"degree_ratio": F.col("out_degree") / F.nullif(F.col("in_degree"), F.lit(0)), "flow_ratio": F.col("out_flow") / F.nullif(F.col("in_flow"), F.lit(0))})
 
 
-def betweenness(edges: DataFrame, pivots: int = 150, longest: int = 12, checkpoint=None) -> DataFrame:
-    """node, betweenness of the directed graph of distinct edges (src, dst), from the ``pivots`` nodes of the smallest hashes.
+#: From so many nodes on betweenness is that of a sample of roots.
+PIVOTS = 150
 
-    Level by level all searches walk together: counts of shortest paths forward, dependencies back.
+
+def betweenness(edges: DataFrame, pivots: int = PIVOTS, weight: str | None = None, checkpoint=None) -> DataFrame:
+    """node, betweenness (normalised) and sampled, of the directed graph of the distinct edges (src, dst).
+
+    Args:
+        edges: src, dst and, where ``weight`` names a column, positive lengths; parallel edges' lengths are added, loops don't count.
+        pivots: searches start from so many nodes at most, those with the smallest hashes; sampled says whether that left any out.
+
+    All searches walk together. A round settles, for each root, the nodes at its least open distance: all shortest paths to
+    them are known by then, as lengths are positive. Rounds end when nothing is open, however long the paths are; the way back
+    takes them in reverse, and each reads only its own nodes and what later ones have left for their predecessors.
     """
-    keep = checkpoint or (lambda df: df)
-    e = keep(edges.where("src <> dst").select("src", "dst").distinct())
+    keep = checkpoint or (lambda df: written(df, "levels"))
+    length = F.sum(F.col(weight).cast("double")) if weight else F.lit(1.0)
+    e = keep(edges.where("src <> dst").groupBy("src", "dst").agg(length.alias("length")))
     nodes = keep(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
     n = nodes.count()
-    level = nodes.orderBy(F.xxhash64("node"), "node").limit(pivots).select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"), F.lit(1.0).alias("paths"))
-    seen, depth, sources = level, 0, min(pivots, n)
-    while depth < longest:
-        depth += 1
-        new = level.join(e, level.node == e.src).groupBy("root", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
-        level = keep(new.join(seen.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", F.lit(depth).alias("depth"), "paths"))
-        if level.isEmpty():
+    roots = min(pivots, n)
+    open_ = nodes.orderBy(F.xxhash64("node"), "node").limit(pivots).select(F.col("node").alias("root"), "node", F.lit(0.0).alias("dist"), F.lit(1.0).alias("paths"))
+    rounds, settled = [], None
+    while True:
+        now = open_
+        if weight:
+            now = open_.join(open_.groupBy("root").agg(F.min("dist").alias("_least")), "root").where("dist = _least").drop("_least")
+        now = keep(now)
+        if now.isEmpty():
             break
-        seen = keep(seen.unionByName(level))
-    low = seen.groupBy("root", "node", "depth", "paths").agg(F.lit(0.0).alias("dep"))
-    for d in range(depth, 0, -1):
-        deep = low.where(F.col("depth") == d).select("root", F.col("node").alias("dst"), F.col("paths").alias("p2"), F.col("dep").alias("d2"))
-        up = low.where(F.col("depth") == d - 1).select("root", F.col("node").alias("src"), "paths")
-        add = up.join(e, "src").join(deep, ["root", "dst"]).groupBy("root", F.col("src").alias("node")).agg(F.sum(F.col("paths") / F.col("p2") * (1 + F.col("d2"))).alias("more"))
-        low = keep(low.join(add, ["root", "node"], "left").select("root", "node", "depth", "paths", (F.col("dep") + F.coalesce("more", F.lit(0.0))).alias("dep")))
-    scale = (n / max(1, sources)) / max(1, (n - 1) * (n - 2))
-    total = low.where("root <> node").groupBy("node").agg(F.sum("dep").alias("b"))
-    return nodes.join(total, "node", "left").select("node", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
+        rounds.append(now)
+        settled = now if settled is None else settled.unionByName(now)
+        reached = now.join(e, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), (F.col("dist") + F.col("length")).alias("dist"), "paths")
+        reached = reached.join(settled.select("root", "node"), ["root", "node"], "left_anti")
+        if weight:
+            reached = reached.unionByName(open_.join(now.select("root", "node"), ["root", "node"], "left_anti"))
+        counted = reached.groupBy("root", "node", "dist").agg(F.sum("paths").alias("paths"))
+        open_ = keep(counted.groupBy("root", "node").agg(F.min(F.struct("dist", "paths")).alias("at")).select("root", "node", "at.*")) if weight else counted
+    total, left = None, None
+    for now in reversed(rounds):
+        here = now.withColumn("dep", F.lit(0.0))
+        if left is not None:
+            here = now.join(left, ["root", "node"], "left").select("root", "node", "dist", "paths", F.coalesce("more", F.lit(0.0)).alias("dep"))
+        here = keep(here)
+        own = here.where("root <> node").select("node", "dep")
+        total = own if total is None else total.unionByName(own)
+        later = here.select("root", F.col("node").alias("dst"), F.col("dist").alias("_to"), F.col("paths").alias("_paths"), "dep").join(e, "dst").withColumnRenamed("src", "node")
+        before = settled.join(later, ["root", "node"]).where(F.col("dist") + F.col("length") == F.col("_to"))
+        more = before.select("root", "node", (F.col("paths") / F.col("_paths") * (1 + F.col("dep"))).alias("more"))
+        if left is not None and weight:
+            more = more.unionByName(left.join(now.select("root", "node"), ["root", "node"], "left_anti"))
+        left = keep(more.groupBy("root", "node").agg(F.sum("more").alias("more")))
+    scale = (n / max(1, roots)) / max(1, (n - 1) * (n - 2))
+    if total is None:
+        return nodes.select("node", F.lit(0.0).alias("betweenness"), F.lit(False).alias("sampled"))
+    summed = total.groupBy("node").agg(F.sum("dep").alias("b"))
+    return nodes.join(summed, "node", "left").select("node", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"), F.lit(n > pivots).alias("sampled"))
+
+
+#: Fewer nodes than these have no betweenness and no rank.
+LEAST_STAR, LEAST_BANKS = 5, 4
+
+
+def star_centrality(txns: DataFrame, damping: float = 0.85, rounds: int = 100) -> DataFrame:
+    """Degrees, flows, betweenness and PageRank of every node of every statement's star: one aggregation, no walk.
+
+    In a star all paths lead through the account, so whatever the lengths it lies between each counterparty that pays it and
+    each other one that it pays. Ranks weighted by the number of payments move between three sums only: the account's, that of
+    counterparties that pay it, and that of those that don't (whose rank goes to all); the rounds are run on these.
+
+    Returns:
+        statement_id, node, in_degree, out_degree, degree_ratio, in_flow, out_flow, flow_ratio, betweenness, pagerank; the
+        ratios divide by at least 1, and the last two are null in stars of fewer than LEAST_STAR nodes.
+    """
+    edges = star_edges(txns)
+    out = F.col("src") == F.concat(F.lit("ACCT_"), F.col("statement_id"))
+    money = lambda c: F.coalesce(F.sum(F.when(c, F.col("amount"))).cast("double"), F.lit(0.0))
+    other = edges.groupBy("statement_id", F.when(out, F.col("dst")).otherwise(F.col("src")).alias("node")).agg(
+        F.count_if(out).alias("paid"), F.count_if(~out).alias("pays"), money(out).alias("in_flow"), money(~out).alias("out_flow"),
+    )
+    pays, paid = F.col("pays") > 0, F.col("paid") > 0
+    star = other.groupBy("statement_id").agg(
+        (F.count("*") + 1).alias("n"), F.count_if(pays).alias("c"), F.count_if(paid).alias("d"), F.count_if(pays & paid).alias("both"), F.sum("paid").alias("all_paid"),
+        F.sum(F.when(pays, F.col("paid")).otherwise(0)).alias("to_c"), F.sum("in_flow").alias("spent"), F.sum("out_flow").alias("got"),
+    )
+    n = F.col("n").cast("double")
+    share = F.when(F.col("all_paid") > 0, F.col("to_c") / F.col("all_paid")).otherwise(0.0)
+    rest = F.when(F.col("all_paid") > 0, 1 - share).otherwise(0.0)
+    base = lambda s: (1 - damping) / n + damping * (s["l"] + F.when(F.col("all_paid") > 0, 0.0).otherwise(s["a"])) / n
+    state = lambda a, c, l: F.struct(a.alias("a"), c.alias("c"), l.alias("l"))
+    free = F.col("n") - 1 - F.col("c")
+    step = lambda s, _: state(base(s) + damping * s["c"], F.col("c") * base(s) + damping * s["a"] * share, free * base(s) + damping * s["a"] * rest)
+    star = star.withColumn("s", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), state(1 / n, F.col("c") / n, free / n), step)).withColumn("_base", base(F.col("s")))
+    large = F.col("n") >= LEAST_STAR
+    between = (F.col("c") * F.col("d") - F.col("both")) / ((F.col("n") - 1) * (F.col("n") - 2))
+    ratio = lambda a, b: a / F.greatest(b, F.lit(1))
+    subject = star.select("statement_id", F.concat(F.lit("ACCT_"), F.col("statement_id")).alias("node"), F.col("c").alias("in_degree"), F.col("d").alias("out_degree"), F.col("got").alias("in_flow"), F.col("spent").alias("out_flow"), F.when(large, between).alias("betweenness"), F.when(large, F.col("s.a")).alias("pagerank"))
+    rank = F.col("_base") + F.when(F.col("all_paid") > 0, damping * F.col("s.a") * F.col("paid") / F.col("all_paid")).otherwise(0.0)
+    around = other.join(star.select("statement_id", "n", "s", "_base", "all_paid"), "statement_id").select(
+        "statement_id", "node", paid.cast("long").alias("in_degree"), pays.cast("long").alias("out_degree"), "in_flow", "out_flow", F.when(large, 0.0).alias("betweenness"), F.when(large, rank).alias("pagerank")
+    )
+    return subject.unionByName(around).withColumns({"degree_ratio": ratio(F.col("out_degree"), F.col("in_degree")), "flow_ratio": ratio(F.col("out_flow"), F.col("in_flow"))})
+
+
+def bank_centrality(edges: DataFrame, pivots: int = PIVOTS, checkpoint=None) -> DataFrame:
+    """node, in_degree, out_degree, betweenness, sampled and pagerank of a graph of banks (src, dst, n, amount).
+
+    Betweenness counts hops, ranks go by ``n``; among fewer than LEAST_BANKS banks betweenness is 0 and there is no rank. A
+    bank that pays itself is its own neighbour; one that has no other neighbour has no betweenness.
+    """
+    graph = edges.select("src", "dst", "amount", F.col("n").alias("weight"))
+    found = degrees(graph).select("node", "in_degree", "out_degree")
+    found = found.join(betweenness(graph, pivots, checkpoint=checkpoint), "node", "left")
+    ranked = pagerank(graph, tolerance=1e-10, checkpoint=checkpoint).withColumnRenamed("rank", "pagerank")
+    enough = F.col("_banks") >= LEAST_BANKS
+    both = found.join(ranked, "node", "left").crossJoin(F.broadcast(found.agg(F.count("*").alias("_banks"))))  # one row
+    return both.select("node", "in_degree", "out_degree", F.when(enough, F.coalesce("betweenness", F.lit(0.0))).otherwise(0.0).alias("betweenness"), F.coalesce("sampled", F.lit(False)).alias("sampled"), F.when(enough, F.col("pagerank")).alias("pagerank"))

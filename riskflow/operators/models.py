@@ -12,9 +12,13 @@ from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.pipeline import Pipeline
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import config
+from ..sources.shared import written
+from .ranks import running_totals
+
 SAMPLE = 256
 
 
@@ -23,17 +27,41 @@ def path_bound(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
+def drawing_trees(key: Column, n_rows: int, trees: int, sample: int, seed: int) -> Column:
+    """The trees for which a row is drawn: each draws it by itself with a chance of twice ``sample`` in ``n_rows``.
+
+    The gaps between such trees have a geometric distribution, so they are drawn in place of the trees: a row that no tree
+    draws, as almost all in a large table, costs one hash. The chance is a double and the hashes have 53 bits, which
+    holds beyond 10^12 rows.
+    """
+    every = F.sequence(F.lit(0), F.lit(trees - 1))
+    chance = 2 * sample / max(1, n_rows)
+    if chance >= 1:
+        return every
+    unit = lambda k: (F.shiftrightunsigned(F.xxhash64(key, k, F.lit(seed)), 11) + 1).cast("double") * 2.0**-53
+    gap = lambda k: F.floor(F.log(unit(k)) / math.log1p(-chance)).cast("long")
+    none = F.array().cast("array<int>")
+    start = F.struct(gap(F.lit(-1)).alias("at"), none.alias("drawn"))
+    step = lambda s, k: F.when(s["at"] < trees, F.struct((s["at"] + 1 + gap(k)).alias("at"), F.concat(s["drawn"], F.array(s["at"].cast("int"))).alias("drawn"))).otherwise(s)
+    return F.when(gap(F.lit(-1)) < trees, F.aggregate(every, start, step, lambda s: s["drawn"])).otherwise(none)
+
+
 def isolation_forest(rows: DataFrame, key: str, names: list[str], trees: int = 200, seed: int = 42, sample: int = SAMPLE) -> DataFrame:
-    """key, isolation: 1 where the mean path over all trees is shorter than chance would have it.
+    """key, isolation: 1 where the mean path of a row is shorter than chance would have it, by the trees that did not draw the row.
 
-    Each tree is grown from at most ``sample`` rows of its own, so a group never exceeds that; trees travel to the rows.
+    A tree grows from ``sample`` rows, or from two thirds of a small table, so that every row is left out of some trees; trees and
+    the drawn rows' keys, at most ``trees`` times ``sample``, travel to the rows. Missing values count as 0; keys are to be
+    distinct. With fewer than LEAST_COHORT other rows isolation is null.
     """
     filled = rows.select(F.col(key).cast("string").alias("_key"), *(F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in names))
     n_rows = filled.count()
-    share = min(1.0, 2.0 * sample / max(1, n_rows))
-    picks = filled.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).where(F.pmod(F.xxhash64("_key", "tree", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    kind = rows.schema[key].dataType
+    if n_rows <= config.LEAST_COHORT:
+        return filled.select(F.col("_key").cast(kind).alias(key), F.lit(None).cast("double").alias("isolation"))
+    size = min(sample, 2 * n_rows // 3)
+    picks = filled.withColumn("tree", F.explode(drawing_trees(F.col("_key"), n_rows, trees, size, seed)))
     w = Window.partitionBy("tree").orderBy(F.xxhash64("_key", "tree"), "_key")
-    drawn = picks.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample)
+    drawn = written(picks.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= size), "drawn")
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         x, t = pdf[names].to_numpy(), int(pdf.tree.iloc[0])
@@ -55,24 +83,30 @@ def isolation_forest(rows: DataFrame, key: str, names: list[str], trees: int = 2
         node(np.arange(len(x)), 0)
         return pd.DataFrame(out, columns=["tree", "node", "f", "cut", "low", "high", "path"])
 
-    forest = drawn.groupBy("tree").applyInPandas(grow, "tree int, node int, f int, cut double, low int, high int, path double").toPandas()  # at most 2 * sample nodes a tree
+    grown_in_order = lambda pdf: grow(pdf.sort_values("_r"))
+    forest = drawn.groupBy("tree").applyInPandas(grown_in_order, "tree int, node int, f int, cut double, low int, high int, path double").toPandas()  # at most 2 * sample nodes a tree
     grown = {t: g.sort_values("node")[["f", "cut", "low", "high", "path"]].to_numpy() for t, g in forest.groupby("tree")}
-    chance = path_bound(min(sample, n_rows))
+    chance = path_bound(size)
 
     def score(batches):
         for pdf in batches:
-            x, total = pdf[names].to_numpy(), np.zeros(len(pdf))
-            for g in grown.values():
+            x, total, n = pdf[names].to_numpy(), np.zeros(len(pdf)), np.zeros(len(pdf))
+            inside = [set(d) if d is not None else set() for d in pdf["_drawn"]]
+            for t, g in grown.items():
+                out = np.array([t not in d for d in inside]) if len(inside) else np.zeros(0, bool)
                 at = np.zeros(len(x), int)
                 while (inner := g[at, 0] >= 0).any():
                     k = np.flatnonzero(inner)
                     go = x[k, g[at[k], 0].astype(int)] < g[at[k], 1]
                     at[k] = np.where(go, g[at[k], 2], g[at[k], 3]).astype(int)
-                total += g[at, 4]
-            s = 2 ** (-(total / max(1, len(grown))) / max(chance, 1e-9))
-            yield pd.DataFrame({key: pdf["_key"], "isolation": (s > 0.5).astype(float)})
+                total += np.where(out, g[at, 4], 0.0)
+                n += out
+            s = 2 ** (-(total / np.maximum(1, n)) / max(chance, 1e-9))
+            yield pd.DataFrame({key: pdf["_key"], "isolation": ((s > 0.5) & (n > 0)).astype(float)})
 
-    return filled.mapInPandas(score, f"{key} string, isolation double").withColumn(key, F.col(key).cast(rows.schema[key].dataType))
+    members = drawn.groupBy("_key").agg(F.collect_list("tree").alias("_drawn"))  # at most trees * sample rows
+    scored = filled.join(F.broadcast(members), "_key", "left").mapInPandas(score, f"{key} string, isolation double")
+    return scored.withColumn(key, F.col(key).cast(kind))
 
 
 def train_classifier(rows: DataFrame, names: list[str], label: str, trees: int = 20, seed: int = 42) -> PipelineModel:
@@ -112,10 +146,9 @@ def calibrate(rows: DataFrame, label: str, score: str = "probability") -> DataFr
 
 def pr_curve(rows: DataFrame, score: str, label: str) -> DataFrame:
     """score, precision and recall at every distinct score, from counts per score."""
-    by = rows.groupBy(score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("y"))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc(score))
-    run = by.withColumns({"_n": F.sum("n").over(w), "_y": F.sum("y").over(w), "_all": F.sum("y").over(Window.partitionBy(F.lit(0)))})
-    return run.select(score, (F.col("_y") / F.col("_n")).alias("precision"), (F.col("_y") / F.nullif(F.col("_all"), F.lit(0))).alias("recall"))
+    by = running_totals(rows.groupBy(score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("y")), [F.desc(score)], ["n", "y"])
+    n, y = F.col("n_before") + F.col("n"), F.col("y_before") + F.col("y")
+    return by.select(score, (y / n).alias("precision"), (y / F.nullif(F.col("y_all"), F.lit(0))).alias("recall"))
 
 
 def eval_metrics(rows: DataFrame, score: str, label: str) -> DataFrame:

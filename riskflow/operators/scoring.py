@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import operator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
 from .features import FEATURES, ID
+from .ranks import medians, others_deviation, others_median, running_totals, same
 
 NAMES = (*FEATURES, "max_cycle_risk_score")
 COMPARE = {">=": operator.ge, "<=": operator.le, ">": operator.gt, "<": operator.lt, "==": operator.eq}
@@ -66,24 +67,55 @@ def rule_clauses(features: DataFrame, rules=config.RULES) -> DataFrame:
 
 def robust_z(rows: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """0.6745 (x - median) / MAD within the groups of ``keys``; 0 where the deviation is 0."""
-    mid = rows.groupBy(*keys).agg(F.median(value).alias("_m"))
-    near = (rows.join(mid, list(keys)) if keys else rows.crossJoin(F.broadcast(mid))).withColumn("_d", F.abs(F.col(value) - F.col("_m")))  # one row without keys
-    mad = near.groupBy(*keys).agg(F.median("_d").alias("_mad"))
-    both = near.join(mad, list(keys)) if keys else near.crossJoin(F.broadcast(mad))
+    near = same(rows, medians(rows, value, keys, "_m").drop("n"), keys).withColumn("_d", F.abs(F.col(value) - F.col("_m")))
+    both = same(near, medians(near, "_d", keys, "_mad").drop("n"), keys)
     return both.withColumn("z", F.when(F.col("_mad") > 0, 0.6745 * (F.col(value) - F.col("_m")) / F.col("_mad")).otherwise(0.0)).drop("_m", "_d", "_mad")
 
 
+#: Why an account has no anomaly: fewer others than LEAST_COHORT to compare it with.
+NO_COHORT = "insufficient_reference_cohort"
+
+
+def cohort_long(features: DataFrame) -> DataFrame:
+    """statement_id, name, value of all features that accounts are compared by, the cycle risk among them."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in NAMES)))
+    return features.select(ID, pairs.alias("f")).select(ID, "f.*")
+
+
+def against_others(long: DataFrame) -> DataFrame:
+    """statement_id, name, value, others, others_median, others_mad, z: every feature against all other accounts, missing values as 0.
+
+    z is null where the others' deviation is 0, or where there are too few others.
+    """
+    filled = long.select(ID, "name", F.coalesce("value", F.lit(0.0)).alias("value"))
+    found = others_deviation(filled, "value", ("name",))
+    return found.withColumn("z", F.when((F.col("others_mad") > 0) & (F.col("others") >= config.LEAST_COHORT), 0.6745 * (F.col("value") - F.col("others_median")) / F.col("others_mad")))
+
+
 def mad_flags(long: DataFrame, limit: float = config.ROBUST_Z) -> DataFrame:
-    """statement_id, n_flags, flagged: features that lie far from all accounts' median; missing values count as 0."""
+    """statement_id, n_flags, flagged, reason: features that lie far from the median of all other accounts, the account itself left out.
+
+    With fewer than LEAST_COHORT others n_flags and flagged are null and the reason says so.
+    """
+    far = F.abs("z") > limit
+    found = against_others(long).groupBy(ID).agg(F.min("others").alias("_others"), F.count_if(far).alias("n_flags"), F.array_join(F.array_sort(F.collect_list(F.when(far, F.col("name")))), ",").alias("flagged"))
+    enough = F.col("_others") >= config.LEAST_COHORT
+    return found.select(ID, F.when(enough, F.col("n_flags")).alias("n_flags"), F.when(enough, F.col("flagged")).alias("flagged"), F.when(~enough, F.lit(NO_COHORT)).alias("reason"))
+
+
+def top_distances(long: DataFrame, k: int = 5) -> DataFrame:
+    """statement_id, top_features, reason: the features farthest from the others' median, unscaled, the farthest first, ties by name."""
     filled = long.select(ID, "name", F.coalesce("value", F.lit(0.0)).alias("value"))
-    z = robust_z(filled, "value", ("name",))
-    return z.groupBy(ID).agg(F.count_if(F.abs("z") > limit).alias("n_flags"), F.array_join(F.array_sort(F.collect_list(F.when(F.abs("z") > limit, F.col("name")))), ",").alias("flagged"))
+    far = F.struct(-F.abs(F.col("value") - F.col("others_median")), "name")
+    found = others_median(filled, "value", ("name",)).groupBy(ID).agg(F.min("others").alias("_others"), F.slice(F.array_sort(F.collect_list(far)), 1, k)["name"].alias("top"))
+    enough = F.col("_others") >= config.LEAST_COHORT
+    return found.select(ID, F.when(enough, F.array_join("top", ",")).alias("top_features"), F.when(~enough, F.lit(NO_COHORT)).alias("reason"))
 
 
-def anomaly_score(flags: DataFrame, isolation: DataFrame | None = None, n_features: int = len(NAMES)) -> DataFrame:
-    """(share of flagged features + isolation) / 2."""
-    both = flags.join(isolation, ID, "left") if isolation is not None else flags.withColumn("isolation", F.lit(0.0))
-    return both.select(ID, ((F.col("n_flags") / n_features + F.coalesce("isolation", F.lit(0.0))) / 2).alias("anomaly_score"))
+def anomaly_score(flags: DataFrame, isolation: DataFrame, n_features: int = len(NAMES)) -> DataFrame:
+    """(share of flagged features + isolation) / 2; 0 where the cohort is too small for either."""
+    both = flags.join(isolation.select(ID, "isolation"), ID, "left")
+    return both.select(ID, F.coalesce((F.col("n_flags") / n_features + F.col("isolation")) / 2, F.lit(0.0)).alias("anomaly_score"))
 
 
 def fuse(rule: Column, anomaly: Column, probability: Column | None = None) -> Column:
@@ -112,11 +144,10 @@ def score_breakdown(scored: DataFrame) -> DataFrame:
 def binary_metrics(rows: DataFrame, score: str, label: str, cut: float, top: float = 0.05) -> DataFrame:
     """precision, recall, f1, false positive rate and lift among the ``top`` share by score, in one row."""
     p, y = F.col(score) >= cut, F.col(label) == 1
-    ranked = rows.groupBy(score, label).count()
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc(score), F.desc(label)).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = running_totals(rows.groupBy(score, label).count(), [F.desc(score), F.desc(label)], ["count"])
     counts = rows.agg(*(F.count_if(c).cast("double").alias(n) for n, c in (("tp", p & y), ("fp", p & ~y), ("fn", ~p & y), ("tn", ~p & ~y))), F.count("*").alias("n"))
-    head = ranked.withColumn("_up", F.sum("count").over(w)).crossJoin(F.broadcast(counts.select("n"))).withColumn("_k", F.ceil(F.col("n") * top))
-    taken = F.greatest(F.lit(0), F.least(F.col("count"), F.col("_k") - (F.col("_up") - F.col("count"))))
+    head = ranked.withColumn("_k", F.ceil(F.col("count_all") * top))
+    taken = F.greatest(F.lit(0), F.least(F.col("count"), F.col("_k") - F.col("count_before")))
     best = head.agg(F.sum(F.when(F.col(label) == 1, taken)).alias("hits"), F.max("_k").alias("k"))
     ratio = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0.0)), F.lit(0.0))
     precision, recall = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))

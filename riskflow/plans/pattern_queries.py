@@ -16,7 +16,7 @@ from ..operators import views as v
 from ..sources.adapters import SQL_CASE, SQL_TRF, SQL_TXN, mirrored_case, transactions, transfers
 from ..sources.shared import written
 from .narration_queries import CHANNEL
-from .risk_queries import DERIVED, GEDGES, STAR, features_of, scored
+from .risk_queries import DERIVED, GEDGES, STAR, anomaly, features_of, scored
 from .risk_queries import ORACLES as RISK_SQL
 
 QUERIES, ORACLES = {}, {}
@@ -70,7 +70,7 @@ def patterns(t):
 
 def ranked(t, found):
     features = features_of(t)
-    return p.rank_reasons(p.reasons(found, features, s.mad_flags(f.feature_long(features)), p.connections(found, t)), s.evaluate_rules(features))
+    return p.rank_reasons(p.reasons(found, features, s.mad_flags(s.cohort_long(features)), p.connections(found, t)), s.evaluate_rules(features))
 
 
 def bundle(t):
@@ -117,11 +117,11 @@ register("J7_bounds", transfers, lambda t: v.bounds(b.bank_legs(b.derive(t))), S
 register("J8_case_membership", mirrored_case, lambda t: t.select("case_id", "statement_id").distinct(), SQL_CASE, "SELECT DISTINCT case_id, statement_id FROM legs")
 register("P14_statement_summary", transactions, lambda t: v.statement_summary(t.groupBy("statement_id").agg(F.count("*").alias("n")), t.select("statement_id", F.col("row_index").alias("created_ts"), F.lit("NEEDS_REVIEW").alias("tier"), F.col("row_index").cast("double").alias("score"))), SQL_TXN, "SELECT statement_id, count(*) AS n, 'NEEDS_REVIEW' AS tier, max(row_index)::DOUBLE AS score FROM txn GROUP BY 1")
 register("P20_statement_rollup", transactions, lambda t: v.statement_rollup(scored(t).join(t.groupBy("statement_id").agg(F.count("*").alias("n")), "statement_id")))
-NAMES = ["account_age_days_observed", "turnover_ratio", "inflow_outflow_velocity", "fan_in_score", "fan_out_score", "round_number_ratio"]
 
 
 def isolated(t):
-    return m.isolation_forest(features_of(t), "statement_id", NAMES, trees=50)
+    features = features_of(t)
+    return m.isolation_forest(features, "statement_id", list(s.NAMES)).join(s.top_distances(s.cohort_long(features)), "statement_id")
 
 
 def modelled(t):
@@ -137,7 +137,7 @@ def predicted(t):
 
 
 register("A3_isolation_forest", transactions, isolated)
-register("A4_anomaly_score", transactions, lambda t: s.anomaly_score(s.mad_flags(f.feature_long(features_of(t))), isolated(t)))
+register("A4_anomaly_score", transactions, lambda t: anomaly(features_of(t)))
 register("M1_M3_predictions", transfers, lambda t: predicted(t).select("account_id", "label", "probability"))
 register("M2_calibrate", transfers, lambda t: m.calibrate(predicted(t), "label").select("account_id", "label", "calibrated"))
 register("M4_eval_metrics", transfers, lambda t: m.eval_metrics(predicted(t), "probability", "label"))

@@ -48,11 +48,15 @@ register("J10_tag_cycles", transactions, lambda t: g.tag_cycles(t, g.star_cycles
 register("F19_max_cycle_risk", transactions, lambda t: g.max_cycle_risk(t, g.star_cycles(t)).withColumn("max_cycle_risk_score", F.round("max_cycle_risk_score", 6)), SQL_TXN, STAR + ", r AS (SELECT statement_id, max(risk) AS r FROM star WHERE risk >= 0.6 GROUP BY 1) SELECT statement_id, round(coalesce(r, 0), 6) AS max_cycle_risk_score FROM (SELECT DISTINCT statement_id FROM txn) LEFT JOIN r USING (statement_id)")
 
 
+def anomaly(features):
+    """Each account against all others: the share of its flagged features and its isolation."""
+    return s.anomaly_score(s.mad_flags(s.cohort_long(features)), m.isolation_forest(features, "statement_id", list(s.NAMES)))
+
+
 def scored(t):
     """Features, rule score, anomaly, fused score and tier of every account."""
     features = written(f.all_features(t).join(g.max_cycle_risk(t, g.star_cycles(t)), "statement_id", "left"), "features")
-    anomaly = s.anomaly_score(s.mad_flags(f.feature_long(features)), m.isolation_forest(features, "statement_id", list(s.NAMES)))
-    both = s.evaluate_rules(features).join(anomaly, "statement_id").join(q.extraction_tiers(t), "statement_id")
+    both = s.evaluate_rules(features).join(anomaly(features), "statement_id").join(q.extraction_tiers(t), "statement_id")
     fused = both.withColumn("score", s.fuse(F.col("rule_score"), F.col("anomaly_score")))
     return fused.select("statement_id", "rule_score", "fired", "anomaly_score", "score", s.decide_tier(F.col("score"), F.col("fired"), F.col("anomaly_score"), F.col("tier")).alias("tier"))
 
@@ -81,8 +85,15 @@ register("R1_rule_eval", transactions, lambda t: s.evaluate_rules(features_of(t)
          RULED + " SELECT statement_id, CAST(least(100, " + " + ".join(f"CASE WHEN {HELD[name]} THEN {points} ELSE 0 END" for name, points, _ in config.RULES) + ") AS BIGINT) AS rule_score, coalesce(array_to_string([x FOR x IN [" + ", ".join(f"CASE WHEN {h} THEN '{name}' END" for name, h in HELD.items()) + "] IF x IS NOT NULL], ','), '') AS fired FROM ft")
 register("R2_R3_rule_clauses", transactions, lambda t: s.rule_clauses(features_of(t)).withColumns({c: F.round(c, 6) for c in ("threshold", "actual")}), SQL_TXN,
          RULED + f" SELECT statement_id, u.rule AS rule, u.clause AS clause, u.field AS field, u.op AS op, round(u.threshold, 6) AS threshold, round(u.actual, 6) AS actual, u.holds AS holds FROM (SELECT statement_id, unnest([{CLAUSES}]) AS u FROM ft)")
-register("A2_mad_flags", transactions, lambda t: s.mad_flags(f.feature_long(features_of(t))), SQL_TXN,
-         f", fl AS (SELECT statement_id, name, coalesce(value, 0) AS value FROM ({LONG_SQL})), fm AS (SELECT name, median(value) AS m FROM fl GROUP BY 1), fd AS (SELECT fl.*, m, abs(value - m) AS d FROM fl JOIN fm USING (name)), fs AS (SELECT name, median(d) AS mad FROM fd GROUP BY 1), fz AS (SELECT statement_id, name, mad > 0 AND abs(0.6745 * (value - m) / mad) > {config.ROBUST_Z} AS far FROM fd JOIN fs USING (name)) SELECT statement_id, CAST(count_if(far) AS BIGINT) AS n_flags, coalesce(string_agg(CASE WHEN far THEN name END, ',' ORDER BY name), '') AS flagged FROM fz GROUP BY 1")
+#: Every feature of an account, and the median of all other accounts' values by comparing each with each.
+OTHERS = RULED + f""", cl AS (SELECT statement_id, u.name AS name, u.value AS value FROM (SELECT statement_id, unnest([{", ".join(f"struct_pack(name := '{x}', value := coalesce({x}, 0)::DOUBLE)" for x in s.NAMES)}]) AS u FROM ft)),
+cm AS (SELECT a.statement_id, a.name, any_value(a.value) AS value, median(b.value) AS m, count(*) AS others FROM cl a JOIN cl b ON a.name = b.name AND a.statement_id <> b.statement_id GROUP BY 1, 2)"""
+register("A2_mad_flags", transactions, lambda t: s.mad_flags(s.cohort_long(features_of(t))), SQL_TXN,
+         OTHERS + f""", cd AS (SELECT a.statement_id, a.name, any_value(a.value) AS value, any_value(m) AS m, median(abs(b.value - m)) AS mad, any_value(others) AS others FROM cm a JOIN cl b ON a.name = b.name AND a.statement_id <> b.statement_id GROUP BY 1, 2),
+         cz AS (SELECT *, mad > 0 AND abs(0.6745 * (value - m) / mad) > {config.ROBUST_Z} AS far FROM cd)
+         SELECT statement_id, CAST(count_if(far) AS BIGINT) AS n_flags, coalesce(string_agg(CASE WHEN far THEN name END, ',' ORDER BY name), '') AS flagged, CAST(NULL AS VARCHAR) AS reason FROM cz WHERE others >= {config.LEAST_COHORT} GROUP BY 1""")
+register("A3_top_features", transactions, lambda t: s.top_distances(s.cohort_long(features_of(t))), SQL_TXN,
+         OTHERS + " SELECT statement_id, array_to_string(list(name ORDER BY abs(value - m) DESC, name)[1:5], ',') AS top_features, CAST(NULL AS VARCHAR) AS reason FROM cm GROUP BY 1")
 register("C1_C2_account_risk", transactions, scored)
 register("W3_score_breakdown", transactions, lambda t: s.score_breakdown(scored(t)))
 register("A1_robust_z", transactions, lambda t: s.robust_z(t.groupBy("statement_id").agg(F.count("*").alias("n")), "n").select("statement_id", F.round("z", 9).alias("z")), SQL_TXN,
@@ -205,12 +216,21 @@ def cycles(t):
     return written(g.conserved_cycles(t, checkpoint=lambda df: written(df, "paths")), "cycles")
 
 
+def bank_graph(t):
+    return b.bank_edges(t).select(F.col("from_bank").alias("src"), F.col("to_bank").alias("dst"), "n", "amount")
+
+
 def bank_centrality(t):
-    return g.betweenness(b.bank_edges(t).select(F.col("from_bank").alias("src"), F.col("to_bank").alias("dst")), checkpoint=lambda df: written(df, "levels"))
+    return g.betweenness(bank_graph(t), checkpoint=lambda df: written(df, "levels"))
+
+
+def whole_centrality(t):
+    return g.bank_centrality(written(bank_graph(t), "banks"), checkpoint=lambda df: written(df, "levels"))
 
 
 def risk_parts(t):
-    """The seven components."""
+    """The seven components; the transfers are written once for all of them."""
+    t = written(t, "transfers")
     return b.risk_components(written(b.components(b.derive(t), cycles(t), written(bank_centrality(t), "centrality")), "components"))
 
 
@@ -266,4 +286,18 @@ k0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE / n AS rank FROM rn, rm)""" + "".jo
 register("G5_pagerank", transfers, lambda t: g.pagerank(b.bank_edges(t).select(F.col("from_bank").alias("src"), F.col("to_bank").alias("dst"), F.col("n").alias("weight")), tolerance=1e-10, checkpoint=lambda df: written(df, "rank")).withColumn("rank", F.round("rank", 8)), SQL_TRF, RANKED + f" SELECT node, round(rank, 8) AS rank FROM k{RANK_ROUNDS}")
 register("G5_degrees", transfers, lambda t: g.degrees(b.bank_edges(t).select(F.col("from_bank").alias("src"), F.col("to_bank").alias("dst"), "amount")).select("node", "out_degree", "in_degree", F.round("out_flow", 2).alias("out_flow"), F.round("in_flow", 2).alias("in_flow")), SQL_TRF,
          ", o AS (SELECT from_bank AS node, count(DISTINCT to_bank) AS out_degree, sum(amount) / 100.0 AS out_flow FROM trf GROUP BY 1), i AS (SELECT to_bank AS node, count(DISTINCT from_bank) AS in_degree, sum(amount) / 100.0 AS in_flow FROM trf GROUP BY 1) SELECT node, coalesce(out_degree, 0) AS out_degree, coalesce(in_degree, 0) AS in_degree, round(coalesce(out_flow, 0), 2) AS out_flow, round(coalesce(in_flow, 0), 2) AS in_flow FROM o FULL JOIN i USING (node)")
-register("G8_bank_centrality", bulk_transfers, lambda t: bank_centrality(t).withColumn("betweenness", F.round("betweenness", 9)), SQL_BULK, BETWEEN + " SELECT node, round(betweenness, 9) AS betweenness FROM bw")
+register("G8_bank_centrality", transfers, lambda t: whole_centrality(t).withColumns({"betweenness": F.round("betweenness", 9), "pagerank": F.round("pagerank", 8)}), SQL_TRF, RANKED.rstrip() + BETWEEN + f""", og AS (SELECT from_bank AS node, count(DISTINCT to_bank) AS out_degree FROM trf GROUP BY 1), ig AS (SELECT to_bank AS node, count(DISTINCT from_bank) AS in_degree FROM trf GROUP BY 1)
+         SELECT k.node AS node, coalesce(in_degree, 0) AS in_degree, coalesce(out_degree, 0) AS out_degree, round(coalesce(betweenness, 0), 9) AS betweenness, FALSE AS sampled, round(rank, 8) AS pagerank FROM k{RANK_ROUNDS} k LEFT JOIN og USING (node) LEFT JOIN ig USING (node) LEFT JOIN bw USING (node)""")
+register("G8_betweenness_bulk", bulk_transfers, lambda t: bank_centrality(t).select("node", F.round("betweenness", 9).alias("betweenness")), SQL_BULK, BETWEEN + " SELECT node, round(betweenness, 9) AS betweenness FROM bw")
+STAR_RANK = """, se AS (SELECT statement_id, coalesce(counterparty, 'CPTY_' || row_id) AS node, debit, credit FROM txn WHERE debit > 0 OR credit > 0),
+so AS (SELECT statement_id, node, count_if(debit > 0) AS paid, count_if(credit > 0) AS pays, coalesce(sum(CASE WHEN debit > 0 THEN debit END), 0) / 100.0 AS came, coalesce(sum(CASE WHEN credit > 0 THEN credit END), 0) / 100.0 AS went FROM se GROUP BY ALL),
+sn AS (SELECT statement_id, count(*) + 1 AS n, count_if(pays > 0) AS c, count_if(paid > 0) AS d, count_if(pays > 0 AND paid > 0) AS b, sum(paid)::DOUBLE AS p, sum(came) AS spent, sum(went) AS got FROM so GROUP BY 1),
+sv AS (SELECT statement_id, 'ACCT_' || statement_id AS v FROM sn UNION ALL SELECT statement_id, node FROM so),
+sp AS (SELECT statement_id, 'ACCT_' || statement_id AS src, node AS dst, paid / p AS w FROM so JOIN sn USING (statement_id) WHERE paid > 0 UNION ALL SELECT statement_id, node, 'ACCT_' || statement_id, 1.0 FROM so WHERE pays > 0),
+z0 AS MATERIALIZED (SELECT statement_id, v, 1.0::DOUBLE / n AS r FROM sv JOIN sn USING (statement_id))""" + "".join(
+    f", z{i} AS MATERIALIZED (SELECT x.statement_id, x.v, 0.15 / n + 0.85 * (coalesce(g, 0) + coalesce(h, 0) / n) AS r FROM sv x JOIN sn USING (statement_id) LEFT JOIN (SELECT statement_id, dst, sum(r * w) AS g FROM z{i - 1} JOIN sp USING (statement_id) WHERE v = src GROUP BY ALL) y ON y.statement_id = x.statement_id AND y.dst = x.v LEFT JOIN (SELECT statement_id, sum(r) AS h FROM z{i - 1} WHERE (statement_id, v) NOT IN (SELECT statement_id, src FROM sp) GROUP BY 1) d ON d.statement_id = x.statement_id)" for i in range(1, 41)
+)
+#: Ranks by rounds over all nodes and edges of the stars.
+register("G5_star_centrality", transactions, lambda t: g.star_centrality(t).withColumns({c: F.round(c, k) for c, k in (("degree_ratio", 6), ("flow_ratio", 6), ("in_flow", 2), ("out_flow", 2), ("betweenness", 9), ("pagerank", 7))}), SQL_TXN,
+         STAR_RANK + """ SELECT statement_id, v AS node, i AS in_degree, o AS out_degree, round(o / greatest(i, 1), 6) AS degree_ratio, round(fi, 2) AS in_flow, round(fo, 2) AS out_flow, round(fo / greatest(fi, 1), 6) AS flow_ratio, round(CASE WHEN n >= 5 THEN bt END, 9) AS betweenness, round(CASE WHEN n >= 5 THEN r END, 7) AS pagerank
+         FROM (SELECT statement_id, 'ACCT_' || statement_id AS v, n, c AS i, d AS o, got AS fi, spent AS fo, (c * d - b) / ((n - 1) * (n - 2))::DOUBLE AS bt FROM sn UNION ALL SELECT statement_id, node, n, CASE WHEN paid > 0 THEN 1 ELSE 0 END, CASE WHEN pays > 0 THEN 1 ELSE 0 END, came, went, 0 FROM so JOIN sn USING (statement_id)) JOIN z40 USING (statement_id, v)""")

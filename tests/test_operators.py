@@ -257,15 +257,77 @@ def test_bank_risk_has_cycles_and_centrality(spark):
     assert few["B", "network_centrality"] == 0  # three banks
 
 
+def brute_weighted(edges):
+    """Betweenness by edge lengths: all simple paths of all pairs, the shortest ones kept."""
+    nodes = sorted({x for a, b, _ in edges for x in (a, b)})
+    total = dict.fromkeys(nodes, 0.0)
+    for s in nodes:
+        paths, open_ = {}, [([s], 0.0)]
+        while open_:
+            path, d = open_.pop()
+            for a, b, w in edges:
+                if a == path[-1] and b not in path:
+                    open_.append(([*path, b], d + w))
+                    paths.setdefault(b, []).append((d + w, [*path, b]))
+        for found in paths.values():
+            best = [p for d, p in found if d == min(found)[0]]
+            for p in best:
+                for x in p[1:-1]:
+                    total[x] += 1 / len(best)
+    return total
+
+
+def test_betweenness_of_long_and_weighted_paths(spark):
+    chain = spark.createDataFrame([(f"n{k:02d}", f"n{k + 1:02d}") for k in range(19)], "src string, dst string")
+    got = {r["node"]: r["betweenness"] * 19 * 18 for r in graph.betweenness(chain, checkpoint=keep).collect()}
+    assert got["n09"] == pytest.approx(90) and got["n00"] == 0 and {round(v) for v in got.values()} == {k * (19 - k) for k in range(20)}
+    r = random.Random(8)
+    edges = list({(f"v{a}", f"v{b}"): float(r.randint(1, 4)) for a, b in ((r.randrange(7), r.randrange(7)) for _ in range(22)) if a != b}.items())
+    table = spark.createDataFrame([(a, b, w) for (a, b), w in edges] + [("v1", "v1", 1.0)], "src string, dst string, w double")
+    for weight, flat in (("w", None), (None, 1.0)):
+        want = brute_weighted([(a, b, flat or w) for (a, b), w in edges])
+        found = {x["node"]: (x["betweenness"], x["sampled"]) for x in graph.betweenness(table, weight=weight, checkpoint=keep).collect()}
+        n = len(want)
+        assert {k: v for k, (v, _) in found.items()} == pytest.approx({k: v / ((n - 1) * (n - 2)) for k, v in want.items()})
+        assert not any(s for _, s in found.values())
+    assert {x["sampled"] for x in graph.betweenness(table, pivots=3, checkpoint=keep).collect()} == {True}
+    assert graph.betweenness(chain.limit(0), checkpoint=keep).count() == 0
+
+
+def test_star_centrality_is_that_of_the_graph(spark):
+    """The closed form against shortest paths by length and ranks by rounds over the edges of the star."""
+    rows = [("2024-01-01", 10, None, "a", 0), ("2024-01-02", 20, None, "a", 0), ("2024-01-03", None, 5, "a", 0), ("2024-01-04", None, 7, "b", 0), ("2024-01-05", 8, None, "c", 0), ("2024-01-06", 9, None, None, 0), ("2024-01-07", None, 1, "d", 0)]
+    t = txns(spark, rows)
+    got = {r["node"]: r for r in graph.star_centrality(t).collect()}
+    edges = [(r["src"], r["dst"]) for r in graph.star_edges(t).collect()]
+    me = next(x for x in got if x.startswith("ACCT_"))
+    between = brute_weighted([(a, b, float(edges.count((a, b)))) for a, b in set(edges)])
+    n = len(got)
+    assert {k: r["betweenness"] for k, r in got.items()} == pytest.approx({k: v / ((n - 1) * (n - 2)) for k, v in between.items()})
+    rank = dict.fromkeys(got, 1 / n)
+    for _ in range(200):
+        loose = sum(v for k, v in rank.items() if k not in {a for a, _ in edges})
+        rank = {k: 0.15 / n + 0.85 * (loose / n + sum(rank[a] / sum(x == a for x, _ in edges) for a, b in edges if b == k)) for k in rank}
+    assert {k: r["pagerank"] for k, r in got.items()} == pytest.approx(rank, abs=1e-6)
+    assert (got[me]["in_degree"], got[me]["out_degree"], got["a"]["in_flow"], got["a"]["out_flow"]) == (3, 3, 30.0, 5.0)
+    assert got[me]["flow_ratio"] == pytest.approx(47 / 13) and got["b"]["degree_ratio"] == 1.0
+    small = {r["pagerank"] for r in graph.star_centrality(txns(spark, rows[:4])).collect()}
+    assert small == {None}
+    only_in = {r["node"]: r["pagerank"] for r in graph.star_centrality(txns(spark, [("2024-01-01", None, 5, x, 0) for x in "abcde"])).collect()}
+    assert sum(only_in.values()) == pytest.approx(1)
+
+
 def test_scores_take_the_isolation_forest(spark):
     r = random.Random(6)
     usual = [(f"2024-01-{1 + d:02d} {9 + k % 8:02d}:00", *((r.randint(90, 110), None) if k % 2 else (None, r.randint(90, 110))), f"p{k % 5}", 1000) for k in range(6) for d in (2 * k,)]
     odd = [(f"2024-03-{1 + k // 20:02d} {k % 20:02d}:{k % 60:02d}", *((50_000 * (1 + k % 7), None) if k % 2 else (None, 49_000 * (1 + k % 5))), f"q{k}", 7 * k) for k in range(120)]
     t = txns(spark, odd).withColumn("statement_id", F.lit(99).cast("long"))
-    t = t.unionByName(txns(spark, usual).withColumn("statement_id", F.explode(F.expr("sequence(1L, 20L)"))))
+    alike = txns(spark, usual).withColumn("statement_id", F.explode(F.expr("sequence(1L, 20L)")))  # trees without the far account need something to split
+    more = lambda c: (F.col(c) * (1 + F.pmod(F.xxhash64("statement_id", "row_index"), F.lit(9)) / 20)).cast(alike.schema[c].dataType)
+    t = t.unionByName(alike.withColumns({"debit": more("debit"), "credit": more("credit")}))
     t = keep(t.withColumn("row_id", F.concat_ws("-", "statement_id", "row_index")))
     table = risk_queries.features_of(t)
-    flags = {x["statement_id"]: x["n_flags"] for x in scoring.mad_flags(features.feature_long(table)).collect()}
+    flags = {x["statement_id"]: x["n_flags"] for x in scoring.mad_flags(scoring.cohort_long(table)).collect()}
     apart = {x["statement_id"]: x["isolation"] for x in models.isolation_forest(table, "statement_id", list(scoring.NAMES)).collect()}
     got = {x["statement_id"]: x["anomaly_score"] for x in risk_queries.scored(t).select("statement_id", "anomaly_score").collect()}
     assert got == pytest.approx({k: (n / len(scoring.NAMES) + apart[k]) / 2 for k, n in flags.items()})
