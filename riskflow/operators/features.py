@@ -6,13 +6,15 @@ Transactions carry statement_id, row_index, ts, txn_date, debit, credit, balance
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
+from .ranks import cut_at_gaps
 
 ID = "statement_id"
 
@@ -55,26 +57,38 @@ def days_since_last(txns: DataFrame, as_of: str) -> DataFrame:
 def matched_debits(txns: DataFrame, hours: int = config.MATCH_HOURS) -> DataFrame:
     """Credits in order, each with the earliest unused debit that is later by at most ``hours``: amount, hours held.
 
-    All windows are of one length, so one pointer over an account's debits is enough; an account's rows are read in
-    one group, as the matching goes by its own order.
+    All windows are of one length, so a debit goes to the earliest credit that still waits for one. Accounts are cut at
+    silences longer than the window; the pieces are read in order, row by row, and only credits that wait are held.
     """
     span = hours * 3_600_000_000
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "row_index"])
-        debits = pdf[pdf.debit > 0]
-        at, amount = debits["at"].to_numpy(), debits["debit"].to_numpy()
-        out, k = [], 0
-        for t in pdf.loc[pdf.credit > 0, "at"]:
-            while k < len(at) and at[k] <= t:
-                k += 1
-            if k < len(at) and at[k] <= t + span:
-                out.append((amount[k], (at[k] - t) / 3.6e9))
-                k += 1
-        return pd.DataFrame({ID: pdf[ID].iloc[0], "matched": [o[0] for o in out], "held_hours": [o[1] for o in out]})
-
-    rows = txns.select(ID, "row_index", F.unix_micros("ts").alias("at"), F.coalesce(F.col("debit").cast("double"), F.lit(0.0)).alias("debit"), F.coalesce(F.col("credit").cast("double"), F.lit(0.0)).alias("credit"))
-    return rows.groupBy(ID).applyInPandas(match, f"{ID} long, matched double, held_hours double")
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, waiting = None, deque()
+        for batch in batches:
+            found: list[tuple] = []
+            for account, piece, at, debit, credit in zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True):
+                if (account, piece) != key:
+                    key = account, piece
+                    waiting.clear()
+                if debit > 0:
+                    while waiting and at - waiting[0] > span:
+                        waiting.popleft()
+                    if waiting and waiting[0] < at:
+                        found.append((account, debit, (at - waiting.popleft()) / 3.6e9))
+                if credit > 0:
+                    waiting.append(at)
+            if found:
+                account, debit, held = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(account, pa.int64()), pa.array(debit, pa.float64()), pa.array(held, pa.float64())], [ID, "matched", "held_hours"])
+
+    money = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+    rows = txns.where("ts is not null and (debit > 0 or credit > 0)").select(ID, "row_index", F.unix_micros("ts").alias("at"), money("debit"), money("credit"))
+    return in_pieces(cut_at_gaps(rows, "at", span, ["row_index"], (ID,)), ["at", "row_index"], ["at", "debit", "credit"], match, f"{ID} long, matched double, held_hours double")
+
+
+def in_pieces(cut: DataFrame, order: list[str], columns: list[str], run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``run`` over the rows of each piece of an account in order: statement_id, piece and ``columns``. A task streams through its pieces."""
+    return cut.repartition(ID, "piece").sortWithinPartitions(ID, "piece", *order).select(ID, "piece", *columns).mapInArrow(run, schema)
 
 
 def retention(txns: DataFrame, hours: int = config.MATCH_HOURS) -> DataFrame:

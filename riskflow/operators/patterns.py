@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import bisect
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.narration import infer_channel
-from .features import ID
+from ..sources.shared import written
+from .features import ID, in_pieces
+from .ranks import cut_at_gaps
 
 PATTERN = ("statement_id", "kind", "pattern_id", "risk", "total", "rule", "row_ids")
 
@@ -47,29 +53,99 @@ def cycle_patterns(cycles: DataFrame, txns: DataFrame) -> DataFrame:
     return total.select(ID, F.lit("cycle").alias("kind"), F.concat(F.lit("cycle:"), "counterparty").alias("pattern_id"), "risk", "total", F.lit("R5_circular_flow_detected").alias("rule"), "row_ids")
 
 
+class Earliest:
+    """Debits by amount, with the earliest unused one of any range of amounts: the least place over a range of a binary tree."""
+
+    def __init__(self, amounts: list[float]):
+        self.order = sorted(range(len(amounts)), key=amounts.__getitem__)
+        self.amounts = [amounts[k] for k in self.order]
+        self.size = 1 << max(0, len(amounts) - 1).bit_length()
+        self.none = len(amounts)
+        self.tree = [self.none] * self.size + self.order + [self.none] * (self.size - len(amounts))
+        for k in range(self.size - 1, 0, -1):
+            self.tree[k] = min(self.tree[2 * k], self.tree[2 * k + 1])
+        self.at = {place: k for k, place in enumerate(self.order)}
+
+    def take(self, credit: float, match: float) -> int | None:
+        """The place of the earliest debit whose amount is near enough; it is used from then on."""
+        low = bisect.bisect_left(self.amounts, True, key=lambda d: d / credit >= match)
+        high = bisect.bisect_left(self.amounts, True, key=lambda d: d > credit and credit / d < match)
+        best, a, b = self.none, low + self.size, high + self.size
+        while a < b:
+            if a & 1:
+                best = min(best, self.tree[a])
+                a += 1
+            if b & 1:
+                b -= 1
+                best = min(best, self.tree[b])
+            a, b = a >> 1, b >> 1
+        if best == self.none:
+            return None
+        k = self.at[best] + self.size
+        self.tree[k] = self.none
+        while k > 1:
+            k >>= 1
+            self.tree[k] = min(self.tree[2 * k], self.tree[2 * k + 1])
+        return best
+
+
 def layering_matches(txns: DataFrame, hold_days: int = config.LAYERING_HOLD_DAYS, match: float = config.LAYERING_MATCH) -> DataFrame:
-    """Credits in order, each with the first unused debit within ``hold_days`` whose amount is near enough; row by row within an account."""
-
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["day", "row_index"])
-        debits = pdf[pdf.debit > 0].to_dict("records")
-        used, out, start = set(), [], 0
-        for c in pdf[pdf.credit > 0].to_dict("records"):
-            while start < len(debits) and (debits[start]["day"] < c["day"] or start in used):
-                start += 1
-            for k in range(start, len(debits)):
-                d = debits[k]
-                if d["day"] - c["day"] > hold_days:
-                    break
-                near = min(c["credit"], d["debit"]) / max(c["credit"], d["debit"])
-                if k not in used and near >= match:
-                    used.add(k)
-                    out.append((pdf[ID].iloc[0], c["row_id"], d["row_id"], near, float(d["day"] - c["day"]), max(c["credit"], d["debit"]), c["credit"] + d["debit"]))
-                    break
-        return pd.DataFrame(out, columns=[ID, "credit_row", "debit_row", "near", "held_days", "largest", "total"])
-
-    rows = txns.select(ID, "row_id", "row_index", F.unix_date("txn_date").alias("day"), F.coalesce(F.col("debit").cast("double"), F.lit(0.0)).alias("debit"), F.coalesce(F.col("credit").cast("double"), F.lit(0.0)).alias("credit"))
-    return rows.groupBy(ID).applyInPandas(pair, f"{ID} long, credit_row string, debit_row string, near double, held_days double, largest double, total double")
+    """Credits in order, each with the first unused debit within ``hold_days`` whose amount is near enough.
+
+    Accounts are cut at silences of more than ``hold_days``; the pieces are read in order, and only the days that credits can
+    still reach are held. A day's credits look their debits up by amount, so a busy account costs a logarithm for each row.
+    """
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, days = None, deque()  # of each day: its number, credits and unused debits in order
+
+        def settle(account: int) -> list[tuple]:
+            """The pairs of the first day held."""
+            day, credits, _ = days[0]
+            debits = [(k, d[0], *x) for k, d in enumerate(days) if d[0] <= day + hold_days for x in d[2]] if credits else []
+            out = []
+            if debits:
+                tree, used = Earliest([d[3] for d in debits]), [set() for _ in days]
+                for row_id, credit in credits:
+                    place = tree.take(credit, match)
+                    if place is not None:
+                        k, other, debit_row, debit = debits[place]
+                        used[k].add(debit_row)
+                        out.append((account, row_id, debit_row, min(credit, debit) / max(credit, debit), float(other - day), max(credit, debit), credit + debit))
+                for d, gone in zip(days, used, strict=True):
+                    if gone:
+                        d[2][:] = [x for x in d[2] if x[0] not in gone]
+            days.popleft()
+            return out
+
+        def batch_of(found: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.string(), pa.string(), *[pa.float64()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], [ID, "credit_row", "debit_row", "near", "held_days", "largest", "total"])
+
+        for batch in batches:
+            found: list[tuple] = []
+            for account, piece, day, row_id, debit, credit in zip(*(c.to_pylist() for c in batch.columns[:6]), strict=True):
+                while days and ((account, piece) != key or days[0][0] + hold_days < day):
+                    found += settle(key[0])
+                key = account, piece
+                if not days or days[-1][0] != day:
+                    days.append((day, [], []))
+                if credit > 0:
+                    days[-1][1].append((row_id, credit))
+                if debit > 0:
+                    days[-1][2].append((row_id, debit))
+            if found:
+                yield batch_of(found)
+        found = []
+        while days:
+            found += settle(key[0])
+        if found:
+            yield batch_of(found)
+
+    money = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+    rows = txns.where("txn_date is not null and (debit > 0 or credit > 0)").select(ID, "row_id", "row_index", F.unix_date("txn_date").alias("day"), money("debit"), money("credit"))
+    schema = f"{ID} long, credit_row string, debit_row string, near double, held_days double, largest double, total double"
+    return in_pieces(cut_at_gaps(rows, "day", hold_days, ["row_index"], (ID,)), ["day", "row_index"], ["day", "row_id", "debit", "credit"], pair, schema)
 
 
 def layering_patterns(txns: DataFrame, k: int = config.LAYERING_CHAINS) -> DataFrame:
@@ -92,26 +168,28 @@ def structuring_patterns(txns: DataFrame, rows: int = config.LEAST_PATTERN_ROWS)
 
 
 def dormancy_patterns(txns: DataFrame, gap: int = config.DORMANCY_GAP_DAYS, rows: int = config.BURST_ROWS, days: int = config.BURST_DAYS) -> DataFrame:
-    """Silence of more than ``gap`` days, then at least ``rows`` rows within ``days``; the scan goes on behind a burst."""
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.sort_values(["day", "row_index"]).to_dict("records")
-        out, i = [], 1
-        while i < len(r):
-            silent = r[i]["day"] - r[i - 1]["day"]
-            j = i
-            while j < len(r) and r[j]["day"] <= r[i]["day"] + days:
-                j += 1
-            if silent > gap and j - i >= rows:
-                risk = 0.5 * min(silent / 90, 1) + 0.5 * min((j - i) / 6, 1)
-                out.append((r[i][ID], "dormancy", f"dormancy:{r[i]['row_id']}", risk, sum(x["amount"] for x in r[i:j]), "R2_dormancy_then_burst", [x["row_id"] for x in r[i:j]]))
-                i = j + 1
-            else:
-                i += 1
-        return pd.DataFrame(out, columns=PATTERN)
-
-    rows_ = amounts(txns).select(ID, "row_id", "row_index", F.unix_date("txn_date").alias("day"), F.col("amount").cast("double"))
-    return rows_.groupBy(ID).applyInPandas(scan, f"{ID} long, kind string, pattern_id string, risk double, total double, rule string, row_ids array<string>")
+    """Silence of more than ``gap`` days, then at least ``rows`` rows within ``days``; the scan goes on behind the row that follows a burst.
+
+    Accounts are cut at their silences. A piece's first row begins a burst, which may reach into as many later pieces as fit into
+    ``days``; so rows are handed to few pieces, and whatever goes by the account's order is done on its pieces alone, of which
+    there are no more than its days allow.
+    """
+    dated = amounts(txns).where("txn_date is not null").select(ID, "row_id", "row_index", F.unix_date("txn_date").alias("day"), "amount")
+    cut = written(cut_at_gaps(dated, "day", gap, ["row_index"], (ID,)), "silences")
+    w = Window.partitionBy(ID).orderBy("piece")
+    pieces = cut.groupBy(ID, "piece").agg(F.count("*").alias("size"), F.max("day").alias("last"))
+    begins = F.array_compact(F.array("piece", *(F.lag("piece", k).over(w) for k in range(1, days // (gap + 1) + 1))))
+    before = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pieces = written(pieces.select(ID, "piece", begins.alias("begins"), before.alias("place"), (F.col("piece") - F.lag("last").over(w)).alias("silent")), "pieces")
+    handed = cut.join(pieces.select(ID, "piece", "begins"), [ID, "piece"]).withColumn("begin", F.explode("begins")).where(F.col("day") <= F.col("begin") + days)
+    bursts = handed.groupBy(ID, "begin").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"), F.array_sort(F.collect_list(F.struct("day", "row_index", "row_id")))["row_id"].alias("row_ids"))
+    starts = pieces.where("silent is not null").select(ID, F.col("piece").alias("begin"), "place", "silent")
+    found = bursts.where(F.col("n") >= rows).join(starts, [ID, "begin"])
+    free = F.struct(F.lit(-1).cast("long").alias("end"), F.array().cast("array<int>").alias("kept"))
+    scan = lambda s, x: F.when(x["place"] > s["end"], F.struct((x["place"] + x["n"]).alias("end"), F.concat(s["kept"], F.array(x["begin"])).alias("kept"))).otherwise(s)
+    kept = found.groupBy(ID).agg(F.aggregate(F.array_sort(F.collect_list(F.struct("place", "n", "begin"))), free, scan)["kept"].alias("kept")).select(ID, F.explode("kept").alias("begin"))
+    risk = 0.5 * F.least(F.col("silent") / 90, F.lit(1.0)) + 0.5 * F.least(F.col("n") / 6, F.lit(1.0))
+    return found.join(kept, [ID, "begin"]).select(ID, F.lit("dormancy").alias("kind"), F.concat(F.lit("dormancy:"), F.col("row_ids")[0]).alias("pattern_id"), risk.alias("risk"), "total", F.lit("R2_dormancy_then_burst").alias("rule"), "row_ids")
 
 
 def build_patterns(parts: list[DataFrame], fired: DataFrame, k: int = config.PATTERNS) -> DataFrame:

@@ -44,6 +44,27 @@ def running_totals(rows: DataFrame, order: list[str | Column], values: list[str]
     return placed.select(*columns, *((F.col(f"_from_{v}") + F.col(f"_in_{v}")).alias(f"{v}_before") for v in values), *(f"{v}_all" for v in values))
 
 
+def cut_at_gaps(rows: DataFrame, at: str, gap: int, order: list[str], keys: tuple[str, ...]) -> DataFrame:
+    """``rows`` with ``piece``: the ``at`` of the first row of their piece, where a piece ends before a silence of more than ``gap``.
+
+    What is matched within a window of ``gap`` never reaches over such a silence, so pieces can be worked on apart. Rows are in the
+    order of ``at`` and ``order`` within the keys; of each range of rows its last time and last piece are passed on to the next.
+    ``at`` isn't to be null.
+    """
+    columns = rows.columns
+    ranged = written(rows.repartitionByRange(*keys, at, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    ranges, inside = Window.partitionBy(*keys).orderBy("_range"), Window.partitionBy(*keys, "_range").orderBy(at, *order)
+    ends = ranged.groupBy(*keys, "_range").agg(F.max(at).alias("_last"))
+    marked = same(ranged, ends.select(*keys, "_range", F.lag("_last").over(ranges).alias("_from")), (*keys, "_range"))
+    before = F.coalesce(F.lag(at).over(inside), F.col("_from"))
+    marked = marked.withColumn("_new", F.when(before.isNull() | (F.col(at) - before > gap), F.col(at)))
+    starts = marked.groupBy(*keys, "_range").agg(F.max("_new").alias("_start"))
+    carried = F.max("_start").over(ranges.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried")
+    placed = same(marked, starts.select(*keys, "_range", carried), (*keys, "_range"))
+    own = F.max("_new").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return placed.withColumn("piece", F.coalesce(own, F.col("_carried"))).select(*columns, "piece")
+
+
 def order_statistics(rows: DataFrame, value: str, positions: dict[str, Callable[[Column], Column]], keys: tuple[str, ...] = ()) -> DataFrame:
     """A row for each key: ``n`` values that aren't null, and the elements of their sorted list at ``positions``.
 
