@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,31 +73,60 @@ def deviation(values: Column) -> Column:
 
 
 def flow_paths(transfers: DataFrame, days: float, tolerance: float, percentile: float, max_hops: int, scope: str | None = None, checkpoint=None) -> DataFrame:
-    """All closed paths of transfers forward in time whose amounts stay near the first: origin, hops, idx, amounts, times, accounts.
-
-    The first amount is at least the element at ``percentile`` of the sorted amounts. Each hop is an equi-join on the
-    account reached, with the time window and the tolerance within the join.
+    """All closed paths of transfers forward in time whose amounts stay near the first: t0, last, idxs, amounts, accounts.
+
+    The first amount is at least the element at ``percentile`` of the sorted amounts, and fixes the path's origin. A path grows at
+    both ends: onward from where it has come to, or back from its origin, whichever account has fewer transfers there; so an
+    account with a large share of all transfers is left for the end, when the transfer that closes the path is looked up by both
+    its accounts. A path is made once, as the end at which it grows depends on the path alone. Joins go by account, stretch of
+    time and band of amounts: transfers lie in one such cell, a path asks at most two stretches and two bands, and a busy
+    account's transfers are spread over its cells.
     """
+    keep = checkpoint or (lambda df: written(df, "paths"))
     keys = [scope] if scope else []
+    window = int(days * 86_400_000_000)
+    width = math.log((1 + tolerance) / (1 - tolerance)) if tolerance < 1 else math.inf
+    stretch = lambda at: F.floor(at / F.lit(max(1, window))).cast("long")
+    banded = 0 < width < math.inf
+    band = (lambda x: F.floor(F.log(x) / width).cast("int")) if banded else (lambda x: F.lit(0))
     t = transfers.where("from_account <> to_account and amount > 0").select(*keys, F.col("row_idx").alias("idx"), F.unix_micros("ts").alias("at"), "from_account", "to_account", F.col("amount").cast("double").alias("amount"))
     floor = order_statistics(t, "amount", {"_floor": lambda n: F.floor(percentile * n)}, tuple(keys)).drop("n")
-    seeds = same(t, floor, tuple(keys)).where(F.col("amount") >= F.col("_floor"))
-    open_ = seeds.select(*keys, F.col("from_account").alias("origin"), F.col("to_account").alias("here"), F.col("at").alias("t0"), F.col("at").alias("last"), F.col("amount").alias("first"), F.array("from_account", "to_account").alias("accounts"), F.array("idx").alias("idxs"), F.array("amount").alias("amounts"))
-    window = int(days * 86_400_000_000)
+    t = same(t, floor, tuple(keys)).where(F.col("amount") >= (1 - tolerance) * F.col("_floor"))
+    leaving = t.groupBy(*keys, F.col("from_account").alias("to_account")).agg(F.count("*").alias("out"))
+    coming = t.groupBy(*keys, F.col("to_account").alias("from_account")).agg(F.count("*").alias("into"))
+    # a transfer that nothing can follow or come before closes no path
+    t = keep(t.join(leaving, [*keys, "to_account"]).join(coming, [*keys, "from_account"]).withColumns({"stretch": stretch(F.col("at")), "band": band(F.col("amount"))}))
+    empty = lambda c: F.slice(F.array(c), 1, 0)
+    lists = {"accounts": F.array("from_account", "to_account"), "idxs": F.array("idx"), "amounts": F.array("amount"), "b_accounts": empty("from_account"), "b_idxs": empty("idx"), "b_amounts": empty("amount")}
+    scalars = [F.col("from_account").alias("start"), F.col("to_account").alias("here"), F.col("at").alias("t0"), F.col("at").alias("last"), (F.col("at") + window).alias("until"), F.lit(None).cast("long").alias("end"), F.col("amount").alias("first"), "out", "into"]
+    open_ = t.where(F.col("amount") >= F.col("_floor")).select(*keys, *scalars, *(c.alias(k) for k, c in lists.items()))
+    step = t.select(*(F.col(c).alias(f"n_{c}") for c in (*keys, "idx", "at", "from_account", "to_account", "amount", "out", "into", "stretch", "band")))
+    first = F.col("first")
+    near = (F.col("n_at") >= F.col("last")) & (F.col("n_at") <= F.col("until")) & (F.abs(F.col("n_amount") - first) <= tolerance * first)
+    for k in (*keys, "stretch", "band"):
+        near = near & (F.col(k) == F.col(f"n_{k}"))
+    edge = lambda share, sign: band(F.greatest(share * first * (1 + sign * 1e-9), F.lit(1e-300)))
+    bands = F.sequence(edge(1 - tolerance, -1), edge(1 + tolerance, 1)) if banded else F.array(F.lit(0))
+    fresh = lambda c: ~F.array_contains("accounts", F.col(c)) & ~F.array_contains("b_accounts", F.col(c))
+    new = lambda c: F.array(F.col(f"n_{c}"))
     closed = None
-    for hop in range(2, max_hops + 1):
-        n = t.select(*(F.col(k).alias(f"n_{k}") for k in keys), F.col("from_account").alias("n_from"), F.col("to_account").alias("n_to"), F.col("at").alias("n_at"), F.col("amount").alias("n_amount"), F.col("idx").alias("n_idx"))
-        on = (F.col("here") == F.col("n_from")) & (F.col("n_at") >= F.col("last")) & (F.col("n_at") <= F.col("t0") + window) & (F.abs(F.col("n_amount") - F.col("first")) <= tolerance * F.col("first"))
-        for k in keys:
-            on = on & (F.col(k) == F.col(f"n_{k}"))
-        step = open_.join(n, on).where((F.col("n_to") == F.col("origin")) | ~F.array_contains("accounts", F.col("n_to"))).where(~F.array_contains("idxs", F.col("n_idx")))
-        grown = step.select(*keys, "origin", F.col("n_to").alias("here"), "t0", F.col("n_at").alias("last"), "first", F.when(F.col("n_to") == F.col("origin"), F.col("accounts")).otherwise(F.concat("accounts", F.array("n_to"))).alias("accounts"), F.concat("idxs", F.array("n_idx")).alias("idxs"), F.concat("amounts", F.array("n_amount")).alias("amounts"))
-        if checkpoint:
-            grown = checkpoint(grown)
-        done = grown.where(F.col("here") == F.col("origin"))
-        if hop >= config.FLOW_MIN_HOPS:
+    for size in range(1, max_hops):
+        asked = open_.withColumn("stretch", F.explode(F.sequence(stretch(F.col("last")), stretch(F.col("until"))))).withColumn("band", F.explode(bands))
+        onto, from_ = F.col("here") == F.col("n_from_account"), F.col("start") == F.col("n_to_account")
+        if size + 1 >= config.FLOW_MIN_HOPS:
+            done = asked.join(step, near & onto & from_).select(*keys, "t0", F.coalesce("end", "n_at").alias("last"), F.concat("accounts", "b_accounts").alias("accounts"), F.concat("idxs", new("idx"), "b_idxs").alias("idxs"), F.concat("amounts", new("amount"), "b_amounts").alias("amounts"))
             closed = done if closed is None else closed.unionByName(done)
-        open_ = grown.where(F.col("here") != F.col("origin"))
+        if size == max_hops - 1:
+            break
+        onward = asked.where("out <= into").join(step, near & onto).where(fresh("n_to_account")).select(
+            *keys, "start", F.col("n_to_account").alias("here"), "t0", F.col("n_at").alias("last"), "until", "end", "first", F.col("n_out").alias("out"), "into",
+            F.concat("accounts", new("to_account")).alias("accounts"), F.concat("idxs", new("idx")).alias("idxs"), F.concat("amounts", new("amount")).alias("amounts"), "b_accounts", "b_idxs", "b_amounts",
+        )
+        back = asked.where("out > into").join(step, near & from_).where(fresh("n_from_account")).select(
+            *keys, F.col("n_from_account").alias("start"), "here", "t0", "last", F.col("n_at").alias("until"), F.coalesce("end", "n_at").alias("end"), "first", "out", F.col("n_into").alias("into"),
+            "accounts", "idxs", "amounts", F.concat(new("from_account"), "b_accounts").alias("b_accounts"), F.concat(new("idx"), "b_idxs").alias("b_idxs"), F.concat(new("amount"), "b_amounts").alias("b_amounts"),
+        )
+        open_ = keep(onward.unionByName(back))
     return closed
 
 
@@ -110,8 +141,8 @@ def conserved_cycles(transfers: DataFrame, days: float = config.FLOW_DAYS, toler
     """One finding per ring of accounts, the earliest: ring, hops, idxs, conservation, span_days, risk, amount."""
     keys = [scope] if scope else []
     paths = flow_paths(transfers, days, tolerance, percentile, max_hops, scope, checkpoint).withColumn("ring", ring_key(F.col("accounts")))
-    first = Window.partitionBy(*keys, "ring").orderBy("t0", F.col("idxs")[0], "idxs")
-    one = paths.withColumn("_r", F.row_number().over(first)).where("_r = 1")
+    earliest = F.min(F.struct("t0", F.col("idxs")[0].alias("head"), "idxs", "accounts", "amounts", "last")).alias("path")
+    one = paths.groupBy(*keys, "ring").agg(earliest).select(*keys, "ring", "path.*")
     hops = F.size("idxs")
     mean = F.aggregate("amounts", F.lit(0.0), lambda a, x: a + x) / hops
     conserve = F.greatest(F.lit(0.0), 1 - deviation(F.col("amounts")) / mean)
