@@ -205,6 +205,32 @@ FEATURES: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
 }
 
 
+#: How each feature is worked out, and what it tells.
+FORMULAS = {
+    "account_age_days_observed": ("last day - first day", "Days between the first and the last transaction"),
+    "dormancy_breaks": ("silences over 30 days before 3 active days within 3", "Times that the account woke up in a burst"),
+    "first_week_activity_ratio": ("rows of the first week / rows", "Share of all activity in the first week"),
+    "net_retention_ratio": ("1 - debits matched within 24 h / credits", "Share of what came in that stayed"),
+    "median_holding_time_hours": ("median hours from credit to matched debit", "How long money stays"),
+    "average_daily_balance": ("area under the balance / days", "Mean balance over time"),
+    "turnover_ratio": ("(debits + credits) / average_daily_balance", "Flow against what is held"),
+    "inflow_outflow_velocity": ("most rows within 24 h", "Densest day"),
+    "weekend_night_activity_ratio": ("rows on weekends / rows", "Share of activity at unusual times"),
+    "near_threshold_ratio": ("amounts just below a limit / amounts", "Share of amounts that stay below a limit"),
+    "round_number_ratio": ("round amounts / amounts", "Share of round amounts"),
+    "benford_deviation_score": ("sum of (observed - expected)^2 / expected over first digits", "How far first digits are from their usual shares"),
+    "fan_in_score": ("payers / credits", "How many pay in"),
+    "fan_out_score": ("payees / debits", "How many are paid"),
+    "counterparty_concentration_hhi": ("sum of squared shares of counterparties", "How few counterparties hold the flow"),
+}
+
+
+def feature_evidence(features: DataFrame) -> DataFrame:
+    """The rows of :func:`feature_long` with formula and explanation; a missing value's explanation says so."""
+    text = lambda k: F.try_element_at(F.create_map(*(F.lit(x) for n, v in FORMULAS.items() for x in (n, v[k]))), F.col("name"))
+    return feature_long(features).withColumns({"formula": text(0), "explanation": F.when(F.col("value").isNull(), "Not available for this account").otherwise(text(1))})
+
+
 def all_features(txns: DataFrame) -> DataFrame:
     """One row per account with every registered feature as a double."""
     out = txns.select(ID).distinct()

@@ -236,64 +236,10 @@ def peak_velocity_rows(txns: DataFrame) -> DataFrame:
     return at.join(peak, ID).where(F.col("at").between(F.col("peak") - 86_400_000_000, F.col("peak"))).select(ID, "row_id")
 
 
-def connections(patterns: DataFrame, txns: DataFrame, k: int = 5) -> DataFrame:
-    """The counterparties on an account's patterns that move most."""
-    at = patterns.select(ID, F.explode("row_ids").alias("row_id")).distinct().join(amounts(txns).select("row_id", "counterparty", "amount"), "row_id")
-    sums = at.where("counterparty is not null").groupBy(ID, "counterparty").agg(F.sum("amount").cast("double").alias("value"), F.count("*").alias("n"))
-    return sums.withColumn("rank", F.row_number().over(Window.partitionBy(ID).orderBy(F.desc("value"), "counterparty"))).where(F.col("rank") <= k)
-
-
-REASONS = ("circular", "velocity", "amounts", "connections", "dormancy", "statistical")
-
-
-def reasons(patterns: DataFrame, features: DataFrame, flags: DataFrame, links: DataFrame) -> DataFrame:
-    """Up to six reasons of each account with their severity."""
-    top = patterns.groupBy(ID, "kind").agg(F.max("risk").alias("risk"))
-    by = {"cycle": "circular", "layering": "velocity", "structuring": "amounts", "dormancy": "dormancy"}
-    named = F.create_map(*(F.lit(x) for kv in by.items() for x in kv))
-    out = top.select(ID, F.element_at(named, F.col("kind")).alias("reason"), severity(F.col("risk")).alias("severity"))
-    busy = features.where((F.col("inflow_outflow_velocity") >= 5) | (F.col("net_retention_ratio") < 0.5)).select(ID, F.lit("velocity").alias("reason"), F.lit("MEDIUM").alias("severity"))
-    near = features.where((F.col("near_threshold_ratio") >= 0.10) | (F.col("round_number_ratio") >= 0.30)).select(ID, F.lit("amounts").alias("reason"), F.lit("MEDIUM").alias("severity"))
-    many = links.groupBy(ID).agg(F.count("*").alias("n")).select(ID, F.lit("connections").alias("reason"), F.when(F.col("n") >= 3, "HIGH").otherwise("MEDIUM").alias("severity"))
-    odd = flags.where("n_flags > 0").select(ID, F.lit("statistical").alias("reason"), F.when(F.col("n_flags") >= 3, "HIGH").otherwise("MEDIUM").alias("severity"))
-    every = out.unionByName(busy).unionByName(near).unionByName(many).unionByName(odd)
-    return every.groupBy(ID, "reason").agg(F.max_by("severity", severity_rank(F.col("severity"))).alias("severity"))
-
-
-def rank_reasons(reasons_: DataFrame, fired: DataFrame) -> DataFrame:
-    """Reasons by severity, raised to that of the rule behind them; rules without a reason become reasons."""
-    behind = {"R1_low_retention_high_turnover": "velocity", "R2_dormancy_then_burst": "dormancy", "R3_structuring_near_threshold": "amounts", "R4_benford_anomaly": "statistical", "R5_circular_flow_detected": "circular", "R6_fan_in_fan_out": "connections"}
-    points = {name: p for name, p, _ in config.RULES}
-    rule = fired.select(ID, F.explode(F.split("fired", ",")).alias("rule")).where("rule <> ''")
-    pick = lambda d, kind: F.element_at(F.create_map(*(F.lit(x) for kv in d.items() for x in kv)), F.col("rule")).cast(kind)
-    of_rules = rule.select(ID, pick(behind, "string").alias("reason"), points_severity(pick(points, "int")).alias("severity"), pick(points, "int").alias("points"))
-    both = reasons_.withColumn("points", F.lit(0)).unionByName(of_rules).groupBy(ID, "reason").agg(F.max(severity_rank(F.col("severity"))).alias("grade"), F.sum("points").cast("long").alias("points"))
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy(ID).orderBy(F.desc("points"), F.desc("grade"), "reason")))
-
-
-def confidence(scored: DataFrame) -> DataFrame:
-    """100 (.35 extraction + .25 plausibility + .25 margin + .15 corroboration); needs rate, ood, score, rules, anomaly and patterns."""
-    margin = F.least(F.abs(F.col("score") - config.CONFIRMED_MIN), F.abs(F.col("score") - config.LEGITIMATE_MAX)) / 25
-    agree = ((F.col("n_rules") > 0).cast("int") + (F.col("anomaly_score") >= config.ANOMALY_LOW).cast("int") + (F.col("n_patterns") > 0).cast("int")) / 3
-    return scored.select(ID, (100 * (0.35 * F.col("rate") + 0.25 * F.col("ood") + 0.25 * F.least(margin, F.lit(1.0)) + 0.15 * agree)).alias("confidence"))
-
-
-def coverage(txns: DataFrame) -> DataFrame:
-    return txns.groupBy(ID).agg(F.count("*").alias("examined"), F.count_distinct("counterparty").alias("counterparties"))
-
-
-def narrative(scored: DataFrame) -> DataFrame:
-    """A fixed text on score, tier and rules."""
-    return scored.select(ID, F.format_string("Account %d scored %.1f and is %s. Rules: %s.", F.col(ID), F.col("score"), F.col("tier"), F.when(F.col("fired") == "", "none").otherwise(F.col("fired"))).alias("text"))
-
-
-def evidence_bundle(scored: DataFrame, patterns: DataFrame, reasons_: DataFrame) -> DataFrame:
-    """One nested record per account: score, patterns (at most PATTERNS) and reasons (at most six)."""
-    p = patterns.groupBy(ID).agg(F.array_sort(F.collect_list(F.struct("rank", "kind", "pattern_id", "risk", "severity"))).alias("patterns"))
-    r = reasons_.groupBy(ID).agg(F.array_sort(F.collect_list(F.struct("rank", "reason", "grade", "points"))).alias("reasons"))
-    return scored.join(p, ID, "left").join(r, ID, "left")
-
-
-def redacted_projection(bundle: DataFrame) -> DataFrame:
-    """What identifies nobody: tier, score, counts and the first three of each list."""
-    return bundle.select(ID, "tier", "score", F.size(F.coalesce("patterns", F.array())).alias("n_patterns"), F.transform(F.slice("patterns", 1, 3), lambda p: F.struct(p["kind"].alias("kind"), p["risk"].alias("risk"))).alias("top_patterns"))
+def coverage(txns: DataFrame, patterns: DataFrame, fired: DataFrame, n_features: int) -> DataFrame:
+    """What was looked at: rows, counterparties, patterns, rules evaluated and triggered, features."""
+    seen = txns.groupBy(ID).agg(F.count("*").alias("examined"), F.count_distinct("counterparty").alias("counterparties"))
+    found = patterns.groupBy(ID).agg(F.count("*").alias("patterns"))
+    rules = fired.select(ID, F.size(F.filter(F.split("fired", ","), lambda x: x != "")).cast("long").alias("rules_triggered"))
+    both = seen.join(found, ID, "left").join(rules, ID, "left").fillna(0, ["patterns", "rules_triggered"])
+    return both.withColumns({"rules_evaluated": F.lit(len(config.RULES)).cast("long"), "features": F.lit(n_features).cast("long")})

@@ -97,8 +97,12 @@ def mad_flags(long: DataFrame, limit: float = config.ROBUST_Z) -> DataFrame:
 
     With fewer than LEAST_COHORT others n_flags and flagged are null and the reason says so.
     """
+    return mad_flags_of(against_others(long), limit)
+
+
+def mad_flags_of(against: DataFrame, limit: float = config.ROBUST_Z) -> DataFrame:
     far = F.abs("z") > limit
-    found = against_others(long).groupBy(ID).agg(F.min("others").alias("_others"), F.count_if(far).alias("n_flags"), F.array_join(F.array_sort(F.collect_list(F.when(far, F.col("name")))), ",").alias("flagged"))
+    found = against.groupBy(ID).agg(F.min("others").alias("_others"), F.count_if(far).alias("n_flags"), F.array_join(F.array_sort(F.collect_list(F.when(far, F.col("name")))), ",").alias("flagged"))
     enough = F.col("_others") >= config.LEAST_COHORT
     return found.select(ID, F.when(enough, F.col("n_flags")).alias("n_flags"), F.when(enough, F.col("flagged")).alias("flagged"), F.when(~enough, F.lit(NO_COHORT)).alias("reason"))
 
@@ -132,15 +136,10 @@ def decide_tier(score: Column, fired: Column, anomaly: Column, extraction: Colum
     return (
         F.when((score >= config.CONFIRMED_MIN) & (fired != "") & (extraction != "low"), "CONFIRMED_SUSPICIOUS")
         .when((score <= config.LEGITIMATE_MAX) & (anomaly < config.ANOMALY_LOW) & (extraction == "high"), "LIKELY_LEGITIMATE")
-        .otherwise("NEEDS_REVIEW")
+        .otherwise("REVIEW_REQUIRED")
     )
 
 
-def score_breakdown(scored: DataFrame) -> DataFrame:
-    """Points that rules and anomaly add to the fused score."""
-    return scored.select(ID, (config.FUSE_WITHOUT[0] * F.col("rule_score")).alias("rule_points"), (config.FUSE_WITHOUT[1] * F.col("anomaly_score") * 100).alias("anomaly_points"))
-
-
 def binary_metrics(rows: DataFrame, score: str, label: str, cut: float, top: float = 0.05) -> DataFrame:
     """precision, recall, f1, false positive rate and lift among the ``top`` share by score, in one row."""
     p, y = F.col(score) >= cut, F.col(label) == 1

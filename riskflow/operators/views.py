@@ -58,7 +58,7 @@ def statement_summary(statements: DataFrame, bundles: DataFrame) -> DataFrame:
 
 
 def statement_rollup(scored: DataFrame) -> DataFrame:
-    return scored.agg(F.count("*").alias("analysed"), F.count_if(F.col("tier") == "CONFIRMED_SUSPICIOUS").alias("suspicious"), F.count_if(F.col("tier") == "NEEDS_REVIEW").alias("review"), F.sum("n").alias("transactions"))
+    return scored.agg(F.count("*").alias("analysed"), F.count_if(F.col("tier") == "CONFIRMED_SUSPICIOUS").alias("suspicious"), F.count_if(F.col("tier") == "REVIEW_REQUIRED").alias("review"), F.sum("n").alias("transactions"))
 
 
 def sink_results(df: DataFrame, path: str, key: str = "statement_id") -> None:

@@ -128,6 +128,15 @@ def raw_statement(t):
     return t.select(F.col("statement_id").alias("file"), F.row_number().over(Window.partitionBy("statement_id").orderBy("row_index")).alias("row"), F.array(*map(F.lit, header)).alias("header"), F.array(*cells).alias("cells"))
 
 
+def raw_grids(t):
+    """The raw files as cells (file_id, row from 0, col, value), and their first 100 rows as a text with the number of rows."""
+    raw = raw_statement(t).withColumnRenamed("file", "file_id").withColumn("row", F.col("row") - 1)
+    cells = raw.select("file_id", "row", F.posexplode("cells").alias("col", "value"))
+    line = F.when(F.col("row") < 100, F.struct("row", F.concat_ws("\t", "cells").alias("line")))
+    texts = raw.groupBy("file_id").agg(F.concat_ws("\n", F.array_sort(F.collect_list(line))["line"]).alias("text"), F.count("*").alias("n_rows"))
+    return cells, texts
+
+
 on_transactions("P5_classify_columns", lambda t: classify_columns(raw_statement(t)).select("file", "col", "field"),
                 "SELECT DISTINCT statement_id AS file, CAST(i AS INTEGER) AS col, ['txn_date', 'value_date', 'narration', 'reference_no', 'debit_amount', 'credit_amount', 'balance_after'][i + 1] AS field FROM txn, range(7) AS r(i)")
 HEADER = {"date": "Txn Date", "narration": "Transaction Particulars", "reference": "Chq/Ref No.", "debit": "Withdrawal Amt (INR)", "credit": "Deposit Amt (INR)", "balance": "Closing Balance"}

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import banks as b
+from .. import config
 from ..operators import cases as c
+from ..operators import evidence as ev
 from ..operators import features as f
 from ..operators import graph as g
 from ..operators import models as m
@@ -16,7 +18,9 @@ from ..operators import views as v
 from ..sources.adapters import SQL_CASE, SQL_TRF, SQL_TXN, mirrored_case, transactions, transfers
 from ..sources.shared import written
 from .narration_queries import CHANNEL
-from .risk_queries import DERIVED, GEDGES, STAR, anomaly, features_of, scored
+from .account_queries import FEATURES_SQL
+from .account_queries import ORACLES as ACCOUNT_SQL
+from .risk_queries import DERIVED, GEDGES, STAR, anomaly, features_of, isolation_of, plausibility, rates, scored
 from .risk_queries import ORACLES as RISK_SQL
 
 QUERIES, ORACLES = {}, {}
@@ -68,21 +72,51 @@ def patterns(t):
     return written(p.build_patterns(parts, s.evaluate_rules(features_of(t))), "patterns")
 
 
-def ranked(t, found):
+def known(t):
+    """All that an account's evidence is made of, each part written once."""
     features = features_of(t)
-    return p.rank_reasons(p.reasons(found, features, s.mad_flags(s.cohort_long(features)), p.connections(found, t)), s.evaluate_rules(features))
+    cycles = written(g.star_cycles(t), "cycles")
+    against = written(s.against_others(s.cohort_long(features)), "against")
+    isolation = written(isolation_of(features), "isolation")
+    details = written(ev.anomaly_details(against, isolation, s.top_distances(s.cohort_long(features))), "anomaly")
+    decided = written(ev.decisions(ev.fired_rules(features), s.anomaly_score(s.mad_flags_of(against), isolation), rates(t)), "decided")
+    return features, cycles, details, decided
+
+
+def reasons_shown(t, features, cycles):
+    return ev.reasons_with_rows(patterns(t), t, features, cycles)
+
+
+def ranked(t):
+    features, cycles, details, decided = known(t)
+    return ev.ranked_reasons(reasons_shown(t, features, cycles), details, decided)
+
+
+def facts(t):
+    """What the statements' files and rows say by themselves."""
+    seen = t.groupBy("statement_id").agg(F.min("txn_date").cast("string").alias("start"), F.max("txn_date").cast("string").alias("end"), F.count("*").alias("n"))
+    fit = plausibility(t).select(F.col("file_id").alias("statement_id"), F.col("score").alias("ood"))
+    return seen.join(rates(t), "statement_id").join(fit, "statement_id", "left").withColumn("manual_mapping", F.lit(False))
 
 
 def bundle(t):
-    found = patterns(t)
-    return p.evidence_bundle(scored(t), found, ranked(t, found))
+    features, cycles, details, decided = known(t)
+    return ev.evidence_bundle(facts(t), decided, f.feature_evidence(features), ev.ranked_cycles(cycles), details)
+
+
+def bundle_without_forest(t):
+    """The bundle of what rules, cycles and files give; the anomaly is that of no cohort."""
+    features, cycles = features_of(t), written(g.star_cycles(t), "cycles")
+    none = features.select("statement_id", F.lit(0.0).alias("anomaly_score"))
+    nothing = F.struct(F.lit(None).cast("double").alias("isolation_forest_score"), F.lit(s.NO_COHORT).alias("availability_reason"))
+    return ev.evidence_bundle(facts(t), ev.decisions(ev.fired_rules(features), none, rates(t)), f.feature_evidence(features), ev.ranked_cycles(cycles), features.select("statement_id", nothing.alias("anomaly")))
 
 
 def sure(t):
-    found, done = patterns(t), scored(t)
-    rules = F.size(F.filter(F.split("fired", ","), lambda x: x != ""))
-    n = found.groupBy("statement_id").agg(F.count("*").alias("n_patterns"))
-    return p.confidence(done.withColumn("n_rules", rules).join(n, "statement_id", "left").fillna(0, ["n_patterns"]).join(q.reconciliation_rate(t).withColumnRenamed("reconciliation_rate", "rate"), "statement_id").withColumn("ood", F.lit(1.0)))
+    features, cycles, details, decided = known(t)
+    found = details.select("statement_id", F.size(F.map_keys("anomaly.flags")).alias("n_flags")).join(cycles.groupBy("statement_id").agg(F.count("*").alias("n_cycles")), "statement_id", "left")
+    fit = plausibility(t).select(F.col("file_id").alias("statement_id"), F.col("score").alias("ood"))
+    return ev.confidence(decided.join(fit, "statement_id", "left"), found, supervised=True)
 
 
 def shown(found):
@@ -101,12 +135,76 @@ register("T1_hops", transactions, lambda t: p.hops(patterns(t), t).withColumns({
          SELECT statement_id, pattern_id, CAST(hop AS INTEGER) AS hop, row_id, reference_no AS txn_id, CAST(txn_date AS VARCHAR) AS day, CASE WHEN out THEN 'debit' ELSE 'credit' END AS direction, """ + CHANNEL + """ AS channel, narration, CASE WHEN amount BETWEEN 45000 AND 50000 THEN 50000 WHEN amount BETWEEN 180000 AND 200000 THEN 200000 END::DOUBLE AS band, CASE WHEN out THEN me ELSE other END AS from_node, CASE WHEN out THEN other ELSE me END AS to_node, amount, round(gap, 6) AS gap_hours, rapid, banded, round(risk, 6) AS hop_risk, """ + SEVERITY + " AS severity FROM hs")
 register("T3_finalize", transactions, lambda t: p.finalize(patterns(t), t).withColumns({"total": F.round("total", 2), "row_ids": F.array_join("row_ids", ","), "node_ids": F.array_join("node_ids", ",")}), SQL_TXN, BUILT + ", pn2 AS (SELECT statement_id, pattern_id, string_agg(node, ',' ORDER BY node) AS node_ids FROM (SELECT DISTINCT statement_id, pattern_id, unnest(['ACCT_' || statement_id, coalesce(counterparty, 'UNKNOWN')]) AS node FROM pr) GROUP BY 1, 2) SELECT statement_id, pattern_id, string_agg(row_id, ',' ORDER BY txn_date, row_id) AS row_ids, any_value(node_ids) AS node_ids, count(*) AS n, round(sum(amount), 2) AS total, date_diff('day', min(txn_date), max(txn_date))::DOUBLE AS span_days, CAST(min(txn_date) AS VARCHAR) AS start, CAST(max(txn_date) AS VARCHAR) AS \"end\" FROM pr JOIN pn2 USING (statement_id, pattern_id) GROUP BY 1, 2")
 register("W1_peak_velocity_rows", transactions, p.peak_velocity_rows, SQL_TXN, ", v AS (SELECT statement_id, row_id, ts, count(*) OVER (PARTITION BY statement_id ORDER BY ts RANGE BETWEEN INTERVAL '24' HOUR PRECEDING AND CURRENT ROW) AS n FROM txn), k AS (SELECT statement_id, min(ts) AS peak FROM v JOIN (SELECT statement_id, max(n) AS n FROM v GROUP BY 1) USING (statement_id, n) GROUP BY 1) SELECT statement_id, row_id FROM txn JOIN k USING (statement_id) WHERE ts BETWEEN peak - INTERVAL '24' HOUR AND peak")
-register("W2_W4_reasons", transactions, lambda t: ranked(t, patterns(t)))
+register("W2_W4_reasons", transactions, lambda t: ranked(t).withColumn("row_ids", F.array_join("row_ids", ",")))
+PEAK = """, pv AS (SELECT statement_id, row_id, row_index, ts, count(*) OVER (PARTITION BY statement_id ORDER BY ts RANGE BETWEEN INTERVAL '24' HOUR PRECEDING AND CURRENT ROW) AS n FROM txn), pk AS (SELECT statement_id, min(ts) AS peak FROM pv JOIN (SELECT statement_id, max(n) AS n FROM pv GROUP BY 1) USING (statement_id, n) GROUP BY 1), pw AS (SELECT statement_id, row_id, epoch_us(ts)::DOUBLE AS o1, 0 AS o2 FROM pv JOIN pk USING (statement_id) WHERE ts BETWEEN peak - INTERVAL '24' HOUR AND peak)"""
+SHOWN = BUILT + PEAK + f""", wk AS (SELECT statement_id, kind, arg_min(pattern_id, rank) AS pattern_id, arg_min(severity, rank) AS severity, count(*) AS n_patterns FROM pt GROUP BY 1, 2),
+wt AS (SELECT statement_id, pattern_id, n_patterns, CASE kind WHEN 'cycle' THEN 'circular' WHEN 'layering' THEN 'velocity' WHEN 'structuring' THEN 'amounts' ELSE 'dormancy' END AS reason, CASE WHEN kind IN ('layering', 'structuring') THEN 'HIGH' ELSE severity END AS severity FROM wk),
+wf AS (SELECT * FROM ({FEATURES_SQL})), wx AS (SELECT statement_id, 'velocity' AS reason FROM wf WHERE inflow_outflow_velocity >= 5 OR net_retention_ratio < 0.5 UNION ALL SELECT statement_id, 'amounts' FROM wf WHERE near_threshold_ratio >= 0.10 OR round_number_ratio >= 0.30),
+wy AS (SELECT * FROM wx ANTI JOIN wt USING (statement_id, reason)), wz AS (SELECT DISTINCT statement_id, 'circular' AS reason FROM star WHERE risk >= 0.6), wr AS (SELECT * FROM wz ANTI JOIN wt USING (statement_id, reason)),
+wc AS (SELECT statement_id, count(DISTINCT coalesce(counterparty, 'UNKNOWN')) AS n FROM pr GROUP BY 1),
+wa AS (SELECT statement_id, reason, severity, pattern_id, n_patterns FROM wt UNION ALL SELECT statement_id, reason, 'MEDIUM', NULL, 0 FROM wy UNION ALL SELECT statement_id, reason, 'HIGH', NULL, 0 FROM wr UNION ALL SELECT statement_id, 'connections', CASE WHEN n >= 3 THEN 'HIGH' ELSE 'MEDIUM' END, NULL, 0 FROM wc),
+wp AS (SELECT wt.statement_id, reason, row_id, CASE WHEN reason = 'amounts' THEN -greatest(coalesce(debit, 0), coalesce(credit, 0)) ELSE 0 END::DOUBLE AS o1, spot::DOUBLE AS o2 FROM (SELECT statement_id, pattern_id, unnest(string_split(row_ids, ',')) AS row_id, generate_subscripts(string_split(row_ids, ','), 1) AS spot FROM pt) p JOIN wt USING (statement_id, pattern_id) JOIN txn USING (row_id)
+  UNION ALL SELECT statement_id, 'velocity', row_id, o1, o2 FROM pw SEMI JOIN (SELECT * FROM wy WHERE reason = 'velocity') w USING (statement_id)
+  UNION ALL SELECT statement_id, 'amounts', row_id, -greatest(coalesce(debit, 0), coalesce(credit, 0))::DOUBLE, row_index FROM txn SEMI JOIN (SELECT * FROM wy WHERE reason = 'amounts') w USING (statement_id) WHERE coalesce(debit, 0) > 0 OR coalesce(credit, 0) > 0),
+wl AS (SELECT statement_id, reason, array_to_string(list(row_id ORDER BY o1, o2, row_id)[1:5], ',') AS row_ids, greatest(count(*) - 5, 0) AS withheld FROM wp GROUP BY 1, 2)"""
+register("W2_sample_rows", transactions, lambda t: reasons_shown(t, features_of(t), g.star_cycles(t)).withColumn("row_ids", F.array_join("row_ids", ",")), SQL_TXN,
+         SHOWN + " SELECT statement_id, reason, severity, pattern_id, n_patterns, coalesce(row_ids, '') AS row_ids, coalesce(withheld, 0) AS withheld FROM wa LEFT JOIN wl USING (statement_id, reason)")
+register("W2_connections", transactions, lambda t: ev.counterparties_on_patterns(patterns(t), t).where(F.col("rank") <= ev.SHOWN), SQL_TXN,
+         BUILT + ", cn AS (SELECT DISTINCT statement_id, coalesce(counterparty, 'UNKNOWN') AS counterparty FROM pr), cm AS (SELECT statement_id, counterparty, count(*) AS n, sum(amount) AS value, coalesce(sum(CASE WHEN NOT out THEN amount END), 0) AS inflow, coalesce(sum(CASE WHEN out THEN amount END), 0) AS outflow FROM (SELECT statement_id, coalesce(counterparty, 'UNKNOWN') AS counterparty, coalesce(debit, 0) > 0 AS out, greatest(coalesce(debit, 0), coalesce(credit, 0)) / 100.0 AS amount FROM txn WHERE coalesce(debit, 0) > 0 OR coalesce(credit, 0) > 0) SEMI JOIN cn USING (statement_id, counterparty) GROUP BY 1, 2) SELECT statement_id, counterparty, n, value::DOUBLE AS value, inflow::DOUBLE AS inflow, outflow::DOUBLE AS outflow, CAST(row_number() OVER (PARTITION BY statement_id ORDER BY value DESC, counterparty) AS INTEGER) AS rank FROM cm QUALIFY rank <= 5")
 register("W5_confidence", transactions, sure)
-register("W6_coverage", transactions, p.coverage, SQL_TXN, "SELECT statement_id, count(*) AS examined, count(DISTINCT counterparty) AS counterparties FROM txn GROUP BY 1")
-register("C3_evidence_bundle", transactions, lambda t: bundle(t).withColumns({"patterns": F.to_json("patterns"), "reasons": F.to_json("reasons")}))
-register("P16_redacted_projection", transactions, lambda t: p.redacted_projection(bundle(t)).withColumn("top_patterns", F.to_json("top_patterns")))
-register("P17_narrative", transactions, lambda t: p.narrative(scored(t)))
+register("W6_coverage", transactions, lambda t: p.coverage(t, patterns(t), s.evaluate_rules(features_of(t)), len(f.FEATURES)), SQL_TXN,
+         BUILT + f", wn AS (SELECT statement_id, count(*) AS np FROM pt GROUP BY 1) SELECT statement_id, examined, counterparties, coalesce(np, 0) AS patterns, len([x FOR x IN string_split(fired, ',') IF x <> '']) AS rules_triggered, 6::BIGINT AS rules_evaluated, {len(f.FEATURES)}::BIGINT AS features FROM (SELECT statement_id, count(*) AS examined, count(DISTINCT counterparty) AS counterparties FROM txn GROUP BY 1) LEFT JOIN wn USING (statement_id) LEFT JOIN fi USING (statement_id)")
+register("C3_evidence_bundle", transactions, lambda t: bundle(t).select("statement_id", *(F.to_json(c).alias(c) for c in ("account_summary", "final_decision", "triggered_rules", "features", "cycles_detected", "anomaly_detail", "supervised_detail", "guardrail_log"))))
+register("P16_redacted_projection", transactions, lambda t: ev.redacted_projection(bundle(t)).select("statement_id", F.to_json(F.struct("analysis", "triggered_rules", "cycles", "limitations")).alias("projection")))
+register("P17_narrative", transactions, lambda t: ev.narrative(bundle(t)))
+
+
+def summaries(t):
+    """Statements with the tier and score of their latest bundle: an empty first one, and one by rules and files alone after it."""
+    made = bundle_without_forest(t).select("statement_id", F.lit(2).alias("created_ts"), "final_decision.tier", F.col("final_decision.fused_score").alias("score"))
+    earlier = made.select("statement_id", F.lit(1).alias("created_ts"), F.lit("REVIEW_REQUIRED").alias("tier"), F.lit(0.0).alias("score"))
+    rows = t.groupBy("statement_id").agg(F.count("*").alias("n")).join(plausibility(t).select(F.col("file_id").alias("statement_id"), F.col("tier").alias("ood_tier")), "statement_id")
+    return v.statement_summary(rows, earlier.unionByName(made))
+
+
+def grids(t):
+    scored_ = plausibility(t)
+    return scored_.join(q.ood_failure_reasons(scored_), "file_id").select("file_id", *(F.round(k, 6).alias(k) for k in (*config.OOD_WEIGHTS, "score")), "tier", F.array_join("reasons", ",").alias("reasons"))
+
+
+def pattern_sql(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+#: The six signals of the statements' raw files, over their cells.
+GRID = rf""", gr AS (SELECT statement_id AS f, row_number() OVER (PARTITION BY statement_id ORDER BY row_index) - 1 AS r, [strftime(txn_date, '%d/%m/%Y'), '', narration, reference_no, coalesce(format('{{:,.2f}}', debit / 100.0), ''), coalesce(format('{{:,.2f}}', credit / 100.0), ''), format('{{:,.2f}}', balance / 100.0)] AS cells FROM txn),
+gx AS (SELECT f, r, i - 1 AS col, trim(cells[i]) AS v FROM gr, range(1, 8) AS t(i)),
+gy AS (SELECT *, v IS NOT NULL AND v <> '' AS ok, CASE WHEN regexp_matches(v, {pattern_sql(q.NUMBER)}) THEN CAST(regexp_replace(v, '[₹$,\s]', '', 'g') AS DOUBLE) END AS num, coalesce(regexp_matches(v, {pattern_sql(q.DATE)}), FALSE) AS dated FROM gx),
+gz AS (SELECT *, lag(num) OVER (PARTITION BY f, col ORDER BY r) AS prev FROM gy),
+gc AS (SELECT f, col, count_if(ok AND dated) / greatest(count_if(ok), 1) AS d, count_if(ok AND num IS NOT NULL) / greatest(count_if(ok), 1) AS a, count_if(ok) AS n, count(num) AS k, min(num) AS low, max(num) AS high, count_if(abs(num - prev) <= 0.5 * greatest(abs(num), abs(prev), 1) AND r <= 20) / greatest(count_if(prev IS NOT NULL AND num IS NOT NULL AND r <= 20), 1) AS s, count_if(ok AND length(v) > 10) / greatest(count_if(ok), 1) AS lng, count(DISTINCT CASE WHEN ok THEN v END) / greatest(count_if(ok), 1) AS dis FROM gz GROUP BY 1, 2),
+gs AS (SELECT f, coalesce(arg_min(d, col) FILTER (d >= 0.8), 0) AS date, count_if(n > 0 AND a >= 0.8) / greatest(count_if(n > 0), 1) AS amount, coalesce(arg_min(CASE WHEN low = high THEN 1 ELSE s END, col) FILTER (k >= 3 AND NOT (low > 0 AND high > 100 * low) AND (s >= 0.3 OR low = high)), 0) AS balance, coalesce(arg_min(dis, col) FILTER (lng > 0.3 AND dis > 0.3), 0) AS narration FROM gc GROUP BY 1),
+gt AS (SELECT f, string_agg(array_to_string([x FOR x IN cells IF x IS NOT NULL], chr(9)), chr(10) ORDER BY r) FILTER (r < 100) AS text, count(*) AS rows FROM gr GROUP BY 1),
+gb AS (SELECT f, rows, date, amount, balance, narration, ({" + ".join(f"CASE WHEN regexp_matches(text, {pattern_sql(x)}) THEN 1 ELSE 0 END" for x in q.BANK_MARKS)}) / {len(q.BANK_MARKS)}.0::DOUBLE AS bank, CASE WHEN rows BETWEEN 3 AND 200000 THEN 1.0::DOUBLE ELSE 0 END AS row_count FROM gs JOIN gt USING (f)),
+go AS (SELECT *, CASE WHEN rows < 3 THEN 0 ELSE least(1, {" + ".join(f"{w} * {k}" for k, w in config.OOD_WEIGHTS.items())}) END::DOUBLE AS score FROM gb)"""
+OOD_TIER = f"CASE WHEN score >= {config.OOD_PROCEED} THEN 'auto_proceed' WHEN score >= {config.OOD_LOW} THEN 'low_confidence' ELSE 'hard_reject' END"
+register("Q4_Q5_Q6_plausibility", transactions, grids, SQL_TXN,
+         GRID + " SELECT f AS file_id, " + ", ".join(f"round({k}::DOUBLE, 6) AS {k}" for k in (*config.OOD_WEIGHTS, "score")) + f", {OOD_TIER} AS tier, coalesce(nullif(array_to_string([x FOR x IN [" + ", ".join(f"CASE WHEN {k} < 0.5 THEN '{k}' END" for k in config.OOD_WEIGHTS) + "] IF x IS NOT NULL], ','), ''), 'All signals passed') AS reasons FROM go")
+FACTS = GRID + f", cy AS (SELECT statement_id, row_number() OVER (PARTITION BY statement_id ORDER BY risk DESC, counterparty) AS k, counterparty, cons, risk FROM star WHERE risk >= 0.6), cl AS (SELECT statement_id, string_agg('C' || k || ':' || counterparty || ':' || round(risk, 6)::DECIMAL(18,6), ',' ORDER BY k) AS cycles, string_agg(CASE WHEN k <= 3 THEN '2-hop cycle with ' || CAST(round_even(cons * 100, 0) AS INTEGER) || '% amount conservation' END, '; ' ORDER BY k) AS told FROM cy GROUP BY 1), fr AS ({RISK_SQL['R1_rule_eval']}), rt AS ({ACCOUNT_SQL['Q1_reconcile']})"
+POINTS = "MAP {" + ", ".join(f"'{n}': {k}" for n, k, _ in config.RULES) + "}"
+
+
+def bundle_facts(t):
+    rules, cycles = ev.listed_facts()
+    six = lambda x: F.round(x, 6).cast("decimal(18,6)").cast("string")
+    named = F.array_join(F.transform("cycles_detected", lambda c: F.concat_ws(":", c["cycle_id"], c["nodes"][1], six(c["cycle_risk_score"]))), ",")
+    made = bundle_without_forest(t)
+    return made.select("statement_id", F.col("account_summary.observed_period.start").alias("start"), F.col("account_summary.observed_period.end").alias("end"), F.col("account_summary.transaction_count").alias("n"), F.round("account_summary.extraction_confidence", 6).alias("rate"), F.round("account_summary.statement_likelihood_score", 6).alias("ood"), F.col("guardrail_log.ood_check_passed").alias("passed"), F.array_join(F.transform("triggered_rules", lambda r: r["id"]), ",").alias("fired"), F.size("features").cast("long").alias("features"), named.alias("cycles"), F.col("anomaly_detail.availability_reason").alias("lacking"), rules.alias("rules_told"), cycles.alias("cycles_told"))
+
+
+register("C3_P16_P17_facts", transactions, bundle_facts, SQL_TXN,
+         STAR + FACTS + f""" SELECT t.statement_id, start, "end", n, round(reconciliation_rate, 6) AS rate, round(score, 6) AS ood, score >= 0.5 AS passed, fired, {len(f.FEATURES)}::BIGINT AS features, coalesce(cycles, '') AS cycles, '{s.NO_COHORT}' AS lacking,
+         CASE WHEN fired = '' THEN 'none triggered' ELSE array_to_string([x || ' (' || {POINTS}[x] || ' pts)' FOR x IN string_split(fired, ',')[1:3]], ', ') END AS rules_told, CASE WHEN told IS NULL THEN '' ELSE 'Detected cycles: ' || told || '. ' END AS cycles_told
+         FROM (SELECT statement_id, CAST(min(txn_date) AS VARCHAR) AS start, CAST(max(txn_date) AS VARCHAR) AS "end", count(*) AS n FROM txn GROUP BY 1) t JOIN go ON f = t.statement_id JOIN fr ON fr.statement_id = t.statement_id JOIN rt ON rt.statement_id = t.statement_id LEFT JOIN cl ON cl.statement_id = t.statement_id""")
 register("P9_txn_page", transactions, lambda t: v.txn_page(t, 8, search="payee", low=100.0, size=20).select("row_id", F.col("txn_date").cast("string"), "narration"), SQL_TXN, "SELECT row_id, CAST(txn_date AS VARCHAR) AS txn_date, narration FROM txn WHERE statement_id = 8 AND narration ILIKE '%payee%' AND (debit >= 10000 OR credit >= 10000) ORDER BY txn.txn_date, row_index LIMIT 20")
 register("P10_node_txn_page", mirrored_case, lambda t: v.node_txn_page(c.case_edges(t), t, 1, "S3", size=30).select("row_id", "reference_no"), SQL_CASE, BEHIND + " SELECT row_id, reference_no FROM pe JOIN ce USING (case_id, edge_id) WHERE case_id = 1 AND 'S3' IN (src, dst) ORDER BY txn_date, row_id LIMIT 30")
 register("P10_node_txn_ranges", mirrored_case, lambda t: v.node_txn_page(c.case_edges(t), t, 1, "S3", "out", 3, ("1995-02-01", "1995-06-30"), (1020, 1070)).select("row_id", "reference_no"), SQL_CASE,
@@ -115,13 +213,14 @@ register("J1_txn_counterparty", transactions, lambda t: v.txn_counterparty(t, t.
 register("J6_reference_cohort", transactions, lambda t: v.reference_cohort(t.groupBy("statement_id").agg(F.count("*").cast("double").alias("value")).withColumn("name", F.lit("n"))), SQL_TXN, ", n AS (SELECT statement_id, count(*)::DOUBLE AS value FROM txn GROUP BY 1) SELECT statement_id, 'n' AS name, (SELECT sum(value) FROM n) - value AS others_sum, (SELECT count(*) FROM n) - 1 AS others FROM n")
 register("J7_bounds", transfers, lambda t: v.bounds(b.bank_legs(b.derive(t))), SQL_TRF, DERIVED + " SELECT bank, CAST(min(CASE WHEN way = 'out' THEN day END) AS VARCHAR) AS first_sent, CAST(max(CASE WHEN way = 'out' THEN day END) AS VARCHAR) AS last_sent, CAST(min(CASE WHEN way = 'in' THEN day END) AS VARCHAR) AS first_received, CAST(max(CASE WHEN way = 'in' THEN day END) AS VARCHAR) AS last_received FROM l GROUP BY bank")
 register("J8_case_membership", mirrored_case, lambda t: t.select("case_id", "statement_id").distinct(), SQL_CASE, "SELECT DISTINCT case_id, statement_id FROM legs")
-register("P14_statement_summary", transactions, lambda t: v.statement_summary(t.groupBy("statement_id").agg(F.count("*").alias("n")), t.select("statement_id", F.col("row_index").alias("created_ts"), F.lit("NEEDS_REVIEW").alias("tier"), F.col("row_index").cast("double").alias("score"))), SQL_TXN, "SELECT statement_id, count(*) AS n, 'NEEDS_REVIEW' AS tier, max(row_index)::DOUBLE AS score FROM txn GROUP BY 1")
+register("P14_statement_summary", transactions, summaries, SQL_TXN,
+         GRID + f", fr AS ({RISK_SQL['R1_rule_eval']}), rt AS ({ACCOUNT_SQL['Q1_reconcile']}), dc AS (SELECT *, round(0.65 * rule_score, 1) AS fused, CASE WHEN reconciliation_rate >= 0.98 THEN 'high' WHEN reconciliation_rate >= 0.85 THEN 'medium' ELSE 'low' END AS ext FROM fr JOIN rt USING (statement_id)) SELECT statement_id, n, {OOD_TIER} AS ood_tier, CASE WHEN fused >= 75 AND fired <> '' AND ext <> 'low' THEN 'CONFIRMED_SUSPICIOUS' WHEN fused <= 25 AND ext = 'high' THEN 'LIKELY_LEGITIMATE' ELSE 'REVIEW_REQUIRED' END AS tier, fused AS score FROM (SELECT statement_id, count(*) AS n FROM txn GROUP BY 1) JOIN dc USING (statement_id) JOIN go ON f = statement_id")
 register("P20_statement_rollup", transactions, lambda t: v.statement_rollup(scored(t).join(t.groupBy("statement_id").agg(F.count("*").alias("n")), "statement_id")))
 
 
 def isolated(t):
     features = features_of(t)
-    return m.isolation_forest(features, "statement_id", list(s.NAMES)).join(s.top_distances(s.cohort_long(features)), "statement_id")
+    return isolation_of(features).join(s.top_distances(s.cohort_long(features)), "statement_id")
 
 
 def modelled(t):

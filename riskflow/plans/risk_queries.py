@@ -8,6 +8,7 @@ from .. import config
 from ..functions import narration as n
 from ..operators import banks as b
 from ..operators import cases as c
+from ..operators import evidence as ev
 from ..operators import features as f
 from ..operators import graph as g
 from ..operators import models as m
@@ -17,7 +18,7 @@ from ..sources.adapters import SQL_BULK, SQL_CASE, SQL_TRF, SQL_TXN, bulk_transf
 from ..sources.shared import written
 from .account_queries import FEATURES_SQL, LONG_SQL
 from .account_queries import ORACLES as ACCOUNT_SQL
-from .narration_queries import CODES
+from .narration_queries import CODES, raw_grids
 
 QUERIES, ORACLES = {}, {}
 
@@ -50,15 +51,28 @@ register("F19_max_cycle_risk", transactions, lambda t: g.max_cycle_risk(t, g.sta
 
 def anomaly(features):
     """Each account against all others: the share of its flagged features and its isolation."""
-    return s.anomaly_score(s.mad_flags(s.cohort_long(features)), m.isolation_forest(features, "statement_id", list(s.NAMES)))
+    return s.anomaly_score(s.mad_flags(s.cohort_long(features)), isolation_of(features))
+
+
+def isolation_of(features):
+    return m.isolation_forest(features, "statement_id", list(s.NAMES))
+
+
+def plausibility(t):
+    """Q4 and Q5 for the raw file of every statement."""
+    cells, texts = raw_grids(t)
+    return q.ood_score(cells, texts)
+
+
+def rates(t):
+    """statement_id, rate and extraction of every statement."""
+    return q.reconciliation_rate(t).select("statement_id", F.col("reconciliation_rate").alias("rate"), q.extraction_tier(F.col("reconciliation_rate")).alias("extraction"))
 
 
 def scored(t):
-    """Features, rule score, anomaly, fused score and tier of every account."""
-    features = written(f.all_features(t).join(g.max_cycle_risk(t, g.star_cycles(t)), "statement_id", "left"), "features")
-    both = s.evaluate_rules(features).join(anomaly(features), "statement_id").join(q.extraction_tiers(t), "statement_id")
-    fused = both.withColumn("score", s.fuse(F.col("rule_score"), F.col("anomaly_score")))
-    return fused.select("statement_id", "rule_score", "fired", "anomaly_score", "score", s.decide_tier(F.col("score"), F.col("fired"), F.col("anomaly_score"), F.col("tier")).alias("tier"))
+    """Rules, anomaly, fused score, tier and its reason of every account; no supervised model is enabled."""
+    features = features_of(t)
+    return ev.decisions(ev.fired_rules(features), anomaly(features), rates(t))
 
 
 def features_of(t):
@@ -94,8 +108,8 @@ register("A2_mad_flags", transactions, lambda t: s.mad_flags(s.cohort_long(featu
          SELECT statement_id, CAST(count_if(far) AS BIGINT) AS n_flags, coalesce(string_agg(CASE WHEN far THEN name END, ',' ORDER BY name), '') AS flagged, CAST(NULL AS VARCHAR) AS reason FROM cz WHERE others >= {config.LEAST_COHORT} GROUP BY 1""")
 register("A3_top_features", transactions, lambda t: s.top_distances(s.cohort_long(features_of(t))), SQL_TXN,
          OTHERS + " SELECT statement_id, array_to_string(list(name ORDER BY abs(value - m) DESC, name)[1:5], ',') AS top_features, CAST(NULL AS VARCHAR) AS reason FROM cm GROUP BY 1")
-register("C1_C2_account_risk", transactions, scored)
-register("W3_score_breakdown", transactions, lambda t: s.score_breakdown(scored(t)))
+register("C1_C2_account_risk", transactions, lambda t: scored(t).select("statement_id", "rule_score", "fired", "anomaly_score", "score", "formula", "tier", "decision_reason"))
+register("W3_score_breakdown", transactions, lambda t: ev.score_breakdown(scored(t)))
 register("A1_robust_z", transactions, lambda t: s.robust_z(t.groupBy("statement_id").agg(F.count("*").alias("n")), "n").select("statement_id", F.round("z", 9).alias("z")), SQL_TXN,
          ", n AS (SELECT statement_id, count(*) AS n FROM txn GROUP BY 1), m AS (SELECT median(n) AS m FROM n), d AS (SELECT statement_id, n, m, abs(n - m) AS d FROM n, m), mad AS (SELECT median(d) AS mad FROM d) SELECT statement_id, round(CASE WHEN mad > 0 THEN 0.6745 * (n - m) / mad ELSE 0 END, 9) AS z FROM d, mad")
 METRIC = ", r AS (SELECT row_id, CASE WHEN credit IS NOT NULL THEN 1 ELSE 0 END AS y, row_index % 101 AS score FROM txn), o AS (SELECT *, row_number() OVER (ORDER BY score DESC, y DESC) AS k FROM r), t AS (SELECT count_if(score >= 50 AND y = 1)::DOUBLE AS tp, count_if(score >= 50 AND y = 0)::DOUBLE AS fp, count_if(score < 50 AND y = 1)::DOUBLE AS fn, count_if(score < 50 AND y = 0)::DOUBLE AS tn, count(*) AS n, count_if(k <= ceil((SELECT count(*) FROM r) * 0.05) AND y = 1) AS hits, ceil(count(*) * 0.05) AS kk FROM o)"
