@@ -177,7 +177,7 @@ def test_rules(spark):
     assert clauses.count() == sum(len(t.split(" AND ")) for _, _, t in config.RULES) and clauses.where("rule = 'R1_low_retention_high_turnover' and holds").count() == 2
     assert spark.range(1).select(scoring.fuse(F.lit(80), F.lit(0.5)), scoring.fuse(F.lit(80), F.lit(0.5), F.lit(0.9))).first()[:] == (pytest.approx(69.5), pytest.approx(76.0))
     tier = lambda s, f, a, e: spark.range(1).select(scoring.decide_tier(F.lit(s), F.lit(f), F.lit(a), F.lit(e))).first()[0]
-    assert [tier(80, "R1", 0.1, "high"), tier(80, "", 0.1, "high"), tier(10, "", 0.1, "high"), tier(10, "", 0.5, "high")] == ["CONFIRMED_SUSPICIOUS", "NEEDS_REVIEW", "LIKELY_LEGITIMATE", "NEEDS_REVIEW"]
+    assert [tier(80, "R1", 0.1, "high"), tier(80, "", 0.1, "high"), tier(10, "", 0.1, "high"), tier(10, "", 0.5, "high")] == ["CONFIRMED_SUSPICIOUS", "REVIEW_REQUIRED", "LIKELY_LEGITIMATE", "REVIEW_REQUIRED"]
 
 
 def test_narration(spark):
