@@ -56,6 +56,8 @@ TOGETHER = 2_000_000
 TOGETHER_WORDS, TOGETHER_TEXTS = 1000, 1000
 #: Parts in which the tasks' sums are added up.
 SEGMENTS = 16
+#: Tasks that hold the features of the TRAINING_TEXTS at most and send sums of their products in each step.
+FIT_TASKS = 8
 
 
 def letters(run: str) -> str:
@@ -230,6 +232,7 @@ def features(pooled: np.ndarray, whiten: np.ndarray) -> np.ndarray:
 
 def newton_sums(sample: DataFrame, width: int, w: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, int]:
     """Over the texts within the margin of ``w``: sums of products of features, of features and label, and how many texts crossed it since ``before``."""
+    upper = np.triu_indices(width)  # the products are symmetric
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squares, right, crossed, some = np.zeros((width, width)), np.zeros(width), 0, False
@@ -242,12 +245,14 @@ def newton_sums(sample: DataFrame, width: int, w: np.ndarray, before: np.ndarray
             right += x[active].T @ y[active]
             some = True
         if some:
-            parts = [v.tobytes() for v in np.array_split(np.concatenate([squares.ravel(), right, [float(crossed)]]), SEGMENTS)]
+            parts = [v.tobytes() for v in np.array_split(np.concatenate([squares[upper], right, [float(crossed)]]), SEGMENTS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array([TaskContext.get().partitionId()] * SEGMENTS, pa.int32()), pa.array(parts, pa.binary())], ["segment", "task", "v"])
 
     found = summed(sample.mapInArrow(run, "segment int, task int, v binary"))
     total = np.concatenate([found[k] for k in range(SEGMENTS)])
-    return total[: width * width].reshape(width, width), total[width * width : -1], int(total[-1])
+    squares = np.zeros((width, width))
+    squares[upper] = total[: len(upper[0])]
+    return squares + np.triu(squares, 1).T, total[len(upper[0]) : -1], int(total[-1])
 
 
 def fit_machine(sample: DataFrame, width: int, strength: float = STRENGTH) -> np.ndarray:
@@ -323,7 +328,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, texts: int = TRAINING_TEXTS
     among = WordKernel(words).matches(words)
     values, vectors = np.linalg.eigh((among + among.T) / 2 + 1e-3 * np.eye(len(words)))
     whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
-    points = materialise(whitened(sample, words, whiten), "features")
+    points = materialise(whitened(sample, words, whiten).coalesce(FIT_TASKS), "features")
     weights = fit_machine(points, POOLS * len(words) + 1)
     slope, offset = fit_curve(*margins(points, weights))
     return Model(words, whiten, weights[:-1], float(weights[-1]), slope, offset)
