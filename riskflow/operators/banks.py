@@ -85,7 +85,7 @@ def cycle_summary(cycles: DataFrame) -> DataFrame:
 
 
 def components(derived: DataFrame, cycles: DataFrame | None = None, centrality: DataFrame | None = None) -> DataFrame:
-    """The seven risk components of every bank; what isn't given is 0.
+    """The seven risk components of every bank but the placeholder of unknown ones, which is nobody's peer; what isn't given is 0.
 
     A bank's network centrality is its share of the largest betweenness; among fewer than four banks there is none.
     """
@@ -100,7 +100,7 @@ def components(derived: DataFrame, cycles: DataFrame | None = None, centrality:
         top = centrality.agg(F.max("betweenness").alias("_top")).crossJoin(F.broadcast(legs.agg(F.count_distinct("bank").alias("_banks"))))
         share = F.when((F.col("_banks") >= 4) & (F.col("_top") > 0), F.col("betweenness") / F.col("_top"))
         base = base.join(centrality.crossJoin(F.broadcast(top)).select(F.col("node").alias("bank"), share.alias("network_centrality")), "bank", "left")  # one row
-    return base.select("bank", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in config.BANK_WEIGHTS))
+    return base.where(F.col("bank") != config.UNATTRIBUTED).select("bank", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in config.BANK_WEIGHTS))
 
 
 def risk_components(values: DataFrame) -> DataFrame:

@@ -105,3 +105,9 @@ def cascade_delete(tables: dict[str, DataFrame], statement_ids: DataFrame, membe
     """
     cases = membership.join(statement_ids, "statement_id", "left_semi").select(CASE).distinct()
     return {name: df.join(statement_ids, "statement_id", "left_anti") if "statement_id" in df.columns else df.join(cases, CASE, "left_anti") for name, df in tables.items()}
+
+
+def case_statements(statements: DataFrame, membership: DataFrame, case_id: int | None = None) -> DataFrame:
+    """The statements that belong to a case, or to any case; each once, however many cases it is in."""
+    members = membership if case_id is None else membership.where(F.col("case_id") == case_id)
+    return statements.join(members.select("statement_id"), "statement_id", "left_semi")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 
 import numpy as np
@@ -12,7 +14,8 @@ from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.pipeline import Pipeline
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config
@@ -124,37 +127,86 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return model.transform(rows).select(*keep, vector_to_array("probability")[1].alias("probability"))
 
 
-def split(rows: DataFrame, key: str, test: float = 0.25, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Training and test rows by the key's hash."""
-    place = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1000))
-    return rows.where(place >= int(1000 * test)), rows.where(place < int(1000 * test))
+def split(rows: DataFrame, key: str, label: str, test: float = 0.25, seed: int = 42) -> DataFrame:
+    """``rows`` with ``is_test``: exactly the share ``test`` (rounded to the nearest row) of each label's rows, those of the smallest digests of their keys."""
+    order = [F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(seed))), F.col(key)]
+    placed = running_totals(rows.withColumn("_one", F.lit(1)), order, ["_one"], (label,))
+    return placed.withColumn("is_test", F.col("_one_before") < F.floor(F.col("_one_all") * test + 0.5)).select(*rows.columns, "is_test")
 
 
-def calibrate(rows: DataFrame, label: str, score: str = "probability") -> DataFrame:
-    """The rows with ``calibrated``: isotonic or logistic, by the smaller squared error; the score itself below ten rows or with one label."""
-    size = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
+#: What a model's manifest has to name before its scores count (fixed values).
+MANIFEST = ("model_version", "feature_semantics_version", "feature_schema_hash", "training_provenance", "metrics", "library_versions", "artifact_hashes")
+
+
+def schema_hash(names: list[str]) -> str:
+    return hashlib.sha256(",".join(names).encode()).hexdigest()
+
+
+def save_model(model: PipelineModel, path: str, names: list[str], manifest: dict) -> None:
+    """Write a model and its manifest to the shared folder, the manifest last: without it the gate stays shut."""
+    spark = SparkSession.active()
+    model.write().overwrite().save(f"{path}/model")
+    full = {**manifest, "feature_schema_hash": schema_hash(names)}
+    spark.createDataFrame([(json.dumps(full),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+
+
+def gate(spark: SparkSession, path: str, names: list[str], enabled: bool) -> str | None:
+    """Why a model may not score, or None: it is to be enabled, saved, have all fields of MANIFEST, and be of these features."""
+    if not enabled:
+        return "disabled_by_configuration"
+    try:
+        manifest = json.loads("".join(r["value"] for r in spark.read.text(f"{path}/manifest").collect()))  # one line
+    except (AnalysisException, ValueError):
+        return "provenance_manifest_missing"
+    missing = sorted(set(MANIFEST) - set(manifest))
+    if missing:
+        return f"provenance_manifest_incomplete: {', '.join(missing)}"
+    return None if manifest["feature_schema_hash"] == schema_hash(names) else "feature_schema_differs"
+
+
+def predict_supervised(rows: DataFrame, path: str, names: list[str], enabled: bool) -> DataFrame:
+    """``rows`` with probability and unavailable_reason; probability is null for all while the gate is shut."""
+    reason = gate(rows.sparkSession, path, names, enabled)
+    if reason:
+        return rows.withColumns({"probability": F.lit(None).cast("double"), "unavailable_reason": F.lit(reason)})
+    return predict(PipelineModel.load(f"{path}/model"), rows).withColumn("unavailable_reason", F.lit(None).cast("string"))
+
+
+def calibrate(fitted: DataFrame, rows: DataFrame, label: str, score: str = "probability") -> DataFrame:
+    """``rows`` with ``calibrated``: isotonic or logistic, whichever has the smaller squared error on ``fitted``, whose scores and labels it is fitted to.
+
+    The score itself, where ``fitted`` has fewer than ten rows or one label.
+    """
+    size = {r[label]: r["count"] for r in fitted.groupBy(label).count().collect()}
     if sum(size.values()) < 10 or len(size) < 2:
         return rows.withColumn("calibrated", F.col(score))
-    y = rows.withColumn("_y", F.col(label).cast("double"))
-    x = VectorAssembler(inputCols=[score], outputCol="_s").transform(y)
-    curve = IsotonicRegression(featuresCol=score, labelCol="_y", predictionCol="_iso").fit(y).transform(x)
-    both = LogisticRegression(featuresCol="_s", labelCol="_y", probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_pred").fit(x).transform(curve).withColumn("_platt", vector_to_array("_p")[1])
-    error = both.agg(*(F.avg(F.pow(F.col(c) - F.col("_y"), 2)).alias(c) for c in ("_iso", "_platt"))).first()
+    vector = VectorAssembler(inputCols=[score], outputCol="_s")
+    x = vector.transform(fitted.withColumn("_y", F.col(label).cast("double")))
+    curve = IsotonicRegression(featuresCol=score, labelCol="_y", predictionCol="_iso").fit(x)
+    line = LogisticRegression(featuresCol="_s", labelCol="_y", probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_pred").fit(x)
+    both = lambda df: line.transform(curve.transform(df)).withColumn("_platt", vector_to_array("_p")[1])
+    error = both(x).agg(*(F.avg(F.pow(F.col(c) - F.col("_y"), 2)).alias(c) for c in ("_iso", "_platt"))).first()
     best = "_iso" if error["_iso"] <= error["_platt"] else "_platt"
-    return both.select(*rows.columns, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(best))).alias("calibrated"))
+    return both(vector.transform(rows)).select(*rows.columns, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(best))).alias("calibrated"))
 
 
 def pr_curve(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """score, precision and recall at every distinct score, from counts per score."""
+    """score, precision, recall and the gain in recall at every distinct score, from counts per score."""
     by = running_totals(rows.groupBy(score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("y")), [F.desc(score)], ["n", "y"])
     n, y = F.col("n_before") + F.col("n"), F.col("y_before") + F.col("y")
-    return by.select(score, (y / n).alias("precision"), (y / F.nullif(F.col("y_all"), F.lit(0))).alias("recall"))
+    whole = F.nullif(F.col("y_all"), F.lit(0))
+    return by.select(score, (y / n).alias("precision"), (y / whole).alias("recall"), (F.col("y") / whole).alias("gain"))
+
 
+def eval_metrics(rows: DataFrame, score: str, label: str, calibrated: str | None = None) -> DataFrame:
+    """PR-AUC, squared errors (raw, ``calibrated``, of the base rate), and recall and threshold at precisions .5, .7 and .9, in one row.
 
-def eval_metrics(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """Brier score, base rate, and recall and threshold at precisions .5, .7 and .9, in one row."""
+    The area is the sum over falling distinct scores of the gain in recall times the precision, so ties count as one step.
+    """
     curve = pr_curve(rows, score, label)
-    at = curve.agg(*(f for p in (5, 7, 9) for f in (F.coalesce(F.max(F.when(F.col("precision") >= p / 10, F.col("recall"))), F.lit(0.0)).alias(f"recall_{p}"), F.min(F.when(F.col("precision") >= p / 10, F.col(score))).alias(f"threshold_{p}"))))
+    best = [f for p in (5, 7, 9) for f in (F.coalesce(F.max(F.when(F.col("precision") >= p / 10, F.col("recall"))), F.lit(0.0)).alias(f"recall_{p}"), F.min(F.when(F.col("precision") >= p / 10, F.col(score))).alias(f"threshold_{p}"))]
+    at = curve.agg(F.coalesce(F.sum(F.col("precision") * F.col("gain")), F.lit(0.0)).alias("pr_auc"), *best)
     y = F.col(label).cast("double")
-    base = rows.agg(F.avg(F.pow(F.col(score) - y, 2)).alias("brier"), F.avg(y).alias("base_rate"))
+    error = lambda c: F.avg(F.pow(F.col(c) - y, 2))
+    base = rows.agg(error(score).alias("brier"), error(calibrated or score).alias("brier_calibrated"), F.avg(y).alias("base_rate"), (F.avg(y) * (1 - F.avg(y))).alias("brier_base_rate"))
     return base.crossJoin(F.broadcast(at))  # one row each

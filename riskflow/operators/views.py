@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import publish
+
 
 def txn_page(txns: DataFrame, statement_id: int, channel: str | None = None, category: str | None = None, low: float | None = None, high: float | None = None, search: str = "", offset: int = 0, size: int = 50) -> DataFrame:
     """One page of a statement's transactions; bounds hold for either leg."""
@@ -68,3 +70,17 @@ def sink_results(df: DataFrame, path: str, key: str = "statement_id") -> None:
 
 def export_evidence_json(bundle: DataFrame, path: str) -> None:
     bundle.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
+
+
+def sink_intel(transfers: DataFrame, risk: DataFrame, volume: DataFrame, edges: DataFrame, path: str, dataset: int) -> str:
+    """Ledger, banks, edges and profiles of one dataset, published as one version.
+
+    Args:
+        transfers: the ledger with from_bank and to_bank. risk: bank, risk_score, driver, tier. volume: bank and its totals.
+            edges: from_bank, to_bank and their totals.
+    """
+    banks = transfers.select(F.explode(F.array("from_bank", "to_bank")).alias("bank")).where("bank is not null").distinct()
+    named = banks.withColumn("display_name", F.regexp_replace("bank", "^BANK_", "Bank "))
+    profiles = volume.join(risk, "bank", "left")
+    profiles = profiles.withColumn("profile", F.to_json(F.struct(*(F.col(c) for c in profiles.columns))))
+    return publish({"ledger": transfers, "banks": named, "edges": edges, "profiles": profiles}, path, dataset)

@@ -16,7 +16,7 @@ from ..operators import quality as q
 from ..operators import scoring as s
 from ..operators import views as v
 from ..sources.adapters import SQL_CASE, SQL_TRF, SQL_TXN, mirrored_case, transactions, transfers
-from ..sources.shared import written
+from ..sources.shared import folder, read_published, written
 from .narration_queries import CHANNEL
 from .account_queries import FEATURES_SQL
 from .account_queries import ORACLES as ACCOUNT_SQL
@@ -159,6 +159,36 @@ register("P16_redacted_projection", transactions, lambda t: ev.redacted_projecti
 register("P17_narrative", transactions, lambda t: ev.narrative(bundle(t)))
 
 
+def exported(t):
+    """Bundles as lines of JSON, and what reading those gives."""
+    path = folder(t.sparkSession, "json")
+    v.export_evidence_json(bundle_without_forest(t), path)
+    line = "statement_id long, account_summary struct<transaction_count:long>, triggered_rules array<struct<id:string>>"
+    return t.sparkSession.read.schema(line).json(path).select("statement_id", F.col("account_summary.transaction_count").alias("n"), F.array_join(F.transform("triggered_rules", lambda r: r["id"]), ",").alias("fired"))
+
+
+register("S8_export_evidence_json", transactions, exported, SQL_TXN, f", fr AS ({RISK_SQL['R1_rule_eval']}) SELECT statement_id, n, fired FROM (SELECT statement_id, count(*) AS n FROM txn GROUP BY 1) JOIN fr USING (statement_id)")
+
+
+def published(t):
+    """Rows of each table of a ledger's last version: one of half the ledger is published first, then the whole."""
+    spark, path = t.sparkSession, folder(t.sparkSession, "intel")
+    t = written(t, "transfers")
+    for ledger in (t.where("row_idx % 2 = 0"), t):
+        derived = b.derive(ledger)
+        risk = b.bank_risk(b.risk_components(written(b.components(derived), "components")))
+        v.sink_intel(ledger, risk, b.bank_volume(b.bank_legs(derived)), b.bank_edges(ledger), path, 1)
+    found = None
+    for name in ("ledger", "banks", "edges", "profiles"):
+        one = read_published(spark, path, name, 1).agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+register("S6_sink_intel", transfers, published, SQL_TRF,
+         "SELECT 'ledger' AS \"table\", count(*) AS n FROM trf UNION ALL SELECT 'banks', count(*) FROM (SELECT from_bank FROM trf UNION SELECT to_bank FROM trf) UNION ALL SELECT 'edges', count(*) FROM (SELECT DISTINCT from_bank, to_bank FROM trf) UNION ALL SELECT 'profiles', count(*) FROM (SELECT from_bank FROM trf UNION SELECT to_bank FROM trf)")
+
+
 def summaries(t):
     """Statements with the tier and score of their latest bundle: an empty first one, and one by rules and files alone after it."""
     made = bundle_without_forest(t).select("statement_id", F.lit(2).alias("created_ts"), "final_decision.tier", F.col("final_decision.fused_score").alias("score"))
@@ -213,6 +243,8 @@ register("J1_txn_counterparty", transactions, lambda t: v.txn_counterparty(t, t.
 register("J6_reference_cohort", transactions, lambda t: v.reference_cohort(t.groupBy("statement_id").agg(F.count("*").cast("double").alias("value")).withColumn("name", F.lit("n"))), SQL_TXN, ", n AS (SELECT statement_id, count(*)::DOUBLE AS value FROM txn GROUP BY 1) SELECT statement_id, 'n' AS name, (SELECT sum(value) FROM n) - value AS others_sum, (SELECT count(*) FROM n) - 1 AS others FROM n")
 register("J7_bounds", transfers, lambda t: v.bounds(b.bank_legs(b.derive(t))), SQL_TRF, DERIVED + " SELECT bank, CAST(min(CASE WHEN way = 'out' THEN day END) AS VARCHAR) AS first_sent, CAST(max(CASE WHEN way = 'out' THEN day END) AS VARCHAR) AS last_sent, CAST(min(CASE WHEN way = 'in' THEN day END) AS VARCHAR) AS first_received, CAST(max(CASE WHEN way = 'in' THEN day END) AS VARCHAR) AS last_received FROM l GROUP BY bank")
 register("J8_case_membership", mirrored_case, lambda t: t.select("case_id", "statement_id").distinct(), SQL_CASE, "SELECT DISTINCT case_id, statement_id FROM legs")
+QUERIES["J8_case_statements"] = lambda spark, d: c.case_statements(transactions(spark, d).groupBy("statement_id").agg(F.count("*").alias("n")), mirrored_case(spark, d).select("case_id", "statement_id"))
+ORACLES["J8_case_statements"] = f"WITH {SQL_TXN}, members AS (WITH {SQL_CASE} SELECT DISTINCT statement_id FROM legs) SELECT statement_id, count(*) AS n FROM txn SEMI JOIN members USING (statement_id) GROUP BY 1"
 register("P14_statement_summary", transactions, summaries, SQL_TXN,
          GRID + f", fr AS ({RISK_SQL['R1_rule_eval']}), rt AS ({ACCOUNT_SQL['Q1_reconcile']}), dc AS (SELECT *, round(0.65 * rule_score, 1) AS fused, CASE WHEN reconciliation_rate >= 0.98 THEN 'high' WHEN reconciliation_rate >= 0.85 THEN 'medium' ELSE 'low' END AS ext FROM fr JOIN rt USING (statement_id)) SELECT statement_id, n, {OOD_TIER} AS ood_tier, CASE WHEN fused >= 75 AND fired <> '' AND ext <> 'low' THEN 'CONFIRMED_SUSPICIOUS' WHEN fused <= 25 AND ext = 'high' THEN 'LIKELY_LEGITIMATE' ELSE 'REVIEW_REQUIRED' END AS tier, fused AS score FROM (SELECT statement_id, count(*) AS n FROM txn GROUP BY 1) JOIN dc USING (statement_id) JOIN go ON f = statement_id")
 register("P20_statement_rollup", transactions, lambda t: v.statement_rollup(scored(t).join(t.groupBy("statement_id").agg(F.count("*").alias("n")), "statement_id")))
@@ -230,13 +262,44 @@ def modelled(t):
     return written(rows, "accounts")
 
 
-def predicted(t):
-    train, test = m.split(modelled(t), "account_id")
-    return m.predict(m.train_classifier(train, ["n_out", "n_in", "out", "into"], "label", trees=5), test)
+MODELLED = ["n_out", "n_in", "out", "into"]
+
+
+def governed(t):
+    """Training and test rows with probabilities of a model that was saved with its manifest and passed the gate."""
+    rows = written(m.split(modelled(t), "account_id", "label"), "split")
+    train = rows.where("not is_test")
+    path = folder(t.sparkSession, "model")
+    m.save_model(m.train_classifier(train, MODELLED, "label"), path, MODELLED, dict.fromkeys(m.MANIFEST, "see README"))
+    return written(m.predict_supervised(rows, path, MODELLED, enabled=True), "predictions")
+
+
+def calibrated(t):
+    """Test rows calibrated by the training rows."""
+    scored_ = governed(t)
+    return m.calibrate(scored_.where("not is_test"), scored_.where("is_test"), "label")
+
+
+#: Accounts of the ledger with their labels, and a score and a second one of the flow that both languages have.
+ACCOUNTS = ", ac AS (SELECT account_id, CAST(max(CASE WHEN labelled THEN 1 ELSE 0 END) AS INTEGER) AS label, count_if(way = 'out') AS o, count_if(way = 'in') AS i FROM (SELECT from_account AS account_id, labelled, 'out' AS way FROM trf UNION ALL SELECT to_account, labelled, 'in' FROM trf) GROUP BY 1)"
+register("M1_stratified_split", transfers, lambda t: m.split(modelled(t), "account_id", "label").select("account_id", "label", "is_test"), SQL_TRF,
+         ACCOUNTS + " SELECT account_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(account_id || ':42'), account_id) <= floor(count(*) OVER (PARTITION BY label) * 0.25 + 0.5) AS is_test FROM ac")
+register("M3_gate_shut", transfers, lambda t: m.predict_supervised(modelled(t), "", MODELLED, enabled=False).select("account_id", "probability", "unavailable_reason"), SQL_TRF,
+         ACCOUNTS + " SELECT account_id, CAST(NULL AS DOUBLE) AS probability, 'disabled_by_configuration' AS unavailable_reason FROM ac")
+
+
+def flow_scores(t):
+    """The share of an account's transfers that go out as its score, and that drawn in to the middle as a second one."""
+    share = F.col("n_out") / (F.col("n_out") + F.col("n_in"))
+    return modelled(t).select("label", F.round(share, 3).alias("score")).withColumn("second", 0.25 + F.col("score") / 2)
 
 
+M4 = ("brier", "brier_calibrated", "base_rate", "brier_base_rate", "pr_auc", *(f"{k}_{p}" for p in (5, 7, 9) for k in ("recall", "threshold")))
+register("M4_metrics_of_flow_scores", transfers, lambda t: m.eval_metrics(flow_scores(t), "score", "label", "second").select(*(F.round(c, 9).alias(c) for c in M4)), SQL_TRF,
+         ACCOUNTS + """, sc AS (SELECT label, round(o / (o + i), 3) AS score FROM ac), cu AS (SELECT score, sum(sum(label)) OVER w / sum(count(*)) OVER w AS p, sum(sum(label)) OVER w / (SELECT sum(label) FROM sc) AS r, sum(label) / (SELECT sum(label) FROM sc) AS g FROM sc GROUP BY score WINDOW w AS (ORDER BY score DESC))
+         SELECT round(b, 9) AS brier, round(b2, 9) AS brier_calibrated, round(br, 9) AS base_rate, round(br * (1 - br), 9) AS brier_base_rate, round(auc, 9) AS pr_auc, """ + ", ".join(f"round(coalesce(r{p}, 0), 9) AS recall_{p}, round(t{p}, 9) AS threshold_{p}" for p in (5, 7, 9)) + " FROM (SELECT avg((score - label) ** 2) AS b, avg((0.25 + score / 2 - label) ** 2) AS b2, avg(label) AS br FROM sc), (SELECT sum(p * g) AS auc, " + ", ".join(f"max(r) FILTER (p >= 0.{p}) AS r{p}, min(score) FILTER (p >= 0.{p}) AS t{p}" for p in (5, 7, 9)) + " FROM cu)")
 register("A3_isolation_forest", transactions, isolated)
 register("A4_anomaly_score", transactions, lambda t: anomaly(features_of(t)))
-register("M1_M3_predictions", transfers, lambda t: predicted(t).select("account_id", "label", "probability"))
-register("M2_calibrate", transfers, lambda t: m.calibrate(predicted(t), "label").select("account_id", "label", "calibrated"))
-register("M4_eval_metrics", transfers, lambda t: m.eval_metrics(predicted(t), "probability", "label"))
+register("M1_M3_predictions", transfers, lambda t: governed(t).where("is_test").select("account_id", "label", "probability", "unavailable_reason"))
+register("M2_calibrate", transfers, lambda t: calibrated(t).select("account_id", "label", "calibrated"))
+register("M4_eval_metrics", transfers, lambda t: m.eval_metrics(calibrated(t), "probability", "label", "calibrated"))
