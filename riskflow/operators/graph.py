@@ -152,18 +152,56 @@ def conserved_cycles(transfers: DataFrame, days: float = config.FLOW_DAYS, toler
     return scored.where(F.col("risk") >= least_risk)
 
 
+def without_chains(edges: DataFrame, keep) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """The edges with each chain of nodes that have one edge in and one out as a single edge; the nodes of chains and of rings.
+
+    Pointers forward and back double their reach in each round, so a chain takes a logarithm of its length. Pointers that never
+    leave such nodes go round a ring, which is a component by itself.
+
+    Returns:
+        edges (src, dst), loops among them; chains: node, start and end of its chain; rings: node, component (its smallest node).
+        The last two are None where no node has one edge in and one out.
+    """
+    out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.max("dst").alias("end"))
+    into = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("m"), F.max("src").alias("start"))
+    single = keep(out.join(into, "node").where("n = 1 and m = 1").select("node", "start", "end", F.col("node").alias("least")))
+    n = single.count()
+    if not n:
+        return edges, None, None
+    names = single.select("node")
+    on_way = lambda c: single.select(F.col("node").alias(c))
+    state = single
+    for _ in range(n.bit_length() + 1):
+        if state.join(on_way("end"), "end", "left_semi").isEmpty():
+            break
+        onward = state.select(F.col("node").alias("end"), F.col("end").alias("end2"), F.col("least").alias("least2"))
+        back = state.select(F.col("node").alias("start"), F.col("start").alias("start2"))
+        further = state.join(onward, "end", "left").join(back, "start", "left")
+        state = keep(further.select("node", F.coalesce("start2", "start").alias("start"), F.coalesce("end2", "end").alias("end"), F.least("least", F.coalesce("least2", "least")).alias("least")))
+    rings = state.join(on_way("end"), "end", "left_semi").select("node", F.col("least").alias("component"))
+    chains = keep(state.join(on_way("end"), "end", "left_anti").select("node", "start", "end"))
+    rest = edges.join(names.withColumnRenamed("node", "src"), "src", "left_anti").join(names.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+    return keep(rest.unionByName(chains.select(F.col("start").alias("src"), F.col("end").alias("dst"))).distinct()), chains, keep(rings)
+
+
 def strong_components(edges: DataFrame, checkpoint=None) -> DataFrame:
-    """node, component for the nodes of directed edges (src, dst) that lie on a cycle of two nodes or more.
+    """node, component (its largest node) for the nodes of directed edges (src, dst) that lie on a cycle of two nodes or more.
 
-    Nodes without an edge in or out are trimmed; labels then spread forward, the largest winning, and what reaches a
-    label's own node back within it is one component; the rest goes on.
+    Chains become single edges, then nodes without an edge in or out are trimmed, again and again. Labels then spread forward,
+    the largest winning, and what reaches a label's own node back within it is one component; the rest goes on. A chain
+    belongs to the component that both its ends are in, and one that comes back to its start makes a component with it.
     """
     keep = checkpoint or (lambda df: written(df, "graph"))
     left = keep(edges.where("src <> dst").select("src", "dst").distinct())
-    found = None
+    found, chains = edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0), []
     while True:
         size = -1
-        while size != (size := left.count()):  # trim
+        while size != (size := left.count()):
+            left, chain, rings = without_chains(left, keep)
+            if chain is not None:
+                chains.append(chain)
+                found = found.unionByName(rings)
+                left = keep(left.where("src <> dst"))
             left = keep(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
         if not size:
             break
@@ -171,9 +209,9 @@ def strong_components(edges: DataFrame, checkpoint=None) -> DataFrame:
         while True:
             pushed = left.join(color, left.src == color.node).select(F.col("dst").alias("node"), F.col("color").alias("pushed")).groupBy("node").agg(F.max("pushed").alias("pushed"))
             new = keep(color.join(pushed, "node", "left").select("node", F.greatest("color", F.coalesce("pushed", "color")).alias("color")))
-            same = new.join(color, ["node", "color"], "left_anti").isEmpty()
+            same_ = new.join(color, ["node", "color"], "left_anti").isEmpty()
             color = new
-            if same:
+            if same_:
                 break
         within = left.join(color.select(F.col("node").alias("src"), "color"), "src").join(color.select(F.col("node").alias("dst"), F.col("color").alias("_c")), "dst").where("color = _c").select("src", "dst", "color")
         within = keep(within)
@@ -185,10 +223,17 @@ def strong_components(edges: DataFrame, checkpoint=None) -> DataFrame:
                 break
             part = keep(part.unionByName(back))
         big = part.join(part.groupBy("color").agg(F.count("*").alias("_n")).where("_n > 1"), "color").select("node", F.col("color").alias("component"))
-        found = big if found is None else found.unionByName(big)
+        found = found.unionByName(big)
         gone = part.select("node")
         left = keep(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
-    return found if found is not None else edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    found = keep(found)
+    for chain in reversed(chains):
+        looped = chain.where("start = end").select(F.col("start").alias("node")).distinct().join(found, "node", "left_anti")
+        found = keep(found.unionByName(looped.withColumn("component", F.col("node"))))
+        end = lambda c, name: found.select(F.col("node").alias(c), F.col("component").alias(name))  # noqa: B023, E731
+        inside = chain.join(end("start", "_a"), "start").join(end("end", "_b"), "end").where("_a = _b").select("node", F.col("_a").alias("component"))
+        found = keep(found.unionByName(inside))
+    return found.join(found.groupBy("component").agg(F.max("node").alias("_name")), "component").select("node", F.col("_name").alias("component"))
 
 
 def graph_cycles(edges: DataFrame, least_risk: float = config.STAR_RISK, edge_cap: int = config.STAR_EDGE_CAP, max_hops: int = config.FLOW_MAX_HOPS, checkpoint=None) -> DataFrame:

@@ -348,6 +348,51 @@ def test_graph_cycles(spark):
     assert sorted((r["dense"], r["hops"], r["edges"]) for r in dense) == [(False, 2, 2), (True, 0, 3)]
 
 
+def brute_components(edges):
+    """Nodes on cycles of two or more with the largest node that they reach and are reached by."""
+    nodes = {x for e in edges for x in e}
+    reach = {v: set() for v in nodes}
+    for v in nodes:
+        open_ = [v]
+        while open_:
+            x = open_.pop()
+            for a, b in edges:
+                if a == x and b not in reach[v]:
+                    reach[v].add(b)
+                    open_.append(b)
+    out = {}
+    for v in nodes:
+        both = {u for u in reach[v] if v in reach[u]} | ({v} if v in reach[v] else set())
+        if len(both) > 1:
+            out[v] = max(both)
+    return out
+
+
+def test_strong_components_of_random_graphs(spark):
+    """Sparse ones, whose chains are nested, lead out of and into components, or come back to their start."""
+    for seed, n, m in ((1, 14, 16), (2, 20, 24), (3, 9, 22)):
+        r = random.Random(seed)
+        edges = {(f"v{r.randrange(n):02d}", f"v{r.randrange(n):02d}") for _ in range(m)}
+        edges |= {("r1", "r2"), ("r2", "r3"), ("r3", "r1"), ("v00", "s1"), ("s1", "s2"), ("s2", "v00"), ("v01", "t1"), ("t1", "t2")}
+        got = {x["node"]: x["component"] for x in graph.strong_components(spark.createDataFrame(sorted(edges), "src string, dst string"), keep).collect()}
+        assert got == brute_components(edges), seed
+
+
+def test_long_chains_take_few_jobs(spark):
+    n, kept = 100_000, []
+
+    def counted(df):
+        kept.append(1)
+        return keep(df)
+
+    chain = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    ring = spark.range(1000).select((F.col("id") + 10 * n).alias("src"), (10 * n + (F.col("id") + 1) % 1000).alias("dst"))
+    ends = spark.createDataFrame([(n, n - 5), (-1, 0), (-2, 0)], "src long, dst long")  # the chain's last nodes come back
+    got = {r["component"]: r["n"] for r in graph.strong_components(chain.unionByName(ring).unionByName(ends), counted).groupBy("component").agg(F.count("*").alias("n")).collect()}
+    assert got == {10 * n + 999: 1000, n: 6}
+    assert len(kept) < 80
+
+
 def test_counterparty_cascade(spark):
     cases = {
         "sweep trf": "Sweep Account", "FD MATURITY x": "Fixed Deposit", "INSTALLMENT AMOUNT FOR RD": "Recurring Deposit", "INTCR": "Bank Interest", "UPI/CR/431794202708/CHETAN SUDHAKAR/YESB": "CHETAN SUDHAKAR",
