@@ -42,10 +42,10 @@ def bank_volume(legs: DataFrame) -> DataFrame:
     return same(rest, middle, ("bank",))
 
 
-def top_list(legs: DataFrame, part: str, k: int = 8) -> DataFrame:
-    """bank, part, n, amount, rank: the k parts of each bank with the largest amounts."""
+def top_list(legs: DataFrame, part: str, k: int = 8, by: str = "amount") -> DataFrame:
+    """bank, part, n, amount, rank: the k parts of each bank with the largest amounts, or the most transfers (``by`` n)."""
     sums = legs.where(F.col(part).isNotNull()).groupBy("bank", part).agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("amount"))
-    w = Window.partitionBy("bank").orderBy(F.desc("amount"), part)
+    w = Window.partitionBy("bank").orderBy(F.desc(by), part)
     return sums.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -80,6 +80,13 @@ def bank_cycle_index(transfers: DataFrame, cycles: DataFrame) -> DataFrame:
     return at.select("bank", "ring", "risk").distinct().groupBy("bank").agg(F.count("*").alias("n_cycles"), F.max("risk").alias("top_risk"))
 
 
+def cycles_of_bank(transfers: DataFrame, cycles: DataFrame, bank: str) -> DataFrame:
+    """The cycles that a bank's transfers lie on."""
+    touch = transfers.where((F.col("from_bank") == bank) | (F.col("to_bank") == bank)).select("row_idx")
+    on = cycles.select("ring", F.explode("idxs").alias("row_idx")).join(touch, "row_idx", "left_semi").select("ring").distinct()
+    return cycles.join(on, "ring", "left_semi")
+
+
 def cycle_summary(cycles: DataFrame) -> DataFrame:
     return cycles.agg(F.count("*").alias("n"), F.max("risk").alias("top_risk"), F.sum(F.col("mean_amount") * F.col("hops")).alias("value"))
 

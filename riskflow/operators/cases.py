@@ -81,6 +81,12 @@ def case_graph_view(edges: DataFrame, findings: DataFrame) -> DataFrame:
     return nodes.join(on, [CASE, "node"], "left").select(CASE, "node", "n_edges", F.when(F.col("_on"), "high").otherwise("low").alias("tier"))
 
 
+def case_edges_view(edges: DataFrame, findings: DataFrame) -> DataFrame:
+    """case_id, edge_id, src, dst, amount, resolution, on_finding: whether a finding runs over the edge."""
+    on = findings.select(CASE, F.explode("idxs").alias("edge_id")).distinct().withColumn("on_finding", F.lit(True))
+    return edges.join(on, [CASE, "edge_id"], "left").select(CASE, "edge_id", "src", "dst", "amount", "resolution", F.coalesce("on_finding", F.lit(False)).alias("on_finding"))
+
+
 def finding_edges(findings: DataFrame, edges: DataFrame) -> DataFrame:
     """The edges of each finding in order: case_id, ring, hop, edge_id, src, dst, amount, row_ids."""
     at = findings.select(CASE, "ring", F.posexplode("idxs").alias("hop", "edge_id"))

@@ -53,6 +53,14 @@ def cycle_patterns(cycles: DataFrame, txns: DataFrame) -> DataFrame:
     return total.select(ID, F.lit("cycle").alias("kind"), F.concat(F.lit("cycle:"), "counterparty").alias("pattern_id"), "risk", "total", F.lit("R5_circular_flow_detected").alias("rule"), "row_ids")
 
 
+def cycle_paths(cycles: DataFrame) -> DataFrame:
+    """statement_id, pattern_id, node_path: a cycle's nodes from the account and back to it, with marks of the account and of the return."""
+    node = lambda name, subject, back: F.struct(name.alias("id"), F.lit(subject).alias("is_subject"), F.lit(back).alias("is_return"))
+    me = F.concat(F.lit("ACCT_"), F.col(ID))
+    path = F.array(node(me, True, False), node(F.col("counterparty"), False, False), node(me, True, True))
+    return cycles.where("not dense").select(ID, F.concat(F.lit("cycle:"), "counterparty").alias("pattern_id"), path.alias("node_path"))
+
+
 class Earliest:
     """Debits by amount, with the earliest unused one of any range of amounts: the least place over a range of a binary tree."""
 

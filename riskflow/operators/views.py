@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..sources.shared import publish
 
 
-def txn_page(txns: DataFrame, statement_id: int, channel: str | None = None, category: str | None = None, low: float | None = None, high: float | None = None, search: str = "", offset: int = 0, size: int = 50) -> DataFrame:
-    """One page of a statement's transactions; bounds hold for either leg."""
+def matching_txns(txns: DataFrame, statement_id: int, channel: str | None = None, category: str | None = None, low: float | None = None, high: float | None = None, search: str = "") -> DataFrame:
+    """A statement's transactions of a channel and category, with a text in their narration; bounds hold for either leg. Its count is a page's total."""
     rows = txns.where((F.col("statement_id") == statement_id) & F.col("narration").ilike(f"%{search}%"))
     for name, value in (("channel", channel), ("category", category)):
         rows = rows.where(F.col(name) == value) if value else rows
@@ -17,7 +17,12 @@ def txn_page(txns: DataFrame, statement_id: int, channel: str | None = None, cat
         rows = rows.where((F.col("debit") >= low) | (F.col("credit") >= low))
     if high is not None:
         rows = rows.where((F.col("debit") <= high) | (F.col("credit") <= high))
-    return rows.orderBy("txn_date", "row_index").offset(offset).limit(size)
+    return rows
+
+
+def txn_page(txns: DataFrame, statement_id: int, *filters, offset: int = 0, size: int = 50, **more) -> DataFrame:
+    """One page of :func:`matching_txns`."""
+    return matching_txns(txns, statement_id, *filters, **more).orderBy("txn_date", "row_index").offset(offset).limit(size)
 
 
 def node_txn_page(
@@ -49,8 +54,12 @@ def reference_cohort(features: DataFrame) -> DataFrame:
 
 
 def bounds(legs: DataFrame) -> DataFrame:
-    """First and last day of each bank by way."""
-    return legs.groupBy("bank").agg(F.min(F.when(F.col("way") == "out", F.col("day"))).cast("string").alias("first_sent"), F.max(F.when(F.col("way") == "out", F.col("day"))).cast("string").alias("last_sent"), F.min(F.when(F.col("way") == "in", F.col("day"))).cast("string").alias("first_received"), F.max(F.when(F.col("way") == "in", F.col("day"))).cast("string").alias("last_received"))
+    """First and last day, number and amount of what each bank sent and received; null days and zeros where it did neither."""
+    found = []
+    for way, name in (("out", "sent"), ("in", "received")):
+        on = F.col("way") == way
+        found += [F.min(F.when(on, F.col("day"))).cast("string").alias(f"first_{name}"), F.max(F.when(on, F.col("day"))).cast("string").alias(f"last_{name}"), F.count_if(on).alias(f"n_{name}"), F.coalesce(F.sum(F.when(on, F.col("amount"))).cast("double"), F.lit(0.0)).alias(name)]
+    return legs.groupBy("bank").agg(*found)
 
 
 def statement_summary(statements: DataFrame, bundles: DataFrame) -> DataFrame:

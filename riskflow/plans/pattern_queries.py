@@ -125,6 +125,8 @@ def shown(found):
 
 register("T2_severity", transactions, lambda t: p.structuring_patterns(t).select("statement_id", "pattern_id", p.severity(F.col("risk")).alias("severity")), SQL_TXN, STRUCTURED + f" SELECT statement_id, pattern_id, {SEVERITY} AS severity FROM st")
 register("T4_cycle_pattern", transactions, lambda t: shown(p.cycle_patterns(g.star_cycles(t, 0.3), t)), SQL_TXN, CYCLIC + " SELECT * REPLACE (round(risk, 6) AS risk, round(total, 2) AS total) FROM ca")
+register("T4_cycle_paths", transactions, lambda t: p.cycle_paths(g.star_cycles(t, 0.3)).select("statement_id", "pattern_id", F.array_join(F.transform("node_path", lambda x: F.concat_ws(":", x["id"], x["is_subject"], x["is_return"])), ",").alias("path")), SQL_TXN,
+         STAR + " SELECT statement_id, 'cycle:' || counterparty AS pattern_id, 'ACCT_' || statement_id || ':true:false,' || counterparty || ':false:false,ACCT_' || statement_id || ':true:true' AS path FROM star WHERE risk >= 0.3")
 register("T5_J4_layering", transactions, lambda t: shown(p.layering_patterns(t)), SQL_TXN, LAYERED + " SELECT * REPLACE (round(risk, 6) AS risk, round(total, 2) AS total) FROM la")
 register("T6_structuring", transactions, lambda t: p.structuring_patterns(t).select("statement_id", "pattern_id", F.round("risk", 6).alias("risk"), "total"), SQL_TXN, STRUCTURED + " SELECT statement_id, pattern_id, round(risk, 6) AS risk, total FROM st")
 register("T7_dormancy", transactions, lambda t: shown(p.dormancy_patterns(t, gap=1, rows=2)), SQL_TXN, dormant(1, 2) + " SELECT * REPLACE (round(risk, 6) AS risk, round(total, 2) AS total) FROM da")
@@ -236,12 +238,13 @@ register("C3_P16_P17_facts", transactions, bundle_facts, SQL_TXN,
          CASE WHEN fired = '' THEN 'none triggered' ELSE array_to_string([x || ' (' || {POINTS}[x] || ' pts)' FOR x IN string_split(fired, ',')[1:3]], ', ') END AS rules_told, CASE WHEN told IS NULL THEN '' ELSE 'Detected cycles: ' || told || '. ' END AS cycles_told
          FROM (SELECT statement_id, CAST(min(txn_date) AS VARCHAR) AS start, CAST(max(txn_date) AS VARCHAR) AS "end", count(*) AS n FROM txn GROUP BY 1) t JOIN go ON f = t.statement_id JOIN fr ON fr.statement_id = t.statement_id JOIN rt ON rt.statement_id = t.statement_id LEFT JOIN cl ON cl.statement_id = t.statement_id""")
 register("P9_txn_page", transactions, lambda t: v.txn_page(t, 8, search="payee", low=100.0, size=20).select("row_id", F.col("txn_date").cast("string"), "narration"), SQL_TXN, "SELECT row_id, CAST(txn_date AS VARCHAR) AS txn_date, narration FROM txn WHERE statement_id = 8 AND narration ILIKE '%payee%' AND (debit >= 10000 OR credit >= 10000) ORDER BY txn.txn_date, row_index LIMIT 20")
+register("P9_txn_total", transactions, lambda t: v.matching_txns(t, 8, search="payee", low=100.0).agg(F.count("*").alias("n")), SQL_TXN, "SELECT count(*) AS n FROM txn WHERE statement_id = 8 AND narration ILIKE '%payee%' AND (debit >= 10000 OR credit >= 10000)")
 register("P10_node_txn_page", mirrored_case, lambda t: v.node_txn_page(c.case_edges(t), t, 1, "S3", size=30).select("row_id", "reference_no"), SQL_CASE, BEHIND + " SELECT row_id, reference_no FROM pe JOIN ce USING (case_id, edge_id) WHERE case_id = 1 AND 'S3' IN (src, dst) ORDER BY txn_date, row_id LIMIT 30")
 register("P10_node_txn_ranges", mirrored_case, lambda t: v.node_txn_page(c.case_edges(t), t, 1, "S3", "out", 3, ("1995-02-01", "1995-06-30"), (1020, 1070)).select("row_id", "reference_no"), SQL_CASE,
          BEHIND + " SELECT row_id, reference_no FROM pe JOIN ce USING (case_id, edge_id) WHERE case_id = 1 AND src = 'S3' AND statement_id = 3 AND txn_date BETWEEN DATE '1995-02-01' AND DATE '1995-06-30' AND pe.amount BETWEEN 102000 AND 107000 ORDER BY txn_date, row_id LIMIT 50")
 register("J1_txn_counterparty", transactions, lambda t: v.txn_counterparty(t, t.where("counterparty is not null").groupBy("statement_id", "counterparty").agg(F.min("row_index").alias("first_row"))).select("row_id", "first_row"), SQL_TXN, ", f AS (SELECT statement_id, counterparty, min(row_index) AS first_row FROM txn WHERE counterparty IS NOT NULL GROUP BY ALL) SELECT row_id, first_row FROM txn LEFT JOIN f USING (statement_id, counterparty)")
 register("J6_reference_cohort", transactions, lambda t: v.reference_cohort(t.groupBy("statement_id").agg(F.count("*").cast("double").alias("value")).withColumn("name", F.lit("n"))), SQL_TXN, ", n AS (SELECT statement_id, count(*)::DOUBLE AS value FROM txn GROUP BY 1) SELECT statement_id, 'n' AS name, (SELECT sum(value) FROM n) - value AS others_sum, (SELECT count(*) FROM n) - 1 AS others FROM n")
-register("J7_bounds", transfers, lambda t: v.bounds(b.bank_legs(b.derive(t))), SQL_TRF, DERIVED + " SELECT bank, CAST(min(CASE WHEN way = 'out' THEN day END) AS VARCHAR) AS first_sent, CAST(max(CASE WHEN way = 'out' THEN day END) AS VARCHAR) AS last_sent, CAST(min(CASE WHEN way = 'in' THEN day END) AS VARCHAR) AS first_received, CAST(max(CASE WHEN way = 'in' THEN day END) AS VARCHAR) AS last_received FROM l GROUP BY bank")
+register("J7_bounds", transfers, lambda t: v.bounds(b.bank_legs(b.derive(t))), SQL_TRF, DERIVED + " SELECT bank, CAST(min(CASE WHEN way = 'out' THEN day END) AS VARCHAR) AS first_sent, CAST(max(CASE WHEN way = 'out' THEN day END) AS VARCHAR) AS last_sent, CAST(min(CASE WHEN way = 'in' THEN day END) AS VARCHAR) AS first_received, CAST(max(CASE WHEN way = 'in' THEN day END) AS VARCHAR) AS last_received, CAST(count_if(way = 'out') AS BIGINT) AS n_sent, CAST(count_if(way = 'in') AS BIGINT) AS n_received, coalesce(sum(CASE WHEN way = 'out' THEN amount END), 0) / 100.0 AS sent, coalesce(sum(CASE WHEN way = 'in' THEN amount END), 0) / 100.0 AS received FROM l GROUP BY bank")
 register("J8_case_membership", mirrored_case, lambda t: t.select("case_id", "statement_id").distinct(), SQL_CASE, "SELECT DISTINCT case_id, statement_id FROM legs")
 QUERIES["J8_case_statements"] = lambda spark, d: c.case_statements(transactions(spark, d).groupBy("statement_id").agg(F.count("*").alias("n")), mirrored_case(spark, d).select("case_id", "statement_id"))
 ORACLES["J8_case_statements"] = f"WITH {SQL_TXN}, members AS (WITH {SQL_CASE} SELECT DISTINCT statement_id FROM legs) SELECT statement_id, count(*) AS n FROM txn SEMI JOIN members USING (statement_id) GROUP BY 1"

@@ -178,6 +178,8 @@ ga AS (SELECT ring, hops, count(*) AS edges, avg(amount) AS m, stddev_samp(amoun
 gt AS (SELECT ring, min(f) AS f, max(l) AS l FROM gh JOIN gn ON gn.node = u GROUP BY 1),
 gx AS (SELECT ring, hops, edges, greatest(0, 1 - coalesce(sd, 0) / m) AS conservation, CASE WHEN l > f THEN (epoch_us(l) - epoch_us(f)) / 86400000000.0 ELSE 0.1 END AS span FROM ga JOIN gt USING (ring)),
 gy AS (SELECT ring, hops, edges, conservation, 0.35 * conservation + 0.30 * least(hops / span / 10, 1) + 0.20 * least(edges / hops, 1) + 0.15 / hops AS risk, FALSE AS dense FROM gx)"""
+register("G11_case_edges_view", mirrored_case, lambda t: c.case_edges_view(*findings(t)).withColumn("amount", F.col("amount").cast("double")), SQL_CASE,
+         CASE_FLOWS + ", fx AS (SELECT DISTINCT sc, unnest(idxs) AS edge_id FROM cyc) SELECT case_id, ce.edge_id, src, dst, ce.amount, resolution, fx.edge_id IS NOT NULL AS on_finding FROM ce LEFT JOIN fx ON fx.sc = ce.case_id AND fx.edge_id = ce.edge_id")
 register("G3b_graph_cycles", mirrored_case, lambda t: g.graph_cycles(case_graph(t), 0.4, checkpoint=lambda df: written(df, "graph")).select(F.concat_ws(">", "nodes").alias("ring"), "hops", "edges", F.round("risk", 6).alias("risk"), "dense"), SQL_CASE,
          CASE_GRAPH + " SELECT ring, hops, edges, round(risk, 6) AS risk, dense FROM gy WHERE risk >= 0.4 UNION ALL SELECT component, 0, n, 0, TRUE FROM gs WHERE n > 1000")
 register("J9_finding_edges", mirrored_case, lambda t: c.finding_edges(*findings(t)[::-1]).select("case_id", "ring", "hop", "edge_id", "src", "dst", F.col("amount").cast("double")), SQL_CASE,
@@ -202,6 +204,9 @@ for tag, source, cte in (("", transfers, SQL_TRF), ("_bulk", bulk_transfers, SQL
     register("B6_bank_edges" + tag, source, b.bank_edges, cte, "SELECT from_bank, to_bank, count(*) AS n, sum(amount) / 100.0 AS amount, CAST(count_if(labelled) AS BIGINT) AS n_labelled FROM trf GROUP BY ALL")
     register("B8_bank_volume" + tag, source, lambda t: b.bank_volume(b.bank_legs(b.derive(t))).withColumn("mean", F.round("mean", 4)), cte, DERIVED + " SELECT bank, coalesce(sum(CASE WHEN way = 'out' THEN amount END), 0) / 100.0 AS sent, coalesce(sum(CASE WHEN way = 'in' THEN amount END), 0) / 100.0 AS received, count(*) AS n, CAST(count_if(way = 'out') AS BIGINT) AS n_sent, round(avg(amount / 100.0), 4) AS mean, median(amount / 100.0) AS median, max(amount) / 100.0 AS largest, count(DISTINCT CASE WHEN partner <> bank THEN partner END) AS partners FROM l GROUP BY bank")
     register("B9_bank_top_lists" + tag, source, lambda t: b.top_list(b.bank_legs(b.derive(t)), "partner"), cte, DERIVED + ", x AS (SELECT bank, partner, count(*) AS n, sum(amount) / 100.0 AS amount FROM l GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY bank ORDER BY amount DESC, partner) AS INTEGER) AS rank FROM x QUALIFY rank <= 8")
+    for part, column, k, by in (("corridors", "corridor", 8, "amount"), ("formats", "format", 8, "n"), ("accounts", "account", 5, "amount")):
+        register(f"B9_top_{part}{tag}", source, lambda t, column=column, k=k, by=by: b.top_list(b.bank_legs(b.derive(t)), column, k, by).withColumnRenamed(column, "part"), cte, DERIVED + f", x AS (SELECT bank, {'fmt' if column == 'format' else column} AS part, count(*) AS n, sum(amount) / 100.0 AS amount FROM l WHERE part IS NOT NULL GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY bank ORDER BY {by} DESC, part) AS INTEGER) AS rank FROM x QUALIFY rank <= {k}")
+    register("B17_time_range" + tag, source, lambda t: b.ledger_summary(b.derive(t)).select(*(F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in ("first_ts", "last_ts"))), cte, DERIVED + " SELECT min(epoch_us(ts)) AS first_ts, max(epoch_us(ts)) AS last_ts FROM d")
     register("B10_format_shares" + tag, source, lambda t: b.format_shares(b.bank_legs(b.derive(t))), cte, DERIVED + " SELECT bank, avg(CASE WHEN fmt IN ('wire', 'rtgs', 'neft') THEN 1.0::DOUBLE ELSE 0 END) AS wire_share, avg(CASE WHEN fmt IN ('wire', 'rtgs', 'cash', 'crypto', 'bitcoin', 'reinvestment') THEN 1.0::DOUBLE ELSE 0 END) AS high_risk_format_share FROM l GROUP BY bank")
     register("B11_account_hhi" + tag, source, lambda t: b.account_hhi(b.bank_legs(b.derive(t))).withColumn("account_concentration", F.round("account_concentration", 9)), cte, DERIVED + ", x AS (SELECT bank, account, sum(amount) / 100.0 AS s FROM l GROUP BY ALL) SELECT bank, round(sum(s * s) / (sum(s) * sum(s)), 9) AS account_concentration FROM x GROUP BY bank")
     register("B12_burst" + tag, source, lambda t: b.burst(b.bank_legs(b.derive(t))), cte, DERIVED + ", x AS (SELECT bank, day, count(*) AS k FROM l GROUP BY ALL) SELECT bank, count(day) AS active_days, CAST(max_by(day, struct_pack(k := k, d := -date_diff('day', DATE '1970-01-01', day))) AS VARCHAR) AS busiest_day, max(k) / sum(k) AS burst_velocity FROM x GROUP BY bank")
@@ -290,6 +295,7 @@ register("B4_corpus_fingerprint", transactions, lambda t: b.corpus_fingerprint(s
 register("G6_conserved_cycles", transfers, lambda t: cycles(t).select("ring", "hops", F.round("conservation", 6).alias("conservation"), F.round("risk", 6).alias("risk")), SQL_TRF, FLOWS + " SELECT ring, hops, round(conservation, 6) AS conservation, round(risk, 6) AS risk FROM cyc")
 register("G7_bank_cycle_index", transfers, lambda t: b.bank_cycle_index(t, cycles(t)).withColumn("top_risk", F.round("top_risk", 6)), SQL_TRF, FLOWS + "  , bx AS (SELECT DISTINCT ring, risk, unnest([from_bank, to_bank]) AS bank FROM (SELECT ring, risk, unnest(idxs) AS row_idx FROM cyc) JOIN trf USING (row_idx)) SELECT bank, count(*) AS n_cycles, round(max(risk), 6) AS top_risk FROM bx GROUP BY bank")
 register("G7_cycle_summary", transfers, lambda t: b.cycle_summary(cycles(t)).withColumns({"top_risk": F.round("top_risk", 6), "value": F.round("value", 2)}), SQL_TRF, FLOWS + " SELECT count(*) AS n, round(max(risk), 6) AS top_risk, round(sum(mean_amount * hops), 2) AS value FROM cyc")
+register("P12_bank_cycles", transfers, lambda t: b.cycles_of_bank(t, cycles(t), "BANK_1").select("ring", "hops", F.round("risk", 6).alias("risk")), SQL_TRF, FLOWS + " SELECT DISTINCT ring, hops, round(risk, 6) AS risk FROM (SELECT ring, hops, risk, unnest(idxs) AS row_idx FROM cyc) JOIN trf USING (row_idx) WHERE from_bank = 'BANK_1' OR to_bank = 'BANK_1'")
 register("B13_cycle_exposure", transfers, lambda t: b.cycle_exposure(b.bank_legs(b.derive(t)), cycles(t)).withColumn("cycle_exposure", F.round("cycle_exposure", 9)), SQL_TRF, DERIVED + FLOWS + EXPOSED + " SELECT bank, round(cycle_exposure, 9) AS cycle_exposure FROM ce")
 #: Ranks after RANK_ROUNDS rounds, by when they no longer change in eight places.
 RANK_ROUNDS = 60
