@@ -203,6 +203,30 @@ def coverage(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("statement_id").agg(F.count("*").alias("n"), F.avg(named.cast("int")).alias("attribution_rate"))
 
 
+def coverage_summary(rows: DataFrame, kept: int | None = None) -> DataFrame:
+    """How far a corpus of statements says who is paid, in one row.
+
+    Args:
+        rows: statement_id, subject (its bank), counterparty_bank and signal (what named it, null for nothing) of each transaction
+            with an amount. Statements of an unknown bank are skipped.
+        kept: transfers left after equal ones were dropped, if they were.
+    Returns:
+        statements, skipped, used, attributed, unattributed, attribution_rate (four decimals), transfer_rows, mirrored, signals
+        (``name:count``, the most frequent first) and direct_banks, whose own statements are among them.
+    """
+    known, named = F.col("subject") != config.UNATTRIBUTED, F.col("counterparty_bank") != config.UNATTRIBUTED
+    each = rows.groupBy("statement_id").agg(F.bool_and(known).alias("_known")).agg(F.count("*").alias("statements"), F.count_if(~F.col("_known")).alias("skipped"))
+    used = rows.where(known)
+    total = used.agg(F.count("*").alias("used"), F.count_if(named).alias("attributed"), F.array_join(F.array_sort(F.collect_set("subject")), ",").alias("direct_banks"))
+    counts = used.where(named).groupBy("signal").agg(F.count("*").alias("n"))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "signal", "n")))
+    signals = counts.agg(F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", x["signal"], x["n"])), ",").alias("signals"))  # a row for each signal
+    both = each.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(signals))  # one row each
+    rate = F.when(F.col("used") > 0, F.round(F.col("attributed") / F.col("used"), 4)).otherwise(0.0)
+    left = F.lit(kept).cast("long") if kept is not None else F.col("used")
+    return both.select("statements", "skipped", "used", "attributed", (F.col("used") - F.col("attributed")).alias("unattributed"), rate.alias("attribution_rate"), left.alias("transfer_rows"), (F.col("used") - left).alias("mirrored"), "signals", "direct_banks")
+
+
 def corpus_fingerprint(statements: DataFrame) -> DataFrame:
     """One digest of id, status, rows and bank of all statements; ids come in order from bounded digests of ranges."""
     line = F.concat_ws(":", "statement_id", "status", "n", "bank")

@@ -285,6 +285,19 @@ register("B2_dedup_mirrored", transactions, lambda t: b.dedup_mirrored(ledger(t)
 register("B3_coverage", transactions, lambda t: b.coverage(ledger(t)), SQL_TXN, LEDGER + " SELECT statement_id, count(*) AS n, avg(CASE WHEN from_bank <> 'UNATTRIBUTED' AND to_bank <> 'UNATTRIBUTED' THEN 1.0::DOUBLE ELSE 0 END) AS attribution_rate FROM ld GROUP BY 1")
 
 
+def covered(t):
+    found = n.resolve_bank(F.col("narration"))
+    known = t.where("debit > 0 or credit > 0").select("statement_id", subject_bank().alias("subject"), F.coalesce(found["code"], F.lit(config.UNATTRIBUTED)).alias("counterparty_bank"), found["signal"].alias("signal"))
+    return b.coverage_summary(written(known, "attributed"), b.dedup_mirrored(ledger(t)).count())
+
+
+register("B3_coverage_summary", transactions, covered, SQL_TXN,
+         LEDGER + f""", sg AS (SELECT CASE WHEN a IS NOT NULL THEN 'ifsc' WHEN b IS NOT NULL THEN 'ifsc_partial' WHEN c IS NOT NULL THEN 'reference_prefix' WHEN d IS NOT NULL THEN 'upi_handle' WHEN e IS NOT NULL THEN 'name' END AS signal FROM ({CODES}) JOIN lg USING (row_id)),
+         dd AS (SELECT row_id FROM ld QUALIFY from_account IS NULL OR to_account IS NULL OR row_number() OVER (PARTITION BY from_account, to_account, paid, txn_date ORDER BY statement_id, row_index) = 1)
+         SELECT (SELECT count(DISTINCT statement_id) FROM lg) AS statements, 0 AS skipped, count(*) AS used, count(signal) AS attributed, count(*) - count(signal) AS unattributed, round(count(signal) / count(*), 4) AS attribution_rate, (SELECT count(*) FROM dd) AS transfer_rows, count(*) - (SELECT count(*) FROM dd) AS mirrored,
+         (SELECT string_agg(signal || ':' || n, ',' ORDER BY n DESC, signal) FROM (SELECT signal, count(*) AS n FROM sg WHERE signal IS NOT NULL GROUP BY 1)) AS signals, (SELECT string_agg(DISTINCT s, ',' ORDER BY s) FROM lg) AS direct_banks FROM sg""")
+
+
 def statements_of(t):
     """statement_id, its rows, its extraction tier as status and the bank it is from."""
     return t.groupBy("statement_id").agg(F.count("*").alias("n")).join(q.extraction_tiers(t).withColumnRenamed("tier", "status"), "statement_id").withColumn("bank", subject_bank())
