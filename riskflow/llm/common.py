@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -107,6 +108,8 @@ def summed(parts: DataFrame) -> dict[int, np.ndarray]:
 
 
 _caches: dict[str, dict] = {}
+#: Gives the C library's unused memory back to the system, where there is such a call.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def worker_cache(name: str, holder: dict) -> dict:
@@ -122,3 +125,5 @@ def keep_only(name: str) -> None:
             holder.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
