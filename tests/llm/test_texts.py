@@ -210,6 +210,40 @@ def test_bits_of_all_bytes_sum_to_one(spark):
     assert abs(np.exp(total[strip.first]).sum() - 1) < 1e-9
 
 
+def test_language_model_follows_the_order_of_words(spark):
+    rows = [(k, prose(k, 150)) for k in range(60)]
+    out = next(k for k, _ in rows if zlib.crc32(str(k).encode()) % 5 == 1)
+    words = dict(rows)[out].split()
+    # Held out, so that the model is the same for both: one keeps a training text's words in order, one has them backwards.
+    seen = next(t for k, t in rows if zlib.crc32(str(k).encode()) % 5 != 1).split()
+    free = [k for k in range(1000, 1100) if zlib.crc32(str(k).encode()) % 5 == 1]
+    rows += [(free[0], " ".join(seen)), (free[1], " ".join(reversed(seen))), (free[2], " ".join(reversed(words)))]
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(table(spark, rows).repartition(1)).collect()}
+    assert got[free[0]] > got[free[1]] + 1 and got[out] != got[free[2]]
+    again = {r["doc_id"]: r["score"] for r in lm.score_texts(table(spark, rows).repartition(5, "text")).collect()}
+    assert got == again
+
+
+def test_counts_of_nibbles_are_those_of_bits():
+    import numpy as np
+
+    rows = [lm.row_of(t) for t in (prose(3, 40), "", "Ä b\tc  ÄÄ", prose(3, 40)[:70])]
+    counts = np.zeros((lm.CONTEXTS, 1 << lm.SLOT_BITS), np.int64)
+    lm.Strip(rows).count(counts)
+    strip, tables = lm.Strip(rows), np.zeros((lm.CONTEXTS, 2, 1 << lm.SLOT_BITS))
+    for _, bit, slots in strip.levels():
+        for i in range(lm.CONTEXTS):
+            np.add.at(tables[i].reshape(-1), bit << lm.SLOT_BITS | slots[i], 1)
+    assert all((lm.bits_of(c) == t).all() for c, t in zip(counts, tables, strict=True))
+    # Contexts see the same bytes whatever texts lie before, and cross words: equal contexts, equal slots.
+    alone = lm.Strip(rows[3:])
+    assert (strip.blocks[:, :, strip.first[3] :] == alone.blocks).all()
+    ab, cb = lm.Strip([b"aa bb"]), lm.Strip([b"ca bb"])
+    differ = (ab.blocks[:, 0] != cb.blocks[:, 0]).T.tolist()
+    # The second b sees four bytes before it, "aa b" or "ca b": orders 1 to 3 don't differ, order 5 and the pair of words do.
+    assert differ[4] == [False, False, False, True, False, True]
+
+
 def toxic_rows():
     bad, rows, labels = ["idiot", "moron", "stupid"], [], []
     for k in range(400):
