@@ -1,9 +1,9 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Each round moves every vertex to the smallest neighbour it knows; the rounds end when all vertices of a component
-hang on its smallest one. Tasks first contract the edges they hold, so that dense groups arrive as stars. A vertex
-with very many neighbours is only ever the key of an aggregation with partial sums or of a join whose large
-partitions Spark splits.
+hang on its smallest one, or no more edges are left than a task contracts at once, which ends them. Tasks first
+contract the edges they hold, so that dense groups arrive as stars. A vertex with very many neighbours is only ever
+the key of an aggregation with partial sums or of a join whose large partitions Spark splits.
 """
 
 from __future__ import annotations
@@ -64,6 +64,11 @@ def _smallest(edges: DataFrame) -> DataFrame:
     return materialise(edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "smallest")
 
 
+def ended(stars: DataFrame) -> DataFrame:
+    """Each vertex with the one it hangs on, which hangs on itself."""
+    return stars.select(F.col("a").alias("id"), F.col("b").alias("component_id")).unionByName(stars.select(F.col("b").alias("id"), F.col("b").alias("component_id"))).distinct()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Component of every vertex that has an edge.
 
@@ -77,7 +82,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         state = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:
-            return stars.select(F.col("a").alias("id"), F.col("b").alias("component_id")).unionByName(stars.select(F.col("b").alias("id"), F.col("b").alias("component_id"))).distinct()
+            return ended(stars)
+        if state[0] <= CONTRACTED:  # no more than a task contracts at once: it makes the components whole
+            stars = materialise(contracted(stars.coalesce(1)), "last")
+            return ended(stars)
         before = state
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         small = _smallest(both)

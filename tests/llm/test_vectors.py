@@ -96,3 +96,17 @@ def test_components(spark):
     got = {r["id"]: r["component_id"] for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
     assert got == {**{k: 1 for k in range(1, 41)}, 100: 50, 50: 50, 70: 50, 200: 200, 201: 200}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_few_edges_end_at_once_and_many_by_stars(spark, monkeypatch):
+    from riskflow.llm import components
+
+    edges = [(k, k + 1) for k in range(60) if k % 20 != 19] + [(5, 5), (3, 1), (61, 7)]
+    want = {**{k: k // 20 * 20 for k in range(60)}, 61: 0}
+    write, written = components.materialise, []
+    monkeypatch.setattr(components, "materialise", lambda df, name: written.append(name) or write(df, name))
+    find = lambda: {r["id"]: r["component_id"] for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
+    assert find() == want and len(written) <= 2
+    monkeypatch.setattr(components, "CONTRACTED", 4)
+    written.clear()
+    assert find() == want and len(written) > 2
