@@ -416,7 +416,8 @@ def sets_of(texts: DataFrame, asked: DataFrame, classes: DataFrame, words: int)
             yield pa.RecordBatch.from_arrays([column(batch, "class"), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["class", "grams"])
 
     wanted = materialise(asked.join(classes, "class").select("class", "row"), "wanted")
-    return maybe_among(texts, wanted).join(wanted, ["class", "row"], "left_semi").mapInArrow(run, "class long, grams binary")
+    maybe = materialise(maybe_among(texts, wanted), "maybe")  # written, so that no task holds two Python workers at once
+    return maybe.join(wanted, ["class", "row"], "left_semi").mapInArrow(run, "class long, grams binary")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -474,7 +475,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     right = left.select("gram", *(F.col(c).alias(f"o_{c}") for c in (*ROW, "part", *SIGNATURE)))
     cross = left.join(right, "gram").where((F.col("class") < F.col("o_class")) & (F.col("part") != F.col("o_part")) & early("o_") & possible("o_") & few_unlike("o_"))
     more_pairs = materialise(cross.select(F.col("class").alias("a"), F.col("o_class").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(verified(more_pairs, sets))
+    links = links.unionByName(materialise(verified(more_pairs, sets), "links"))
 
     # Rows that share a doc_id link their classes.
     reused = named.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.count("*").alias("k")).where("a < b")

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import column, map_arrow, text_columns, texts_of
+from .common import column, keep_only, map_arrow, text_columns, texts_of
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -42,6 +42,9 @@ PLAUSIBLE = re.compile(rb"%[0-9A-Fa-f]{2}|\\[ux]|&#[0-9xX]|[\x20-\x7e]{12}")
 PIECE_BYTES, CHUNK_BYTES, LAYER_BYTES, OVERLAP_BYTES = 1 << 20, 8 << 20, 64 << 20, 1 << 16
 RUN_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-\r\n\\"
 
+#: Texts that a task redacts at once.
+TOGETHER = 500
+
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 Span = tuple[int, int, int]
 
@@ -283,6 +286,8 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     names = docs.columns
 
     def make():
+        keep_only("secrets")
+
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t and redacted(t) for t in column(batch, "text").to_pylist()]
             new = {"text": pa.array(texts, pa.string())}
@@ -292,4 +297,4 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
 
         return each
 
-    return map_arrow(docs, make, docs.schema)
+    return map_arrow(docs, make, docs.schema, TOGETHER)

@@ -174,6 +174,27 @@ def test_one_of_each_group_stays(spark):
     assert out.columns == table(spark).columns
 
 
+def test_sets_take_one_python_worker_a_task(spark):
+    docs = table(spark).select("doc_id", "text")
+    described = jaccard.described(docs, 5).localCheckpoint()
+    classes = described.where("n > 0").groupBy("class").agg({"row": "min"}).withColumnRenamed("min(row)", "row")
+    sets = jaccard.sets_of(described.where("text is not null"), classes.select("class"), classes, 5)
+    assert sets._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {len(r["grams"]) // 8 for r in sets.collect()} == {r["n"] for r in described.where("row is not null").collect()}
+
+
+def test_links_are_written_before_components_are_sought(spark, monkeypatch):
+    nested, own = [], jaccard.connected_components
+
+    def watched(edges):
+        nested.append(edges._jdf.queryExecution().executedPlan().toString().count("MapInArrow"))
+        return own(edges)
+
+    monkeypatch.setattr(jaccard, "connected_components", watched)
+    jaccard.jaccard_components(table(spark))
+    assert len(nested) > 1 and not any(nested)
+
+
 def test_language_model_scores(spark):
     # Two kinds of texts with words of their own, as languages have.
     rows = texts() + [(500 + k, prose(k, 200) if k % 2 else prose(k, 200).translate(str.maketrans("aeiot", "uäßzk"))) for k in range(120)]
