@@ -231,6 +231,37 @@ def test_bits_of_all_bytes_sum_to_one(spark):
     assert abs(np.exp(total[strip.first]).sum() - 1) < 1e-9
 
 
+def test_weights_are_looked_up_only_for_bits_that_contexts_have_not_seen():
+    class Weights(lm.np.ndarray):
+        taken = 0
+
+        def take(self, at, **how):
+            Weights.taken += len(at)
+            return super().take(at, **how)
+
+    known, other = lm.row_of(prose(5, 300)), lm.row_of(prose(6, 100) + " é ½ new words")
+    counts = lm.np.zeros((lm.CONTEXTS, 1 << lm.SLOT_BITS), lm.np.int32)
+    lm.Strip([known]).count(counts)
+    rng = lm.np.random.default_rng(1)
+    mixer = lm.Mixer.settled(lm.np.stack([lm.said(lm.bits_of(c)) for c in counts]), rng.normal(0.2, 0.1, (lm.GATES, 8, lm.CONTEXTS)), lm.Mixer.untaught()[1])
+    plain = []
+    for text in (known, other):
+        total = 0.0
+        for level, bit, slots in lm.Strip([text]).levels():
+            said = lm.np.stack([t[at] for t, at in zip(mixer.inputs, slots, strict=True)])
+            gate = (said != 0).sum(0)
+            mix = lm.np.zeros(len(gate), lm.np.float32)
+            for x, weight in zip(said, mixer.light[level], strict=True):
+                mix += x * weight[gate]
+            place = lm.np.rint((lm.np.clip(mix, -lm.LIMIT, lm.LIMIT) + lm.np.float32(lm.LIMIT)) * lm.np.float32((lm.FINE - 1) / (2 * lm.LIMIT))).astype(int)
+            p = mixer.chances[level][gate * lm.FINE + place]
+            total += lm.np.log10(lm.np.where(bit == 1, p, 1 - p)).sum()
+        plain.append(total)
+    mixer.light = mixer.light.view(Weights)
+    assert mixer.cost([known, known]) == pytest.approx([plain[0]] * 2, rel=1e-12) and Weights.taken == 0
+    assert mixer.cost([other]) == pytest.approx([plain[1]], rel=1e-12) and Weights.taken > 0
+
+
 def test_language_model_follows_the_order_of_words(spark):
     rows = [(k, prose(k, 150)) for k in range(60)]
     out = next(k for k, _ in rows if zlib.crc32(str(k).encode()) % 5 == 1)
