@@ -262,6 +262,31 @@ def test_weights_are_looked_up_only_for_bits_that_contexts_have_not_seen():
     assert mixer.cost([other]) == pytest.approx([plain[1]], rel=1e-12) and Weights.taken > 0
 
 
+def test_mixes_are_exact_in_any_order_of_contexts():
+    np = lm.np
+    rng = np.random.default_rng(3)
+    inputs = np.zeros((lm.CONTEXTS, 1 << lm.SLOT_BITS), np.int8)
+    mixer = lm.Mixer.settled(inputs, rng.normal(0.3, 0.5, (lm.GATES, 8, lm.CONTEXTS)), lm.Mixer.untaught()[1])
+    x = rng.integers(-lm.STEPS, lm.STEPS + 1, (lm.CONTEXTS, 2000))
+    for weights in mixer.light.reshape(8, lm.CONTEXTS, -1).transpose(0, 2, 1).reshape(-1, lm.CONTEXTS):
+        sums = [sum(x[i].astype(np.float32) * weights[i] for i in order) for order in (range(lm.CONTEXTS), reversed(range(lm.CONTEXTS)))]
+        assert (sums[0] == sums[1]).all() and (sums[0] == weights.astype(float) @ x).all()
+
+
+def test_plain_texts_are_their_words_with_one_space_between():
+    for text in ("", " ", "\t\n\v\f\r A  b\u00a0C\x1c\x85d \x00E ", "Äa\u2003b", "A B", "a\n\nB"):
+        assert lm.plain(text.encode()) == b" ".join(text.encode().lower().split())
+
+
+def test_frequent_words_are_whole_frequencies(spark, monkeypatch):
+    words = spark.createDataFrame([(bytes([97 + k]), f, 1, -0.5 * k) for k, f in enumerate([9, 7, 7, 3, 3, 3, 1])], "word binary, f long, known long, base double")
+    for most, kept in ((0, 0), (1, 1), (2, 1), (3, 3), (5, 3), (6, 6), (7, 7), (100, 7)):
+        monkeypatch.setattr(lm, "FREQUENT", most)
+        place, table = lm.most_frequent(words)
+        assert sorted(place) == [bytes([97 + k]) for k in range(kept)] and table.shape == (kept, 2)
+        assert all(table[at].tolist() == [1, -0.5 * (word[0] - 97)] for word, at in place.items())
+
+
 def test_language_model_follows_the_order_of_words(spark):
     rows = [(k, prose(k, 150)) for k in range(60)]
     out = next(k for k, _ in rows if zlib.crc32(str(k).encode()) % 5 == 1)
