@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskflow.operators import features
+from riskflow.operators import features, scoring
 
 
 def test_dataset_holds_every_account(spark):
@@ -16,3 +16,9 @@ def test_dataset_holds_every_account(spark):
     assert found.select("account_id").distinct().count() == found.count() == 60_002
     capped = features.account_dataset(t, cap=3)
     assert capped.select("account_id").distinct().count() == 3 and {r["account_id"] for r in capped.where("label").collect()} == {"U0", "V0"}
+
+
+def test_scores_at_half_a_tenth_go_up(spark):
+    points = spark.range(21).select((5 * F.col("id")).alias("p"))
+    got = points.select(F.round(scoring.fuse(F.col("p"), F.lit(0.0)), 1), F.round(scoring.fuse(F.col("p"), F.lit(0.0), F.lit(None).cast("double")), 1), ((65 * F.col("p")).cast("decimal(9,0)") / 100).cast("decimal(9,1)").cast("double")).collect()
+    assert all(a == b == exact for a, b, exact in got)
