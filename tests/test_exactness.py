@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from riskflow.operators import features, scoring
 
+TXN = "statement_id long, row_index long, row_id string, ts timestamp, txn_date date, debit decimal(18,2), credit decimal(18,2), counterparty string, narration string, reference_no string, balance decimal(18,2)"
+
+
+def txns(spark, rows):
+    """rows: days after 1 January, debit, credit, counterparty."""
+    at = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(d)
+    money = lambda x: None if x is None else Decimal(str(x))
+    return spark.createDataFrame([(1, k, str(k), at(d), at(d).date(), money(debit), money(credit), who, "x", "r", None) for k, (d, debit, credit, who) in enumerate(rows)], TXN)
+
 
 def test_dataset_holds_every_account(spark):
     text = lambda letter: F.concat(F.lit(letter), "id")
@@ -22,3 +34,16 @@ def test_scores_at_half_a_tenth_go_up(spark):
     points = spark.range(21).select((5 * F.col("id")).alias("p"))
     got = points.select(F.round(scoring.fuse(F.col("p"), F.lit(0.0)), 1), F.round(scoring.fuse(F.col("p"), F.lit(0.0), F.lit(None).cast("double")), 1), ((65 * F.col("p")).cast("decimal(9,0)") / 100).cast("decimal(9,1)").cast("double")).collect()
     assert all(a == b == exact for a, b, exact in got)
+
+
+def test_features_have_the_decimals_that_they_are_stated_with(spark):
+    found = features.all_features(txns(spark, [(0, None, 3, "a"), (0.1, 1, None, "b"), (0.2, 2, 1, "c")])).first()
+    assert found["net_retention_ratio"] == 0.75 and found["counterparty_concentration_hhi"] == round((9 + 1 + 9) / 49, 9)
+    third = features.all_features(txns(spark, [(0, None, 3, "a"), (0.1, 1, None, "b")])).first()
+    assert third["net_retention_ratio"] == 0.666666667 and third["benford_deviation_score"] == 0
+
+
+def test_rounding_takes_the_product(spark):
+    values = [0.2504145, 0.6174595, -0.6174595, 2.5e-7, 5e-7, 1e300, None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(features.half_up(F.col("v"), 6)).collect()]
+    assert got == [0.250414, 0.61746, -0.61746, 0.0, 1e-6, 1e300, None]  # as DuckDB's round has them
