@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
+import random
 from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from riskflow.operators import features, scoring
+from riskflow.operators import features, graph, patterns, scoring
 
 TXN = "statement_id long, row_index long, row_id string, ts timestamp, txn_date date, debit decimal(18,2), credit decimal(18,2), counterparty string, narration string, reference_no string, balance decimal(18,2)"
 
@@ -47,3 +49,32 @@ def test_rounding_takes_the_product(spark):
     values = [0.2504145, 0.6174595, -0.6174595, 2.5e-7, 5e-7, 1e300, None]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(features.half_up(F.col("v"), 6)).collect()]
     assert got == [0.250414, 0.61746, -0.61746, 0.0, 1e-6, 1e300, None]  # as DuckDB's round has them
+
+
+def dealt(df, n):
+    """The same rows in another order over n tasks."""
+    return df.repartition(n, F.xxhash64("row_id", F.lit(n)))
+
+
+def test_structuring_risks_are_summed_in_the_order_of_rows(spark):
+    r = random.Random(4)
+    amounts = [10 * r.randint(4500, 5000) for _ in range(40)]
+    t = txns(spark, [(k / 10, a, None, "a") for k, a in enumerate(amounts)])
+    mean = 0.0
+    for a in amounts:
+        mean += a / 50_000
+    risk = 0.5 + 0.5 * max(0.0, min((mean / 40 - 0.9) / 0.1, 1.0))
+    assert {patterns.structuring_patterns(dealt(t, n)).first()["risk"] for n in (1, 2, 3, 5)} == {risk}
+
+
+def test_cycles_are_scored_in_the_order_of_rows(spark):
+    r = random.Random(6)
+    amounts = [float(r.randint(10, 2000)) + r.randint(0, 99) / 100 for _ in range(40)]
+    t = txns(spark, [(k / 4, a, None, "a") if k % 2 else (k / 4, None, a, "a") for k, a in enumerate(amounts)])
+    n = mean = square = total = 0.0
+    for x in amounts:
+        n, before, total = n + 1, mean, total + x
+        mean = before + (x - before) / n
+        square += (x - mean) * (x - before)
+    want = 1 - math.sqrt(square / (n - 1)) / (total / n)
+    assert {graph.star_cycles(dealt(t, n), 0.0).first()["conservation"] for n in (1, 2, 3, 5)} == {want}
