@@ -2,12 +2,14 @@
 
 Pivots cut the data into cells. For a query q the products with the pivots, which are rows too, give a score that k
 rows reach at least; a cell with pivot p and radius r holds no product above ``q.p + |q| r``, so only cells beyond
-that score get the query. Cells are solved apart from each other in blocks and the best of all blocks are kept.
+that score are looked at. Cells stand on shelves: a task holds one shelf's rows while the queries sent to it stream by.
+A query goes to its own cell's shelf first, then, with the score reached there, to the others that it still needs.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,11 @@ from .vectors import Sizes, matrix, packed, pivot_rows, sizes, unpacked, usable
 SCALE = 1024
 K = 10
 EVERY = 100
-#: Queries that travel together.
-QUERY_BLOCK = 512
+#: Queries that are worked on at once, and rows that they are multiplied with at once.
+TOGETHER, ROWS = 256, 16_384
+#: A task holds the rows of one shelf of cells. There are about so many shelves, as each may get every query, but for tables
+#: whose shelves would hold fewer than SHELF_LEAST rows or more than SHELF_MOST.
+SHELVES, SHELF_LEAST, SHELF_MOST = 256, 1 << 14, 1 << 18
 
 
 def quantised(x: np.ndarray) -> np.ndarray:
@@ -59,12 +64,64 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
-def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer inner products: in doubles while these hold every sum exactly."""
-    bound = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
-    if bound < 2**53:
-        return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
-    return q.astype(np.int64) @ x.astype(np.int64).T
+def longest(x: np.ndarray) -> float:
+    """The greatest length of a row."""
+    return math.sqrt(float(np.einsum("ij,ij->i", x.astype(np.float64), x.astype(np.float64)).max(initial=0))) * (1 + 1e-9)
+
+
+def kind_of(q: np.ndarray, x: np.ndarray) -> type:
+    """The fastest numbers that hold all products of rows and whatever is summed up on the way: no sum exceeds the lengths' product."""
+    bound = longest(q) * longest(x)
+    return np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64
+
+
+def shelves(rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first shelf of each cell and how many it takes: small cells share one of at most ``most`` rows, a larger cell has several of its own."""
+    first, parts = np.zeros(len(rows), np.int64), np.maximum(1, -(-rows // most))
+    shelf, full = 0, 0
+    for c, n in enumerate(rows.tolist()):
+        if full and full + n > most:
+            shelf, full = shelf + 1, 0
+        first[c] = shelf
+        if parts[c] > 1:
+            shelf, full = shelf + int(parts[c]), 0
+        else:
+            full += n
+    return first, parts
+
+
+class Stock:
+    """A shelf's rows by cell."""
+
+    def __init__(self, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        cells, self.ids, self.x = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int32), np.zeros(0, np.int64), None)
+        cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)]
+        self.runs = [(int(cells[a]), lo, min(b, lo + ROWS)) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b for lo in range(a, b, ROWS)]
+
+    def find(self, asked: np.ndarray, q: np.ndarray, floor: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """query, row and score of the k best rows of each query, of those that reach its floor; only cells that ``near`` marks are looked at."""
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for cell, lo, hi in self.runs:
+            at = np.flatnonzero(near[:, cell])
+            if not len(at):
+                continue
+            some, x, ids = q[at], self.x[lo:hi], self.ids[lo:hi]
+            kind = kind_of(some, x)
+            scores = some.astype(kind) @ x.astype(kind).T
+            ok = (scores >= floor[at][:, None]) & (ids != asked[at][:, None])
+            if ok.sum() <= 4 * k * len(at):
+                i, j = np.nonzero(ok)
+                out.append((at[i], ids[j], scores[i, j].astype(np.int64)))
+                continue
+            for place, row, fit in zip(at.tolist(), scores, ok, strict=True):
+                j = np.flatnonzero(fit)
+                j = j[best(row[j], ids[j], k)]
+                out.append((np.full(len(j), place), ids[j], row[j].astype(np.int64)))
+        place, ids, scores = (np.concatenate(x) for x in zip(*out, strict=True))
+        by = np.lexsort((ids, -scores, place))
+        place, ids, scores = place[by], ids[by], scores[by]
+        ahead = np.arange(len(place)) - np.searchsorted(place, place)
+        return asked[place[ahead < k]], ids[ahead < k], scores[ahead < k]
 
 
 def exact_topk(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
@@ -93,64 +150,95 @@ def exact_topk(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFra
     pivots = quantised(pivots)
     placed = materialise(place(vectors, size, pivots, dtype), "placed")
 
-    asked = F.col("vec_id") % every == 0
-    summary = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("radius").alias("r"), F.count_if(asked).alias("q")).collect()
-    radius, blocks = np.full(len(pivots), -np.inf), np.zeros(len(pivots), np.int64)
-    asked_in = np.zeros(len(pivots), np.int64)
-    for s in summary:
-        radius[s["cell"]], blocks[s["cell"]], asked_in[s["cell"]] = s["r"], math.ceil(s["n"] / size.cell_rows), s["q"]
-    # Cells whose queries travel together: neighbours in the order of cells, about QUERY_BLOCK queries each; a crowded cell is cut by salt.
-    team = (np.cumsum(asked_in) - asked_in) // QUERY_BLOCK
-    crowd = np.maximum(1, np.bincount(team, asked_in, minlength=team.max() + 1)[team] // QUERY_BLOCK).astype(np.int64)
-    per_cell = spark.createDataFrame([(c, int(blocks[c]), int(team[c]), int(crowd[c])) for c in range(len(pivots))], "cell int, blocks long, team long, crowd long")
+    radius, rows = np.full(len(pivots), -np.inf), np.zeros(len(pivots), np.int64)
+    for s in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("radius").alias("r")).collect():
+        radius[s["cell"]], rows[s["cell"]] = s["r"], s["n"]
+    first, parts = shelves(rows, min(SHELF_MOST, max(SHELF_LEAST, math.ceil(size.rows / SHELVES))))
+    n_shelves = int((first + parts).max())
+    cells_of = [np.flatnonzero((first <= k) & (k < first + parts) & (rows > 0)) for k in range(n_shelves)]
 
-    spread = placed.join(F.broadcast(per_cell), "cell")  # at most MAX_PIVOTS rows
-    data = spread.select("cell", F.pmod("salt", "blocks").alias("block"), "vec_id", "v").groupBy("cell", "block")
-    queries = spread.where(asked).groupBy("vec_id").agg(F.min(F.struct("team", F.pmod("salt", "crowd").alias("part"), "v")).alias("q")).select("vec_id", "q.*").groupBy("team", "part")
-
-    def pack(table: pa.Table) -> pa.Table:
-        ids, vs = table["vec_id"].to_numpy(), table["v"].to_pylist()
-        return pa.table({"cell": table["cell"][:1], "block": table["block"][:1], "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "vs": pa.array([b"".join(vs)], pa.binary())})
-
-    def ask(table: pa.Table) -> pa.Table:
-        """One copy of the group's queries for each block of each cell that may hold one of their k best."""
-        q = unpacked(table["v"], dtype, size.dim).astype(np.float64)
-        to_pivots = q @ pivots.T
-        if len(pivots) > k:  # pivots are of different ids, so that one of them at most is left out for the query's id
-            reached = np.partition(to_pivots, len(pivots) - k - 1, axis=1)[:, len(pivots) - k - 1]
-        else:
-            reached = np.full(len(q), -np.inf)
-        bound = to_pivots + np.linalg.norm(q, axis=1)[:, None] * radius
-        cells = np.flatnonzero((bound * (1 + 1e-9) + 1 >= reached[:, None]).any(0) & (blocks > 0)) if len(q) else np.array([], np.int64)
-        cell = np.repeat(cells, blocks[cells])
-        block = np.concatenate([np.arange(blocks[c]) for c in cells])
-        n = len(cell)
-        return pa.table({
-            "cell": pa.array(cell.astype(np.int32)), "block": pa.array(block.astype(np.int64)), "asked": pa.array([table["vec_id"].to_numpy().astype("<i8").tobytes()] * n, pa.binary()),
-            "qs": pa.array([q.astype(dtype).tobytes()] * n, pa.binary()), "reached": pa.array([reached.astype("<f8").tobytes()] * n, pa.binary()),
-        })
-
-    cells = data.applyInArrow(pack, "cell int, block long, ids binary, vs binary")
-    teams = queries.applyInArrow(ask, "cell int, block long, asked binary, qs binary, reached binary")
+    inexact = np.linalg.norm(pivots, axis=1).max() * size.dim * 1e-15  # of a product in doubles, as a share of the query's length
 
-    def make():
+    def reach(q: np.ndarray) -> np.ndarray:
+        """No product of a query with a row of a cell lies above this."""
+        return (q @ pivots.T + np.linalg.norm(q, axis=1)[:, None] * np.maximum(radius, 0)) * (1 + 1e-9) + 1
+
+    def make_floor():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out: list[tuple[np.ndarray, ...]] = []
-            for ids, vs, asked_ids, qs, floor in zip(*(column(batch, c).to_pylist() for c in ("ids", "vs", "asked", "qs", "reached")), strict=True):
-                ids, asked_ids, floor = np.frombuffer(ids, "<i8"), np.frombuffer(asked_ids, "<i8"), np.frombuffer(floor, "<f8")
-                scores = products(np.frombuffer(qs, dtype).reshape(-1, size.dim), np.frombuffer(vs, dtype).reshape(-1, size.dim))
-                for query, row, least in zip(asked_ids, scores, floor, strict=True):
-                    ok = np.flatnonzero((row >= least) & (ids != query))
-                    ok = ok[best(row[ok], ids[ok], k)]
-                    out.append((np.full(len(ok), query), ids[ok], row[ok]))
-            query, ids, scores = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.array([], np.int64),) * 3
-            return pa.RecordBatch.from_arrays([pa.array(query), pa.array(ids), pa.array(scores)], ["query_id", "vec_id", "score"])
+            q = unpacked(column(batch, "v"), dtype, size.dim).astype(np.float64)
+            to_pivots = q @ pivots.T - np.linalg.norm(q, axis=1)[:, None] * inexact
+            if len(pivots) > k:  # pivots are of different ids, so that one of them at most is left out for the query's id
+                reached = np.partition(to_pivots, len(pivots) - k - 1, axis=1)[:, len(pivots) - k - 1]
+            else:
+                reached = np.full(batch.num_rows, -np.inf)
+            return pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("vec_id", "cell", "v")), pa.array(reached)], ["vec_id", "cell", "v", "reached"])
 
         return each
 
-    found = map_arrow(cells.join(teams, ["cell", "block"]), make, "query_id long, vec_id long, score long")
+    def send(queries: DataFrame, home: bool) -> DataFrame:
+        """Queries to the shelves of their own cell, or to all others that may hold one of their k best."""
+
+        def make():
+            def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+                cell = column(batch, "cell").to_numpy()
+                shelf = np.arange(n_shelves)
+                own = (first[cell][:, None] <= shelf) & (shelf < (first + parts)[cell][:, None])
+                if home:
+                    to = own
+                else:
+                    near = reach(unpacked(column(batch, "v"), dtype, size.dim).astype(np.float64)) >= column(batch, "reached").to_numpy()[:, None]
+                    to = np.stack([near[:, c].any(1) for c in cells_of], axis=1) & ~own
+                at, shelf = np.nonzero(to)
+                at = pa.array(at)
+                return pa.RecordBatch.from_arrays([pa.array(shelf.astype(np.int32)), *(column(batch, c).take(at) for c in ("vec_id", "reached", "v"))], ["shelf", "vec_id", "reached", "v"])
+
+            return each
+
+        sent = map_arrow(queries, make, "shelf int, vec_id long, reached double, v binary", rows=TOGETHER)
+        return sent.select("shelf", F.lit(1).alias("kind"), F.lit(0).alias("cell"), "vec_id", "reached", "v")
+
+    def search(sent: DataFrame) -> DataFrame:
+        """The k best of each shelf for the queries sent to it: a task holds one shelf's rows, and its queries stream by."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shelf, held, stock = None, [], None
+            for batch in batches:
+                keys = column(batch, "shelf").to_numpy() * 2 + column(batch, "kind").to_numpy()
+                cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                    if lo == hi:
+                        continue
+                    piece, key = batch.slice(lo, hi - lo), int(keys[lo])
+                    if key // 2 != shelf:
+                        shelf, held, stock = key // 2, [], None
+                    if key % 2 == 0:
+                        held.append((column(piece, "cell").to_numpy(), column(piece, "vec_id").to_numpy(), unpacked(column(piece, "v"), dtype, size.dim)))
+                        continue
+                    if stock is None:
+                        stock, held = Stock(held), []
+                    for at in range(0, piece.num_rows, TOGETHER):
+                        some = piece.slice(at, TOGETHER)
+                        q, floor = unpacked(column(some, "v"), dtype, size.dim), column(some, "reached").to_numpy()
+                        near = reach(q.astype(np.float64)) >= floor[:, None]
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in stock.find(column(some, "vec_id").to_numpy(), q, floor, near, k)], ["query_id", "vec_id", "score"])
+
+        both = data.unionByName(sent).repartition("shelf").sortWithinPartitions("shelf", "kind", "cell")
+        return both.mapInArrow(run, "query_id long, vec_id long, score long")
+
+    per_cell = spark.createDataFrame([(c, int(first[c]), int(parts[c])) for c in range(len(pivots))], "cell int, first int, parts int")
+    spread = placed.join(F.broadcast(per_cell), "cell")  # at most MAX_PIVOTS rows
+    data = spread.select((F.col("first") + F.pmod("salt", "parts")).cast("int").alias("shelf"), F.lit(0).alias("kind"), "cell", "vec_id", F.lit(None).cast("double").alias("reached"), "v")
+    asked = placed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("cell", "v")).alias("q")).select("vec_id", "q.*")
+    asked = materialise(map_arrow(asked, make_floor, "vec_id long, cell int, v binary, reached double", rows=TOGETHER), "asked")
+
+    # The own cell's rows come first: what they reach leaves most others out.
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    near = materialise(ranked(search(send(asked, True))), "near")
+    better = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), (F.col("score") - F.abs("score") * 1e-15).alias("better"))
+    raised = asked.join(better, "vec_id", "left").select("vec_id", "cell", "v", F.greatest("reached", F.col("better")).alias("reached"))
+    far = search(send(raised, False))
+    return ranked(near.drop("rank").unionByName(far)).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """
